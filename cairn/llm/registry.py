@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, quality
+from . import bpe, chat, decontaminate, language, quality
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
     "op2_decontamination": decontaminate.query,
     "op3_quality_rules": quality.query,
     "op4_byte_bpe": bpe.query,
+    "op7_language_id": language.query,
 }
 SQL = {
     "op1_chat_formatting": chat.SQL,
