@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, language, quality
+from . import bpe, chat, decontaminate, html, jaccard, language, quality
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
     "op2_decontamination": decontaminate.query,
     "op3_quality_rules": quality.query,
     "op4_byte_bpe": bpe.query,
+    "op6_ngram_jaccard_join": jaccard.query,
     "op7_language_id": language.query,
+    "op9_html_extraction": html.query,
 }
 SQL = {
     "op1_chat_formatting": chat.SQL,
     "op2_decontamination": decontaminate.SQL,
+    "op6_ngram_jaccard_join": jaccard.SQL,
 }
