@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
 
     # At most TRAIN_DOCS pairs of numbers are broadcast.
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = joined.select("doc_id", "quality", features("text").alias("x")).where("size(x) > 0").collect()
+    rows = [r for r in joined.select("doc_id", "quality", features.asNondeterministic()("text").alias("x")).collect() if r["x"]]
     rows = sorted({(r["doc_id"], int(r["quality"] > 0), str(r["x"])): r for r in rows}.items())
     return Field.train([np.array(r["x"]) for _, r in rows], [k[1] for k, _ in rows])
 
