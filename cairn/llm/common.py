@@ -42,6 +42,11 @@ def words(text: str | None) -> list[bytes]:
     return encode(text).translate(_WORD_TABLE).split()
 
 
+def split_words(text: str | None) -> list[list[bytes]]:
+    """``words`` of each \n-split line of a text."""
+    return [x.translate(_WORD_TABLE).split() for x in encode(text).split(b"\n")]
+
+
 def text_key(text: str = "text") -> Column:
     """A key that is equal for equal texts only; a null text counts as empty."""
     return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
