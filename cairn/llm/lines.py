@@ -96,12 +96,11 @@ def prefix_keys(h: np.ndarray, n: int, count: np.ndarray, hot: int) -> list[tupl
             out.append((int(h[i]), i))
             continue
         for j in range(i + 1, min(n, p + 1)):
-            pair = mix(h[i : i + 1] * _SEED + h[j])[0]
-            if count[j] <= hot or n < 6:
-                if count[j] > 1:
-                    out.append((int(pair), j))
+            pair = mix(h[i : i + 1] * _SEED + h[j])
+            if count[j] <= hot:
+                out.append((int(pair[0]), j))
                 continue
-            out += [(int(mix(pair * _SEED + h[k : k + 1])[0]), k) for k in range(j + 1, min(n, p + 2)) if count[k] > 1]
+            out += [(int(mix(pair * _SEED + h[k])[0]), k) for k in range(j + 1, min(n, p + 2))]
     return out
 
 
