@@ -1,10 +1,346 @@
-"""Queries over the driver's tables, and the same in DuckDB SQL."""
+"""Queries over the driver's tables, and the same in DuckDB SQL.
+
+The driver's tables hold no shops, so ``part`` stands in: names recur, and coordinates come from integer
+arithmetic that both engines do alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.functions import numbers as N
+from cairn.functions import text as X
+from cairn.operators import match, score, snapshot
+from cairn.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select(k.alias("id"), F.col("p_name").alias("name"), X.name_key(F.col("p_name")).alias("key"), (35.4 + (k * 7919 % 8000) / 10000.0).alias("lat"), (138.9 + (k * 104729 % 12000) / 10000.0).alias("lng"), F.col("p_retailprice").alias("price"), F.col("p_type").alias("kind"), F.col("p_brand").alias("brand"))
+
+
+PLACES = """places as (select p_partkey as id, p_name as name, nullif(lower(regexp_replace(p_name, '\\s+', '', 'g')), '') as key, 35.4 + ((p_partkey * 7919) % 8000) / 10000.0::double as lat,
+  138.9 + ((p_partkey * 104729) % 12000) / 10000.0::double as lng, p_retailprice as price, p_type as kind, p_brand as brand from part)"""
+METRES = """2 * 6371000.0 * atan2(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)),
+  sqrt(greatest(0, 1 - (pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))))"""
+NEAR = f"""with {PLACES}, near as (select a.id as l, b.id as r, {METRES} as m from places a join places b on a.key = b.key and a.id % 2 = 0 and b.id % 2 = 1),
+deg as (select *, count(*) over (partition by l) as dl, count(*) over (partition by r) as dr from near where m <= 10000)"""
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = places(spark, sf_dir)
+    return p.where("id % 2 = 0"), p.where("id % 2 = 1")
+
+
+@query(f"{NEAR} select l as l_id, r as r_id, round(m, 3) as metres from deg where dl = 1 and dr = 1")
+def one_to_one_proximity(spark, sf_dir):
+    """J3."""
+    return match.one_to_one(*_sides(spark, sf_dir), 10_000).withColumn("metres", F.round("metres", 3))
+
+
+@query(f"{NEAR} select count(*) filter (dl > 1 or dr > 1) as ambiguous, count(*) as candidates from deg")
+def ambiguous_pairs(spark, sf_dir):
+    """Pairs that touch an end with several candidates."""
+    pairs = match.with_degrees(match.near_pairs(*_sides(spark, sf_dir), 10_000))
+    return pairs.agg(F.count_if(F.expr("l_degree > 1 or r_degree > 1")).alias("ambiguous"), F.count("*").alias("candidates"))
+
+
+PAIRS = f"with {PLACES} select a.id as a, b.id as b, round({METRES}, 3) as metres from places a join places b on a.id < b.id and abs(a.lat - b.lat) < 0.02 where {METRES} <= 1000"
+
+
+@query(PAIRS)
+def distance_pairs_bucketed(spark, sf_dir):
+    """J6."""
+    return match.distance_pairs(places(spark, sf_dir), 1000, 37).withColumn("metres", F.round("metres", 3))
+
+
+@query(f"""with recursive {PLACES}, near as (select a.id as a, b.id as b from places a join places b on a.id <> b.id and abs(a.lat - b.lat) < 0.02 where {METRES} <= 1000),
+reach as (select a, b from near union select r.a, n.b from reach r join near n on r.b = n.a), comp as (select a as id, least(a, min(b)) as label from reach group by a),
+alike as (select x.id as a, y.id as b from comp x join comp y on x.label = y.label and x.id <> y.id join places p on p.id = x.id join places q on q.id = y.id
+  where list_has_any([lower(replace(p.name, ' ', ''))[i : i + 7] for i in generate_series(1, length(replace(p.name, ' ', '')) - 7)], [lower(replace(q.name, ' ', ''))[i : i + 7] for i in generate_series(1, length(replace(q.name, ' ', '')) - 7)])),
+reach2 as (select a, b from alike union select r.a, n.b from reach2 r join alike n on r.b = n.a)
+select a as id, least(a, min(b)) as cluster from reach2 group by a""")
+def duplicate_clusters(spark, sf_dir):
+    """Near points whose names share eight characters."""
+    return match.duplicate_clusters(places(spark, sf_dir).select("id", F.col("key").alias("name_key"), "lat", "lng"), 1000, 8)
+
+
+@query("""with s as (select p_partkey as seq, p_brand || '/' || p_size as block, lower(replace(p_name, ' ', '')) as name from part where p_size <= 25)
+select a.seq as l_seq, b.seq as r_seq from s a join s b on a.block = b.block and a.seq % 2 = 0 and b.seq % 2 = 1
+where list_has_any([a.name[i : i + 3] for i in generate_series(1, length(a.name) - 3)], [b.name[i : i + 3] for i in generate_series(1, length(b.name) - 3)])""")
+def address_block_overlap(spark, sf_dir):
+    """Pairs of a block whose names share more than three characters."""
+    p = read(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("seq"), F.concat_ws("/", "p_brand", "p_size").alias("block"), F.lower(F.replace("p_name", F.lit(" "), F.lit(""))).alias("name"))
+    return match.block_overlap(p.where("seq % 2 = 0"), p.where("seq % 2 = 1"), 3).select("l_seq", "r_seq")
+
+
+@query()
+def greedy_entity_merge(spark, sf_dir):
+    """J1, E1 (sequential by definition; tested against a plain fold)."""
+    p = places(spark, sf_dir)
+    raws = p.select(F.col("id").alias("seq"), F.lit("api").alias("source"), F.col("id").cast("string").alias("external_id"), "name", F.when(F.col("id") % 7 == 0, F.concat(F.lit("03-"), (F.col("id") % 300).cast("string"))).alias("phone"), "lat", "lng", F.lit(None).cast("string").alias("url"), F.array("kind").alias("genres"))
+    return match.greedy_merge(raws, 10_000)
+
+
+def _snapshots(spark, sf_dir):
+    p = places(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    current = p.where("id % 5 <> 0").select("id", none.alias("legacy_id"), "key", F.when(F.col("id") % 4 == 1, F.lit("")).otherwise(F.col("name")).alias("name"), F.col("price").cast("string").alias("price"), "lat", "lng")
+    legacy = p.where("id % 3 <> 0").select(F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id")).cast("bigint").alias("id"), F.concat(F.lit("L"), "id").alias("legacy_id"), "key", F.concat("name", F.lit(" old")).alias("name"), F.lit("").alias("price"), "lat", "lng")
+    return current, legacy
+
+
+@query(f"""with {PLACES}, c as (select id, key, case when id % 4 = 1 then '' else name end as name, lat, lng from places where id % 5 <> 0),
+l as (select case when id % 7 = 0 then null else id end as id, 'L' || id as legacy_id, key, name || ' old' as name, lat, lng from places where id % 3 <> 0),
+j as (select c.id as cid, l.id as lid, l.legacy_id, coalesce(c.key, l.key) as key, coalesce(nullif(trim(c.name), ''), l.name, '') as name, c.lat as clat, c.lng as clng, l.lat as llat, l.lng as llng from c full join (select * from l where id is not null) l on c.id = l.id),
+fresh as (select cid as id, key, clat as lat, clng as lng from j where lid is null), gone as (select lid as id, key, llat as lat, llng as lng, legacy_id, name from j where cid is null),
+g0 as (select a.id as g, b.id as f, {METRES} as m from gone a join fresh b on a.key = b.key), g1 as (select *, count(*) over (partition by g) as dg, count(*) over (partition by f) as df from g0 where m <= 3000),
+re as (select g, f from g1 where dg = 1 and df = 1),
+known as (select cid as id, legacy_id, key, name, clat as lat, clng as lng, 'exact' as how from j where cid is not null and lid is not null
+  union all select f.id, g.legacy_id, f.key, coalesce(nullif(trim(c.name), ''), g.name), f.lat, f.lng, 'reissued' from fresh f join re on re.f = f.id join gone g on g.id = re.g join c on c.id = f.id
+  union all select f.id, null, f.key, c.name, f.lat, f.lng, 'new' from fresh f join c on c.id = f.id where f.id not in (select f from re)
+  union all select id, legacy_id, key, name, lat, lng, 'retained' from gone where id not in (select g from re)),
+lo as (select * from l where id is null), x0 as (select a.id as x, b.legacy_id as y, {METRES} as m from (select * from known where legacy_id is null) a join lo b on a.key = b.key),
+x1 as (select *, count(*) over (partition by x) as dx, count(*) over (partition by y) as dy from x0 where m <= 3000), cr as (select x, y from x1 where dx = 1 and dy = 1)
+select id, coalesce(legacy_id, y) as legacy_id, name, case when y is not null then 'cross' else how end as how from known left join cr on x = id
+union all select null, legacy_id, name, 'legacy_only' from lo where legacy_id not in (select y from cr)""")
+def snapshot_merge(spark, sf_dir):
+    """J2, J4, J5, E2."""
+    return snapshot.merge(*_snapshots(spark, sf_dir), 3000).select("id", "legacy_id", "name", "how")
+
+
+@query(f"select count(*) as n_rows, count(*) filter (how = 'exact') as n_exact, count(*) filter (how = 'reissued') as n_reissued, count(*) filter (how = 'cross') as n_cross, count(*) filter (how = 'new') as n_new, count(*) filter (how = 'retained') as n_retained, count(*) filter (how = 'legacy_only') as n_legacy_only, count(*) filter (how in ('exact', 'reissued', 'new', 'cross')) as n_current, count(*) filter (how in ('retained', 'legacy_only')) as n_legacy_unverified from ({SQL['snapshot_merge']})")
+def merge_stats(spark, sf_dir):
+    """A1, A2."""
+    return snapshot.stats(snapshot.merge(*_snapshots(spark, sf_dir), 3000))
+
+
+@query("select '' as legacy_id, '' as missing_in where false")
+def lineage_conservation(spark, sf_dir):
+    """No legacy id is lost or made up."""
+    current, legacy = _snapshots(spark, sf_dir)
+    return snapshot.lost(legacy, snapshot.merge(current, legacy, 3000))
+
+
+@query("select page_id, regexp_replace(split_part(split_part(trim(url), '#', 1), '?', 1), '/+$', '') as url_key from pages")
+def url_key_normalize(spark, sf_dir):
+    """P13."""
+    return read(spark, sf_dir, "pages").select("page_id", X.url_key(F.col("url")).alias("url_key"))
+
+
+@query("select doc_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}]', '', 'g') as k from documents")
+def text_key_strong(spark, sf_dir):
+    """P1."""
+    return read(spark, sf_dir, "documents").select("doc_id", X.strong_key(F.col("text")).alias("k"))
+
+
+@query("select p_partkey, lower(replace(p_name, ' ', '')) as k, nullif(regexp_replace(p_type || p_partkey, '[^0-9]', '', 'g'), '') as phone from part")
+def text_key_light(spark, sf_dir):
+    """P2, P6."""
+    return read(spark, sf_dir, "part").select("p_partkey", X.light_key(F.col("p_name")).alias("k"), X.phone_key(F.concat("p_type", F.col("p_partkey").cast("string"))).alias("phone"))
+
+
+@query("select p_partkey, 'legacy_' || left(sha256(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]', '', 'g') || chr(31) || regexp_replace(lower(p_brand), '[^\\p{L}\\p{N}]', '', 'g')), 20) as legacy_id from part")
+def legacy_hash_id(spark, sf_dir):
+    """P19."""
+    return read(spark, sf_dir, "part").select("p_partkey", X.legacy_id(F.col("p_name"), F.col("p_brand")).alias("legacy_id"))
+
+
+@query("select o_orderkey, cast(case when o_orderkey > 0 and o_custkey > 0 then round_even((o_orderkey + o_custkey) / 2.0, 0) else nullif(o_orderkey + o_custkey, 0) end as bigint) as midpoint from orders")
+def budget_midpoint(spark, sf_dir):
+    """M2."""
+    return read(spark, sf_dir, "orders").select("o_orderkey", N.budget_midpoint(F.concat(F.col("o_orderkey").cast("string"), F.lit("～"), F.col("o_custkey").cast("string"), F.lit("円"))).alias("midpoint"))
+
+
+@query("select o_orderkey, o_custkey::int as low, (o_custkey + 1000)::int as high from orders")
+def budget_range_parse(spark, sf_dir):
+    """M5."""
+    r = N.budget_range(F.concat(F.lit("￥"), F.col("o_custkey").cast("string"), F.lit("～￥"), (F.col("o_custkey") + 1000).cast("string")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", r["low"].alias("low"), r["high"].alias("high"))
+
+
+@query("select o_orderkey, case when o_totalprice >= 1 and o_totalprice < 100001 then cast(floor(o_totalprice) as int)::varchar else '' end as budget from orders")
+def budget_sanitize(spark, sf_dir):
+    """M6."""
+    return read(spark, sf_dir, "orders").select("o_orderkey", N.public_budget(F.col("o_totalprice").cast("string")).alias("budget"))
+
+
+@query(f"with {PLACES} select a.id, round({METRES}, 3) as metres from places a, (select 35.68 as lat, 139.76 as lng) b")
+def haversine_to_centre(spark, sf_dir):
+    """M8."""
+    return places(spark, sf_dir).select("id", F.round(N.haversine(F.col("lat"), F.col("lng"), F.lit(35.68), F.lit(139.76)), 3).alias("metres"))
+
+
+EN_WORDS = [("tion", 20), ("and", 12), ("sch", 15), ("que", 18)]
+
+
+@query("""with s as (select doc_id, least(100.0, case when contains(source, 'src1') then 30 else 0 end + case when contains(text, 'tion') then 20 else 0 end + case when contains(text, 'and') then 12 else 0 end + case when contains(text, 'sch') then 15 else 0 end + case when contains(text, 'que') then 18 else 0 end + least(n_chars, 500) * 0.05)::double as score from documents)
+select doc_id, round(score, 6) as score, case when score >= 80 then 'S' when score >= 60 then 'A' when score >= 45 then 'B' else 'C' end as rank from s""")
+def keyword_score_rank(spark, sf_dir):
+    """E11, E12."""
+    s = score.score(F.array("source"), F.col("text"), F.lit(None).cast("double"), F.col("n_chars"), [("src1", 30)], EN_WORDS)
+    return read(spark, sf_dir, "documents").select("doc_id", F.round(s, 6).alias("score"), score.rank(s).alias("rank"))
+
+
+@query(f"with s as ({SQL['keyword_score_rank']}) select doc_id, score, rank from s where rank in ('S', 'A')")
+def rank_filter_export(spark, sf_dir):
+    """F1, K2."""
+    return keyword_score_rank(spark, sf_dir).where(F.col("rank").isin("S", "A"))
+
+
+RULES = [("steel", ["steel", "STEEL"]), ("brass", ["brass", "BRASS"]), ("tin", ["tin", "TIN"])]
+
+
+@query("select p_partkey, case when regexp_matches(p_name, 'steel|STEEL') then 'steel' when regexp_matches(p_name, 'brass|BRASS') then 'brass' when regexp_matches(p_name, 'tin|TIN') then 'tin' when regexp_matches(p_type, 'steel|STEEL') then 'steel' when regexp_matches(p_type, 'brass|BRASS') then 'brass' when regexp_matches(p_type, 'tin|TIN') then 'tin' when regexp_matches(p_name, 'a') then 'a' else 'other' end as genre from part")
+def genre_classify_priority(spark, sf_dir):
+    """E5."""
+    return read(spark, sf_dir, "part").select("p_partkey", score.stored_genre(F.col("p_name"), F.col("p_type"), RULES, [("a", ["a"])], "other").alias("genre"))
+
+
+@query("select case when p is null then 'unknown' when p <= 3000 then 'p3k' when p <= 5000 then 'p5k' when p <= 10000 then 'p10k' else 'p10kplus' end as band, count(*) as n from (select case when o_orderkey % 10 <> 0 then o_totalprice / 10 end as p from orders) group by 1")
+def price_band_counts(spark, sf_dir):
+    """F8."""
+    price = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice") / 10)
+    return read(spark, sf_dir, "orders").select(score.band(price).alias("band")).groupBy("band").agg(F.count("*").alias("n"))
+
+
+def _lookup(last):
+    fn = "arg_max" if last else "arg_min"
+    return f"""with t as (select o_custkey, {fn}(o_orderpriority, o_orderkey) as v from orders group by 1) select c_custkey, v as priority from customer left join t on c_custkey = o_custkey"""
+
+
+def _orders(spark, sf_dir, last):
+    t = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("priority"), F.col("o_orderkey").alias("seq"))
+    return match.lookup(read(spark, sf_dir, "customer").select("c_custkey"), t, "c_custkey", "priority", "seq", last)
+
+
+@query(_lookup(False))
+def first_wins_lookup(spark, sf_dir):
+    """J13, A10."""
+    return _orders(spark, sf_dir, False)
+
+
+@query(_lookup(True))
+def last_wins_lookup(spark, sf_dir):
+    """J14, A10."""
+    return _orders(spark, sf_dir, True)
+
+
+@query(f"with x as ({_lookup(False)}) select c_custkey, coalesce(nullif(case when c_custkey % 3 = 0 then '' else c_mktsegment end, ''), priority, '') as filled from x join customer using (c_custkey)")
+def fill_blank_from_lookup(spark, sf_dir):
+    """J15."""
+    rows = _orders(spark, sf_dir, False).join(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    return rows.select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")), F.col("priority"), F.lit("")).alias("filled"))
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def anti_unmatched(spark, sf_dir):
+    """J16."""
+    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query(f"with {PLACES} select id from places where lng < 139.2 and id in (select l_partkey from lineitem where l_quantity >= 49)")
+def west_outliers(spark, sf_dir):
+    """F4, J16."""
+    keys = read(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("id"))
+    return places(spark, sf_dir).where("lng < 139.2").join(keys, "id", "left_semi").select("id")
+
+
+@query("select p_name, count(*) as n from part group by 1 having count(*) > 1")
+def dup_id_check(spark, sf_dir):
+    """V8, W10."""
+    return snapshot.repeated(read(spark, sf_dir, "part"), "p_name")
+
+
+@query(f"""with {PLACES} select id as row, 'V2' as rule from places where id % 11 = 0 union all select id, 'V5' from places where not (lat between 35.6 and 36)
+union all select id, 'V14' from places where brand not in ('Brand#11', 'Brand#12', 'Brand#13') union all select id, 'V17' from places where price >= 1800""")
+def dq_row_violations(spark, sf_dir):
+    """V: a table of rules to a row for each broken one."""
+    rules = {"V2": F.col("id") % 11 == 0, "V5": ~F.col("lat").between(35.6, 36), "V14": ~F.col("brand").isin("Brand#11", "Brand#12", "Brand#13"), "V17": F.col("price") >= 1800}
+    return snapshot.violations(places(spark, sf_dir), rules, "id")
+
+
+@query("select 'V19' as rule, count(*) < 1000000 as broken from part union all select 'V20', count(distinct p_name) < 10 from part union all select 'V21', count(distinct p_brand) < 3 from part")
+def dq_dataset_rules(spark, sf_dir):
+    """Rules of a whole set."""
+    one = read(spark, sf_dir, "part").agg(F.count("*").alias("n"), F.countDistinct("p_name").alias("names"), F.countDistinct("p_brand").alias("brands"))
+    rules = F.array(F.struct(F.lit("V19").alias("rule"), (F.col("n") < 1_000_000).alias("broken")), F.struct(F.lit("V20").alias("rule"), (F.col("names") < 10).alias("broken")), F.struct(F.lit("V21").alias("rule"), (F.col("brands") < 3).alias("broken")))
+    return one.select(F.inline(rules))
+
+
+@query("select doc_id from documents where regexp_matches(text, 'token = \"[0-9a-f]{20,}|AIza[0-9A-Za-z_-]{30,}|sk-[0-9A-Za-z_-]{20,}|gh[opsu]_[0-9A-Za-z]{30,}')")
+def secret_pattern_scan(spark, sf_dir):
+    """V26."""
+    return read(spark, sf_dir, "documents").where(F.col("text").rlike('token = "[0-9a-f]{20,}|AIza[0-9A-Za-z_-]{30,}|sk-[0-9A-Za-z_-]{20,}|gh[opsu]_[0-9A-Za-z]{30,}')).select("doc_id")
+
+
+@query("select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as n_links from pages")
+def html_title_href_extract(spark, sf_dir):
+    """Title and links by patterns."""
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).cast("bigint").alias("n_links"))
+
+
+@query(f"with {PLACES}, boxes(seq, name, x0, y0, x1, y1) as (values (0, 'inner', 139.2, 35.6, 139.6, 35.9), (1, 'wide', 139.0, 35.5, 139.8, 36.0)) select id, arg_min(b.name, seq) as polygon from places join boxes b on lng > x0 and lng < x1 and lat > y0 and lat < y1 group by id")
+def bbox_point_in_polygon(spark, sf_dir):
+    """J9, M10-M12. Corners are no place's coordinates."""
+    ring = lambda a, b, c, d: [[(a, b), (c, b), (c, d), (a, d), (a, b)]]
+    boxes = spark.createDataFrame([(0, "inner", ring(139.2, 35.6, 139.6, 35.9)), (1, "wide", ring(139.0, 35.5, 139.8, 36.0))], "seq int, name string, rings array<array<struct<x:double,y:double>>>")
+    return match.in_boxes(places(spark, sf_dir), boxes)
+
+
+@query("with w(seq, word) as (values (0, 'steel'), (1, 'ste'), (2, 'red'), (3, 'red b'), (4, 'a')) select p_partkey as id, arg_max(word, length(word) * 100 - seq) as word from part join w on contains(p_name, word) group by 1")
+def longest_match_lookup(spark, sf_dir):
+    """J10, J12, A11."""
+    words = spark.createDataFrame([(0, "steel"), (1, "ste"), (2, "red"), (3, "red b"), (4, "a")], "seq int, word string")
+    return match.longest_contained(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name"), words, "p_name")
+
+
+@query("select source, count(*) as n, count(*) filter (lang = 'en') as n_en from documents group by source")
+def status_source_counts(spark, sf_dir):
+    """A1, A8."""
+    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("n_en"))
+
+
+@query("select string_agg(source, ',' order by source) as source_scope from (select distinct source from documents where lang = 'en')")
+def source_scope_agg(spark, sf_dir):
+    """A3."""
+    return read(spark, sf_dir, "documents").where("lang = 'en'").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("source_scope"))
+
+
+@query()
+def grid_lattice(spark, sf_dir):
+    """Hexagonal grid of the default box."""
+    return files.lattice(spark, (35.4, 138.9, 36.2, 140.1), 800, 800)
+
+
+@query("select o_custkey as id, arg_min(o_orderkey, (o_orderdate, o_orderkey)) as kept from orders where o_orderstatus <> 'P' group by 1")
+def union_dedupe_first(spark, sf_dir):
+    """The first record of each key."""
+    o = read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    return o.groupBy(F.col("o_custkey").alias("id")).agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("kept"))
+
+
+@query("select page_id, url from pages where contains(lower(url), 'blog') order by page_id limit 20")
+def name_search_topk(spark, sf_dir):
+    """Search with a limit, which is the feature."""
+    return read(spark, sf_dir, "pages").where(F.contains(F.lower("url"), F.lit("blog"))).select("page_id", "url").orderBy("page_id").limit(20)
