@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,14 +55,14 @@ def text_key(text: str = "text") -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there: its lineage ends.
+    """Write ``df`` as a table in the shared folder and read it from there: its lineage ends.
 
     The folder is the one the session names in spark.checkpoint.dir; where that is unset, as in
-    tests on one machine, a folder in the warehouse is taken.
+    tests on one machine, a folder in the warehouse is taken. Tables lie below the application's id
+    and may go when the application has ended.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+    path = f"{folder}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
