@@ -35,7 +35,7 @@ from . import common
 from .jaccard import mix, word_hash
 
 NUMERATOR, DENOMINATOR = 4, 5
-BUCKETS, HOT, HOT_LEAST = 1 << 19, 8, 2000
+BUCKETS, HOT, HOT_LEAST = 1 << 22, 4, 200
 #: Smaller sets have no similar sets but equal ones.
 LEAST = 4
 
@@ -175,17 +175,28 @@ def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, key, lines): numbers of the lines with words that stay. ``docs``: (doc_id, key, text)."""
     own = common.cut(sets(docs, count_words(docs)))
-    prefix = own.where("size(keys) > 0").select("c", "n", "first", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("c", "n", "first", F.col("x.keys").alias("k"), F.col("x.places").alias("i"))
-    x, y = (prefix.select("k", *(F.col(c).alias(f"{c}{side}") for c in ("c", "n", "first", "i"))) for side in "xy")
+    # Narrow rows: the join is on the key, sizes and positions are in one number.
+    half = lambda at: F.conv(F.hex(F.substring("c", at, 8)), 16, -10).cast("bigint")
+    exploded = own.where("size(keys) > 0").select(half(1).alias("c1"), half(9).alias("c2"), "n", F.explode(F.arrays_zip("keys", "places")).alias("x"))
+    prefix = exploded.select(F.col("x.keys").alias("k"), "c1", "c2", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("x.places").cast("bigint")).alias("ni"))
+    x, y = (prefix.select("k", *(F.col(c).alias(f"{c}{side}") for c in ("c1", "c2", "ni"))) for side in "xy")
+    nx, ny = (F.shiftright(f"ni{side}", 32) for side in "xy")
+    ix, iy = (F.col(f"ni{side}").bitwiseAND(0xFFFFFFFF) for side in "xy")
     # The overlap that two sets of these sizes need: a ninth of four times their sum, rounded up.
-    need = F.expr("(4 * (nx + ny) + 8) div 9")
-    bound = F.expr("least(ix, iy) + 1 + least(nx - ix, ny - iy) - 1")
-    pairs = x.join(y, "k").where((F.col("firstx") < F.col("firsty")) & F.expr("5 * nx >= 4 * ny and 5 * ny >= 4 * nx") & (bound >= need))
-    pairs = common.cut(pairs.select("cx", "cy", "nx", "ny", "firstx", "firsty").distinct())
-    wanted = pairs.select(F.col("cx").alias("c"), F.col("firstx").alias("f")).unionByName(pairs.select(F.col("cy").alias("c"), F.col("firsty").alias("f"))).distinct()
-    words = common.cut(words_of(docs, wanted.select("c", "f.key", "f.line")))
-    met = pairs.join(words.select(F.col("c").alias("cx"), F.col("s").alias("sx")), "cx").join(words.select(F.col("c").alias("cy"), F.col("s").alias("sy")), "cy")
-    later = met.where(F.size(F.array_intersect("sx", "sy")) >= need).select(F.col("cy").alias("c")).distinct()
+    need = F.floor((4 * (nx + ny) + 8) / 9)
+    bound = F.least(ix, iy) + 1 + F.least(nx - ix, ny - iy) - 1
+    order = F.struct("c1x", "c2x") < F.struct("c1y", "c2y")
+    pairs = x.join(y, "k").where(order & (NUMERATOR * ny <= DENOMINATOR * nx) & (NUMERATOR * nx <= DENOMINATOR * ny) & (bound >= need))
+    pairs = common.cut(pairs.select("c1x", "c2x", "c1y", "c2y").distinct())
+    ends = pairs.select(F.col("c1x").alias("c1"), F.col("c2x").alias("c2")).unionByName(pairs.select(F.col("c1y").alias("c1"), F.col("c2y").alias("c2"))).distinct()
+    wanted = own.select(half(1).alias("c1"), half(9).alias("c2"), "c", F.col("first.key").alias("key"), F.col("first.line").alias("line")).join(ends, ["c1", "c2"])
+    words = common.cut(words_of(docs, wanted.select("c", "key", "line")).select("c", half(1).alias("c1"), half(9).alias("c2"), "s"))
+    side = lambda z: words.select(F.col("c1").alias(f"c1{z}"), F.col("c2").alias(f"c2{z}"), F.col("c").alias(f"c{z}"), F.col("s").alias(f"s{z}"))
+    met = pairs.join(side("x"), ["c1x", "c2x"]).join(side("y"), ["c1y", "c2y"])
+    alike = met.where((DENOMINATOR + NUMERATOR) * F.size(F.array_intersect("sx", "sy")) >= NUMERATOR * (F.size("sx") + F.size("sy"))).select("cx", "cy")
+    begins = own.select("c", "first")
+    placed = alike.join(begins.select(F.col("c").alias("cx"), F.col("first").alias("fx")), "cx").join(begins.select(F.col("c").alias("cy"), F.col("first").alias("fy")), "cy")
+    later = placed.select(F.when(F.col("fx") < F.col("fy"), F.col("cy")).otherwise(F.col("cx")).alias("c")).distinct()
     stays = own.join(later, "c", "left_anti").select("first.doc_id", "first.key", "first.line")
     return stays.groupBy("doc_id", "key").agg(F.collect_list("line").alias("lines"))
 
