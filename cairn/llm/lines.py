@@ -10,7 +10,8 @@ fixed size: any order is right, a rarer first is faster) and keeps the prefix th
 share a word of. Words that no other line has are left out of it. A prefix word of more than
 ``HOT`` times the mean bucket count is no key by itself: sets that share such a word as their first
 common one share a second (and third) in a prefix longer by one (or two), so the pair or triple of
-words is the key. Length and positional filters follow; what passes is verified on whole sets, which
+words is the key. Length and positional filters follow, and one on 64-bit odd sketches (the parity of a
+set's words by hash), which similar sets always pass; what passes is verified on whole sets, which
 are read again from the lines that candidates name.
 
 Scale: word counts and prefixes are two map-only passes with map-side sums; the lines that stay are
@@ -122,6 +123,7 @@ def sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             begins = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
             n = np.diff(np.append(begins, len(line)))
             a, b = np.add.reduceat(mix(h), begins), np.add.reduceat(mix(h ^ _SEED), begins)
+            odd = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), begins).view(np.int64)
             # Most lines need no more than a slice of their prefix.
             p = n - -(-NUMERATOR * n // DENOMINATOR) + 1
             rank = np.arange(len(h)) - np.repeat(begins, n)
@@ -142,12 +144,12 @@ def sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     places.append(used_i[lo[k] : hi[k]])
             yield pd.DataFrame({
                 "c": [x + y for x, y in zip(map(int.to_bytes, a.tolist(), [8] * len(n)), map(int.to_bytes, b.tolist(), [8] * len(n)), strict=True)],
-                "n": n, "doc_id": batch["doc_id"].iloc[text_of].astype("Int64").to_numpy(), "key": batch["key"].iloc[text_of].to_numpy(), "line": number, "keys": keys, "places": places,
+                "n": n, "doc_id": batch["doc_id"].iloc[text_of].astype("Int64").to_numpy(), "key": batch["key"].iloc[text_of].to_numpy(), "line": number, "odd": odd, "keys": keys, "places": places,
             })
 
-    found = docs.select("doc_id", "key", "text").mapInPandas(run, "c binary, n int, doc_id long, key binary, line int, keys array<long>, places array<int>")
+    found = docs.select("doc_id", "key", "text").mapInPandas(run, "c binary, n int, doc_id long, key binary, line int, odd long, keys array<long>, places array<int>")
     first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key", "line")
-    return found.groupBy("c").agg(F.first("n").alias("n"), F.min(first).alias("first"), F.first("keys").alias("keys"), F.first("places").alias("places"))
+    return found.groupBy("c").agg(F.first("n").alias("n"), F.min(first).alias("first"), F.first("odd").alias("odd"), F.first("keys").alias("keys"), F.first("places").alias("places"))
 
 
 def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -177,16 +179,18 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     own = common.cut(sets(docs, count_words(docs)))
     # Narrow rows: the join is on the key, sizes and positions are in one number.
     half = lambda at: F.conv(F.hex(F.substring("c", at, 8)), 16, -10).cast("bigint")
-    exploded = own.where("size(keys) > 0").select(half(1).alias("c1"), half(9).alias("c2"), "n", F.explode(F.arrays_zip("keys", "places")).alias("x"))
-    prefix = exploded.select(F.col("x.keys").alias("k"), "c1", "c2", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("x.places").cast("bigint")).alias("ni"))
-    x, y = (prefix.select("k", *(F.col(c).alias(f"{c}{side}") for c in ("c1", "c2", "ni"))) for side in "xy")
+    exploded = own.where("size(keys) > 0").select(half(1).alias("c1"), half(9).alias("c2"), "n", "odd", F.explode(F.arrays_zip("keys", "places")).alias("x"))
+    prefix = exploded.select(F.col("x.keys").alias("k"), "c1", "c2", "odd", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("x.places").cast("bigint")).alias("ni"))
+    x, y = (prefix.select("k", *(F.col(c).alias(f"{c}{side}") for c in ("c1", "c2", "odd", "ni"))) for side in "xy")
     nx, ny = (F.shiftright(f"ni{side}", 32) for side in "xy")
     ix, iy = (F.col(f"ni{side}").bitwiseAND(0xFFFFFFFF) for side in "xy")
     # The overlap that two sets of these sizes need: a ninth of four times their sum, rounded up.
     need = F.floor((4 * (nx + ny) + 8) / 9)
     bound = F.least(ix, iy) + 1 + F.least(nx - ix, ny - iy) - 1
+    # Words in one set alone each turn at most one bit of the odd sketches' difference.
+    differ = F.bit_count(F.col("oddx").bitwiseXOR(F.col("oddy"))) <= nx + ny - 2 * need
     order = F.struct("c1x", "c2x") < F.struct("c1y", "c2y")
-    pairs = x.join(y, "k").where(order & (NUMERATOR * ny <= DENOMINATOR * nx) & (NUMERATOR * nx <= DENOMINATOR * ny) & (bound >= need))
+    pairs = x.join(y, "k").where(order & (NUMERATOR * ny <= DENOMINATOR * nx) & (NUMERATOR * nx <= DENOMINATOR * ny) & (bound >= need) & differ)
     pairs = common.cut(pairs.select("c1x", "c2x", "c1y", "c2y").distinct())
     ends = pairs.select(F.col("c1x").alias("c1"), F.col("c2x").alias("c2")).unionByName(pairs.select(F.col("c1y").alias("c1"), F.col("c2y").alias("c2"))).distinct()
     wanted = own.select(half(1).alias("c1"), half(9).alias("c2"), "c", F.col("first.key").alias("key"), F.col("first.line").alias("line")).join(ends, ["c1", "c2"])
