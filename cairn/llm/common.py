@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1024
 BATCH_BYTES = 8 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Every byte that is no word byte becomes a blank, A-Z become a-z: bytes.split() then gives the
 #: words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the lower-cased text.
 _WORD_TABLE = bytes(
@@ -54,15 +56,31 @@ def text_key(text: str = "text") -> Column:
     return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, held: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it from there: its lineage ends.
 
     The folder is the one the session names in spark.checkpoint.dir; where that is unset, as in
     tests on one machine, a folder in the warehouse is taken. Tables lie below the application's id
-    and may go when the application has ended.
+    and may go when the application has ended; those whose paths are in ``held`` can be discarded
+    earlier. The write's own shuffle files go when the table is whole.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
     path = f"{folder}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    if held is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, held: list[str]) -> None:
+    """Delete the tables in ``held``; everything that is made from them must be written by now."""
+    for path in held:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    held.clear()

@@ -10,7 +10,8 @@ fixed size: any order is right, a rarer first is faster) and keeps the prefix th
 share a word of. Words that no other line has are left out of it. A prefix word of more than
 ``HOT`` times the mean bucket count is no key by itself: sets that share such a word as their first
 common one share a second (and third) in a prefix longer by one (or two), so the pair or triple of
-words is the key. Length and positional filters follow, and one on 64-bit odd sketches (the parity of a
+words is the key: the pair where its words' counts make it rare enough, else the triple. Length and
+positional filters follow, and one on two 64-bit odd sketches (the parity of a
 set's words by hash), which similar sets always pass; what passes is verified on whole sets, which
 are read again from the lines that candidates name.
 
@@ -25,191 +26,232 @@ columns are kept, and n_chars, where there is one, counts the new text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .jaccard import mix, word_hash
+from .jaccard import word_hash
 
 NUMERATOR, DENOMINATOR = 4, 5
 BUCKETS, HOT, HOT_LEAST = 1 << 22, 4, 200
 #: Smaller sets have no similar sets but equal ones.
 LEAST = 4
+#: Words of more bytes are hashed one by one.
+LONG = 1024
 
 _MASK = np.uint64(BUCKETS - 1)
 _SEED = np.uint64(0x5851F42D4C957F2D)
-
-
-def line_words(texts, memo: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
-    """Distinct (line, word hash) of all texts' lines that have a word, sorted; of each line: its text and number."""
-    found, text_of, number = [], [], []
-    size = []
-    for k, t in enumerate(texts):
-        for at, line in enumerate(common.split_words(t)):
-            if line:
-                found += line
-                size.append(len(line))
-                text_of.append(k)
-                number.append(at)
-    if len(memo) > 500_000:
-        memo.clear()
-    for w in found:
-        if w not in memo:
-            memo[w] = word_hash(w)
-    h = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
-    line = np.repeat(np.arange(len(size)), size)
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    return line[new], h[new], text_of, number
-
-
-def count_words(docs: DataFrame) -> np.ndarray:
-    """Lines that have a word, by hash bucket, over all lines."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, memo = np.zeros(BUCKETS, np.int64), {}
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_WORDY = re.compile("[0-9A-Za-z\x80-\U0010FFFF]")
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+def hash_words(lined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words of some bytes, eight bytes of all words at a time."""
+    data = b" " + lined.translate(common._WORD_TABLE) + b" " * 8
+    inside = np.frombuffer(data, np.uint8) != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    h = mix((size.astype(np.uint64) * _SEED) ^ (eight[start + 1] & _LOW[np.minimum(size, 8)]))
+    at, more = 8, np.flatnonzero((size > 8) & (size <= LONG))
+    while len(more):
+        h[more] = mix((h[more] * _SEED) ^ (eight[start[more] + 1 + at] & _LOW[np.minimum(size[more] - at, 8)]))
+        at += 8
+        more = more[size[more] > at]
+    for k in np.flatnonzero(size > LONG):
+        h[k] = word_hash(data[start[k] + 1 : start[k] + 1 + size[k]])
+    return start, h
+
+
+def line_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, word hash) of all texts' words in order, lines with a word only; of each line: its text and number."""
+    texts = [t or b"" for t in texts]
+    joined = b"\n".join(texts)
+    begin = np.concatenate(([0], np.flatnonzero(np.frombuffer(joined, np.uint8) == 10) + 1))
+    text_begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    text_of = np.searchsorted(text_begin, begin, "right") - 1
+    number = np.arange(len(begin)) - np.searchsorted(begin, text_begin)[text_of]
+    start, h = hash_words(joined)
+    n = np.diff(np.append(np.searchsorted(start, begin), len(start)))
+    some = np.flatnonzero(n)
+    return np.repeat(np.arange(len(some)), n[some]), h, text_of[some], number[some]
+
+
+def count_words(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Words by hash bucket, over all lines (a bound of the lines that have them), and lines with a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, lines = np.zeros(BUCKETS, np.int64), 0
+        held: list[np.ndarray] = []
         for batch in batches:
-            _, h, _, _ = line_words(batch["text"], memo)
-            total += np.bincount((h & _MASK).astype(np.int64), minlength=BUCKETS)
+            _, h, text_of, _ = line_words(batch["text"].to_pylist())
+            held.append((h & _MASK).astype(np.int32))
+            lines += len(text_of)
+            if sum(map(len, held)) > BUCKETS:
+                total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
         own = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": own, "n": total[own]})
+        yield pa.record_batch({"bucket": np.append(own, -1), "n": np.append(total[own], lines)})
 
-    summed = docs.select("text").mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)  # BUCKETS numbers at most reach the driver
+    summed = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS + 1, np.int64)  # BUCKETS numbers and one at most reach the driver
     out[summed["bucket"].to_numpy()] = summed["n"].to_numpy()
-    return out
+    return out[:-1], int(out[-1])
 
 
-def prefix_keys(h: np.ndarray, n: int, count: np.ndarray, hot: int) -> list[tuple[int, int]]:
-    """(key, position of its last word) of a set, whose words are in order of rarity."""
-    p = n - -(-NUMERATOR * n // DENOMINATOR) + 1
-    out = []
-    for i in range(p):
-        if count[i] < 2:
-            continue
-        if count[i] <= hot:
-            out.append((int(h[i]), i))
-            continue
-        for j in range(i + 1, min(n, p + 1)):
-            pair = mix(h[i : i + 1] * _SEED + h[j])
-            if count[j] <= hot:
-                out.append((int(pair[0]), j))
-                continue
-            out += [(int(mix(pair * _SEED + h[k])[0]), k) for k in range(j + 1, min(n, p + 2))]
-    return out
+def ahead(at: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, place) for all places after at[k] and before until[k]."""
+    many = np.maximum(until - at - 1, 0)
+    own = np.repeat(np.arange(len(at)), many)
+    return own, at[own] + 1 + np.arange(len(own)) - (np.cumsum(many) - many)[own]
+
 
+def prefix_keys(h: np.ndarray, count: np.ndarray, line: np.ndarray, begin: np.ndarray, n: np.ndarray, hot: int, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, position of the key's last word) of sets, ordered by line.
 
-def sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(c, n, first, keys) of each distinct set: its id, words, first line and prefix keys."""
-    held = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32 if counts.max(initial=0) < 1 << 31 else np.int64))
+    ``h``, ``count``, ``line``: of all sets' words, each set's in order of rarity.
+    """
+    p = n - -(-NUMERATOR * n // DENOMINATOR) + 1
+    at = np.flatnonzero((np.arange(len(h)) - begin[line] < p[line]) & (n[line] >= LEAST) & (count > 1))
+    one, first = at[count[at] <= hot], at[count[at] > hot]
+    found = [(line[one], h[one], one)]
+    of = line[first]
+    k, second = ahead(first, begin[of] + np.minimum(n[of], p[of] + 1))
+    first, of = first[k], of[k]
+    pair = mix(h[first] * _SEED + h[second])
+    # Both sets of a pair see the same counts, so they choose the same kind of key.
+    rare = count[first].astype(float) * count[second] <= float(hot) * lines
+    found.append((of[rare], pair[rare], second[rare]))
+    of, pair, second = of[~rare], pair[~rare], second[~rare]
+    k, third = ahead(second, begin[of] + np.minimum(n[of], p[of] + 2))
+    found.append((of[k], mix(pair[k] * _SEED + h[third]), third))
+    of, key, last = map(np.concatenate, zip(*found, strict=True))
+    order = np.argsort(of, kind="stable")
+    return of[order], key[order], (last - begin[of])[order]
+
+
+def sets(docs: DataFrame, counts: np.ndarray, lines: int) -> DataFrame:
+    """(c1, c2, n, odd1, odd2, first, keys, places) of each distinct set: its id, words, sketches, first line and prefix keys."""
+    rank = np.empty(BUCKETS, np.int32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.int32)
+    held = docs.sparkSession.sparkContext.broadcast((rank, np.sort(counts)))
     hot = int(max(HOT_LEAST, HOT * counts.sum() / BUCKETS))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[bytes, int] = {}
-        table = held.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, sorted_counts = held.value
         for batch in batches:
-            line, h, text_of, number = line_words(batch["text"], memo)
+            line, h, text_of, number = line_words(batch["text"].to_pylist())
             if not len(h):
                 continue
-            count = table[(h & _MASK).astype(np.int64)]
-            order = np.lexsort((h, count, line))
-            h, count = h[order], count[order]
-            begins = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-            n = np.diff(np.append(begins, len(line)))
-            a, b = np.add.reduceat(mix(h), begins), np.add.reduceat(mix(h ^ _SEED), begins)
-            odd = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), begins).view(np.int64)
-            # Most lines need no more than a slice of their prefix.
-            p = n - -(-NUMERATOR * n // DENOMINATOR) + 1
-            rank = np.arange(len(h)) - np.repeat(begins, n)
-            plain = (rank < np.repeat(p, n)) & (np.repeat(n, n) >= LEAST)
-            some = np.add.reduceat((plain & (count > hot)).astype(np.int64), begins) > 0
-            use = plain & (count > 1) & ~np.repeat(some, n)
-            at = np.concatenate(([0], np.cumsum(use)))
-            lo, hi = at[begins], at[begins + n]
-            used_h, used_i = h[use].view(np.int64), rank[use].astype(np.int32)
-            keys, places = [], []
-            for k in range(len(n)):
-                if some[k]:
-                    own = prefix_keys(h[begins[k] : begins[k] + n[k]], int(n[k]), count[begins[k] : begins[k] + n[k]], hot)
-                    keys.append(np.array([x for x, _ in own], np.uint64).view(np.int64))
-                    places.append(np.array([i for _, i in own], np.int32))
-                else:
-                    keys.append(used_h[lo[k] : hi[k]])
-                    places.append(used_i[lo[k] : hi[k]])
-            yield pd.DataFrame({
-                "c": [x + y for x, y in zip(map(int.to_bytes, a.tolist(), [8] * len(n)), map(int.to_bytes, b.tolist(), [8] * len(n)), strict=True)],
-                "n": n, "doc_id": batch["doc_id"].iloc[text_of].astype("Int64").to_numpy(), "key": batch["key"].iloc[text_of].to_numpy(), "line": number, "odd": odd, "keys": keys, "places": places,
+            # One number sorts by line, rarity and hash.
+            bits = len(text_of).bit_length()
+            place = rank[(h & _MASK).astype(np.int64)]
+            one = (line.astype(np.uint64) << np.uint64(64 - bits)) | (place.astype(np.uint64) << np.uint64(42 - bits)) | (h >> np.uint64(22 + bits))
+            order = np.argsort(one)
+            one, by = one[order], h[order]
+            same = one[1:] == one[:-1]
+            if (same & (by[1:] != by[:-1])).any():
+                order = np.lexsort((h, place, line))
+                by = h[order]
+                same = (by[1:] == by[:-1]) & (line[order[1:]] == line[order[:-1]])
+            order = order[np.concatenate(([True], ~same))]
+            line, h, count = line[order], h[order], sorted_counts[place[order]]
+            n = np.bincount(line)
+            begin = np.cumsum(n) - n
+            of, keys, places = prefix_keys(h, count, line, begin, n, hot, lines)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(n))))).astype(np.int32)
+            bit = lambda by: np.bitwise_xor.reduceat(np.uint64(1) << ((h >> np.uint64(by)) & np.uint64(63)), begin).view(np.int64)
+            yield pa.record_batch({
+                "c1": np.add.reduceat(mix(h), begin).view(np.int64), "c2": np.add.reduceat(mix(h ^ _SEED), begin).view(np.int64), "n": n.astype(np.int32), "odd1": bit(58), "odd2": bit(52),
+                "doc_id": batch["doc_id"].take(pa.array(text_of)), "key": batch["key"].take(pa.array(text_of)), "line": number.astype(np.int32),
+                "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64))), "places": pa.ListArray.from_arrays(pa.array(ends), pa.array(places.astype(np.int32))),
             })
 
-    found = docs.select("doc_id", "key", "text").mapInPandas(run, "c binary, n int, doc_id long, key binary, line int, odd long, keys array<long>, places array<int>")
+    read = docs.select("doc_id", "key", "text")
+    found = read.mapInArrow(run, "c1 long, c2 long, n int, odd1 long, odd2 long, doc_id long, key binary, line int, keys array<long>, places array<int>")
     first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key", "line")
-    return found.groupBy("c").agg(F.first("n").alias("n"), F.min(first).alias("first"), F.first("odd").alias("odd"), F.first("keys").alias("keys"), F.first("places").alias("places"))
+    return found.groupBy("c1", "c2").agg(F.min(first).alias("first"), *(F.first(x).alias(x) for x in ("n", "odd1", "odd2", "keys", "places")))
 
 
 def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c, s): words of the sets in ``wanted`` (c, key, line), read from that line."""
+    """(c1, c2, s): words of the sets in ``wanted`` (c1, c2, key, line), read from that line."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[bytes, int] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, s = [], []
-            for text, own in zip(batch["text"], batch["own"], strict=True):
-                split = common.split_words(text)
+            c1, c2, found = [], [], []
+            for text, own in zip(batch["text"].to_pylist(), batch["own"].to_pylist(), strict=True):
+                split = text.split(b"\n")
                 for x in own:
-                    found = split[x["line"]]
-                    c.append(x["c"])
-                    s.append(np.fromiter({memo.get(w) or memo.setdefault(w, word_hash(w)) for w in found}, np.uint64).view(np.int64))
-            if len(memo) > 500_000:
-                memo.clear()
-            yield pd.DataFrame({"c": c, "s": s})
-
-    by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("c", "line")).alias("own"))
+                    c1.append(x["c1"])
+                    c2.append(x["c2"])
+                    found.append(split[x["line"]])
+            line, h, _, _ = line_words(found)
+            order = np.lexsort((h, line))
+            line, h = line[order], h[order]
+            new = np.concatenate(([True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])))
+            ends = np.concatenate(([0], np.cumsum(np.bincount(line[new], minlength=len(found))))).astype(np.int32)
+            yield pa.record_batch({"c1": pa.array(c1, pa.int64()), "c2": pa.array(c2, pa.int64()), "s": pa.ListArray.from_arrays(pa.array(ends), pa.array(h[new].view(np.int64)))})
+
+    by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("c1", "c2", "line")).alias("own"))
     met = docs.select("key", "text").join(by_text.hint("shuffle_hash"), "key").select("text", "own")
-    return met.mapInPandas(run, "c binary, s array<long>").groupBy("c").agg(F.first("s").alias("s"))
+    return met.mapInArrow(run, "c1 long, c2 long, s array<long>").groupBy("c1", "c2").agg(F.first("s").alias("s"))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, lines): numbers of the lines with words that stay. ``docs``: (doc_id, key, text)."""
-    own = common.cut(sets(docs, count_words(docs)))
-    # Narrow rows: the join is on the key, sizes and positions are in one number.
-    half = lambda at: F.conv(F.hex(F.substring("c", at, 8)), 16, -10).cast("bigint")
-    exploded = own.where("size(keys) > 0").select(half(1).alias("c1"), half(9).alias("c2"), "n", "odd", F.explode(F.arrays_zip("keys", "places")).alias("x"))
-    prefix = exploded.select(F.col("x.keys").alias("k"), "c1", "c2", "odd", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("x.places").cast("bigint")).alias("ni"))
-    x, y = (prefix.select("k", *(F.col(c).alias(f"{c}{side}") for c in ("c1", "c2", "odd", "ni"))) for side in "xy")
+    """(doc_id, key, lines): numbers of the lines with words that stay. ``docs``: (doc_id, key, text as bytes)."""
+    held: list[str] = []
+    cut = lambda df: common.cut(df, held)
+    own = cut(sets(docs, *count_words(docs)))
+    # Narrow rows: sizes and positions are in one number.
+    exploded = own.where("size(keys) > 0").select("c1", "c2", "n", "odd1", "odd2", F.explode(F.arrays_zip("keys", "places")).alias("x"))
+    prefix = exploded.select(F.col("x.keys").alias("k"), "c1", "c2", "odd1", "odd2", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("x.places").cast("bigint")).alias("ni"))
+    x, y = (prefix.select("k", *(F.col(c).alias(f"{c}{side}") for c in ("c1", "c2", "odd1", "odd2", "ni"))) for side in "xy")
     nx, ny = (F.shiftright(f"ni{side}", 32) for side in "xy")
     ix, iy = (F.col(f"ni{side}").bitwiseAND(0xFFFFFFFF) for side in "xy")
     # The overlap that two sets of these sizes need: a ninth of four times their sum, rounded up.
     need = F.floor((4 * (nx + ny) + 8) / 9)
     bound = F.least(ix, iy) + 1 + F.least(nx - ix, ny - iy) - 1
-    # Words in one set alone each turn at most one bit of the odd sketches' difference.
-    differ = F.bit_count(F.col("oddx").bitwiseXOR(F.col("oddy"))) <= nx + ny - 2 * need
+    # Words in one set alone each turn at most one bit of either odd sketches' difference.
+    apart = nx + ny - 2 * need
+    differ = (F.bit_count(F.col("odd1x").bitwiseXOR(F.col("odd1y"))) <= apart) & (F.bit_count(F.col("odd2x").bitwiseXOR(F.col("odd2y"))) <= apart)
     order = F.struct("c1x", "c2x") < F.struct("c1y", "c2y")
     pairs = x.join(y, "k").where(order & (NUMERATOR * ny <= DENOMINATOR * nx) & (NUMERATOR * nx <= DENOMINATOR * ny) & (bound >= need) & differ)
-    pairs = common.cut(pairs.select("c1x", "c2x", "c1y", "c2y").distinct())
+    pairs = cut(pairs.select("c1x", "c2x", "c1y", "c2y").distinct())
     ends = pairs.select(F.col("c1x").alias("c1"), F.col("c2x").alias("c2")).unionByName(pairs.select(F.col("c1y").alias("c1"), F.col("c2y").alias("c2"))).distinct()
-    wanted = own.select(half(1).alias("c1"), half(9).alias("c2"), "c", F.col("first.key").alias("key"), F.col("first.line").alias("line")).join(ends, ["c1", "c2"])
-    words = common.cut(words_of(docs, wanted.select("c", "key", "line")).select("c", half(1).alias("c1"), half(9).alias("c2"), "s"))
-    side = lambda z: words.select(F.col("c1").alias(f"c1{z}"), F.col("c2").alias(f"c2{z}"), F.col("c").alias(f"c{z}"), F.col("s").alias(f"s{z}"))
+    wanted = own.select("c1", "c2", "first.key", "first.line").join(ends, ["c1", "c2"])
+    words = cut(words_of(docs, wanted))
+    side = lambda z: words.select(F.col("c1").alias(f"c1{z}"), F.col("c2").alias(f"c2{z}"), F.col("s").alias(f"s{z}"))
     met = pairs.join(side("x"), ["c1x", "c2x"]).join(side("y"), ["c1y", "c2y"])
-    alike = met.where((DENOMINATOR + NUMERATOR) * F.size(F.array_intersect("sx", "sy")) >= NUMERATOR * (F.size("sx") + F.size("sy"))).select("cx", "cy")
-    begins = own.select("c", "first")
-    placed = alike.join(begins.select(F.col("c").alias("cx"), F.col("first").alias("fx")), "cx").join(begins.select(F.col("c").alias("cy"), F.col("first").alias("fy")), "cy")
-    later = placed.select(F.when(F.col("fx") < F.col("fy"), F.col("cy")).otherwise(F.col("cx")).alias("c")).distinct()
-    stays = own.join(later, "c", "left_anti").select("first.doc_id", "first.key", "first.line")
-    return stays.groupBy("doc_id", "key").agg(F.collect_list("line").alias("lines"))
+    alike = met.where((DENOMINATOR + NUMERATOR) * F.size(F.array_intersect("sx", "sy")) >= NUMERATOR * (F.size("sx") + F.size("sy"))).select("c1x", "c2x", "c1y", "c2y")
+    begins = lambda z: own.select(F.col("c1").alias(f"c1{z}"), F.col("c2").alias(f"c2{z}"), F.col("first").alias(f"f{z}"))
+    placed = alike.join(begins("x"), ["c1x", "c2x"]).join(begins("y"), ["c1y", "c2y"])
+    later = placed.select(*(F.when(F.col("fx") < F.col("fy"), F.col(f"{c}y")).otherwise(F.col(f"{c}x")).alias(c) for c in ("c1", "c2"))).distinct()
+    stays = own.join(later, ["c1", "c2"], "left_anti").select("first.doc_id", "first.key", "first.line")
+    kept = common.cut(stays.groupBy("doc_id", "key").agg(F.collect_list("line").alias("lines")))
+    common.discard(docs.sparkSession, held)
+    return kept
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """``docs`` without later matches, with columns __n_lines and __n_removed beside its own."""
     common.small_batches(docs.sparkSession)
     keyed = docs.withColumn("__key", F.unhex(common.text_key())).withColumn("__id", F.col("doc_id").cast("bigint"))
-    plain = keyed.select(F.col("__id").alias("doc_id"), F.col("__key").alias("key"), "text")
+    plain = keyed.select(F.col("__id").alias("doc_id"), F.col("__key").alias("key"), F.col("text").cast("binary").alias("text"))
     lines = kept_lines(plain).select(F.col("doc_id").alias("__id2"), F.col("key").alias("__key"), F.col("lines").alias("__lines"))
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
@@ -221,7 +263,7 @@ def remove(docs: DataFrame) -> DataFrame:
                 continue
             held = set(own.tolist()) if own is not None else set()
             split = t.split("\n")
-            has = [bool(w) for w in common.split_words(t)]
+            has = [_WORDY.search(x) is not None for x in split]
             left = [x for k, x in enumerate(split) if not has[k] or k in held]
             rows.append(("\n".join(left), sum(has), len(split) - len(left)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
