@@ -15,6 +15,10 @@ positional filters follow, and one on two 64-bit odd sketches (the parity of a
 set's words by hash), which similar sets always pass; what passes is verified on whole sets, which
 are read again from the lines that candidates name.
 
+The join has two steps. Each set meets the first set of each of its keys; what is similar goes, and
+needs no other partner. Only sets that are left as the later one meet all earlier sets of their keys.
+So a group of copies makes rows in proportion to its size, and no link that decides is lost.
+
 Scale: word counts and prefixes are two map-only passes with map-side sums; the lines that stay are
 found without joining all lines with their sets; texts meet their kept line numbers by text hash, so
 that neither a hot line nor a hot text gathers rows in a task.
@@ -44,6 +48,8 @@ BUCKETS, HOT, HOT_LEAST = 1 << 22, 4, 200
 LEAST = 4
 #: Words of more bytes are hashed one by one.
 LONG = 1024
+#: Bits of the table that spares lines which no candidate names.
+SLOTS = 1 << 25
 
 _MASK = np.uint64(BUCKETS - 1)
 _SEED = np.uint64(0x5851F42D4C957F2D)
@@ -189,38 +195,55 @@ def sets(docs: DataFrame, counts: np.ndarray, lines: int) -> DataFrame:
 
 
 def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c1, c2, s): words of the sets in ``wanted`` (c1, c2, key, line), read from that line."""
+    """(o, s): words of the sets in ``wanted`` (o, key, line), read from that line.
+
+    A bitmap of fixed size, of slots that wanted lines fall in, spares most other lines; texts are not shuffled.
+    """
+    slot = (F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("bigint").bitwiseAND(SLOTS - 1) + F.col("line")).bitwiseAND(SLOTS - 1)
+    bits = wanted.select(slot.alias("slot")).selectExpr("slot >> 6 as at", "shiftleft(1L, cast(slot & 63 as int)) as bit")
+    got = bits.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    table = np.zeros(SLOTS // 64, np.int64)
+    table[got["at"].to_numpy()] = got["bit"].to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value.view(np.uint64)
         for batch in batches:
-            c1, c2, found = [], [], []
-            for text, own in zip(batch["text"].to_pylist(), batch["own"].to_pylist(), strict=True):
-                split = text.split(b"\n")
-                for x in own:
-                    c1.append(x["c1"])
-                    c2.append(x["c2"])
-                    found.append(split[x["line"]])
-            line, h, _, _ = line_words(found)
+            texts = [t or b"" for t in batch["text"].to_pylist()]
+            head = np.frombuffer(b"".join(batch["key"].to_pylist()), ">u8")[::2].astype(np.int64)
+            split = [t.split(b"\n") for t in texts]
+            n = np.array([len(x) for x in split])
+            of = np.repeat(np.arange(len(n)), n)
+            number = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            slot = ((head[of] & (SLOTS - 1)) + number) & (SLOTS - 1)
+            hit = np.flatnonzero((table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
+            line, h, at, _ = line_words([split[of[k]][number[k]] for k in hit])
+            if not len(h):
+                continue
             order = np.lexsort((h, line))
-            line, h = line[order], h[order]
+            line, h, hit = line[order], h[order], hit[at]
             new = np.concatenate(([True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])))
-            ends = np.concatenate(([0], np.cumsum(np.bincount(line[new], minlength=len(found))))).astype(np.int32)
-            yield pa.record_batch({"c1": pa.array(c1, pa.int64()), "c2": pa.array(c2, pa.int64()), "s": pa.ListArray.from_arrays(pa.array(ends), pa.array(h[new].view(np.int64)))})
+            ends = np.concatenate(([0], np.cumsum(np.bincount(line[new], minlength=len(hit))))).astype(np.int32)
+            yield pa.record_batch({"key": batch["key"].take(pa.array(of[hit])), "line": number[hit].astype(np.int32), "s": pa.ListArray.from_arrays(pa.array(ends), pa.array(h[new].view(np.int64)))})
 
-    by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("c1", "c2", "line")).alias("own"))
-    met = docs.select("key", "text").join(by_text.hint("shuffle_hash"), "key").select("text", "own")
-    return met.mapInArrow(run, "c1 long, c2 long, s array<long>").groupBy("c1", "c2").agg(F.first("s").alias("s"))
+    # Equal texts give equal lines; one is enough.
+    found = docs.select("key", "text").mapInArrow(run, "key binary, line int, s array<long>").groupBy("key", "line").agg(F.first("s").alias("s"))
+    return wanted.join(found, ["key", "line"]).select("o", "s")
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, lines): numbers of the lines with words that stay. ``docs``: (doc_id, key, text as bytes)."""
-    held: list[str] = []
-    cut = lambda df: common.cut(df, held)
-    own = cut(sets(docs, *count_words(docs)))
-    # Narrow rows: sizes and positions are in one number.
-    exploded = own.where("size(keys) > 0").select("c1", "c2", "n", "odd1", "odd2", F.explode(F.arrays_zip("keys", "places")).alias("x"))
-    prefix = exploded.select(F.col("x.keys").alias("k"), "c1", "c2", "odd1", "odd2", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("x.places").cast("bigint")).alias("ni"))
-    x, y = (prefix.select("k", *(F.col(c).alias(f"{c}{side}") for c in ("c1", "c2", "odd1", "odd2", "ni"))) for side in "xy")
+def similar(docs: DataFrame, own: DataFrame, pairs: DataFrame, cut) -> DataFrame:
+    """(o) of the later set of each pair (x, y) that is similar enough."""
+    ends = pairs.select(F.col("x").alias("o")).unionByName(pairs.select(F.col("y").alias("o"))).distinct()
+    words = cut(words_of(docs, cut(own.select("o", "first.key", "first.line").join(ends, "o"))))
+    side = lambda z: words.select(F.col("o").alias(z), F.col("s").alias(f"s{z}"))
+    met = pairs.join(side("x"), "x").join(side("y"), "y")
+    enough = (DENOMINATOR + NUMERATOR) * F.size(F.array_intersect("sx", "sy")) >= NUMERATOR * (F.size("sx") + F.size("sy"))
+    return cut(met.where(enough).select(F.col("y").alias("o")).distinct())
+
+
+def matches(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Distinct pairs (x, y) of prefix rows of equal keys that pass the filters."""
+    x, y = (z.select("k", F.col("o").alias(name), *(F.col(c).alias(f"{c}{name}") for c in ("odd1", "odd2", "ni"))) for z, name in ((x, "x"), (y, "y")))
     nx, ny = (F.shiftright(f"ni{side}", 32) for side in "xy")
     ix, iy = (F.col(f"ni{side}").bitwiseAND(0xFFFFFFFF) for side in "xy")
     # The overlap that two sets of these sizes need: a ninth of four times their sum, rounded up.
@@ -229,19 +252,30 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     # Words in one set alone each turn at most one bit of either odd sketches' difference.
     apart = nx + ny - 2 * need
     differ = (F.bit_count(F.col("odd1x").bitwiseXOR(F.col("odd1y"))) <= apart) & (F.bit_count(F.col("odd2x").bitwiseXOR(F.col("odd2y"))) <= apart)
-    order = F.struct("c1x", "c2x") < F.struct("c1y", "c2y")
-    pairs = x.join(y, "k").where(order & (NUMERATOR * ny <= DENOMINATOR * nx) & (NUMERATOR * nx <= DENOMINATOR * ny) & (bound >= need) & differ)
-    pairs = cut(pairs.select("c1x", "c2x", "c1y", "c2y").distinct())
-    ends = pairs.select(F.col("c1x").alias("c1"), F.col("c2x").alias("c2")).unionByName(pairs.select(F.col("c1y").alias("c1"), F.col("c2y").alias("c2"))).distinct()
-    wanted = own.select("c1", "c2", "first.key", "first.line").join(ends, ["c1", "c2"])
-    words = cut(words_of(docs, wanted))
-    side = lambda z: words.select(F.col("c1").alias(f"c1{z}"), F.col("c2").alias(f"c2{z}"), F.col("s").alias(f"s{z}"))
-    met = pairs.join(side("x"), ["c1x", "c2x"]).join(side("y"), ["c1y", "c2y"])
-    alike = met.where((DENOMINATOR + NUMERATOR) * F.size(F.array_intersect("sx", "sy")) >= NUMERATOR * (F.size("sx") + F.size("sy"))).select("c1x", "c2x", "c1y", "c2y")
-    begins = lambda z: own.select(F.col("c1").alias(f"c1{z}"), F.col("c2").alias(f"c2{z}"), F.col("first").alias(f"f{z}"))
-    placed = alike.join(begins("x"), ["c1x", "c2x"]).join(begins("y"), ["c1y", "c2y"])
-    later = placed.select(*(F.when(F.col("fx") < F.col("fy"), F.col(f"{c}y")).otherwise(F.col(f"{c}x")).alias(c) for c in ("c1", "c2"))).distinct()
-    stays = own.join(later, ["c1", "c2"], "left_anti").select("first.doc_id", "first.key", "first.line")
+    passed = (F.col("x") < F.col("y")) & (NUMERATOR * ny <= DENOMINATOR * nx) & (NUMERATOR * nx <= DENOMINATOR * ny) & (bound >= need) & differ
+    return x.join(y, "k").where(passed).select("x", "y").distinct()
+
+
+def kept_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, lines): numbers of the lines with words that stay. ``docs``: (doc_id, key, text as bytes)."""
+    held: list[str] = []
+    cut = lambda df: common.cut(df, held)
+    # A set's number o stands for the order of first lines: ids ascend over range-sorted partitions.
+    unsorted: list[str] = []
+    own = common.cut(sets(docs, *count_words(docs)), unsorted)
+    own = cut(own.orderBy("first").withColumn("o", F.monotonically_increasing_id()))
+    common.discard(docs.sparkSession, unsorted)
+    # Narrow rows: sizes and positions are in one number.
+    exploded = own.where("size(keys) > 0").select("o", "n", "odd1", "odd2", F.explode(F.arrays_zip("keys", "places")).alias("x"))
+    prefix = exploded.select(F.col("x.keys").alias("k"), "o", "odd1", "odd2", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("x.places").cast("bigint")).alias("ni"))
+    shared = prefix.groupBy("k").agg(F.min("o").alias("top"), F.max("o").alias("last")).where("top < last").drop("last")
+    live = cut(prefix.join(shared, "k"))
+    # First each set with the first set of its keys: a group of copies is settled by rows in proportion.
+    settled = similar(docs, own, cut(matches(live.where("o = top"), live.where("o > top"))), cut)
+    # Then the rest with all others before them.
+    rest = live.where("o > top").join(settled, "o", "left_anti")
+    later = settled.unionByName(similar(docs, own, cut(matches(live.where("o > top"), rest)), cut))
+    stays = own.join(later, "o", "left_anti").select("first.doc_id", "first.key", "first.line")
     kept = common.cut(stays.groupBy("doc_id", "key").agg(F.collect_list("line").alias("lines")))
     common.discard(docs.sparkSession, held)
     return kept
