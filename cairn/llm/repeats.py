@@ -231,17 +231,21 @@ def counted_marks(found: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """(key, more, spans): [start, end) of the bytes to remove. ``docs``: (text, key, more)."""
-    rows = common.cut(anchor_rows(docs))
-    different = common.cut(rows.groupBy("g", "c1", "c2").agg(F.sum("m").alias("m"), F.min(F.struct("key", "at")).alias("one")))
+    held: list[str] = []
+    cut = lambda df: common.cut(df, held)
+    rows = cut(anchor_rows(docs))
+    different = cut(rows.groupBy("g", "c1", "c2").agg(F.sum("m").alias("m"), F.min(F.struct("key", "at")).alias("one")))
     several = different.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
-    wanted = common.cut(different.join(several, "g").select("g", "c1", "c2", "one.key", "one.at", "k"))
-    found = common.cut(segments(docs, wanted.drop("k")).join(several, "g"))
+    wanted = cut(different.join(several, "g").select("g", "c1", "c2", "one.key", "one.at", "k"))
+    found = cut(segments(docs, wanted.drop("k")).join(several, "g"))
     marks = index_marks(found.where(F.col("k") <= crowded)).unionByName(counted_marks(found.where(F.col("k") > crowded)))
     twice = different.where("m > 1").select("c1", "c2", F.lit(0).alias("lo"), F.lit(WIDTH).alias("hi"))
     all_marks = marks.unionByName(twice).groupBy("c1", "c2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     place = F.col("at").bitwiseAND(0xFFFFFFFF) - LEFT
     hit = rows.join(all_marks, ["c1", "c2"]).select("key", F.shiftright("at", 32).cast("int").alias("more"), F.struct((place + F.col("lo")).alias("s"), (place + F.col("hi")).alias("e")).alias("x"))
-    return hit.groupBy("key", "more").agg(F.collect_list("x").alias("spans"))
+    done = common.cut(hit.groupBy("key", "more").agg(F.collect_list("x").alias("spans")))
+    common.discard(docs.sparkSession, held)
+    return done
 
 
 def remove(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
