@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1024
 BATCH_BYTES = 8 << 20
 
+#: Bits of a table that spares rows nothing can ask for; what it lets through is checked exactly.
+SLOTS = 1 << 25
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Every byte that is no word byte becomes a blank, A-Z become a-z: bytes.split() then gives the
@@ -56,6 +60,20 @@ def text_key(text: str = "text") -> Column:
     return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
+def bitmap(slots: DataFrame) -> np.ndarray:
+    """Bits of the numbers below SLOTS in the one column of ``slots``, a table of fixed size on the driver."""
+    name = slots.columns[0]
+    got = slots.selectExpr(f"{name} >> 6 as at", f"shiftleft(1L, cast({name} & 63 as int)) as bit").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    table = np.zeros(SLOTS // 64, np.int64)
+    table[got["at"].to_numpy()] = got["bit"].to_numpy()
+    return table.view(np.uint64)
+
+
+def held_in(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether each slot's bit is set."""
+    return (table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
 def cut(df: DataFrame, held: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it from there: its lineage ends.
 

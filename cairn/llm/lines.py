@@ -48,8 +48,6 @@ BUCKETS, HOT, HOT_LEAST = 1 << 22, 4, 200
 LEAST = 4
 #: Words of more bytes are hashed one by one.
 LONG = 1024
-#: Bits of the table that spares lines which no candidate names.
-SLOTS = 1 << 25
 
 _MASK = np.uint64(BUCKETS - 1)
 _SEED = np.uint64(0x5851F42D4C957F2D)
@@ -199,15 +197,10 @@ def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A bitmap of fixed size, of slots that wanted lines fall in, spares most other lines; texts are not shuffled.
     """
-    slot = (F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("bigint").bitwiseAND(SLOTS - 1) + F.col("line")).bitwiseAND(SLOTS - 1)
-    bits = wanted.select(slot.alias("slot")).selectExpr("slot >> 6 as at", "shiftleft(1L, cast(slot & 63 as int)) as bit")
-    got = bits.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
-    table = np.zeros(SLOTS // 64, np.int64)
-    table[got["at"].to_numpy()] = got["bit"].to_numpy()
-    held = docs.sparkSession.sparkContext.broadcast(table)
+    slot = (F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("bigint").bitwiseAND(common.SLOTS - 1) + F.col("line")).bitwiseAND(common.SLOTS - 1)
+    held = docs.sparkSession.sparkContext.broadcast(common.bitmap(wanted.select(slot.alias("slot"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value.view(np.uint64)
         for batch in batches:
             texts = [t or b"" for t in batch["text"].to_pylist()]
             head = np.frombuffer(b"".join(batch["key"].to_pylist()), ">u8")[::2].astype(np.int64)
@@ -215,8 +208,8 @@ def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             n = np.array([len(x) for x in split])
             of = np.repeat(np.arange(len(n)), n)
             number = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            slot = ((head[of] & (SLOTS - 1)) + number) & (SLOTS - 1)
-            hit = np.flatnonzero((table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
+            slot = ((head[of] & (common.SLOTS - 1)) + number) & (common.SLOTS - 1)
+            hit = np.flatnonzero(common.held_in(held.value, slot))
             line, h, at, _ = line_words([split[of[k]][number[k]] for k in hit])
             if not len(h):
                 continue

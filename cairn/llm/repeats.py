@@ -211,8 +211,8 @@ def index_marks(found: DataFrame) -> DataFrame:
     return found.select("g", "c1", "c2", "skip", "bytes").repartition("g").sortWithinPartitions("g").mapInPandas(run, "c1 long, c2 long, lo int, hi int")
 
 
-def counted_marks(found: DataFrame) -> DataFrame:
-    """The same by counting hashes of all 400-byte strings of the segments."""
+def strings(found: DataFrame, asked=None) -> DataFrame:
+    """(w1, w2, c1, c2, lo): hashes and columns of all 400-byte strings of segments, or of those in the table ``asked``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -220,13 +220,27 @@ def counted_marks(found: DataFrame) -> DataFrame:
             for g, c1, c2, skip, data in batch[["g", "c1", "c2", "skip", "bytes"]].itertuples(index=False, name=None):
                 h = Hashes(np.frombuffer(data, np.uint8))
                 s = np.arange(len(data) - MATCH + 1)
-                rows.append(pd.DataFrame({"w1": h.of(0, s, s + MATCH).view(np.int64) ^ g, "w2": h.of(1, s, s + MATCH).view(np.int64), "c1": c1, "c2": c2, "lo": (s + skip).astype(np.int32)}))
+                at = mix((s + skip + 1).astype(np.uint64))
+                w1, w2 = (h.of(0, s, s + MATCH) ^ at).view(np.int64) ^ g, (h.of(1, s, s + MATCH) + at).view(np.int64)
+                if asked is not None:
+                    hit = common.held_in(asked.value, w1 & (common.SLOTS - 1))
+                    s, w1, w2 = s[hit], w1[hit], w2[hit]
+                if len(s):
+                    rows.append(pd.DataFrame({"w1": w1, "w2": w2, "c1": c1, "c2": c2, "lo": (s + skip).astype(np.int32)}))
             if rows:
                 yield pd.concat(rows)
 
-    strings = found.mapInPandas(run, "w1 long, w2 long, c1 long, c2 long, lo int")
-    often = strings.groupBy("w1", "w2", "lo").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return strings.join(often, ["w1", "w2", "lo"]).groupBy("c1", "c2").agg(F.min("lo").alias("lo"), (F.max("lo") + MATCH).alias("hi"))
+    return found.mapInPandas(run, "w1 long, w2 long, c1 long, c2 long, lo int")
+
+
+def counted_marks(found: DataFrame, cut) -> DataFrame:
+    """The same by counting hashes of all 400-byte strings of the segments.
+
+    A bitmap of fixed size, of strings that are found twice, spares most others the second look.
+    """
+    often = cut(strings(found).groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    asked = found.sparkSession.sparkContext.broadcast(common.bitmap(often.select(F.col("w1").bitwiseAND(common.SLOTS - 1).alias("slot"))))
+    return cut(strings(found, asked).join(often, ["w1", "w2"]).groupBy("c1", "c2").agg(F.min("lo").alias("lo"), (F.max("lo") + MATCH).alias("hi")))
 
 
 def spans(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
@@ -238,7 +252,7 @@ def spans(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     several = different.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
     wanted = cut(different.join(several, "g").select("g", "c1", "c2", "one.key", "one.at", "k"))
     found = cut(segments(docs, wanted.drop("k")).join(several, "g"))
-    marks = index_marks(found.where(F.col("k") <= crowded)).unionByName(counted_marks(found.where(F.col("k") > crowded)))
+    marks = cut(index_marks(found.where(F.col("k") <= crowded))).unionByName(counted_marks(found.where(F.col("k") > crowded), cut))
     twice = different.where("m > 1").select("c1", "c2", F.lit(0).alias("lo"), F.lit(WIDTH).alias("hi"))
     all_marks = marks.unionByName(twice).groupBy("c1", "c2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     place = F.col("at").bitwiseAND(0xFFFFFFFF) - LEFT
