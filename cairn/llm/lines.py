@@ -261,7 +261,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     # Narrow rows: sizes and positions are in one number.
     exploded = own.where("size(keys) > 0").select("o", "n", "odd1", "odd2", F.explode(F.arrays_zip("keys", "places")).alias("x"))
     prefix = exploded.select(F.col("x.keys").alias("k"), "o", "odd1", "odd2", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("x.places").cast("bigint")).alias("ni"))
-    shared = prefix.groupBy("k").agg(F.min("o").alias("top"), F.max("o").alias("last")).where("top < last").drop("last")
+    shared = cut(prefix.groupBy("k").agg(F.min("o").alias("top"), F.max("o").alias("last")).where("top < last").drop("last"))
     live = cut(prefix.join(shared, "k"))
     # First each set with the first set of its keys: a group of copies is settled by rows in proportion.
     settled = similar(docs, own, cut(matches(live.where("o = top"), live.where("o > top"))), cut)
