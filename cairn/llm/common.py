@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,10 +62,22 @@ def text_key(text: str = "text") -> Column:
     return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is built and run inside go when it has ended."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
 def bitmap(slots: DataFrame) -> np.ndarray:
     """Bits of the numbers below SLOTS in the one column of ``slots``, a table of fixed size on the driver."""
     name = slots.columns[0]
-    got = slots.selectExpr(f"{name} >> 6 as at", f"shiftleft(1L, cast({name} & 63 as int)) as bit").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    with swept(slots.sparkSession):
+        got = slots.selectExpr(f"{name} >> 6 as at", f"shiftleft(1L, cast({name} & 63 as int)) as bit").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
     table = np.zeros(SLOTS // 64, np.int64)
     table[got["at"].to_numpy()] = got["bit"].to_numpy()
     return table.view(np.uint64)
@@ -85,12 +99,8 @@ def cut(df: DataFrame, held: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
     path = f"{folder}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with swept(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     if held is not None:
         held.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -112,7 +112,8 @@ def count_words(docs: DataFrame) -> tuple[np.ndarray, int]:
         own = np.flatnonzero(total)
         yield pa.record_batch({"bucket": np.append(own, -1), "n": np.append(total[own], lines)})
 
-    summed = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    with common.swept(docs.sparkSession):
+        summed = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS + 1, np.int64)  # BUCKETS numbers and one at most reach the driver
     out[summed["bucket"].to_numpy()] = summed["n"].to_numpy()
     return out[:-1], int(out[-1])
