@@ -82,6 +82,8 @@ def hash_words(lined: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def line_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(line, word hash) of all texts' words in order, lines with a word only; of each line: its text and number."""
+    if not texts:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     texts = [t or b"" for t in texts]
     joined = b"\n".join(texts)
     begin = np.concatenate(([0], np.flatnonzero(np.frombuffer(joined, np.uint8) == 10) + 1))

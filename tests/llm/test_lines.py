@@ -50,3 +50,10 @@ def test_against_brute_force(spark, monkeypatch):
         ids = sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect())
         assert ids == sorted((str(d), str(want.get((d, t)))) for d, t in rows)
     assert lines.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_no_texts():
+    assert [len(x) for x in lines.line_words([])] == [0, 0, 0, 0]
+    assert [len(x) for x in lines.line_words([b"", b"\n -", None])] == [0, 0, 0, 0]
+    line, h, text, number = lines.line_words([None, b"a\n\nB a", "é ".encode() + b"w" * 3000])
+    assert line.tolist() == [0, 1, 1, 2, 2] and text.tolist() == [1, 1, 2] and number.tolist() == [0, 2, 0] and h[0] == h[2]
