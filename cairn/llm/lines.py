@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -49,6 +49,8 @@ LEAST = 4
 #: Words of more bytes are hashed one by one.
 LONG = 1024
 
+#: Bits of a position: a prefix is about a fifth of fewer than 2^31 words.
+_PLACE = 29
 _MASK = np.uint64(BUCKETS - 1)
 _SEED = np.uint64(0x5851F42D4C957F2D)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -129,7 +131,7 @@ def ahead(at: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_keys(h: np.ndarray, count: np.ndarray, line: np.ndarray, begin: np.ndarray, n: np.ndarray, hot: int, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, position of the key's last word) of sets, ordered by line.
+    """(line, key, position of the key's last word with its words - 1 above ``_PLACE`` bits) of sets, ordered by line.
 
     ``h``, ``count``, ``line``: of all sets' words, each set's in order of rarity.
     """
@@ -147,9 +149,10 @@ def prefix_keys(h: np.ndarray, count: np.ndarray, line: np.ndarray, begin: np.nd
     of, pair, second = of[~rare], pair[~rare], second[~rare]
     k, third = ahead(second, begin[of] + np.minimum(n[of], p[of] + 2))
     found.append((of[k], mix(pair[k] * _SEED + h[third]), third))
+    beyond = np.repeat(np.arange(3), [len(x) for x, _, _ in found]) << _PLACE
     of, key, last = map(np.concatenate, zip(*found, strict=True))
     order = np.argsort(of, kind="stable")
-    return of[order], key[order], (last - begin[of])[order]
+    return of[order], key[order], (last - begin[of] + beyond)[order]
 
 
 def sets(docs: DataFrame, counts: np.ndarray, lines: int) -> DataFrame:
@@ -237,14 +240,22 @@ def similar(docs: DataFrame, own: DataFrame, pairs: DataFrame, cut) -> DataFrame
     return cut(met.where(enough).select(F.col("y").alias("o")).distinct())
 
 
+def reach(side: str = "") -> Column:
+    """The most words that a set can share with another if the words of the row's key are their first common ones."""
+    place = F.col(f"ni{side}").bitwiseAND(0xFFFFFFFF)
+    return F.shiftright(f"ni{side}", 32) - place.bitwiseAND((1 << _PLACE) - 1) + F.shiftright(place, _PLACE)
+
+
 def matches(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Distinct pairs (x, y) of prefix rows of equal keys that pass the filters."""
+    """Distinct pairs (x, y) of prefix rows of equal keys that pass the filters.
+
+    The positional filter takes the key for the pair's first common words: one of a similar pair's keys is that.
+    """
     x, y = (z.select("k", F.col("o").alias(name), *(F.col(c).alias(f"{c}{name}") for c in ("odd1", "odd2", "ni"))) for z, name in ((x, "x"), (y, "y")))
     nx, ny = (F.shiftright(f"ni{side}", 32) for side in "xy")
-    ix, iy = (F.col(f"ni{side}").bitwiseAND(0xFFFFFFFF) for side in "xy")
     # The overlap that two sets of these sizes need: a ninth of four times their sum, rounded up.
     need = F.floor((4 * (nx + ny) + 8) / 9)
-    bound = F.least(ix, iy) + 1 + F.least(nx - ix, ny - iy) - 1
+    bound = F.least(reach("x"), reach("y"))
     # Words in one set alone each turn at most one bit of either odd sketches' difference.
     apart = nx + ny - 2 * need
     differ = (F.bit_count(F.col("odd1x").bitwiseXOR(F.col("odd1y"))) <= apart) & (F.bit_count(F.col("odd2x").bitwiseXOR(F.col("odd2y"))) <= apart)
@@ -264,13 +275,16 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     # Narrow rows: sizes and positions are in one number.
     exploded = own.where("size(keys) > 0").select("o", "n", "odd1", "odd2", F.explode(F.arrays_zip("keys", "places")).alias("x"))
     prefix = exploded.select(F.col("x.keys").alias("k"), "o", "odd1", "odd2", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("x.places").cast("bigint")).alias("ni"))
-    shared = cut(prefix.groupBy("k").agg(F.min("o").alias("top"), F.max("o").alias("last")).where("top < last").drop("last"))
-    live = cut(prefix.join(shared, "k"))
+    # Of two similar sets the smaller one has its first common words in the first ninth or so.
+    near = 9 * reach() >= 8 * F.shiftright("ni", 32)
+    shared = cut(prefix.groupBy("k").agg(F.min("o").alias("top"), F.max("o").alias("last"), F.max(near).alias("near"), F.count("*").alias("n")).where("top < last and near").selectExpr("k", "top", "n > 2 as many"))
+    live = cut(prefix.join(shared.hint("shuffle_hash"), "k"))
     # First each set with the first set of its keys: a group of copies is settled by rows in proportion.
-    settled = similar(docs, own, cut(matches(live.where("o = top"), live.where("o > top"))), cut)
+    settled = similar(docs, own, cut(matches(live.where("o = top").hint("shuffle_hash"), live.where("o > top"))), cut)
     # Then the rest with all others before them.
-    rest = live.where("o > top").join(settled, "o", "left_anti")
-    later = settled.unionByName(similar(docs, own, cut(matches(live.where("o > top"), rest)), cut))
+    others = live.where("o > top and many")
+    rest = others.join(settled, "o", "left_anti")
+    later = settled.unionByName(similar(docs, own, cut(matches(others, rest)), cut))
     stays = own.join(later, "o", "left_anti").select("first.doc_id", "first.key", "first.line")
     kept = common.cut(stays.groupBy("doc_id", "key").agg(F.collect_list("line").alias("lines")))
     common.discard(docs.sparkSession, held)
