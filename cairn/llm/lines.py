@@ -11,7 +11,7 @@ share a word of. Words that no other line has are left out of it. A prefix word
 ``HOT`` times the mean bucket count is no key by itself: sets that share such a word as their first
 common one share a second (and third) in a prefix longer by one (or two), so the pair or triple of
 words is the key: the pair where its words' counts make it rare enough, else the triple. Length and
-positional filters follow, and one on two 64-bit odd sketches (the parity of a
+positional filters follow, and one on a 64-bit odd sketch (the parity of a
 set's words by hash), which similar sets always pass; what passes is verified on whole sets, which
 are read again from the lines that candidates name.
 
@@ -156,7 +156,7 @@ def prefix_keys(h: np.ndarray, count: np.ndarray, line: np.ndarray, begin: np.nd
 
 
 def sets(docs: DataFrame, counts: np.ndarray, lines: int) -> DataFrame:
-    """(c1, c2, n, odd1, odd2, first, keys, places) of each distinct set: its id, words, sketches, first line and prefix keys."""
+    """(c1, c2, n, odd, first, keys, places) of each distinct set: its id, words, sketch, first line and prefix keys."""
     rank = np.empty(BUCKETS, np.int32)
     rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.int32)
     held = docs.sparkSession.sparkContext.broadcast((rank, np.sort(counts)))
@@ -185,17 +185,16 @@ def sets(docs: DataFrame, counts: np.ndarray, lines: int) -> DataFrame:
             begin = np.cumsum(n) - n
             of, keys, places = prefix_keys(h, count, line, begin, n, hot, lines)
             ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(n))))).astype(np.int32)
-            bit = lambda by: np.bitwise_xor.reduceat(np.uint64(1) << ((h >> np.uint64(by)) & np.uint64(63)), begin).view(np.int64)
             yield pa.record_batch({
-                "c1": np.add.reduceat(mix(h), begin).view(np.int64), "c2": np.add.reduceat(mix(h ^ _SEED), begin).view(np.int64), "n": n.astype(np.int32), "odd1": bit(58), "odd2": bit(52),
+                "c1": np.add.reduceat(mix(h), begin).view(np.int64), "c2": np.add.reduceat(mix(h ^ _SEED), begin).view(np.int64), "n": n.astype(np.int32), "odd": np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), begin).view(np.int64),
                 "doc_id": batch["doc_id"].take(pa.array(text_of)), "key": batch["key"].take(pa.array(text_of)), "line": number.astype(np.int32),
                 "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64))), "places": pa.ListArray.from_arrays(pa.array(ends), pa.array(places.astype(np.int32))),
             })
 
     read = docs.select("doc_id", "key", "text")
-    found = read.mapInArrow(run, "c1 long, c2 long, n int, odd1 long, odd2 long, doc_id long, key binary, line int, keys array<long>, places array<int>")
+    found = read.mapInArrow(run, "c1 long, c2 long, n int, odd long, doc_id long, key binary, line int, keys array<long>, places array<int>")
     first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key", "line")
-    return found.groupBy("c1", "c2").agg(F.min(first).alias("first"), *(F.first(x).alias(x) for x in ("n", "odd1", "odd2", "keys", "places")))
+    return found.groupBy("c1", "c2").agg(F.min(first).alias("first"), *(F.first(x).alias(x) for x in ("n", "odd", "keys", "places")))
 
 
 def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -251,14 +250,14 @@ def matches(x: DataFrame, y: DataFrame) -> DataFrame:
 
     The positional filter takes the key for the pair's first common words: one of a similar pair's keys is that.
     """
-    x, y = (z.select("k", F.col("o").alias(name), *(F.col(c).alias(f"{c}{name}") for c in ("odd1", "odd2", "ni"))) for z, name in ((x, "x"), (y, "y")))
+    x, y = (z.select("k", F.col("o").alias(name), *(F.col(c).alias(f"{c}{name}") for c in ("odd", "ni"))) for z, name in ((x, "x"), (y, "y")))
     nx, ny = (F.shiftright(f"ni{side}", 32) for side in "xy")
     # The overlap that two sets of these sizes need: a ninth of four times their sum, rounded up.
     need = F.floor((4 * (nx + ny) + 8) / 9)
     bound = F.least(reach("x"), reach("y"))
-    # Words in one set alone each turn at most one bit of either odd sketches' difference.
+    # Words in one set alone each turn at most one bit of the odd sketches' difference.
     apart = nx + ny - 2 * need
-    differ = (F.bit_count(F.col("odd1x").bitwiseXOR(F.col("odd1y"))) <= apart) & (F.bit_count(F.col("odd2x").bitwiseXOR(F.col("odd2y"))) <= apart)
+    differ = F.bit_count(F.col("oddx").bitwiseXOR(F.col("oddy"))) <= apart
     passed = (F.col("x") < F.col("y")) & (NUMERATOR * ny <= DENOMINATOR * nx) & (NUMERATOR * nx <= DENOMINATOR * ny) & (bound >= need) & differ
     return x.join(y, "k").where(passed).select("x", "y").distinct()
 
@@ -273,8 +272,8 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     own = cut(own.orderBy("first").withColumn("o", F.monotonically_increasing_id()))
     common.discard(docs.sparkSession, unsorted)
     # Narrow rows: sizes and positions are in one number.
-    exploded = own.where("size(keys) > 0").select("o", "n", "odd1", "odd2", F.explode(F.arrays_zip("keys", "places")).alias("x"))
-    prefix = exploded.select(F.col("x.keys").alias("k"), "o", "odd1", "odd2", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("x.places").cast("bigint")).alias("ni"))
+    exploded = own.where("size(keys) > 0").select("o", "n", "odd", F.explode(F.arrays_zip("keys", "places")).alias("x"))
+    prefix = exploded.select(F.col("x.keys").alias("k"), "o", "odd", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("x.places").cast("bigint")).alias("ni"))
     # Of two similar sets the smaller one has its first common words in the first ninth or so.
     near = 9 * reach() >= 8 * F.shiftright("ni", 32)
     shared = cut(prefix.groupBy("k").agg(F.min("o").alias("top"), F.max("o").alias("last"), F.max(near).alias("near"), F.count("*").alias("n")).where("top < last and near").selectExpr("k", "top", "n > 2 as many"))
