@@ -46,6 +46,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 BUCKETS, HOT, HOT_LEAST = 1 << 22, 4, 200
 #: Smaller sets have no similar sets but equal ones.
 LEAST = 4
+#: Bytes of texts in one Arrow batch: words, places and keys take about fifty times that.
+BATCH_BYTES = 2 << 20
 #: Words of more bytes are hashed one by one.
 LONG = 1024
 
@@ -292,7 +294,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame) -> DataFrame:
     """``docs`` without later matches, with columns __n_lines and __n_removed beside its own."""
-    common.small_batches(docs.sparkSession)
+    common.small_batches(docs.sparkSession, BATCH_BYTES)
     keyed = docs.withColumn("__key", F.unhex(common.text_key())).withColumn("__id", F.col("doc_id").cast("bigint"))
     plain = keyed.select(F.col("__id").alias("doc_id"), F.col("__key").alias("key"), F.col("text").cast("binary").alias("text"))
     lines = kept_lines(plain).select(F.col("doc_id").alias("__id2"), F.col("key").alias("__key"), F.col("lines").alias("__lines"))
