@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,8 @@ from .jaccard import word_hash
 
 NUMERATOR, DENOMINATOR = 4, 5
 BUCKETS, HOT, HOT_LEAST = 1 << 22, 4, 200
+#: Keys are joined in so many parts, one after another, so that the shuffle files of one are on disk.
+PARTS = 3
 #: Smaller sets have no similar sets but equal ones.
 LEAST = 4
 #: Bytes of texts in one Arrow batch: words, places and keys take about fifty times that.
@@ -276,16 +279,19 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     # Narrow rows: sizes and positions are in one number.
     exploded = own.where("size(keys) > 0").select("o", "n", "odd", F.explode(F.arrays_zip("keys", "places")).alias("x"))
     prefix = exploded.select(F.col("x.keys").alias("k"), "o", "odd", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("x.places").cast("bigint")).alias("ni"))
-    # Of two similar sets the smaller one has its first common words in the first ninth or so.
-    near = 9 * reach() >= 8 * F.shiftright("ni", 32)
-    shared = cut(prefix.groupBy("k").agg(F.min("o").alias("top"), F.max("o").alias("last"), F.max(near).alias("near"), F.count("*").alias("n")).where("top < last and near").selectExpr("k", "top", "n > 2 as many"))
-    live = cut(prefix.join(shared.hint("shuffle_hash"), "k"))
-    # First each set with the first set of its keys: a group of copies is settled by rows in proportion.
-    settled = similar(docs, own, cut(matches(live.where("o = top").hint("shuffle_hash"), live.where("o > top"))), cut)
+    lives, firsts = [], []
+    for k in range(PARTS):
+        part, passing = prefix.where(F.pmod("k", F.lit(PARTS)) == k), []
+        shared = common.cut(part.groupBy("k").agg(F.min("o").alias("top"), F.max("o").alias("last")).where("top < last").drop("last"), passing)
+        lives.append(cut(part.join(shared.hint("shuffle_hash"), "k")))
+        common.discard(docs.sparkSession, passing)
+        # First each set with the first set of its keys: a group of copies is settled by rows in proportion.
+        firsts.append(cut(matches(lives[k].where("o = top").hint("shuffle_hash"), lives[k].where("o > top"))))
+    settled = similar(docs, own, cut(reduce(DataFrame.unionByName, firsts).distinct()), cut)
     # Then the rest with all others before them.
-    others = live.where("o > top and many")
-    rest = others.join(settled, "o", "left_anti")
-    later = settled.unionByName(similar(docs, own, cut(matches(others, rest)), cut))
+    others = [live.where("o > top") for live in lives]
+    pairs = [cut(matches(x, x.join(settled, "o", "left_anti"))) for x in others]
+    later = settled.unionByName(similar(docs, own, cut(reduce(DataFrame.unionByName, pairs).distinct()), cut))
     stays = own.join(later, "o", "left_anti").select("first.doc_id", "first.key", "first.line")
     kept = common.cut(stays.groupBy("doc_id", "key").agg(F.collect_list("line").alias("lines")))
     common.discard(docs.sparkSession, held)
