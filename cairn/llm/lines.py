@@ -56,6 +56,8 @@ LONG = 1024
 
 #: Bits of a position: a prefix is about a fifth of fewer than 2^31 words.
 _PLACE = 29
+#: A row's number without the mark in its sign bit.
+_SIZES = (1 << 63) - 1
 _MASK = np.uint64(BUCKETS - 1)
 _SEED = np.uint64(0x5851F42D4C957F2D)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -244,26 +246,53 @@ def similar(docs: DataFrame, own: DataFrame, pairs: DataFrame, cut) -> DataFrame
     return cut(met.where(enough).select(F.col("y").alias("o")).distinct())
 
 
+def slot_of(o):
+    """A slot of a set's number, of which the bits above 33 are a partition's."""
+    return ((o & (1 << 33) - 1) + (o >> 33) * 655357) & (common.SLOTS - 1)
+
+
+def mark(live: DataFrame, settled: DataFrame, held: list[str]) -> DataFrame:
+    """(k, o, odd, ni) of ``live``, with ni's sign bit set in rows of settled sets.
+
+    A bitmap of fixed size finds those that may be settled, so that only they are joined with ``settled``.
+    """
+    slots = F.expr(f"((o & {(1 << 33) - 1}L) + shiftright(o, 33) * 655357L) & {common.SLOTS - 1}L")
+    bits = live.sparkSession.sparkContext.broadcast(common.bitmap(settled.select(slots.alias("slot"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            o, ni = batch["o"].to_numpy(), batch["ni"].to_numpy()
+            ni = np.where(common.held_in(bits.value, slot_of(o)), ni | np.int64(-1 << 63), ni)
+            yield pa.record_batch({"k": batch["k"], "o": batch["o"], "odd": batch["odd"], "ni": ni})
+
+    found = common.cut(live.select("k", "o", "odd", "ni").mapInArrow(run, "k long, o long, odd long, ni long"), held)
+    known = settled.select("o", F.lit(True).alias("known"))
+    maybe = found.where("ni < 0").join(known, "o", "left").withColumn("ni", F.when(F.col("known"), F.col("ni")).otherwise(F.col("ni").bitwiseAND(_SIZES)))
+    return found.where("ni >= 0").unionByName(maybe.select(*found.columns))
+
+
 def reach(side: str = "") -> Column:
     """The most words that a set can share with another if the words of the row's key are their first common ones."""
     place = F.col(f"ni{side}").bitwiseAND(0xFFFFFFFF)
-    return F.shiftright(f"ni{side}", 32) - place.bitwiseAND((1 << _PLACE) - 1) + F.shiftright(place, _PLACE)
+    return F.shiftright(F.col(f"ni{side}").bitwiseAND(_SIZES), 32) - place.bitwiseAND((1 << _PLACE) - 1) + F.shiftright(place, _PLACE)
 
 
 def matches(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Distinct pairs (x, y) of prefix rows of equal keys that pass the filters.
+    """Distinct pairs (x, y) of prefix rows of equal keys that pass the filters, where y isn't marked as settled.
 
     The positional filter takes the key for the pair's first common words: one of a similar pair's keys is that.
     """
     x, y = (z.select("k", F.col("o").alias(name), *(F.col(c).alias(f"{c}{name}") for c in ("odd", "ni"))) for z, name in ((x, "x"), (y, "y")))
-    nx, ny = (F.shiftright(f"ni{side}", 32) for side in "xy")
+    nx, ny = (F.shiftright(F.col(f"ni{side}").bitwiseAND(_SIZES), 32) for side in "xy")
     # The overlap that two sets of these sizes need: a ninth of four times their sum, rounded up.
     need = F.floor((4 * (nx + ny) + 8) / 9)
     bound = F.least(reach("x"), reach("y"))
     # Words in one set alone each turn at most one bit of the odd sketches' difference.
     apart = nx + ny - 2 * need
     differ = F.bit_count(F.col("oddx").bitwiseXOR(F.col("oddy"))) <= apart
-    passed = (F.col("x") < F.col("y")) & (NUMERATOR * ny <= DENOMINATOR * nx) & (NUMERATOR * nx <= DENOMINATOR * ny) & (bound >= need) & differ
+    # Of both sides' columns, so that equal sides stay equal below their shuffle and share it.
+    later = F.when(F.col("niy") < 0, False).otherwise(F.col("x") < F.col("y"))
+    passed = later & (NUMERATOR * ny <= DENOMINATOR * nx) & (NUMERATOR * nx <= DENOMINATOR * ny) & (bound >= need) & differ
     return x.join(y, "k").where(passed).select("x", "y").distinct()
 
 
@@ -289,8 +318,12 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         firsts.append(cut(matches(lives[k].where("o = top").hint("shuffle_hash"), lives[k].where("o > top"))))
     settled = similar(docs, own, cut(reduce(DataFrame.unionByName, firsts).distinct()), cut)
     # Then the rest with all others before them.
-    others = [live.where("o > top") for live in lives]
-    pairs = [cut(matches(x, x.join(settled, "o", "left_anti"))) for x in others]
+    pairs = []
+    for live in lives:
+        passing = []
+        marked = mark(live.where("o > top"), settled, passing)
+        pairs.append(cut(matches(marked, marked)))
+        common.discard(docs.sparkSession, passing)
     later = settled.unionByName(similar(docs, own, cut(reduce(DataFrame.unionByName, pairs).distinct()), cut))
     stays = own.join(later, "o", "left_anti").select("first.doc_id", "first.key", "first.line")
     kept = common.cut(stays.groupBy("doc_id", "key").agg(F.collect_list("line").alias("lines")))

@@ -57,3 +57,11 @@ def test_no_texts():
     assert [len(x) for x in lines.line_words([b"", b"\n -", None])] == [0, 0, 0, 0]
     line, h, text, number = lines.line_words([None, b"a\n\nB a", "é ".encode() + b"w" * 3000])
     assert line.tolist() == [0, 1, 1, 2, 2] and text.tolist() == [1, 1, 2] and number.tolist() == [0, 2, 0] and h[0] == h[2]
+
+
+def test_marks_settled_sets_only(spark):
+    rows = [(k, o, 0, (10 << 32) + 1, 0) for k in (1, 2) for o in (1, 1 + lines.common.SLOTS, (3 << 33) + 5, 9)]
+    live = spark.createDataFrame(rows, "k long, o long, odd long, ni long, top long")
+    settled = spark.createDataFrame([(1,), ((3 << 33) + 5,)], "o long")  # 1 and 1 + SLOTS have one slot
+    got = sorted((r["k"], r["o"], r["ni"] < 0, r["ni"] & lines._SIZES) for r in lines.mark(live, settled, []).collect())
+    assert got == sorted((k, o, o in (1, (3 << 33) + 5), (10 << 32) + 1) for k, o, *_ in rows)
