@@ -1,16 +1,19 @@
 """HTML extraction with removal of site templates.
 
 Each page is parsed into elements, and each block element's subtree (its tag, its text, its
-children's hashes) is hashed. Spark counts in how many pages of a host each hash is found; subtrees
+children's hashes) is hashed. Spark counts in how many pages of a host each hash is found. Subtrees
 that recur on at least ``SHARE`` of a host's pages, and on ``LEAST`` at least, are the host's
-template and go. So do elements whose tag, role, class or id says that they are no content (menus,
+template and go; outside articles, so do those found on ``MANY`` different pages of the host, however
+many it has, as a section's or layout's menus are on its own pages only. Pages are different if their
+texts are, before templates go: copies of a page don't make its text a template. So do elements whose tag, role, class or id says that they are no content (menus,
 scripts, forms, notices, adverts, comments ...), which is all there is to go by on a host of few
 pages. What remains of the page's articles (else its main element, else its body) is the text. Blocks
 of running text inside an article are never taken for template, however often they recur, as sites
 do publish an article on several pages.
 
 Scale: two passes over the pages. The counts are summed map-side, so a host with a third of all
-pages is no problem. A host has at most (blocks of a page / SHARE) template hashes; they are
+pages is no problem. Of template hashes only those are kept that tags and names alone would leave in the text
+on some page; a host has at most (blocks of a page / SHARE + blocks of all its pages / MANY). They are
 broadcast if there are at most ``BROADCAST_ROWS`` in all. Otherwise pages meet their host's hashes in
 a join salted ``SALTS`` ways, so that no task gets a whole hot host.
 
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHARE, LEAST = 0.5, 4
+SHARE, LEAST, MANY = 0.5, 4, 8
 BROADCAST_ROWS, SALTS = 50_000, 32
 
 _TAG = re.compile(r"""<!--(?:.*?(?:-->|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -156,10 +159,21 @@ class Page:
                 self._text(m[0][9:-3])
         self._text(source[at:])
 
-    def candidates(self) -> list[int]:
-        """Hashes of the subtrees that may be template, each once."""
-        own = {h for h, tag, art in zip(self.hash, self.tag, self.article, strict=True) if h and tag not in _INLINE and tag not in ("", "html", "body", "head", "article", "main") and not (art and tag in _TEXT)}
-        return sorted(own)
+    def _may_go(self, k: int) -> bool:
+        """Whether an element can be template."""
+        tag = self.tag[k]
+        return tag not in _INLINE and tag not in ("", "html", "body", "head", "article", "main") and not (self.article[k] and tag in _TEXT)
+
+    def candidates(self) -> tuple[list[int], list[int]]:
+        """Codes of the subtrees that may be template, each once: even ones for the page, odd ones for outside of articles; and those not dropped by tag or name."""
+        own, live = set(), set()
+        for k, h in enumerate(self.hash):
+            if h and self._may_go(k):
+                codes = (h & ~1,) if self.article[k] else (h & ~1, h | 1)
+                own.update(codes)
+                if not self.drop[k]:
+                    live.update(codes)
+        return sorted(own), sorted(live)
 
     def text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
         """Blocks of the content, without the template."""
@@ -168,7 +182,8 @@ class Page:
         for k in range(1, len(self.tag)):
             up = self.parent[k]
             tag = self.tag[k]
-            gone[k] = gone[k] or gone[up] or self.hash[k] in template and tag not in _INLINE and tag not in ("html", "body", "article", "main") and not (self.article[k] and tag in _TEXT)
+            h = self.hash[k]
+            gone[k] = gone[k] or gone[up] or bool(template) and h > 0 and (h & ~1 in template or not self.article[k] and h | 1 in template) and self._may_go(k)
             if tag in roots and not gone[k] and self.hash[k]:
                 roots[tag].append(k)
         chosen = {*(roots["article"] or roots["main"])}
@@ -191,20 +206,29 @@ def host(url: str = "url"):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, hash) of the subtrees that recur on many pages of their host."""
+    """(host, hash) of the subtrees that recur on many pages of their host; hashes are the codes of ``Page.candidates``."""
     common.small_batches(pages.sparkSession)
+    signed = lambda codes: [h - (1 << 64) if h >> 63 else h for h in codes]
 
-    @F.pandas_udf("array<long>")
-    def hashes(source: pd.Series) -> pd.Series:
-        return pd.Series([[h - (1 << 64) if h >> 63 else h for h in Page(s or "").candidates()] for s in source])
+    @F.pandas_udf("h array<long>, live array<long>, content long")
+    def hashes(source: pd.Series) -> pd.DataFrame:
+        out = []
+        for s in source:
+            page = Page(s or "")
+            own, live = page.candidates()
+            out.append((signed(own), signed(live), *signed([xxhash.xxh3_64_intdigest(page.text().encode("utf-8", "surrogatepass"))])))
+        return pd.DataFrame(out, columns=["h", "live", "content"])
 
-    found = pages.select(host().alias("host"), hashes.asNondeterministic()("html").alias("h"))
+    found = pages.select(host().alias("host"), hashes.asNondeterministic()("html").alias("x"))
     # A row with a null hash counts the host's pages.
-    rows = found.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "h")).alias("hash"))
-    counts = rows.groupBy("host", "hash").agg(F.count("*").alias("n"))
+    rows = found.select("host", "x.content", "x.live", F.explode(F.concat(F.array(F.lit(None).cast("long")), "x.h")).alias("hash"))
+    apart = rows.groupBy("host", "hash", "content").agg(F.count("*").alias("n"), F.max(F.array_contains("live", F.col("hash"))).alias("live"))
+    counts = apart.groupBy("host", "hash").agg(F.sum("n").alias("n"), F.count("*").alias("different"), F.max("live").alias("live"))
     total = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= LEAST))
-    return often.join(total, "host").where(F.col("n") >= F.greatest(F.lit(LEAST), F.col("pages") * SHARE)).select("host", "hash")
+    often = counts.where("live").where(F.col("n") >= LEAST)
+    share = (F.col("hash").bitwiseAND(F.lit(1)) == 0) & (F.col("n") >= F.greatest(F.lit(LEAST), F.col("pages") * SHARE))
+    many = (F.col("hash").bitwiseAND(F.lit(1)) == 1) & (F.col("different") >= MANY)
+    return often.join(total, "host").where(share | many).select("host", "hash")
 
 
 def extract(pages: DataFrame, name: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -41,3 +41,20 @@ def test_articles_keep_their_blocks(spark):
     rows = [(k, "http://a.b/", f"<nav>n</nav><article><p>same</p><p>{k}</p></article>") for k in range(9)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r["text"] == f"same\n\n{r['page_id']}" for r in got)
+
+
+def test_templates_of_layouts(spark):
+    """A hot host of several layouts: each block is on less than half of its pages."""
+    notice, menu = "<div><div>Shop closed on Monday</div></div>", "<ul><li>Alpha<li>Beta</ul>"
+    rows = []
+    for k in range(90):
+        top, end = (notice, menu) if k % 5 < 2 else ("<section>Archive</section>", "") if k % 5 == 2 else ("", "<table><tr><td>Old shop</table>")
+        rows.append((k, "http://hot.example/", f"{top}<div><p>story {k}</p></div>{end}"))
+    # The same text on many pages is no template, in an article or out of it.
+    rows += [(100 + k, "http://hot.example/c", f"<div><div>copied</div></div><footer>{k}</footer>") for k in range(20)]
+    rows += [(200 + k, "http://hot.example/a", f"<article><div><p>told twice</p></div><p>{k}</p></article>") for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for bound in (10_000, 0):
+        by = {r["page_id"]: r["text"] for r in html.extract(pages, broadcast_rows=bound).collect()}
+        assert all(by[k] == f"story {k}" for k in range(90))
+        assert all(by[100 + k] == "copied" and by[200 + k] == f"told twice\n\n{k}" for k in range(20))
