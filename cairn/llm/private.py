@@ -1,12 +1,14 @@
 """PII: base patterns and bootstrapped contextual extraction, in DataFrame functions only.
 
 Base spans (email, ip, card, phone) come from fixed patterns and checks. They are the seeds: the two
-words before a span are its lexical pattern, its value is an instance. Other tokens that look like an
+words before a span, other identifiers and bare marks passed over, are its lexical pattern, its value
+is an instance. Other tokens that look like an
 identifier (an at sign, or ``DIGITS`` digits or more) are unlabelled instances of their patterns.
 Spark scores the graph of patterns and instances in ``ROUNDS`` rounds: a pattern's confidence in a kind
 is the sum of its different instances' scores over their number plus one; an instance that is no seed
 scores the confidence of its best pattern. Tokens whose pattern has a confidence of ``ACCEPT`` or more
-and ``SUPPORT`` different seeds or more become spans of that kind.
+and ``SUPPORT`` different seeds or more become spans of that kind, and support and score further patterns
+as seeds do, with their pattern's confidence, until no pattern is accepted any more.
 
 Scale: one pass over the texts gives compact rows of spans, which are written; texts are not shuffled.
 The graph has a row for each identifier-like token, distinct (pattern, instance) pairs are counted
@@ -19,7 +21,7 @@ long run thus take linear time.
 
 Defined cases: a null or empty text has no spans; equal texts have equal spans; equal identifiers
 count once for a pattern; a token before which there are fewer than two words (in ``CONTEXT``
-characters) has no pattern; ties between kinds go in the order email, ip, card, phone; other columns
+characters, identifiers not counted) has no pattern; ties between kinds go in the order email, ip, card, phone; other columns
 pass unread.
 """
 
@@ -41,37 +43,47 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 DIGITS, CONTEXT, ROUNDS, ACCEPT, SUPPORT = 6, 60, 2, 0.6, 3
 TOKEN = rf"(?<!\S)(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){{{DIGITS}}})\S++"
+#: What a pattern passes over: identifiers of any kind, also in parts.
+KNOWN = r"\+[0-9][\x20().0-9-]+[0-9]|(?<![0-9])[0-9]++(?:\.[0-9]++){3}|[0-9](?:[\x20-]?+[0-9]){5,}+|(?<!\S)[^\s@]*+@\S++|(?<!\S)(?:[^\s0-9]*+[0-9]){6}\S*+"
+#: Blanks, and marks between them.
+BARE = r"\s[^\p{L}\p{N}]*\s"
 #: Matches that are placed together.
 BLOCK = 256
 
 SPANS = "array<struct<s:int,e:int,v:string,l:string>>"
 
 
+def named(x: Column, f) -> Column:
+    """``f`` of ``x``, which is computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def matches(text: Column, pattern: str, needs: str) -> Column:
-    """Start, end (exclusive, code points), value and text on the left of each match."""
+    """Start, end (exclusive, code points), value and text on the left of each match, without earlier identifiers."""
     both = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"), m.alias("v"), F.substring(p, -CONTEXT, CONTEXT).alias("l")),
     )
     found = F.filter(both, lambda x: x.v.isNotNull())
+    state = lambda at, left, out: F.struct(at.alias("at"), left.alias("left"), out.alias("out"))
 
     def add(done: Column, x: Column) -> Column:
         s = done.at + x.gap
-        return F.struct((s + x["size"]).alias("at"), F.concat(done.out, F.array(F.struct(s.alias("s"), (s + x["size"]).alias("e"), x.v.alias("v"), x.l.alias("l")))).alias("out"))
+        left = F.regexp_replace(F.regexp_replace(F.when(x.gap >= CONTEXT, x.l).otherwise(F.concat(done.left, x.l)), KNOWN, " "), BARE, " ")
+        after = F.when(x.v.rlike(KNOWN), " ").otherwise(F.substring(x.v, -CONTEXT, CONTEXT))
+        return named(F.substring(left, -CONTEXT, CONTEXT), lambda l: state(s + x["size"], F.concat(l, after), F.concat(done.out, F.array(F.struct(s.alias("s"), (s + x["size"]).alias("e"), x.v.alias("v"), l.alias("l"))))))
 
     def add_block(done: Column, block: Column) -> Column:
-        placed = F.aggregate(block, F.struct(done.at.alias("at"), F.array().cast(SPANS).alias("out")), add, lambda x: x.out)
-        end = F.aggregate(block, done.at, lambda a, x: a + x.gap + x["size"])
-        return F.struct(end.alias("at"), F.concat(done.out, F.array(placed)).alias("out"))
+        return named(F.aggregate(block, state(done.at, done.left, F.array().cast(SPANS)), add), lambda b: state(b.at, b.left, F.concat(done.out, F.array(b.out))))
 
     # Matches are placed block by block: appending to one long array would copy it each time. The
     # outer transform gives the matches a name, so that they are found once.
     def place(f: Column) -> Column:
         cut = F.transform(F.sequence(F.lit(0), ((F.size(f) - 1) / F.lit(BLOCK)).cast("int")), lambda i: F.slice(f, i * BLOCK + 1, BLOCK))
-        return F.flatten(F.aggregate(cut, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")), add_block, lambda x: x.out))
+        return F.flatten(F.aggregate(cut, state(F.lit(0), F.lit(""), F.array().cast(f"array<{SPANS}>")), add_block, lambda x: x.out))
 
-    return F.when(text.rlike(needs), F.element_at(F.transform(F.array(found), place), 1)).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(needs), named(found, place)).otherwise(F.array().cast(SPANS))
 
 
 def digits(x: Column) -> Column:
@@ -97,9 +109,8 @@ def passes(kind: str, value: Column) -> Column:
 
 def pattern_of(left: Column) -> Column:
     """The last two words before a token, lower-cased, without marks at their ends; null if there are fewer."""
-    word = F.transform(F.filter(F.split(F.lower(left), r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    two = F.slice(word, F.greatest(F.size(word) - 1, F.lit(1)), 2)
-    return F.when((F.size(word) >= 2) & F.forall(two, lambda w: w != ""), F.array_join(two, " "))
+    word = F.filter(F.transform(F.split(F.lower(left), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
+    return named(word, lambda w: F.when(F.size(w) >= 2, F.array_join(F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), 2), " ")))
 
 
 def instance(value: Column) -> Column:
@@ -129,14 +140,35 @@ def accepted(found: DataFrame) -> DataFrame:
     sizes = edges.groupBy("p").agg(F.count("*").alias("size"))
     fixed = common.cut(seeds.select("v", "k").distinct().withColumn("score", F.lit(1.0)))
     scores = fixed
-    support = seeds.where("p is not null").groupBy("p", "k").agg(F.count("*").alias("support"))
+    own = seeds.where("p is not null").groupBy("p", "k").agg(F.count("*").alias("support"))
+
+    def confident(scores: DataFrame) -> DataFrame:
+        return common.cut(edges.join(scores, "v").groupBy("p", "k").agg(F.sum("score").alias("total")).join(sizes, "p").select("p", "k", (F.col("total") / (F.col("size") + 1)).alias("confidence")))
+
+    def unseen(patterns: DataFrame) -> DataFrame:
+        """Instances that are no seeds, with the confidence of the best of the patterns."""
+        new = edges.join(patterns, "p").groupBy("v", "k").agg(F.max("confidence").alias("score"))
+        return common.cut(new.join(fixed.select("v").distinct(), "v", "left_anti"))
+
+    def chosen(confidence: DataFrame, support: DataFrame) -> DataFrame:
+        best = confidence.join(support, ["p", "k"]).where((F.col("confidence") >= ACCEPT) & (F.col("support") >= SUPPORT))
+        return best.groupBy("p").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "k")).alias("b")).select("p", "b.k", (-F.col("b.c")).alias("confidence"))
+
     for at in range(ROUNDS):
-        confidence = common.cut(edges.join(scores, "v").groupBy("p", "k").agg(F.sum("score").alias("total")).join(sizes, "p").select("p", "k", (F.col("total") / (F.col("size") + 1)).alias("confidence")))
+        confidence = confident(scores)
         if at < ROUNDS - 1:
-            new = edges.join(confidence, "p").groupBy("v", "k").agg(F.max("confidence").alias("score"))
-            scores = common.cut(fixed.unionByName(new.join(fixed.select("v").distinct(), "v", "left_anti")))
-    best = confidence.join(support, ["p", "k"]).where((F.col("confidence") >= ACCEPT) & (F.col("support") >= SUPPORT))
-    return best.groupBy("p").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "k")).alias("b")).select("p", "b.k")
+            scores = fixed.unionByName(unseen(confidence))
+    taken = common.cut(chosen(confidence, own))
+    # What is accepted counts as the seeds do; an instance under no accepted pattern keeps its score,
+    # as patterns would raise themselves through their own instances otherwise.
+    while True:
+        known = fixed.unionByName(unseen(taken))
+        support = edges.join(known.select("v", "k"), "v").groupBy("p", "k").agg(F.count("*").alias("support"))
+        confidence = confident(known.unionByName(scores).groupBy("v", "k").agg(F.max("score").alias("score")))
+        more = common.cut(chosen(confidence, support).join(taken, "p", "left_anti"))
+        if more.isEmpty():
+            return taken.select("p", "k")
+        taken = common.cut(taken.unionByName(more))
 
 
 def detect(docs: DataFrame) -> DataFrame:

@@ -34,3 +34,37 @@ def test_contexts_find_unseen_identifiers(spark):
     got = {r["doc_id"]: [tuple(x) for x in r["new"]] for r in private.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[50] == [(15, 3, 25)] and not got[51] and not got[52] and not got[0]
     assert private.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+SEEDS = [(i, f"you may call me: +1 (555) 010-{1000 + i} today") for i in range(20)]
+
+
+def found(spark, rows):
+    """Values found by their contexts."""
+    text = dict(rows)
+    return {i: [text[i][s:e] for s, _, e in sorted(map(tuple, r["new"]))] for r in private.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect() if (i := r["doc_id"]) is not None}
+
+
+def test_marks_are_no_words(spark):
+    rows = SEEDS + [(50 + k, f"| call | me {m} 5550109876 today") for k, m in enumerate((":", "=", "-", "|", ": \"", "::"))]
+    got = found(spark, rows)
+    assert all(got[50 + k] == ["5550109876"] for k in range(6))
+
+
+def test_contexts_go_on_over_identifiers(spark):
+    many = [f"55501{k:05d}" for k in range(60)]
+    rows = [(1000 + i, f"call me: +1 (555) 011-{1000 + i} today") for i in range(150)] + [(50, "please call me 5550109876, 5550109877"), (51, "call me +1 (555) 010-2000, a@b.c, 10.0.0.1 or"), (52, "call me " + ", ".join(many)), (53, "call me +1 (555) 010-3000, +1 (555) 010-3001 / 5550109878"), (54, "call me 5550109879" + " and so on" * 9 + " 5550109880")]
+    got = found(spark, rows)
+    assert got[50] == ["5550109876", "5550109877"] and got[52] == many and got[53] == ["5550109878"] and got[54] == ["5550109879"]
+
+
+def test_accepted_instances_support_patterns(spark):
+    rows, at = list(SEEDS), 100
+    for context, numbers in (("call me", range(8)), ("fax line", range(9)), ("desk number", range(1, 10)), ("lot size", range(40, 60))):
+        for n in numbers:
+            rows.append((at, f"the {context} 555010900{n}"))
+            at += 1
+    # Known through found instances alone: 8 under "call me" are 8 of 9 under "fax line", which finds the ninth.
+    got = found(spark, rows)
+    assert all(got[i] == [rows[i - 80][1].split()[-1]] for i in range(100, 117))
+    assert all(not got[i] for i in range(126, 146))
