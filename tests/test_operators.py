@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cairn import registry
 from cairn.operators import match, score, snapshot
 from cairn.sources import files
 
@@ -95,3 +96,11 @@ def test_public_rules(spark):
     for r in snapshot.violations(df, snapshot.public_rules(F.lit("2026-07-01").cast("date")), "row").collect():
         got.setdefault(r["row"], set()).add(r["rule"])
     assert [got.get(i, set()) for i in range(len(bad))] == [w for _, w in bad]
+
+
+def test_overlap_of_all_blocks(spark, tmp_path):
+    rows = [(k, f"name {k // 2} of {size}", "Brand#1", size) for k, size in enumerate((1, 1, 25, 25, 26, 26, 50, 50))]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = lambda name: sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+    assert got("address_block_overlap_whole") == [(0, 1), (2, 3), (4, 5), (6, 7)]
+    assert got("address_block_overlap") == [(0, 1), (2, 3)]
