@@ -6,7 +6,7 @@ decoded by Viterbi over the whole text. A document is kept if its base rules pas
 of the characters in its words lie in content lines.
 
 The field is trained in numpy, by maximum conditional likelihood, on a bounded sample of labelled
-documents (``TRAIN_DOCS`` documents by hash of doc_id, the first ``TRAIN_LINES`` lines of each);
+documents (``TRAIN_DOCS`` documents by hash of doc_id, ``TRAIN_LINES`` lines of each, in runs spread evenly over it);
 every line of a document takes the document's quality as its label. Only the sample's feature rows
 reach the driver. Everything else is row by row: no shuffle, nothing that grows but the output.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TRAIN_DOCS, TRAIN_LINES = 1500, 64
+TRAIN_DOCS, TRAIN_LINES, TRAIN_RUN = 1500, 64, 8
 CONTENT_SHARE = 0.5
 MIN_WORDS, REPEAT_WORDS, REPEAT_PERCENT = 50, 3, 50
 
@@ -189,6 +189,14 @@ def judge(text: str | None, model: Field) -> tuple:
 _NOT_FOLLOWING = bytes(b for b in range(256) if not 0x80 <= b < 0xC0)
 
 
+def spread(n: int) -> np.ndarray:
+    """Numbers of at most ``TRAIN_LINES`` of ``n`` lines: all, or runs of ``TRAIN_RUN`` spread evenly from the first line to the last."""
+    if n <= TRAIN_LINES:
+        return np.arange(n)
+    starts = np.linspace(0, n - TRAIN_RUN, TRAIN_LINES // TRAIN_RUN).astype(int)
+    return (starts[:, None] + np.arange(TRAIN_RUN)).ravel()
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
     """Train on the bounded sample."""
     sample = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -198,7 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     def features(text: pd.Series) -> pd.Series:
         out = []
         for t in text:
-            lines, found, duplicate = (x[:TRAIN_LINES] for x in split_lines(t))
+            whole = split_lines(t)
+            own = spread(len(whole[0])).tolist()
+            lines, found, duplicate = ([x[i] for i in own] for x in whole)
             out.append(line_features(lines, list(map(len, found)), duplicate).tolist() if lines else [])
         return pd.Series(out)
 

@@ -42,3 +42,18 @@ def test_learns_from_labels(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
     assert quality.keep_good(docs.limit(0), labels).count() == 0
     assert quality.keep_good(docs, labels.limit(0)).where("doc_id < 60").count() == 61
+
+
+def test_learns_from_whole_texts(spark):
+    """Labelled documents that differ in their endings only."""
+    line = lambda i, k, mark="": " ".join(f"word{(i * 7 + k * 5 + j * j) % 97}{mark}" for j in range(12))
+    rows = [(i, "\n".join(line(i, k, "###" if i % 2 and k >= 70 else "") for k in range(140))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int"))
+    # Feature 1 is the share of symbols, which only the endings have.
+    assert model.emit[1, 0] > 0 > model.emit[1, 1]
+
+
+def test_spread_lines():
+    assert all(sorted({*quality.spread(n).tolist()}) == quality.spread(n).tolist() and len(quality.spread(n)) == min(n, quality.TRAIN_LINES) for n in range(300))
+    assert quality.spread(1000)[0] == 0 and quality.spread(1000)[-1] == 999
