@@ -206,7 +206,9 @@ def fit(docs: DataFrame) -> Network:
     own = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
     # Row numbers up to a limit: each task keeps so many rows of a language before the shuffle.
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = own.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= TRAIN_DOCS).select("doc_id", "lang").distinct().orderBy("lang", "doc_id").limit(TRAIN_DOCS * MAX_LANGUAGES)
+    chosen = own.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= TRAIN_DOCS).groupBy("doc_id", "lang").agg(F.min("k").alias("k"))
+    # Where there are more, languages have fewer documents each, and none goes before each has one.
+    chosen = chosen.orderBy("k", F.xxhash64("lang"), "lang", "doc_id").limit(TRAIN_DOCS * MAX_LANGUAGES).drop("k")
 
     @F.pandas_udf("array<binary>")
     def spread(text: pd.Series) -> pd.Series:
@@ -216,7 +218,7 @@ def fit(docs: DataFrame) -> Network:
             out.append([s[i] for i in np.unique(np.linspace(0, len(s) - 1, min(len(s), TRAIN_SEGMENTS)).astype(int))] if s else [])
         return pd.Series(out)
 
-    # At most TRAIN_DOCS ids for each of MAX_LANGUAGES languages are broadcast.
+    # At most TRAIN_DOCS * MAX_LANGUAGES ids are broadcast.
     rows = own.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", spread("text").alias("s")).collect()
     rows = sorted((r["lang"], r["doc_id"], [bytes(x) for x in r["s"]]) for r in rows)
     languages = sorted({lang for lang, _, _ in rows})

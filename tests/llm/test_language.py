@@ -53,3 +53,10 @@ def test_long_text_and_memo(monkeypatch):
     monkeypatch.setattr(language, "MEMO", 2)
     small = language.Predictor(net)
     assert [x[0] for x in whole] == [small.predict([t])[0][0] for t in ("x" * 100_000, "ab cd " * 50, "ab")]
+
+
+def test_no_language_goes_by_name(spark, monkeypatch):
+    monkeypatch.setattr(language, "TRAIN_DOCS", 6)
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 1)
+    rows = [(i, " ".join(ROOTS[c]), c) for i, c in enumerate(list(ROOTS) * 20)]
+    assert language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["de", "en", "fr"]
