@@ -1,10 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes pairs, exact shingle sets verify them.
+"""N-gram Jaccard join: MinHash bands propose pairs, exact shingle sets verify them.
 
 A text's set holds the 64-bit hashes of its runs of five words (one of all its words, if fewer).
-Texts of equal sets form a class, so copies are one row from there on. Each of ``TREES`` trees orders
-classes by ``DEPTH`` MinHash labels. Matched prefixes are shortened from the full depth until pairs at
-the threshold share one in some tree with probability ``RECALL`` at least; classes with an equal
-prefix make a bucket of the tree's sorted trie.
+Texts of equal sets form a class, so copies are one row from there on. Each class has ``TREES`` bands of
+``DEPTH`` MinHash labels, at which pairs at the threshold share one with probability ``RECALL`` at least
+(``depth`` would take fewer labels otherwise); classes with an equal band make a bucket.
 
 * Buckets of at most ``SMALL`` classes give their pairs, which are bounded by SMALL a row. Pairs whose
   labels agree too rarely for the threshold (six standard deviations) go; the rest are verified.
@@ -12,7 +11,7 @@ prefix make a bucket of the tree's sorted trie.
   into blocks of at most ``BLOCK`` shingles. Each pair of blocks meets in one task, which counts exact
   intersections by matrix products and gives only numbers of links and a spanning forest.
 
-Links are therefore complete, up to the forest's recall, without a row for each pair of a group.
+Links are therefore complete, up to the bands' recall, without a row for each pair of a group.
 Only classes in a bucket of two or more have their texts read a second time.
 
 Defined cases: a null, empty or wordless text has no shingles, links or partners and is a class of
