@@ -294,7 +294,7 @@ def dq_row_violations(spark, sf_dir):
 
 @query("select 'V19' as rule, count(*) < 1000000 as broken from part union all select 'V20', count(distinct p_name) < 10 from part union all select 'V21', count(distinct p_brand) < 3 from part")
 def dq_dataset_rules(spark, sf_dir):
-    """Rules of a whole set."""
+    """Rules of a whole set."""
     one = read(spark, sf_dir, "part").agg(F.count("*").alias("n"), F.countDistinct("p_name").alias("names"), F.countDistinct("p_brand").alias("brands"))
     rules = F.array(F.struct(F.lit("V19").alias("rule"), (F.col("n") < 1_000_000).alias("broken")), F.struct(F.lit("V20").alias("rule"), (F.col("names") < 10).alias("broken")), F.struct(F.lit("V21").alias("rule"), (F.col("brands") < 3).alias("broken")))
     return one.select(F.inline(rules))
@@ -308,7 +308,7 @@ def secret_pattern_scan(spark, sf_dir):
 
 @query("select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as n_links from pages")
 def html_title_href_extract(spark, sf_dir):
-    """Title and links by patterns."""
+    """Title and links by patterns; neither V28 nor E7."""
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).cast("bigint").alias("n_links"))
 
 
