@@ -8,47 +8,57 @@ similar enough begins earlier; that is decided on distinct sets, so copies are o
 The join orders a set's words by rarity (counts over all lines in ``BUCKETS`` hash buckets, a table of
 fixed size: any order is right, a rarer first is faster) and keeps the prefix that any partner must
 share a word of. Words that no other line has are left out of it. A prefix word of more than
-``HOT`` times the mean bucket count is no key by itself: sets that share such a word as their first
-common one share a second (and third) in a prefix longer by one (or two), so the pair or triple of
-words is the key: the pair where its words' counts make it rare enough, else the triple. Length and
-positional filters follow, and one on a 64-bit odd sketch (the parity of a
-set's words by hash), which similar sets always pass; what passes is verified on whole sets, which
-are read again from the lines that candidates name.
-
-The join has two steps. Each set meets the first set of each of its keys; what is similar goes, and
-needs no other partner. Only sets that are left as the later one meet all earlier sets of their keys.
-So a group of copies makes rows in proportion to its size, and no link that decides is lost.
-
-Scale: word counts and prefixes are two map-only passes with map-side sums; the lines that stay are
-found without joining all lines with their sets; texts meet their kept line numbers by text hash, so
-that neither a hot line nor a hot text gathers rows in a task.
+``HOT_LEAST`` lines (or ``HOT`` times the mean bucket count) is no key by itself: sets that share such a
+word as their first common one share a second (and third) in a prefix longer by one (or two), so the
+pair or triple of words is the key: the pair where its words' counts make it rare enough, else the
+triple. Prefix rows are dealt by key once, packed: a task sorts its rows in numpy and tests the pairs
+of each key's run by length, by position, and by a 64-bit odd sketch (the parity of a set's words by
+hash), which similar sets always pass; what passes is verified on whole sets, which are read again
+from the lines that candidates name.
+
+Of a set's partners the earliest is verified first; what is similar to it goes and needs no other.
+Sets that are left meet their other partners. A run in which more than ``DENSE`` pairs a row pass (a group of near copies), or which is larger than
+``RUN``, gives no pairs of its own at first: each of its sets meets the run's first set only. The run's
+rows are kept, and those sets that are left meet all others of the run in a join. So a group of copies makes rows in proportion to its size, and
+no link that decides is lost.
+
+Scale: word counts and prefixes are two map-only passes. A line is dealt by set once a batch, so a line
+that a third of all texts have is no hot group. Keys are dealt over as many parts as their bytes need;
+a part of more than ``PART_BYTES``, as one key's run may make it, is taken in pieces, whose rows all
+meet in the join, so memory is bounded. The lines that stay meet their texts by text hash.
 
 Defined cases: a null text stays null and has no lines; empty lines stay; equal rows (doc_id and
-text) are one document, treated alike; a document that loses all lines has an empty text; other
-columns are kept, and n_chars, where there is one, counts the new text.
+text) are one document, treated alike; a document that loses all lines has an empty text; an empty
+table gives an empty one; other columns are kept, whatever their names, and n_chars, where there is
+one, counts the new text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .jaccard import word_hash
 
 NUMERATOR, DENOMINATOR = 4, 5
-BUCKETS, HOT, HOT_LEAST = 1 << 22, 4, 200
-#: Keys are joined in so many parts, one after another, so that the shuffle files of one are on disk.
-PARTS = 3
+BUCKETS, SLICE = 1 << 22, 1 << 16
+HOT, HOT_LEAST = 1, 800
 #: Smaller sets have no similar sets but equal ones.
 LEAST = 4
+#: Rows of a run whose pairs are tested at once; passing pairs a row from which a run counts as dense.
+RUN, DENSE = 2000, 4
+#: Bytes of prefix rows that a task sorts at once, and that a part should have.
+PART_BYTES, PART_WANTED = 192 << 20, 64 << 20
+#: Pairs that are tested at once.
+TESTED = 1 << 20
 #: Bytes of texts in one Arrow batch: words, places and keys take about fifty times that.
 BATCH_BYTES = 2 << 20
 #: Words of more bytes are hashed one by one.
@@ -56,14 +66,22 @@ LONG = 1024
 
 #: Bits of a position: a prefix is about a fifth of fewer than 2^31 words.
 _PLACE = 29
-#: A row's number without the mark in its sign bit.
-_SIZES = (1 << 63) - 1
 _MASK = np.uint64(BUCKETS - 1)
 _SEED = np.uint64(0x5851F42D4C957F2D)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _WORDY = re.compile("[0-9A-Za-z\x80-\U0010FFFF]")
 
+#: A set's first line: its two hashes, the text's doc_id and hash, the line's number.
+FIRST = np.dtype([("c1", "<u8"), ("c2", "<u8"), ("known", "u1"), ("doc_id", "<i8"), ("k1", ">u8"), ("k2", ">u8"), ("line", "<i4")])
+#: A prefix row: 32 bits of the key (its part has the rest), the set's words, words before the key's
+#: that no partner has if they are the first common ones, place in the order of doc_id, hash and sketch.
+PREFIX = np.dtype([("k", "<u4"), ("n", "<u4"), ("lost", "<u2"), ("at", "<u4"), ("c", "<u8"), ("odd", "<u8")])
+#: Two sets, of which the first begins earlier or it is open which does, and the first's place.
+PAIR = np.dtype([("x", "<u8"), ("y", "<u8"), ("at", "<u4")])
+#: What the dealt rows give: 0 first lines, 1 pairs (a, b, n the first's place), 2 rows of dense runs (a run, b set, c sketch).
+FOUND = "kind byte, a long, b long, c long, doc_id long, key binary, line int, n long"
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -105,31 +123,6 @@ def line_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.repeat(np.arange(len(some)), n[some]), h, text_of[some], number[some]
 
 
-def count_words(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Words by hash bucket, over all lines (a bound of the lines that have them), and lines with a word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, lines = np.zeros(BUCKETS, np.int64), 0
-        held: list[np.ndarray] = []
-        for batch in batches:
-            _, h, text_of, _ = line_words(batch["text"].to_pylist())
-            held.append((h & _MASK).astype(np.int32))
-            lines += len(text_of)
-            if sum(map(len, held)) > BUCKETS:
-                total += np.bincount(np.concatenate(held), minlength=BUCKETS)
-                held = []
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
-        own = np.flatnonzero(total)
-        yield pa.record_batch({"bucket": np.append(own, -1), "n": np.append(total[own], lines)})
-
-    with common.swept(docs.sparkSession):
-        summed = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS + 1, np.int64)  # BUCKETS numbers and one at most reach the driver
-    out[summed["bucket"].to_numpy()] = summed["n"].to_numpy()
-    return out[:-1], int(out[-1])
-
-
 def ahead(at: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(k, place) for all places after at[k] and before until[k]."""
     many = np.maximum(until - at - 1, 0)
@@ -162,46 +155,278 @@ def prefix_keys(h: np.ndarray, count: np.ndarray, line: np.ndarray, begin: np.nd
     return of[order], key[order], (last - begin[of] + beyond)[order]
 
 
-def sets(docs: DataFrame, counts: np.ndarray, lines: int) -> DataFrame:
-    """(c1, c2, n, odd, first, keys, places) of each distinct set: its id, words, sketch, first line and prefix keys."""
-    rank = np.empty(BUCKETS, np.int32)
-    rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.int32)
-    held = docs.sparkSession.sparkContext.broadcast((rank, np.sort(counts)))
-    hot = int(max(HOT_LEAST, HOT * counts.sum() / BUCKETS))
+def count_words(docs: DataFrame) -> tuple[np.ndarray, int, int, int, int]:
+    """Words by hash bucket, over all lines (a bound of the lines that have them); lines with a word; least and greatest doc_id; bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, sorted_counts = held.value
+        total, lines, size, pending, ids = np.zeros(BUCKETS, np.int64), 0, 0, [], []
         for batch in batches:
-            line, h, text_of, number = line_words(batch["text"].to_pylist())
-            if not len(h):
-                continue
-            # One number sorts by line, rarity and hash.
-            bits = len(text_of).bit_length()
-            place = rank[(h & _MASK).astype(np.int64)]
-            one = (line.astype(np.uint64) << np.uint64(64 - bits)) | (place.astype(np.uint64) << np.uint64(42 - bits)) | (h >> np.uint64(22 + bits))
-            order = np.argsort(one)
-            one, by = one[order], h[order]
-            same = one[1:] == one[:-1]
-            if (same & (by[1:] != by[:-1])).any():
-                order = np.lexsort((h, place, line))
-                by = h[order]
-                same = (by[1:] == by[:-1]) & (line[order[1:]] == line[order[:-1]])
-            order = order[np.concatenate(([True], ~same))]
-            line, h, count = line[order], h[order], sorted_counts[place[order]]
-            n = np.bincount(line)
-            begin = np.cumsum(n) - n
-            of, keys, places = prefix_keys(h, count, line, begin, n, hot, lines)
-            ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(n))))).astype(np.int32)
-            yield pa.record_batch({
-                "c1": np.add.reduceat(mix(h), begin).view(np.int64), "c2": np.add.reduceat(mix(h ^ _SEED), begin).view(np.int64), "n": n.astype(np.int32), "odd": np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), begin).view(np.int64),
-                "doc_id": batch["doc_id"].take(pa.array(text_of)), "key": batch["key"].take(pa.array(text_of)), "line": number.astype(np.int32),
-                "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64))), "places": pa.ListArray.from_arrays(pa.array(ends), pa.array(places.astype(np.int32))),
-            })
-
-    read = docs.select("doc_id", "key", "text")
-    found = read.mapInArrow(run, "c1 long, c2 long, n int, odd long, doc_id long, key binary, line int, keys array<long>, places array<int>")
-    first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key", "line")
-    return found.groupBy("c1", "c2").agg(F.min(first).alias("first"), *(F.first(x).alias(x) for x in ("n", "odd", "keys", "places")))
+            texts = batch["text"].to_pylist()
+            _, h, text_of, _ = line_words(texts)
+            pending.append((h & _MASK).astype(np.int32))
+            lines += len(text_of)
+            size += sum(len(t) for t in texts if t)
+            own = batch["doc_id"].drop_null().to_numpy()
+            ids += [int(own.min()), int(own.max())] if len(own) else []
+            if sum(map(len, pending)) > BUCKETS:
+                total += np.bincount(np.concatenate(pending), minlength=BUCKETS)
+                pending = []
+        if pending:
+            total += np.bincount(np.concatenate(pending), minlength=BUCKETS)
+        rows = [(-1, b"", b"", lines, min(ids, default=None), max(ids, default=None), size)]
+        for k in range(BUCKETS // SLICE):
+            part = total[k * SLICE : (k + 1) * SLICE]
+            at = np.flatnonzero(part)
+            if len(at):
+                rows.append((k, at.astype("<u2").tobytes(), part[at].astype("<i8").tobytes(), None, None, None, None))
+        yield pa.RecordBatch.from_pydict(dict(zip(("slice", "at", "n", "lines", "lo", "hi", "size"), map(list, zip(*rows, strict=True)), strict=True)), schema=_COUNTED)
+
+    def add(key: tuple, parts: pa.Table) -> pa.Table:
+        slice_ = key[0].as_py()
+        if slice_ < 0:
+            one = {c: [f(parts[c]).as_py()] for c, f in (("lines", pc.sum), ("lo", pc.min), ("hi", pc.max), ("size", pc.sum))}
+            return pa.Table.from_pydict({"slice": [-1], "at": [b""], "n": [b""]} | one, schema=_COUNTED)
+        total = np.zeros(SLICE, np.int64)
+        for at, n in zip(parts["at"].to_pylist(), parts["n"].to_pylist(), strict=True):
+            total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
+        return pa.Table.from_pydict({"slice": [slice_], "at": [b""], "n": [total.tobytes()], "lines": [None], "lo": [None], "hi": [None], "size": [None]}, schema=_COUNTED)
+
+    with common.swept(docs.sparkSession):
+        # A slice's counts are one row of each task, of at most SLICE numbers.
+        summed = docs.select("doc_id", "text").mapInArrow(run, COUNTED).groupBy("slice").applyInArrow(add, COUNTED).toArrow().to_pylist()
+    out, rest = np.zeros(BUCKETS, np.int64), {"lines": 0, "lo": None, "hi": None, "size": 0}
+    for row in summed:
+        if row["slice"] < 0:
+            rest = row
+        else:
+            out[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["n"], np.int64)
+    return out, rest["lines"] or 0, rest["lo"] or 0, rest["hi"] or 0, rest["size"] or 0
+
+
+COUNTED = "slice int, at binary, n binary, lines long, lo long, hi long, size long"
+_COUNTED = pa.schema([("slice", pa.int32()), ("at", pa.binary()), ("n", pa.binary()), *((c, pa.int64()) for c in ("lines", "lo", "hi", "size"))])
+
+
+def coarse(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of 16 bits, 1000 steps to a doubling; 0 and 1 keep a step of their own."""
+    return np.minimum(np.log2(counts + 1.0) * 1000, 65535).astype(np.uint16)
+
+
+def packed(rows: np.ndarray, part: np.ndarray, kind: int) -> pa.RecordBatch:
+    """(part, kind, data): the rows of each part, as bytes."""
+    order = np.argsort(part, kind="stable")
+    rows, part = rows[order], part[order]
+    edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.empty(0, np.int64)
+    ends = (np.append(edge, len(part)) * rows.dtype.itemsize).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
+    return pa.record_batch({"part": pa.array(part[edge].astype(np.int32)), "kind": pa.array(np.full(len(edge), kind, np.int8)), "data": data})
+
+
+def prefix_rows(texts: list[bytes | None], first: np.ndarray, scale: np.ndarray, hot: int, lines: int, place_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``FIRST`` rows of the sets of some texts, ``PREFIX`` rows, and the rows' whole keys. ``first``: known, doc_id, k1, k2 of each text."""
+    line, h, text_of, number = line_words(texts)
+    if not len(h):
+        return np.empty(0, FIRST), np.empty(0, PREFIX), np.empty(0, np.uint64)
+    # One number sorts by line, rarity and hash.
+    bits = len(text_of).bit_length()
+    rarity = scale[(h & _MASK).astype(np.int64)]
+    one = (line.astype(np.uint64) << np.uint64(64 - bits)) | (rarity.astype(np.uint64) << np.uint64(48 - bits)) | (h >> np.uint64(16 + bits))
+    order = np.argsort(one)
+    one, by = one[order], h[order]
+    same = one[1:] == one[:-1]
+    if (same & (by[1:] != by[:-1])).any():
+        order = np.lexsort((h, rarity, line))
+        by = h[order]
+        same = (by[1:] == by[:-1]) & (line[order[1:]] == line[order[:-1]])
+    order = order[np.concatenate(([True], ~same))]
+    line, h, rarity = line[order], h[order], rarity[order]
+    begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    rows = np.empty(len(begin), FIRST)
+    rows["c1"], rows["c2"] = np.add.reduceat(mix(h), begin), np.add.reduceat(mix(h ^ _SEED), begin)
+    for c in ("known", "doc_id", "k1", "k2"):
+        rows[c] = first[c][text_of]
+    rows["line"] = number
+    own = np.sort(firsts(rows, True))
+    # Prefixes of each set of the batch once.
+    taken = np.zeros(len(rows), bool)
+    taken[own] = True
+    kept = taken[line]
+    line, h, rarity = (np.cumsum(taken) - 1)[line[kept]], h[kept], rarity[kept]
+    rows = rows[own]
+    n = np.bincount(line, minlength=len(rows))
+    begin = np.cumsum(n) - n
+    of, key, place = prefix_keys(h, np.exp2(rarity / 1000.0) - 1, line, begin, n, hot, lines)
+    out = np.empty(len(of), PREFIX)
+    out["k"], out["n"], out["at"], out["c"] = key & np.uint64(0xFFFFFFFF), n[of], place_of(rows["known"][of], rows["doc_id"][of]), rows["c1"][of]
+    out["lost"] = np.clip((place & ((1 << _PLACE) - 1)) - (place >> _PLACE), 0, 65535)
+    out["odd"] = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), begin)[of]
+    return rows, out, key
+
+
+def firsts(rows: np.ndarray, places: bool = False) -> np.ndarray:
+    """The first of the rows of each set (or their places)."""
+    order = np.lexsort((rows["line"], rows["k2"], rows["k1"], rows["doc_id"], rows["known"], rows["c2"], rows["c1"]))
+    c1, c2 = rows["c1"][order], rows["c2"][order]
+    own = order[np.concatenate(([True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])))] if len(rows) else order
+    return own if places else rows[own]
+
+
+def passing(x: np.ndarray, y: np.ndarray, n: np.ndarray, left: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (x, y) of places of prefix rows of equal keys that can be similar: by sketch, length and position.
+
+    ``n``, ``odd``: the rows' words and sketches. ``left``: words from the key on; the positional filter takes the
+    key for the pair's first common words, and one of a similar pair's keys is that.
+    """
+    both = n[x] + n[y]
+    # Words in one set alone each turn at most one bit of the odd sketches' difference; a similar
+    # pair has a ninth of four times both in common, rounded up.
+    ok = np.flatnonzero(np.bitwise_count(odd[x] ^ odd[y]) <= both - 2 * ((4 * both + 8) // 9))
+    x, y = x[ok], y[ok]
+    nx, ny = n[x], n[y]
+    ok = (NUMERATOR * ny <= DENOMINATOR * nx) & (NUMERATOR * nx <= DENOMINATOR * ny) & (np.minimum(left[x], left[y]) >= (4 * (nx + ny) + 8) // 9)
+    return x[ok], y[ok]
+
+
+def run_pairs(key: np.ndarray, rows: np.ndarray, whole: bool, longest: int, crowded: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``PAIR`` rows of sets to verify, and the keys and rows of dense runs; all rows count as such unless ``whole``.
+
+    A run is dense if it has more than ``longest`` rows, or more than ``crowded`` pairs a row that pass.
+    """
+    order = np.argsort(key)
+    if whole:  # keys of one row
+        once = np.concatenate(([True], key[order[1:]] != key[order[:-1]], [True]))
+        order = order[~(once[1:] & once[:-1])]
+    order = order[np.lexsort((rows["at"][order], rows["c"][order], key[order]))]
+    key, rows = key[order], rows[order]
+    keep = np.ones(len(key), bool)  # a set's first row of a key
+    keep[1:] = (key[1:] != key[:-1]) | (rows["c"][1:] != rows["c"][:-1])
+    if whole:  # sets that share no key
+        key, rows = key[keep], rows[keep]
+        shared = np.zeros(len(key), bool)
+        shared[1:] = key[1:] == key[:-1]
+        shared[:-1] |= shared[1:]
+        keep = shared
+    key, rows = key[keep], rows[keep]
+    if not len(key):
+        return np.empty(0, PAIR), key, rows
+    order = np.lexsort((rows["n"], key))
+    key, rows = key[order], rows[order]
+    head = np.concatenate(([True], key[1:] != key[:-1]))
+    run = np.cumsum(head) - 1
+    size = np.bincount(run)
+    end = np.cumsum(size)
+    n, odd = rows["n"].astype(np.int64), rows["odd"].astype(np.uint64)
+    left = n - rows["lost"]
+    # Partners of a row are behind it in its run, as long as lengths allow.
+    by = run.astype(np.int64) << 32
+    last = np.searchsorted(by + n, by + np.minimum(n * DENOMINATOR // NUMERATOR, (1 << 32) - 1), "right")
+    dense = (size > longest) | (not whole)
+    last[dense[run]] = 0
+    many = np.maximum(last - np.arange(len(run)) - 1, 0)
+    of_run = np.bincount(run, many, len(size)).astype(np.int64)
+    xs, ys, at = [], [], 0
+    total = np.cumsum(of_run)
+    while at < len(size):  # whole runs, up to TESTED pairs or one run
+        done = total[at - 1] if at else 0
+        until = max(at + 1, int(np.searchsorted(total, done + TESTED, "right")))
+        a, b = end[at] - size[at], end[until - 1]
+        if total[until - 1] > done:
+            k, y = ahead(np.arange(a, b), last[a:b])
+            x, y = passing(k + a, y, n, left, odd)
+            crowd = np.bincount(run[x] - at, minlength=until - at) > crowded * size[at:until]
+            dense[at:until] |= crowd
+            ok = ~crowd[run[x] - at]
+            xs.append(x[ok])
+            ys.append(y[ok])
+        at = until
+    inside = np.flatnonzero(dense[run])
+    if len(inside):  # each row with its run's first
+        order = inside[np.lexsort((rows["c"][inside], rows["at"][inside], run[inside]))]
+        top = np.full(len(size), -1)
+        edge = np.concatenate(([True], run[order][1:] != run[order][:-1]))
+        top[run[order[edge]]] = order[edge]
+        rest = inside[top[run[inside]] != inside]
+        x, y = passing(top[run[rest]], rest, n, left, odd)
+        xs.append(x)
+        ys.append(y)
+    x, y = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (xs, ys))
+    # The earlier one first; both ways where that is open.
+    x, y = np.concatenate((x, y)), np.concatenate((y, x))
+    ok = rows["at"][x] <= rows["at"][y]
+    pairs = np.unique(np.rec.fromarrays((rows["c"][x[ok]], rows["c"][y[ok]], rows["at"][x[ok]]), dtype=PAIR))
+    return pairs, key[inside], rows[inside]
+
+
+def found(kind: int, **columns) -> pa.RecordBatch:
+    """A batch of ``FOUND``."""
+    size = len(next(iter(columns.values())))
+    types = {"kind": pa.int8(), "key": pa.binary(), "line": pa.int32()}
+    whole = {"kind": np.full(size, kind, np.int8)} | columns
+    return pa.record_batch({c: pa.array(whole[c], types.get(c, pa.int64())) if c in whole else pa.nulls(size, types.get(c, pa.int64())) for c in common.names(FOUND)})
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """``FOUND``: first lines of sets, pairs of sets to verify, rows of dense runs."""
+    spark = docs.sparkSession
+    counts, lines, lo, hi, size = count_words(docs)
+    hot = int(max(HOT_LEAST, HOT * counts.sum() / BUCKETS))
+    held = spark.sparkContext.broadcast(coarse(counts))
+    deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * size // PART_WANTED + 1)
+    parts, step = 4 * deal, (hi - lo) // ((1 << 32) - 2) + 1
+
+    def place_of(known: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+        return np.where(known > 0, (doc_id.astype(np.uint64) - np.uint64(lo % (1 << 64))) // np.uint64(step) + np.uint64(1), np.uint64(0))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = np.frombuffer(b"".join(batch["key"].to_pylist()), ">u8").reshape(-1, 2)
+            ids = batch["doc_id"]
+            first = {"known": ids.is_valid().to_numpy(zero_copy_only=False), "doc_id": ids.fill_null(0).to_numpy(), "k1": key[:, 0], "k2": key[:, 1]}
+            rows, prefix, whole = prefix_rows(batch["text"].to_pylist(), first, held.value, hot, lines, place_of)
+            yield packed(rows, (rows["c1"] % np.uint64(parts)).astype(np.int64), 0)
+            yield packed(prefix, ((whole >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), 1)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[np.ndarray] = []
+        pending: list[tuple[int, np.ndarray]] = []
+        now, whole, many, most = 0, True, 0, PART_BYTES // FIRST.itemsize
+
+        def match() -> Iterator[pa.RecordBatch]:
+            if not pending:
+                return
+            rows = np.concatenate([x for _, x in pending])
+            key = np.repeat(np.array([p for p, _ in pending], np.uint64), [len(x) for _, x in pending]) << np.uint64(32) | rows["k"]
+            pairs, runs, dense = run_pairs(key, rows, whole, RUN, DENSE)
+            yield found(1, a=pairs["x"].astype(np.uint64).view(np.int64), b=pairs["y"].astype(np.uint64).view(np.int64), n=pairs["at"].astype(np.int64))
+            yield found(2, a=runs.view(np.int64), b=dense["c"].view(np.int64), c=dense["odd"].view(np.int64), doc_id=dense["at"].astype(np.int64), line=dense["lost"].astype(np.int32), n=dense["n"].astype(np.int64))
+
+        def first() -> Iterator[pa.RecordBatch]:
+            rows = firsts(np.concatenate(own))
+            key = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * 16).astype(np.int32)), pa.py_buffer(np.column_stack((rows["k1"], rows["k2"])).astype(">u8").tobytes())])
+            yield found(0, a=rows["c1"].astype(np.uint64).view(np.int64), b=rows["c2"].astype(np.uint64).view(np.int64), doc_id=pa.array(rows["doc_id"].astype(np.int64), mask=rows["known"] == 0), key=key, line=rows["line"].astype(np.int32))
+
+        for batch in batches:
+            for part, kind, data in zip(batch["part"].to_pylist(), batch["kind"].to_pylist(), batch["data"].to_pylist(), strict=True):
+                if kind:
+                    pending.append((part, np.frombuffer(data, PREFIX)))
+                    now += len(data)
+                    if now > PART_BYTES:
+                        whole = False
+                        yield from match()
+                        pending, now = [], 0
+                else:
+                    own.append(np.frombuffer(data, FIRST))
+                    many += len(own[-1])
+                    if many > most:
+                        own = [firsts(np.concatenate(own))]
+                        many = len(own[0])
+                        most = max(most, 2 * many)
+        yield from match()
+        if own:
+            yield from first()
+
+    sent = docs.select("doc_id", "key", "text").mapInArrow(emit, "part int, kind byte, data binary")
+    return sent.repartition(deal, "part").mapInArrow(meet, FOUND)
 
 
 def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -237,95 +462,45 @@ def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, own: DataFrame, pairs: DataFrame, cut) -> DataFrame:
-    """(o) of the later set of each pair (x, y) that is similar enough."""
-    ends = pairs.select(F.col("x").alias("o")).unionByName(pairs.select(F.col("y").alias("o"))).distinct()
-    words = cut(words_of(docs, cut(own.select("o", "first.key", "first.line").join(ends, "o"))))
-    side = lambda z: words.select(F.col("o").alias(z), F.col("s").alias(f"s{z}"))
+    """(a, b): the later set of each pair (x, y) that is similar enough. ``own``: (a, b, doc_id, key, line) of all sets."""
+    ends = pairs.select(F.col("x").alias("a")).unionByName(pairs.select(F.col("y").alias("a"))).distinct()
+    wanted = cut(own.join(ends, "a"))
+    words = cut(words_of(docs, wanted.select(F.struct("a", "b", F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key", "line").alias("first")).alias("o"), "key", "line")))
+    side = lambda z: words.select(F.col("o.a").alias(z), F.col("o").alias(f"o{z}"), F.col("s").alias(f"s{z}"))
     met = pairs.join(side("x"), "x").join(side("y"), "y")
     enough = (DENOMINATOR + NUMERATOR) * F.size(F.array_intersect("sx", "sy")) >= NUMERATOR * (F.size("sx") + F.size("sy"))
-    return cut(met.where(enough).select(F.col("y").alias("o")).distinct())
-
-
-def slot_of(o):
-    """A slot of a set's number, of which the bits above 33 are a partition's."""
-    return ((o & (1 << 33) - 1) + (o >> 33) * 655357) & (common.SLOTS - 1)
+    later = F.when(F.col("ox.first") < F.col("oy.first"), F.col("oy")).otherwise(F.col("ox"))
+    return cut(met.where(enough).select(later.alias("o")).select("o.a", "o.b").distinct())
 
 
-def mark(live: DataFrame, settled: DataFrame, held: list[str]) -> DataFrame:
-    """(k, o, odd, ni) of ``live``, with ni's sign bit set in rows of settled sets.
-
-    A bitmap of fixed size finds those that may be settled, so that only they are joined with ``settled``.
-    """
-    slots = F.expr(f"((o & {(1 << 33) - 1}L) + shiftright(o, 33) * 655357L) & {common.SLOTS - 1}L")
-    bits = live.sparkSession.sparkContext.broadcast(common.bitmap(settled.select(slots.alias("slot"))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            o, ni = batch["o"].to_numpy(), batch["ni"].to_numpy()
-            ni = np.where(common.held_in(bits.value, slot_of(o)), ni | np.int64(-1 << 63), ni)
-            yield pa.record_batch({"k": batch["k"], "o": batch["o"], "odd": batch["odd"], "ni": ni})
-
-    found = common.cut(live.select("k", "o", "odd", "ni").mapInArrow(run, "k long, o long, odd long, ni long"), held)
-    known = settled.select("o", F.lit(True).alias("known"))
-    maybe = found.where("ni < 0").join(known, "o", "left").withColumn("ni", F.when(F.col("known"), F.col("ni")).otherwise(F.col("ni").bitwiseAND(_SIZES)))
-    return found.where("ni >= 0").unionByName(maybe.select(*found.columns))
-
-
-def reach(side: str = "") -> Column:
-    """The most words that a set can share with another if the words of the row's key are their first common ones."""
-    place = F.col(f"ni{side}").bitwiseAND(0xFFFFFFFF)
-    return F.shiftright(F.col(f"ni{side}").bitwiseAND(_SIZES), 32) - place.bitwiseAND((1 << _PLACE) - 1) + F.shiftright(place, _PLACE)
-
-
-def matches(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Distinct pairs (x, y) of prefix rows of equal keys that pass the filters, where y isn't marked as settled.
-
-    The positional filter takes the key for the pair's first common words: one of a similar pair's keys is that.
-    """
-    x, y = (z.select("k", F.col("o").alias(name), *(F.col(c).alias(f"{c}{name}") for c in ("odd", "ni"))) for z, name in ((x, "x"), (y, "y")))
-    nx, ny = (F.shiftright(F.col(f"ni{side}").bitwiseAND(_SIZES), 32) for side in "xy")
-    # The overlap that two sets of these sizes need: a ninth of four times their sum, rounded up.
-    need = F.floor((4 * (nx + ny) + 8) / 9)
-    bound = F.least(reach("x"), reach("y"))
-    # Words in one set alone each turn at most one bit of the odd sketches' difference.
-    apart = nx + ny - 2 * need
-    differ = F.bit_count(F.col("oddx").bitwiseXOR(F.col("oddy"))) <= apart
-    # Of both sides' columns, so that equal sides stay equal below their shuffle and share it.
-    later = F.when(F.col("niy") < 0, False).otherwise(F.col("x") < F.col("y"))
-    passed = later & (NUMERATOR * ny <= DENOMINATOR * nx) & (NUMERATOR * nx <= DENOMINATOR * ny) & (bound >= need) & differ
-    return x.join(y, "k").where(passed).select("x", "y").distinct()
+def left_pairs(dense: DataFrame, left: DataFrame) -> DataFrame:
+    """Pairs (x, y) of the rows of dense runs that pass the filters, where y is in ``left`` and x doesn't begin after it."""
+    x, y = (d.select("a", *(F.col(c).alias(f"{c}{z}") for c in ("b", "c", "doc_id", "line", "n"))) for d, z in ((dense, "x"), (left, "y")))
+    need = F.floor((4 * (F.col("nx") + F.col("ny")) + 8) / 9)
+    fits = (NUMERATOR * F.col("ny") <= DENOMINATOR * F.col("nx")) & (NUMERATOR * F.col("nx") <= DENOMINATOR * F.col("ny"))
+    near = F.least(F.col("nx") - F.col("linex"), F.col("ny") - F.col("liney")) >= need
+    alike = F.bit_count(F.col("cx").bitwiseXOR(F.col("cy"))) <= F.col("nx") + F.col("ny") - 2 * need
+    met = x.join(y, "a").where((F.col("bx") != F.col("by")) & (F.col("doc_idx") <= F.col("doc_idy")) & fits & near & alike)
+    return met.select(F.col("bx").alias("x"), F.col("by").alias("y"))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, key, lines): numbers of the lines with words that stay. ``docs``: (doc_id, key, text as bytes)."""
     held: list[str] = []
     cut = lambda df: common.cut(df, held)
-    # A set's number o stands for the order of first lines: ids ascend over range-sorted partitions.
-    unsorted: list[str] = []
-    own = common.cut(sets(docs, *count_words(docs)), unsorted)
-    own = cut(own.orderBy("first").withColumn("o", F.monotonically_increasing_id()))
-    common.discard(docs.sparkSession, unsorted)
-    # Narrow rows: sizes and positions are in one number.
-    exploded = own.where("size(keys) > 0").select("o", "n", "odd", F.explode(F.arrays_zip("keys", "places")).alias("x"))
-    prefix = exploded.select(F.col("x.keys").alias("k"), "o", "odd", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("x.places").cast("bigint")).alias("ni"))
-    lives, firsts = [], []
-    for k in range(PARTS):
-        part, passing = prefix.where(F.pmod("k", F.lit(PARTS)) == k), []
-        shared = common.cut(part.groupBy("k").agg(F.min("o").alias("top"), F.max("o").alias("last")).where("top < last").drop("last"), passing)
-        lives.append(cut(part.join(shared.hint("shuffle_hash"), "k")))
-        common.discard(docs.sparkSession, passing)
-        # First each set with the first set of its keys: a group of copies is settled by rows in proportion.
-        firsts.append(cut(matches(lives[k].where("o = top").hint("shuffle_hash"), lives[k].where("o > top"))))
-    settled = similar(docs, own, cut(reduce(DataFrame.unionByName, firsts).distinct()), cut)
-    # Then the rest with all others before them.
-    pairs = []
-    for live in lives:
-        passing = []
-        marked = mark(live.where("o > top"), settled, passing)
-        pairs.append(cut(matches(marked, marked)))
-        common.discard(docs.sparkSession, passing)
-    later = settled.unionByName(similar(docs, own, cut(reduce(DataFrame.unionByName, pairs).distinct()), cut))
-    stays = own.join(later, "o", "left_anti").select("first.doc_id", "first.key", "first.line")
+    whole = cut(dealt(docs))
+    own = whole.where("kind = 0").select("a", "b", "doc_id", "key", "line")
+    dense = whole.where("kind = 2").select("a", "b", "c", "doc_id", "line", "n")
+    pairs = whole.where("kind = 1").select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("n").alias("at"))
+    # Each set with the earliest of its partners; those that it doesn't settle with all the others.
+    best = cut(pairs.groupBy("y").agg(F.min(F.struct("at", "x")).alias("b")).select("b.x", "y"))
+    settled = similar(docs, own, best, cut)
+    open_ = lambda d, c: d.join(settled.select(F.col("a").alias(c)).distinct(), c, "left_anti")
+    others = open_(pairs, "y").join(best, ["x", "y"], "left_anti").select("x", "y")
+    more = cut(others.unionByName(left_pairs(dense, open_(dense, "b"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    if not more.isEmpty():
+        settled = settled.unionByName(similar(docs, own, more, cut))
+    stays = own.join(settled, ["a", "b"], "left_anti").select("doc_id", "key", "line")
     kept = common.cut(stays.groupBy("doc_id", "key").agg(F.collect_list("line").alias("lines")))
     common.discard(docs.sparkSession, held)
     return kept

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from cairn.llm import common, lines
 
 
@@ -43,8 +45,9 @@ def test_against_brute_force(spark, monkeypatch):
     rows = data()
     docs = spark.createDataFrame([(d, t, "x", 7) for d, t in rows], "doc_id long, text string, key string, n_chars int")
     want = brute_force(rows)
-    for hot in (2000, 3):  # single words as keys; pairs and triples
-        monkeypatch.setattr(lines, "HOT_LEAST", hot)
+    # Single words as keys; pairs and triples; each run dense; parts in pieces.
+    for name, value in (("HOT_LEAST", 2000), ("HOT_LEAST", 3), ("RUN", 1), ("DENSE", 0), ("PART_BYTES", 900)):
+        monkeypatch.setattr(lines, name, value)
         got = lines.deduplicate(docs)
         assert got.columns == docs.columns
         ids = sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect())
@@ -59,9 +62,28 @@ def test_no_texts():
     assert line.tolist() == [0, 1, 1, 2, 2] and text.tolist() == [1, 1, 2] and number.tolist() == [0, 2, 0] and h[0] == h[2]
 
 
-def test_marks_settled_sets_only(spark):
-    rows = [(k, o, 0, (10 << 32) + 1, 0) for k in (1, 2) for o in (1, 1 + lines.common.SLOTS, (3 << 33) + 5, 9)]
-    live = spark.createDataFrame(rows, "k long, o long, odd long, ni long, top long")
-    settled = spark.createDataFrame([(1,), ((3 << 33) + 5,)], "o long")  # 1 and 1 + SLOTS have one slot
-    got = sorted((r["k"], r["o"], r["ni"] < 0, r["ni"] & lines._SIZES) for r in lines.mark(live, settled, []).collect())
-    assert got == sorted((k, o, o in (1, (3 << 33) + 5), (10 << 32) + 1) for k, o, *_ in rows)
+def test_run_pairs():
+    rng = np.random.default_rng(1)
+    sets = [set(rng.choice(60, rng.integers(4, 30), replace=False).tolist()) for _ in range(300)]
+    sets += [s ^ {int(rng.integers(60))} for s in sets]
+    sets = [s for s in {frozenset(s) for s in sets} if len(s) >= lines.LEAST]
+    key, rows = [], []
+    for c, s in enumerate(sets):
+        own = sorted(s)
+        odd = 0
+        for w in own:
+            odd ^= 1 << w % 64
+        rows += [(0, len(own), k, c % 7, c, odd) for k in range(len(own))]
+        key += own
+    similar = {(x, y) for x in range(len(sets)) for y in range(x + 1, len(sets)) if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])}
+    key, rows = np.array(key, np.uint64), np.array(rows, lines.PREFIX)
+    pairs, _, dense = lines.run_pairs(key, rows, True, 10**6, 10**6)
+    got = {(min(x, y), max(x, y)) for x, y, _ in pairs.tolist()}
+    assert not len(dense) and similar and similar <= got and len(got) < len(sets) ** 2 / 8
+    assert all(x % 7 == at and at <= y % 7 for x, y, at in pairs.tolist())
+    # In dense runs: pairs with the first of the run, and all rows.
+    pairs, runs, dense = lines.run_pairs(key, rows, True, 0, 0)
+    assert len(dense) == len(rows) and len(pairs) < 120 * len(sets)
+    pairs, runs, dense = lines.run_pairs(key[:1], rows[:1], True, 0, 0)
+    assert not len(pairs) and not len(dense)
+    assert len(lines.run_pairs(key[:1], rows[:1], False, 0, 0)[2]) == 1
