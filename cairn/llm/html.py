@@ -2,14 +2,14 @@
 
 Each page is parsed into elements, and each block element's subtree (its tag, its text, its
 children's hashes) is hashed. Spark counts in how many pages of a host each hash is found. Subtrees
-that recur on at least ``SHARE`` of a host's pages, and on ``LEAST`` at least, are the host's
+that recur on at least ``SHARE`` of a host's different pages, and on ``LEAST`` at least, are the host's
 template and go; outside articles, so do those found on ``MANY`` different pages of the host, however
 many it has, as a section's or layout's menus are on its own pages only. Pages are different if their
-texts are, before templates go: copies of a page don't make its text a template. So do elements whose tag, role, class or id says that they are no content (menus,
-scripts, forms, notices, adverts, comments ...), which is all there is to go by on a host of few
-pages. What remains of the page's articles (else its main element, else its body) is the text. Blocks
-of running text inside an article are never taken for template, however often they recur, as sites
-do publish an article on several pages.
+texts are, before templates go: copies of a page don't make its text a template. So do elements whose
+tag, role, class or id says that they are no content (menus, scripts, forms, notices, adverts,
+comments ...), which is all there is to go by on a host of few pages. What remains of the page's articles (else its main element, else its body) is the text. Blocks
+of running text inside an article, and an element that holds half of an article's text or more, are
+never taken for template, however often they recur, as sites do publish an article on several pages.
 
 Scale: two passes over the pages. The counts are summed map-side, so a host with a third of all
 pages is no problem. Of template hashes only those are kept that tags and names alone would leave in the text
@@ -18,8 +18,9 @@ broadcast if there are at most ``BROADCAST_ROWS`` in all. Otherwise pages meet t
 a join salted ``SALTS`` ways, so that no task gets a whole hot host.
 
 Defined cases: null or empty html has no text; a null url, or one without a host, belongs to the
-host "", repeated rows count as pages of their own; other columns pass unread. Unclosed elements end
-with their parent; a comment or script without an end runs to the end of the page.
+host "", repeated rows are one page to the counts; other columns pass unread. Unclosed elements end
+with their parent; a comment or script without an end runs to the end of the page. Parsing takes time
+in proportion to the page, however its tags are nested or left open; ties don't arise.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ SHARE, LEAST, MANY = 0.5, 4, 8
 BROADCAST_ROWS, SALTS = 50_000, 32
 
 _TAG = re.compile(r"""<!--(?:.*?(?:-->|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -67,10 +68,15 @@ class Page:
         self.drop: list[bool] = [False]
         self.article: list[bool] = [False]
         self.hash: list[int] = [0]
+        #: Characters of the texts in an element, and the article around it.
+        self.size: list[int] = [0]
+        self.around: list[int] = [0]
         self._inside: list[list[str]] = [[]]
         #: (element, text); None for a break between blocks.
         self.flow: list[tuple[int, str] | None] = []
         self._stack = [0]
+        #: Places in the stack of the open elements of a tag.
+        self._open: dict[str, list[int]] = {}
         self._read(source)
         while self._stack:
             self._end()
@@ -81,6 +87,7 @@ class Page:
             self.flow.append((self._stack[-1], text))
             if packed := " ".join(text.split()):
                 self._inside[self._stack[-1]].append(packed)
+                self.size[self._stack[-1]] += len(packed)
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in _ENDS_P:
@@ -89,7 +96,9 @@ class Page:
             for other in _SIBLING[tag]:
                 self._close(other, stop=("ul", "ol", "dl", "table", "select"))
         up = self._stack[-1]
-        own = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
+        own: dict[str, str] = {}
+        for k, v in _ATTRIBUTE.findall(attributes):
+            own.setdefault(k.lower(), v.strip("\"'"))
         article = self.article[up] or tag == "article"
         name = f"{own.get('class', '')} {own.get('id', '')}".strip()
         drop = (
@@ -108,6 +117,8 @@ class Page:
         self.drop.append(drop)
         self.article.append(article)
         self.hash.append(0)
+        self.size.append(0)
+        self.around.append(self.around[up] or (len(self.tag) - 1 if tag == "article" else 0))
         self._inside.append([])
         if tag not in _INLINE:
             self.flow.append(None)
@@ -115,11 +126,15 @@ class Page:
             self.flow.append((up, " "))
         if tag in _VOID:
             return
+        self._open.setdefault(tag, []).append(len(self._stack))
         self._stack.append(len(self.tag) - 1)
 
     def _end(self) -> None:
         """Close the innermost element and hash its subtree."""
         k = self._stack.pop()
+        if k:
+            self._open[self.tag[k]].pop()
+            self.size[self.parent[k]] += self.size[k]
         if self._inside[k]:
             self.hash[k] = xxhash.xxh3_64_intdigest("\x1f".join([self.tag[k], *self._inside[k]]))
             if k:
@@ -130,18 +145,15 @@ class Page:
 
     def _close(self, tag: str, stop: tuple[str, ...] = ()) -> None:
         """Close up to the innermost open ``tag``, if there is one below any of ``stop``."""
-        for at in range(len(self._stack) - 1, 0, -1):
-            now = self.tag[self._stack[at]]
-            if now == tag:
-                while len(self._stack) > at:
-                    self._end()
-                return
-            if now in stop:
-                return
+        places = self._open.get(tag)
+        if places and not any(self._open.get(x) and self._open[x][-1] > places[-1] for x in stop):
+            at = places[-1]
+            while len(self._stack) > at:
+                self._end()
 
     def _read(self, source: str) -> None:
-        at, find = 0, _TAG.search
-        while m := find(source, at):
+        at, find, last = 0, _TAG.search, source.rfind(">")
+        while at <= last and (m := find(source, at)):
             self._text(source[at : m.start()])
             at = m.end()
             if tag := (m[2] or m[5]):
@@ -157,12 +169,15 @@ class Page:
                     self._start(tag, m[3] or m[6] or "")
             elif m[0].startswith("<![CDATA["):
                 self._text(m[0][9:-3])
-        self._text(source[at:])
+        # Past the last > only a comment or declaration without an end is no text.
+        self._text(re.split("<[!?]", source[at:], maxsplit=1)[0])
 
     def _may_go(self, k: int) -> bool:
-        """Whether an element can be template."""
+        """Whether an element can be template: inside an article, what holds half of its text is its body."""
         tag = self.tag[k]
-        return tag not in _INLINE and tag not in ("", "html", "body", "head", "article", "main") and not (self.article[k] and tag in _TEXT)
+        if tag in _INLINE or tag in ("", "html", "body", "head", "article", "main"):
+            return False
+        return not self.article[k] or tag not in _TEXT and 2 * self.size[k] < self.size[self.around[k]]
 
     def candidates(self) -> tuple[list[int], list[int]]:
         """Codes of the subtrees that may be template, each once: even ones for the page, odd ones for outside of articles; and those not dropped by tag or name."""
@@ -222,12 +237,12 @@ def templates(pages: DataFrame) -> DataFrame:
     found = pages.select(host().alias("host"), hashes.asNondeterministic()("html").alias("x"))
     # A row with a null hash counts the host's pages.
     rows = found.select("host", "x.content", "x.live", F.explode(F.concat(F.array(F.lit(None).cast("long")), "x.h")).alias("hash"))
-    apart = rows.groupBy("host", "hash", "content").agg(F.count("*").alias("n"), F.max(F.array_contains("live", F.col("hash"))).alias("live"))
-    counts = apart.groupBy("host", "hash").agg(F.sum("n").alias("n"), F.count("*").alias("different"), F.max("live").alias("live"))
+    apart = rows.groupBy("host", "hash", "content").agg(F.max(F.array_contains("live", F.col("hash"))).alias("live"))
+    counts = apart.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("live").alias("live"))
     total = counts.where("hash is null").select("host", F.col("n").alias("pages"))
     often = counts.where("live").where(F.col("n") >= LEAST)
     share = (F.col("hash").bitwiseAND(F.lit(1)) == 0) & (F.col("n") >= F.greatest(F.lit(LEAST), F.col("pages") * SHARE))
-    many = (F.col("hash").bitwiseAND(F.lit(1)) == 1) & (F.col("different") >= MANY)
+    many = (F.col("hash").bitwiseAND(F.lit(1)) == 1) & (F.col("n") >= MANY)
     return often.join(total, "host").where(share | many).select("host", "hash")
 
 

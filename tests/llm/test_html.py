@@ -1,3 +1,6 @@
+import random
+import time
+
 from cairn.llm import html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -58,3 +61,45 @@ def test_templates_of_layouts(spark):
         by = {r["page_id"]: r["text"] for r in html.extract(pages, broadcast_rows=bound).collect()}
         assert all(by[k] == f"story {k}" for k in range(90))
         assert all(by[100 + k] == "copied" and by[200 + k] == f"told twice\n\n{k}" for k in range(20))
+
+
+def test_repeated_rows_keep_their_text(spark):
+    rows = [(k, "http://a.b/1", "<body><div><div>only text</div></div></body>") for k in range(6)]
+    # The body of an article that six pages of a host share, and a block put into all articles of another.
+    rows += [(10 + k, f"http://c.d/{k}", f"<article><div><div>body of it all</div></div><p>{k}</p></article>") for k in range(6)]
+    rows += [(20 + k, f"http://e.f/{k}", f"<article><p>long story number {k}</p><div><div>Join us</div></div></article>") for k in range(6)]
+    by = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(by[k] == "only text" and by[10 + k] == f"body of it all\n\n{k}" and by[20 + k] == f"long story number {k}" for k in range(6))
+
+
+def test_hostile_pages_take_linear_time():
+    n = 150_000
+    for source in ("<div>" * n + "</x>" * n, "<a " * n, "<p><td>" + "<span>" * n + "<div></div>" * n, "<a " + "id=" * n + ">x", "<li><b>" * n, "<!" * n, "<a '" * n + ">", "&amp" * n, "<p>" * n):
+        began = time.process_time()
+        html.Page(source).text()
+        assert time.process_time() - began < 20, source[:20]
+
+
+def test_against_known_blocks():
+    """Pages written from known blocks: their text is the blocks."""
+    rng = random.Random(3)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    for _ in range(200):
+        blocks = [" ".join(rng.choices(words, k=rng.randint(1, 8))) for _ in range(rng.randint(0, 6))]
+        body = ""
+        for b in blocks:
+            inside = "".join(f"<{t}>{w}</{t}>" if (t := rng.choice(["", "", "b", "a", "em"])) else w for w in re_split(b))
+            body += rng.choice(["<p>{}</p>", "<p>{}", "<div>{}</div>", "<ul><li>{}</ul>", "<blockquote><p> {} </p></blockquote>", "<h2>{}</h2>\n"]).format(inside)
+            body += rng.choice(["", "<script>var x = '<p>';</script>", "<!-- <p>no</p> -->", "<nav>menu</nav>", "<div class='ad'>buy</div>", "<form>mail</form>"])
+        around = rng.choice(["<article>{}</article>", "<main><article>{}</article></main>", "<div><article>{}</article></div>"]).format(body)
+        page = f"<html><head><title>t</title></head><body><header>site</header>{around}<footer>f</footer></body></html>"
+        if blocks:
+            assert html.Page(page).text() == "\n\n".join(blocks), page
+
+
+def re_split(block):
+    """Words and the blanks between them."""
+    out = []
+    for w in block.split(" "):
+        out += [w, " "]
+    return out[:-1]
