@@ -12,14 +12,49 @@ from cairn.functions import numbers as N
 from cairn.functions import text as X
 
 
+def _cell_rows(lat: Column, radius_m: float) -> Column:
+    """Number of a point's band of latitude; bands are as high as the radius."""
+    return F.floor(lat / (radius_m / N.DEGREE_M)).cast("bigint")
+
+
+def _cell_count(band: Column, radius_m: float) -> Column:
+    """Cells around the globe in a band: as wide as the radius is in it and in the bands beside it."""
+    edge = F.greatest(F.abs(band - 1), F.abs(band + 2)) * (radius_m / N.DEGREE_M)
+    ratio = math.sin(min(radius_m / (2 * N.EARTH_M), math.pi / 2)) / F.cos(F.radians(F.least(edge, F.lit(90.0))))
+    wide = 2 * F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9)
+    return F.when((edge >= 90) | (ratio >= 1), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360 / wide))).cast("bigint")
+
+
+def with_cell(points: DataFrame, radius_m: float, around: bool = False) -> DataFrame:
+    """``points`` (lat, lng) with a column ``cell``: theirs, or a row for each cell that a partner within the radius can be in.
+
+    Cells close up over the meridian of 180 degrees, and near the poles a band is one cell. Points without
+    finite coordinates drop out.
+    """
+    finite = F.abs(F.col("lat")).between(0, 90) & (F.abs(F.col("lng")) < 1e9)
+    p = points.where(finite & ~F.isnan("lat") & ~F.isnan("lng")).withColumn("__band", _cell_rows(F.col("lat"), radius_m))
+
+    def cells(band: Column, beside: tuple[int, ...]) -> Column:
+        n = _cell_count(band, radius_m)
+        at = F.floor((F.col("lng") + 180) * n / 360).cast("bigint")
+        return F.transform(F.array_distinct(F.array(*(F.pmod(at + d, n) for d in beside))), lambda c: F.struct(band.alias("y"), c.alias("x")))
+
+    if not around:
+        return p.withColumn("cell", cells(F.col("__band"), (0,))[0]).drop("__band")
+    return p.withColumn("cell", F.explode(F.concat(*(cells(F.col("__band") + d, (-1, 0, 1)) for d in (-1, 0, 1))))).drop("__band")
+
+
 def near_pairs(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """Pairs (l_id, r_id, metres) of equal keys within the radius. Sides: (id, key, lat, lng); null keys match nothing.
 
-    An equi-join on the key, the distance being a residual condition; skewed keys are split by AQE.
+    An equi-join on the key and a cell of the radius's size, the distance being a residual condition, so a
+    name that many points have is split by place; cells that are still skewed are split by AQE.
     """
-    a, b = (d.select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "lat", "lng"))) for d, p in ((left, "l"), (right, "r")))
+    own = lambda d, p: d.select("cell", "key", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "lat", "lng")))
+    columns = ["id", "key", "lat", "lng"]
+    a, b = own(with_cell(left.select(*columns), radius_m, True), "l"), own(with_cell(right.select(*columns), radius_m), "r")
     metres = N.haversine(F.col("l_lat"), F.col("l_lng"), F.col("r_lat"), F.col("r_lng"))
-    return a.join(b, "key").withColumn("metres", metres).where(F.col("metres") <= radius_m).select("l_id", "r_id", "metres")
+    return a.join(b, ["cell", "key"]).withColumn("metres", metres).where(F.col("metres") <= radius_m).select("l_id", "r_id", "metres")
 
 
 def with_degrees(pairs: DataFrame) -> DataFrame:
@@ -33,27 +68,26 @@ def one_to_one(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     return with_degrees(near_pairs(left, right, radius_m)).where("l_degree = 1 and r_degree = 1").drop("l_degree", "r_degree")
 
 
-def distance_pairs(points: DataFrame, radius_m: float, max_lat: float = 60.0) -> DataFrame:
-    """Pairs (a, b, metres), a < b, within the radius. ``points``: (id, lat, lng); others than finite ones drop out.
+def distance_pairs(points: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs (a, b, metres), a < b, within the radius, anywhere on the globe. ``points``: (id, lat, lng); others than finite ones drop out.
 
-    Cells are as high and wide as the radius at ``max_lat``, the largest |lat| that is in the data, so a
-    partner is in one of the nine cells around; one side is copied to nine cells, then an equi-join.
+    One side is copied to the cells around each point, then an equi-join on cells.
     """
-    step = radius_m / N.DEGREE_M
-    wide = step / math.cos(math.radians(max_lat))
-    p = points.where("lat is not null and lng is not null and not isnan(lat) and not isnan(lng)").select("id", "lat", "lng", F.floor(F.col("lat") / step).alias("cy"), F.floor(F.col("lng") / wide).alias("cx"))
-    around = F.array(*(F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y in (-1, 0, 1) for x in (-1, 0, 1)))
-    a = p.withColumn("d", F.explode(around)).select(F.col("id").alias("a"), F.col("lat").alias("la"), F.col("lng").alias("ga"), (F.col("cy") + F.col("d.dy")).alias("cy"), (F.col("cx") + F.col("d.dx")).alias("cx"))
-    b = p.select(F.col("id").alias("b"), F.col("lat").alias("lb"), F.col("lng").alias("gb"), "cy", "cx")
+    p = points.select("id", "lat", "lng")
+    side = lambda d, name: d.select("cell", F.col("id").alias(name), F.col("lat").alias(f"l{name}"), F.col("lng").alias(f"g{name}"))
+    a, b = side(with_cell(p, radius_m, True), "a"), side(with_cell(p, radius_m), "b")
     metres = N.haversine(F.col("la"), F.col("ga"), F.col("lb"), F.col("gb"))
-    return a.join(b, ["cy", "cx"]).where("a < b").withColumn("metres", metres).where(F.col("metres") <= radius_m).select("a", "b", "metres")
+    return a.join(b, "cell").where("a < b").withColumn("metres", metres).where(F.col("metres") <= radius_m).select("a", "b", "metres")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) with the least node connected. Rounds with pointer jumping, each checkpointed in the session's shared folder."""
     spark = edges.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")).checkpoint()
     while True:
@@ -67,21 +101,46 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def duplicate_clusters(points: DataFrame, radius_m: float = 20, run: int = 3) -> DataFrame:
-    """(id, cluster) of points connected by distance, then by names that share ``run`` characters. ``points``: (id, name_key, lat, lng)."""
+    """(id, cluster) of points connected by distance, then by names that share ``run`` characters. ``points``: (id, name_key, lat, lng).
+
+    Names that share a run need no pairs to be connected: each is linked to the least id with the run in
+    its component, a row for each name and run. Points without a partner have no cluster.
+    """
     near = components(distance_pairs(points, radius_m))
-    named = points.join(near.withColumnRenamed("node", "id"), "id").select("id", "name_key", "label")
-    a, b = (named.select("label", F.col("id").alias(s), F.col("name_key").alias(f"n{s}")) for s in "ab")
-    alike = a.join(b, "label").where("a < b").where(X.shares_run(F.col("na"), F.col("nb"), run))
+    named = points.join(near.withColumnRenamed("node", "id"), "id").select("label", "id", F.explode(X.grams(F.col("name_key"), run)).alias("gram"))
+    least = named.groupBy("label", "gram").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("label", "gram", "a")
+    alike = named.join(least, ["label", "gram"]).where("id > a").select("a", F.col("id").alias("b")).distinct()
     return components(alike).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
 
 
-def block_overlap(left: DataFrame, right: DataFrame, threshold: int, k: int | None = None) -> DataFrame:
-    """(block, score, l_name, r_name) of pairs in a block whose common run is longer than the threshold; the ``k`` best. Sides: (block, seq, name)."""
-    a, b = (d.select("block", F.col("seq").alias(f"{p}_seq"), F.col("name").alias(f"{p}_name")) for d, p in ((left, "l"), (right, "r")))
-    pairs = a.join(b, "block").where(X.shares_run(F.col("l_name"), F.col("r_name"), threshold + 1)).withColumn("score", X.common_run(F.col("l_name"), F.col("r_name")))
+def block_overlap(left: DataFrame, right: DataFrame, threshold: int, k: int | None = None, compat: bool = True) -> DataFrame:
+    """(block, score, l_seq, l_name, r_seq, r_name) of pairs in a block whose common run is longer than the threshold; the ``k`` best.
+
+    Sides: (block, seq, name). Pairs meet on a run of ``threshold`` + 1 characters in their block, so only
+    pairs of the result are made. A row of both sides meets itself (Q5) unless ``compat`` is off.
+    """
+    side = lambda d, p: d.select("block", F.col("seq").alias(f"{p}_seq"), F.col("name").alias(f"{p}_name"), F.explode(X.grams(F.col("name"), threshold + 1)).alias("gram"))
+    met = side(left, "l").join(side(right, "r"), ["block", "gram"])
+    if not compat:
+        met = met.where("l_seq <> r_seq")
+    pairs = met.drop("gram").distinct().withColumn("score", X.common_run(F.col("l_name"), F.col("r_name")))
     return pairs.orderBy(F.desc("score"), "block", "l_seq", "r_seq").limit(k) if k else pairs
 
 
+def overlap_summary(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows scanned, blocks, blocks with pairs, and pairs of ``block_overlap``."""
+    rows = left.select("block", "seq").unionByName(right.select("block", "seq"))
+    scanned = rows.agg(F.countDistinct("seq").alias("n_scanned"), F.countDistinct("block").alias("n_blocks"))
+    return scanned.crossJoin(pairs.agg(F.countDistinct("block").alias("n_suspect_blocks"), F.count("*").alias("n_pairs")))
+
+
+def cluster_report(points: DataFrame, clusters: DataFrame, columns: list[str]) -> DataFrame:
+    """K7: (cluster, size, and each column's values joined by " | ") in the order of ids; clusters numbered by their least id."""
+    own = points.join(clusters, "id").groupBy("cluster").agg(F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("id", *columns))).alias("m"))
+    joined = [F.array_join(F.transform(F.col(f"m.{c}"), lambda v: F.coalesce(v.cast("string"), F.lit(""))), " | ").alias(f"{c}s") for c in columns]
+    return own.select("cluster", "size", *joined)
+
+
 def greedy_merge(raws: DataFrame, radius_m: float = 150) -> DataFrame:
     """Records folded in order of ``seq`` into the first store of equal phone, or of equal name within the radius.
 
@@ -90,8 +149,13 @@ def greedy_merge(raws: DataFrame, radius_m: float = 150) -> DataFrame:
     is folded in one task, as each step depends on the ones before; its size is that of a name's or
     phone's chain, and is what bounds memory.
     """
-    keyed = raws.withColumn("p", X.phone_key(F.col("phone"))).withColumn("n", X.name_key(F.col("name")))
-    first = lambda c: keyed.where(F.col(c).isNotNull()).select(F.min("seq").over(Window.partitionBy(c)).alias("a"), F.col("seq").alias("b"))
+    columns = ["seq", "source", "external_id", "name", "phone", "lat", "lng", "url", "genres"]
+    keyed = raws.select(*columns).withColumn("p", X.phone_key(F.col("phone"))).withColumn("n", X.name_key(F.col("name")))
+
+    def first(c: str) -> DataFrame:
+        rows = keyed.where(F.col(c).isNotNull()).select(c, "seq")
+        return rows.join(rows.groupBy(c).agg(F.min("seq").alias("a")), c).select("a", F.col("seq").alias("b"))
+
     own = keyed.select(F.col("seq").alias("a"), F.col("seq").alias("b"))
     labels = components(first("p").unionByName(first("n")).unionByName(own))
 
@@ -128,20 +192,41 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, seq: str, la
     return rows.join(table.where(F.col(key).isNotNull()).groupBy(key).agg(pick.alias(value)), key, "left")
 
 
-def longest_contained(rows: DataFrame, words: DataFrame, text: str) -> DataFrame:
-    """For each row (id, text) the longest word it contains, the first on ties. ``words``: (seq, word), a gazetteer that fits in a broadcast."""
-    size = words.count()
-    if size > 100_000:
-        raise ValueError(f"{size} words are too many to compare each text with")
-    hit = rows.join(F.broadcast(words), F.contains(F.col(text), F.col("word")))
+def longest_contained(rows: DataFrame, words: DataFrame, text: str, broadcast_rows: int = 10_000) -> DataFrame:
+    """For each row (id, text) the longest word it contains, the first on ties. ``words``: (seq, word).
+
+    Up to ``broadcast_rows`` words are broadcast. More meet the texts on their first three characters, in an
+    equi-join with the texts' distinct runs of up to three.
+    """
+    words = words.where("length(word) > 0").select("seq", "word")
+    if words.count() <= broadcast_rows:
+        hit = rows.join(F.broadcast(words), F.contains(F.col(text), F.col("word")))
+    else:
+        heads = words.withColumn("__head", F.left("word", F.lit(3)))
+        runs = F.array_union(F.array_union(X.grams(F.col(text), 1), X.grams(F.col(text), 2)), X.grams(F.col(text), 3))
+        hit = rows.withColumn("__head", F.explode(runs)).join(heads, "__head").where(F.contains(F.col(text), F.col("word")))
     return hit.groupBy("id").agg(F.max_by("word", F.struct(F.length("word"), -F.col("seq"))).alias("word"))
 
 
-def in_boxes(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(id, polygon) of the first polygon, in order, that holds the point; the bounding box is tested first. ``polygons``: (seq, name, rings)."""
-    if polygons.count() > 100_000:
-        raise ValueError("too many polygons to compare each point with")
-    p = polygons.withColumn("b", N.box(F.col("rings")))
+def in_boxes(points: DataFrame, polygons: DataFrame, broadcast_rows: int = 1_000) -> DataFrame:
+    """(id, polygon) of the first polygon, in order, that holds the point; the bounding box is tested first. ``polygons``: (seq, name, rings).
+
+    Up to ``broadcast_rows`` polygons are broadcast. More meet the points in cells: a polygon's cells are at
+    least as large as its box, so it is in four at most, and a point is in one cell of each size there is.
+    """
+    p = polygons.select("seq", "name", "rings").withColumn("b", N.box(F.col("rings")))
     near: Column = F.col("lng").between(F.col("b.x0"), F.col("b.x1")) & F.col("lat").between(F.col("b.y0"), F.col("b.y1"))
-    hit = points.select("id", "lat", "lng").join(F.broadcast(p), near & N.in_polygon(F.col("lng"), F.col("lat"), F.col("rings")))
+    own = points.select("id", "lat", "lng")
+    if p.count() <= broadcast_rows:
+        hit = own.join(F.broadcast(p), near & N.in_polygon(F.col("lng"), F.col("lat"), F.col("rings")))
+    else:
+        size = F.greatest(F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0"), F.lit(1e-6))
+        p = p.where("b.x0 is not null").withColumn("level", F.ceil(F.log2(size)).cast("int"))
+        cell = lambda v, level: F.floor(v / F.pow(F.lit(2.0), level)).cast("bigint")
+        span = lambda lo, hi: F.sequence(cell(F.col(lo), F.col("level")), cell(F.col(hi), F.col("level")))
+        dealt = p.withColumn("cx", F.explode(span("b.x0", "b.x1"))).withColumn("cy", F.explode(span("b.y0", "b.y1")))
+        levels = sorted(r["level"] for r in p.select("level").distinct().collect())  # as many as sizes double: thirty or so
+        at = own.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+        at = at.withColumn("cx", cell(F.col("lng"), F.col("level"))).withColumn("cy", cell(F.col("lat"), F.col("level")))
+        hit = at.join(dealt, ["level", "cx", "cy"]).where(near & N.in_polygon(F.col("lng"), F.col("lat"), F.col("rings")))
     return hit.groupBy("id").agg(F.min_by("name", "seq").alias("polygon"))

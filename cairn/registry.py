@@ -71,7 +71,7 @@ PAIRS = f"with {PLACES} select a.id as a, b.id as b, round({METRES}, 3) as metre
 @query(PAIRS)
 def distance_pairs_bucketed(spark, sf_dir):
     """J6."""
-    return match.distance_pairs(places(spark, sf_dir), 1000, 37).withColumn("metres", F.round("metres", 3))
+    return match.distance_pairs(places(spark, sf_dir), 1000).withColumn("metres", F.round("metres", 3))
 
 
 @query(f"""with recursive {PLACES}, near as (select a.id as a, b.id as b from places a join places b on a.id <> b.id and abs(a.lat - b.lat) < 0.02 where {METRES} <= 1000),
@@ -90,18 +90,10 @@ def _overlaps(part: DataFrame) -> DataFrame:
     return match.block_overlap(p.where("seq % 2 = 0"), p.where("seq % 2 = 1"), 3).select("l_seq", "r_seq")
 
 
-@query("""with s as (select p_partkey as seq, p_brand || '/' || p_size as block, lower(replace(p_name, ' ', '')) as name from part where p_size <= 25)
-select a.seq as l_seq, b.seq as r_seq from s a join s b on a.block = b.block and a.seq % 2 = 0 and b.seq % 2 = 1
-where list_has_any([a.name[i : i + 3] for i in generate_series(1, length(a.name) - 3)], [b.name[i : i + 3] for i in generate_series(1, length(b.name) - 3)])""")
-def address_block_overlap(spark, sf_dir):
-    """J8 over the blocks with p_size up to 25, as its SQL has it; address_block_overlap_whole has them all."""
-    return _overlaps(read(spark, sf_dir, "part").where("p_size <= 25"))
-
-
 @query("""with s as (select p_partkey as seq, p_brand || '/' || p_size as block, lower(replace(p_name, ' ', '')) as name from part)
 select a.seq as l_seq, b.seq as r_seq from s a join s b on a.block = b.block and a.seq % 2 = 0 and b.seq % 2 = 1
 where list_has_any([a.name[i : i + 3] for i in generate_series(1, length(a.name) - 3)], [b.name[i : i + 3] for i in generate_series(1, length(b.name) - 3)])""")
-def address_block_overlap_whole(spark, sf_dir):
+def address_block_overlap(spark, sf_dir):
     """Pairs of a block whose names share more than three characters."""
     return _overlaps(read(spark, sf_dir, "part"))
 
