@@ -13,13 +13,13 @@ word as their first common one share a second (and third) in a prefix longer by
 pair or triple of words is the key: the pair where its words' counts make it rare enough, else the
 triple. Prefix rows are dealt by key once, packed: a task sorts its rows in numpy and tests the pairs
 of each key's run by length, by position, and by a 64-bit odd sketch (the parity of a set's words by
-hash), which similar sets always pass; what passes is verified on whole sets, which are read again
-from the lines that candidates name.
+hash), which similar sets always pass; pairs of long sets by a sketch of 512 bits too. What passes is
+verified on whole sets, which are read again from the lines that candidates name.
 
-Of a set's partners the earliest is verified first; what is similar to it goes and needs no other.
-Sets that are left meet their other partners. A run in which more than ``DENSE`` pairs a row pass (a group of near copies), or which is larger than
-``RUN``, gives no pairs of its own at first: each of its sets meets the run's first set only. The run's
-rows are kept, and those sets that are left meet all others of the run in a join. So a group of copies makes rows in proportion to its size, and
+A run in which more than ``DENSE`` pairs a row pass (a group of near copies), or which is larger than
+``RUN``, gives no pairs of its own at first: each of its sets meets the run's first set only; what is
+similar to it goes and needs no other partner. The run's rows are kept, and those sets that are left
+meet all others of the run in a join. So a group of copies makes rows in proportion to its size, and
 no link that decides is lost.
 
 Scale: word counts and prefixes are two map-only passes. A line is dealt by set once a batch, so a line
@@ -72,15 +72,17 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _WORDY = re.compile("[0-9A-Za-z\x80-\U0010FFFF]")
 
-#: A set's first line: its two hashes, the text's doc_id and hash, the line's number.
-FIRST = np.dtype([("c1", "<u8"), ("c2", "<u8"), ("known", "u1"), ("doc_id", "<i8"), ("k1", ">u8"), ("k2", ">u8"), ("line", "<i4")])
+#: Long sets, of more than ``LONG_SET`` words, have a second sketch of so many times 64 bits.
+LONG_SET, WIDE = 48, 8
+#: A set's first line: its two hashes, the text's doc_id and hash, the line's number, words, sketch of a long set.
+FIRST = np.dtype([("c1", "<u8"), ("c2", "<u8"), ("known", "u1"), ("doc_id", "<i8"), ("k1", ">u8"), ("k2", ">u8"), ("line", "<i4"), ("n", "<u4"), ("wide", "<u8", (WIDE,))])
 #: A prefix row: 32 bits of the key (its part has the rest), the set's words, words before the key's
 #: that no partner has if they are the first common ones, place in the order of doc_id, hash and sketch.
 PREFIX = np.dtype([("k", "<u4"), ("n", "<u4"), ("lost", "<u2"), ("at", "<u4"), ("c", "<u8"), ("odd", "<u8")])
-#: Two sets, of which the first begins earlier or it is open which does, and the first's place.
-PAIR = np.dtype([("x", "<u8"), ("y", "<u8"), ("at", "<u4")])
-#: What the dealt rows give: 0 first lines, 1 pairs (a, b, n the first's place), 2 rows of dense runs (a run, b set, c sketch).
-FOUND = "kind byte, a long, b long, c long, doc_id long, key binary, line int, n long"
+#: Two sets.
+PAIR = np.dtype([("x", "<u8"), ("y", "<u8")])
+#: What the dealt rows give: 0 first lines, 1 pairs (a, b), 2 rows of dense runs (a run, b set, c sketch).
+FOUND = "kind byte, a long, b long, c long, doc_id long, key binary, line int, n long, " + ", ".join(f"w{k} long" for k in range(WIDE))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -255,6 +257,12 @@ def prefix_rows(texts: list[bytes | None], first: np.ndarray, scale: np.ndarray,
     rows = rows[own]
     n = np.bincount(line, minlength=len(rows))
     begin = np.cumsum(n) - n
+    rows["n"], rows["wide"] = n, 0
+    long = n > LONG_SET
+    if long.any():
+        at, w = (np.cumsum(n[long]) - n[long]), h[long[line]]
+        bit, word = np.uint64(1) << ((w >> np.uint64(52)) & np.uint64(63)), (w >> np.uint64(49)) & np.uint64(WIDE - 1)
+        rows["wide"][long] = np.column_stack([np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), at) for k in range(WIDE)])
     of, key, place = prefix_keys(h, np.exp2(rarity / 1000.0) - 1, line, begin, n, hot, lines)
     out = np.empty(len(of), PREFIX)
     out["k"], out["n"], out["at"], out["c"] = key & np.uint64(0xFFFFFFFF), n[of], place_of(rows["known"][of], rows["doc_id"][of]), rows["c1"][of]
@@ -350,11 +358,8 @@ def run_pairs(key: np.ndarray, rows: np.ndarray, whole: bool, longest: int, crow
         xs.append(x)
         ys.append(y)
     x, y = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (xs, ys))
-    # The earlier one first; both ways where that is open.
-    x, y = np.concatenate((x, y)), np.concatenate((y, x))
-    ok = rows["at"][x] <= rows["at"][y]
-    pairs = np.unique(np.rec.fromarrays((rows["c"][x[ok]], rows["c"][y[ok]], rows["at"][x[ok]]), dtype=PAIR))
-    return pairs, key[inside], rows[inside]
+    x, y = rows["c"][x], rows["c"][y]
+    return np.unique(np.rec.fromarrays((np.minimum(x, y), np.maximum(x, y)), dtype=PAIR)), key[inside], rows[inside]
 
 
 def found(kind: int, **columns) -> pa.RecordBatch:
@@ -397,13 +402,13 @@ def dealt(docs: DataFrame) -> DataFrame:
             rows = np.concatenate([x for _, x in pending])
             key = np.repeat(np.array([p for p, _ in pending], np.uint64), [len(x) for _, x in pending]) << np.uint64(32) | rows["k"]
             pairs, runs, dense = run_pairs(key, rows, whole, RUN, DENSE)
-            yield found(1, a=pairs["x"].astype(np.uint64).view(np.int64), b=pairs["y"].astype(np.uint64).view(np.int64), n=pairs["at"].astype(np.int64))
+            yield found(1, a=pairs["x"].astype(np.uint64).view(np.int64), b=pairs["y"].astype(np.uint64).view(np.int64))
             yield found(2, a=runs.view(np.int64), b=dense["c"].view(np.int64), c=dense["odd"].view(np.int64), doc_id=dense["at"].astype(np.int64), line=dense["lost"].astype(np.int32), n=dense["n"].astype(np.int64))
 
         def first() -> Iterator[pa.RecordBatch]:
             rows = firsts(np.concatenate(own))
             key = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * 16).astype(np.int32)), pa.py_buffer(np.column_stack((rows["k1"], rows["k2"])).astype(">u8").tobytes())])
-            yield found(0, a=rows["c1"].astype(np.uint64).view(np.int64), b=rows["c2"].astype(np.uint64).view(np.int64), doc_id=pa.array(rows["doc_id"].astype(np.int64), mask=rows["known"] == 0), key=key, line=rows["line"].astype(np.int32))
+            yield found(0, a=rows["c1"].astype(np.uint64).view(np.int64), b=rows["c2"].astype(np.uint64).view(np.int64), doc_id=pa.array(rows["doc_id"].astype(np.int64), mask=rows["known"] == 0), key=key, line=rows["line"].astype(np.int32), n=rows["n"].astype(np.int64), **{f"w{k}": pa.array(rows["wide"][:, k].copy().view(np.int64), mask=rows["n"] <= LONG_SET) for k in range(WIDE)})
 
         for batch in batches:
             for part, kind, data in zip(batch["part"].to_pylist(), batch["kind"].to_pylist(), batch["data"].to_pylist(), strict=True):
@@ -461,11 +466,20 @@ def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(found, ["key", "line"]).select("o", "s")
 
 
+def apart(own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (x, y) without those of long sets that their second sketches tell apart. ``own``: (a, n, w0, w1, ...) of the sets in them."""
+    side = lambda z: own.select(F.col("a").alias(z), F.col("n").alias(f"n{z}"), *(F.col(f"w{k}").alias(f"w{k}{z}") for k in range(WIDE)))
+    differ = sum((F.bit_count(F.col(f"w{k}x").bitwiseXOR(F.col(f"w{k}y"))) for k in range(1, WIDE)), F.bit_count(F.col("w0x").bitwiseXOR(F.col("w0y"))))
+    both = F.col("nx") + F.col("ny")
+    met = pairs.join(side("x"), "x").join(side("y"), "y")
+    return met.where(F.coalesce(differ <= both - 2 * F.floor((4 * both + 8) / 9), F.lit(True))).select("x", "y")
+
+
 def similar(docs: DataFrame, own: DataFrame, pairs: DataFrame, cut) -> DataFrame:
-    """(a, b): the later set of each pair (x, y) that is similar enough. ``own``: (a, b, doc_id, key, line) of all sets."""
+    """(a, b): the later set of each pair (x, y) that is similar enough. ``own``: (a, b, doc_id, key, line) of the sets in them."""
     ends = pairs.select(F.col("x").alias("a")).unionByName(pairs.select(F.col("y").alias("a"))).distinct()
-    wanted = cut(own.join(ends, "a"))
-    words = cut(words_of(docs, wanted.select(F.struct("a", "b", F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key", "line").alias("first")).alias("o"), "key", "line")))
+    wanted = cut(own.join(ends, "a").select(F.struct("a", "b", F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key", "line").alias("first")).alias("o"), "key", "line"))
+    words = cut(words_of(docs, wanted))
     side = lambda z: words.select(F.col("o.a").alias(z), F.col("o").alias(f"o{z}"), F.col("s").alias(f"s{z}"))
     met = pairs.join(side("x"), "x").join(side("y"), "y")
     enough = (DENOMINATOR + NUMERATOR) * F.size(F.array_intersect("sx", "sy")) >= NUMERATOR * (F.size("sx") + F.size("sy"))
@@ -474,14 +488,14 @@ def similar(docs: DataFrame, own: DataFrame, pairs: DataFrame, cut) -> DataFrame
 
 
 def left_pairs(dense: DataFrame, left: DataFrame) -> DataFrame:
-    """Pairs (x, y) of the rows of dense runs that pass the filters, where y is in ``left`` and x doesn't begin after it."""
+    """Distinct pairs (x, y) of the rows of dense runs that pass the filters, where one is in ``left`` and the other doesn't begin after it."""
     x, y = (d.select("a", *(F.col(c).alias(f"{c}{z}") for c in ("b", "c", "doc_id", "line", "n"))) for d, z in ((dense, "x"), (left, "y")))
     need = F.floor((4 * (F.col("nx") + F.col("ny")) + 8) / 9)
     fits = (NUMERATOR * F.col("ny") <= DENOMINATOR * F.col("nx")) & (NUMERATOR * F.col("nx") <= DENOMINATOR * F.col("ny"))
     near = F.least(F.col("nx") - F.col("linex"), F.col("ny") - F.col("liney")) >= need
     alike = F.bit_count(F.col("cx").bitwiseXOR(F.col("cy"))) <= F.col("nx") + F.col("ny") - 2 * need
     met = x.join(y, "a").where((F.col("bx") != F.col("by")) & (F.col("doc_idx") <= F.col("doc_idy")) & fits & near & alike)
-    return met.select(F.col("bx").alias("x"), F.col("by").alias("y"))
+    return met.select(F.least("bx", "by").alias("x"), F.greatest("bx", "by").alias("y")).distinct()
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
@@ -491,15 +505,13 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     whole = cut(dealt(docs))
     own = whole.where("kind = 0").select("a", "b", "doc_id", "key", "line")
     dense = whole.where("kind = 2").select("a", "b", "c", "doc_id", "line", "n")
-    pairs = whole.where("kind = 1").select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("n").alias("at"))
-    # Each set with the earliest of its partners; those that it doesn't settle with all the others.
-    best = cut(pairs.groupBy("y").agg(F.min(F.struct("at", "x")).alias("b")).select("b.x", "y"))
-    settled = similar(docs, own, best, cut)
-    open_ = lambda d, c: d.join(settled.select(F.col("a").alias(c)).distinct(), c, "left_anti")
-    others = open_(pairs, "y").join(best, ["x", "y"], "left_anti").select("x", "y")
-    more = cut(others.unionByName(left_pairs(dense, open_(dense, "b"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    pairs = whole.where("kind = 1").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+    ends = pairs.select(F.col("x").alias("a")).unionByName(pairs.select(F.col("y").alias("a"))).unionByName(dense.select(F.col("b").alias("a"))).distinct()
+    met = cut(whole.where("kind = 0").drop("kind", "c").join(ends, "a"))
+    settled = similar(docs, met, cut(apart(met, pairs)), cut)
+    more = cut(apart(met, left_pairs(dense, dense.join(settled.select(F.col("a").alias("b")).distinct(), "b", "left_anti"))))
     if not more.isEmpty():
-        settled = settled.unionByName(similar(docs, own, more, cut))
+        settled = settled.unionByName(similar(docs, met, more, cut))
     stays = own.join(settled, ["a", "b"], "left_anti").select("doc_id", "key", "line")
     kept = common.cut(stays.groupBy("doc_id", "key").agg(F.collect_list("line").alias("lines")))
     common.discard(docs.sparkSession, held)

@@ -34,6 +34,7 @@ def data():
         text = []
         for _ in range(rng.randint(0, 8)):
             w = rng.choice(lines_).split()
+            w = w * rng.choice([1, 1, 1, 0]) or [f"x{k}" for k in range(rng.choice([0, 400]), 900, 7)]
             if rng.random() < 0.5:
                 w[rng.randrange(len(w))] = rng.choice(words)
             text.append(rng.choice(["", "- "]) + " ".join(w) + rng.choice([".", "", "!"]))
@@ -78,9 +79,8 @@ def test_run_pairs():
     similar = {(x, y) for x in range(len(sets)) for y in range(x + 1, len(sets)) if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])}
     key, rows = np.array(key, np.uint64), np.array(rows, lines.PREFIX)
     pairs, _, dense = lines.run_pairs(key, rows, True, 10**6, 10**6)
-    got = {(min(x, y), max(x, y)) for x, y, _ in pairs.tolist()}
+    got = {*pairs.tolist()}
     assert not len(dense) and similar and similar <= got and len(got) < len(sets) ** 2 / 8
-    assert all(x % 7 == at and at <= y % 7 for x, y, at in pairs.tolist())
     # In dense runs: pairs with the first of the run, and all rows.
     pairs, runs, dense = lines.run_pairs(key, rows, True, 0, 0)
     assert len(dense) == len(rows) and len(pairs) < 120 * len(sets)
