@@ -58,9 +58,9 @@ RUN, DENSE = 2000, 4
 #: Bytes of prefix rows that a task sorts at once, and that a part should have.
 PART_BYTES, PART_WANTED = 192 << 20, 64 << 20
 #: Pairs that are tested at once.
-TESTED = 1 << 20
+TESTED = 1 << 18
 #: Bytes of texts in one Arrow batch: words, places and keys take about fifty times that.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Words of more bytes are hashed one by one.
 LONG = 1024
 
@@ -74,6 +74,8 @@ _WORDY = re.compile("[0-9A-Za-z\x80-\U0010FFFF]")
 
 #: Long sets, of more than ``LONG_SET`` words, have a second sketch of so many times 64 bits.
 LONG_SET, WIDE = 48, 8
+#: Counts by their place on the scale of ``coarse``.
+_COUNT = np.exp2(np.arange(1 << 16) / 1000.0) - 1
 #: A set's first line: its two hashes, the text's doc_id and hash, the line's number, words, sketch of a long set.
 FIRST = np.dtype([("c1", "<u8"), ("c2", "<u8"), ("known", "u1"), ("doc_id", "<i8"), ("k1", ">u8"), ("k2", ">u8"), ("line", "<i4"), ("n", "<u4"), ("wide", "<u8", (WIDE,))])
 #: A prefix row: 32 bits of the key (its part has the rest), the set's words, words before the key's
@@ -170,7 +172,7 @@ def count_words(docs: DataFrame) -> tuple[np.ndarray, int, int, int, int]:
             size += sum(len(t) for t in texts if t)
             own = batch["doc_id"].drop_null().to_numpy()
             ids += [int(own.min()), int(own.max())] if len(own) else []
-            if sum(map(len, pending)) > BUCKETS:
+            if sum(map(len, pending)) > BUCKETS // 4:
                 total += np.bincount(np.concatenate(pending), minlength=BUCKETS)
                 pending = []
         if pending:
@@ -263,7 +265,7 @@ def prefix_rows(texts: list[bytes | None], first: np.ndarray, scale: np.ndarray,
         at, w = (np.cumsum(n[long]) - n[long]), h[long[line]]
         bit, word = np.uint64(1) << ((w >> np.uint64(52)) & np.uint64(63)), (w >> np.uint64(49)) & np.uint64(WIDE - 1)
         rows["wide"][long] = np.column_stack([np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), at) for k in range(WIDE)])
-    of, key, place = prefix_keys(h, np.exp2(rarity / 1000.0) - 1, line, begin, n, hot, lines)
+    of, key, place = prefix_keys(h, _COUNT[rarity], line, begin, n, hot, lines)
     out = np.empty(len(of), PREFIX)
     out["k"], out["n"], out["at"], out["c"] = key & np.uint64(0xFFFFFFFF), n[of], place_of(rows["known"][of], rows["doc_id"][of]), rows["c1"][of]
     out["lost"] = np.clip((place & ((1 << _PLACE) - 1)) - (place >> _PLACE), 0, 65535)
@@ -300,24 +302,32 @@ def run_pairs(key: np.ndarray, rows: np.ndarray, whole: bool, longest: int, crow
 
     A run is dense if it has more than ``longest`` rows, or more than ``crowded`` pairs a row that pass.
     """
-    order = np.argsort(key)
-    if whole:  # keys of one row
-        once = np.concatenate(([True], key[order[1:]] != key[order[:-1]], [True]))
-        order = order[~(once[1:] & once[:-1])]
-    order = order[np.lexsort((rows["at"][order], rows["c"][order], key[order]))]
+    def shared(key: np.ndarray) -> np.ndarray:
+        """Places of the rows whose key another row has (all unless ``whole``), by key."""
+        order = np.argsort(key)
+        if not whole:
+            return order
+        new = np.concatenate(([True], key[order[1:]] != key[order[:-1]], [True]))
+        return order[~(new[1:] & new[:-1])]
+
+    order = shared(key)
     key, rows = key[order], rows[order]
-    keep = np.ones(len(key), bool)  # a set's first row of a key
-    keep[1:] = (key[1:] != key[:-1]) | (rows["c"][1:] != rows["c"][:-1])
-    if whole:  # sets that share no key
-        key, rows = key[keep], rows[keep]
-        shared = np.zeros(len(key), bool)
-        shared[1:] = key[1:] == key[:-1]
-        shared[:-1] |= shared[1:]
-        keep = shared
-    key, rows = key[keep], rows[keep]
+    # A set's rows of a key become one, with the first place.
+    both = mix(key * _SEED ^ rows["c"])
+    order = np.argsort(both)
+    new = np.ones(len(key), bool)
+    new[1:] = (both[order[1:]] != both[order[:-1]]) | (key[order[1:]] != key[order[:-1]]) | (rows["c"][order[1:]] != rows["c"][order[:-1]])
+    if not new.all():
+        begin = np.flatnonzero(new)
+        at = np.minimum.reduceat(rows["at"][order], begin)
+        key, rows = key[order[begin]], rows[order[begin]]
+        rows["at"] = at
+        order = shared(key)
+        key, rows = key[order], rows[order]
     if not len(key):
         return np.empty(0, PAIR), key, rows
-    order = np.lexsort((rows["n"], key))
+    run = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+    order = np.argsort(run << 32 | rows["n"])
     key, rows = key[order], rows[order]
     head = np.concatenate(([True], key[1:] != key[:-1]))
     run = np.cumsum(head) - 1
