@@ -100,3 +100,20 @@ def past_date(x: Column, as_of: Column) -> Column:
     """An ISO date that isn't after ``as_of``, else null."""
     d = F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(x, "yyyy-MM-dd"))
     return F.when(d <= as_of, d)
+
+
+def degrees(metres: float, lat: float) -> tuple[float, float]:
+    """M9: a distance in degrees of latitude and, at ``lat``, of longitude."""
+    import math
+
+    return metres / DEGREE_M, metres / (DEGREE_M * math.cos(math.radians(lat)))
+
+
+def fixed(x: Column, places: int = 7) -> Column:
+    """A number with so many places; null stays null."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{places}f", x.cast("double")))
+
+
+def age_days(made: Column, now: Column) -> Column:
+    """Whole days between two times."""
+    return F.floor((F.unix_micros(now) - F.unix_micros(made)) / 86_400_000_000).cast("int")

@@ -227,3 +227,12 @@ def search_query(name: Column, address: Column, place: str = "東京都") -> Col
 def joined_text(*parts: Column) -> Column:
     """Parts that aren't blank, joined by a blank."""
     return F.concat_ws(" ", *(F.nullif(p, F.lit("")) for p in parts))
+
+
+def sub_genres(x: Column) -> Column:
+    """Names in a JSON value that is an object, a text, or an array of both; none for others."""
+    j = F.trim(F.coalesce(x, F.lit("")))
+    name = lambda v: F.when(F.trim(v).startswith("{"), F.get_json_object(v, "$.name")).otherwise(v)
+    many = F.transform(F.coalesce(F.from_json(j, "array<string>"), F.array().cast("array<string>")), name)
+    found = F.when(j.startswith("["), many).otherwise(F.array(name(j)))
+    return F.filter(found, lambda v: F.coalesce(v, F.lit("")) != "")

@@ -80,21 +80,26 @@ def distance_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     return a.join(b, "cell").where("a < b").withColumn("metres", metres).where(F.col("metres") <= radius_m).select("a", "b", "metres")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) with the least node connected. Rounds with pointer jumping, each checkpointed in the session's shared folder."""
-    spark = edges.sparkSession
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's shared checkpoint folder; its lineage ends."""
+    spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")).checkpoint()
+    return df.checkpoint()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) with the least node connected. Rounds with pointer jumping, each checkpointed in the session's shared folder."""
+    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settled(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
         far = labels.alias("x").join(labels.alias("y"), F.col("x.label") == F.col("y.node")).select("x.node", "y.label")
         new = near.unionByName(far).groupBy("node").agg(F.min("label").alias("new"))
-        step = labels.join(new, "node").select("node", F.col("label").alias("old"), F.least("label", "new").alias("label")).checkpoint()
+        step = settled(labels.join(new, "node").select("node", F.col("label").alias("old"), F.least("label", "new").alias("label")))
         labels = step.select("node", "label")
         if step.where("label < old").isEmpty():
             return labels
@@ -192,19 +197,23 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, seq: str, la
     return rows.join(table.where(F.col(key).isNotNull()).groupBy(key).agg(pick.alias(value)), key, "left")
 
 
-def longest_contained(rows: DataFrame, words: DataFrame, text: str, broadcast_rows: int = 10_000) -> DataFrame:
-    """For each row (id, text) the longest word it contains, the first on ties. ``words``: (seq, word).
+def contained(rows: DataFrame, words: DataFrame, text: str, broadcast_rows: int = 10_000) -> DataFrame:
+    """``rows`` with each word (column ``word``, and what else ``words`` has) that their text contains.
 
     Up to ``broadcast_rows`` words are broadcast. More meet the texts on their first three characters, in an
     equi-join with the texts' distinct runs of up to three.
     """
-    words = words.where("length(word) > 0").select("seq", "word")
+    words = words.where("length(word) > 0")
     if words.count() <= broadcast_rows:
-        hit = rows.join(F.broadcast(words), F.contains(F.col(text), F.col("word")))
-    else:
-        heads = words.withColumn("__head", F.left("word", F.lit(3)))
-        runs = F.array_union(F.array_union(X.grams(F.col(text), 1), X.grams(F.col(text), 2)), X.grams(F.col(text), 3))
-        hit = rows.withColumn("__head", F.explode(runs)).join(heads, "__head").where(F.contains(F.col(text), F.col("word")))
+        return rows.join(F.broadcast(words), F.contains(F.col(text), F.col("word")))
+    heads = words.withColumn("__head", F.left("word", F.lit(3)))
+    runs = F.array_union(F.array_union(X.grams(F.col(text), 1), X.grams(F.col(text), 2)), X.grams(F.col(text), 3))
+    return rows.withColumn("__head", F.explode(runs)).join(heads, "__head").where(F.contains(F.col(text), F.col("word"))).drop("__head")
+
+
+def longest_contained(rows: DataFrame, words: DataFrame, text: str, broadcast_rows: int = 10_000) -> DataFrame:
+    """For each row (id, text) the longest word it contains, the first on ties. ``words``: (seq, word)."""
+    hit = contained(rows, words.select("seq", "word"), text, broadcast_rows)
     return hit.groupBy("id").agg(F.max_by("word", F.struct(F.length("word"), -F.col("seq"))).alias("word"))
 
 

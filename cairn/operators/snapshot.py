@@ -80,7 +80,8 @@ def public_rules(as_of: Column, allowed=("hotpepper", "legacy_local"), statuses=
         "V9": ~listed & ~blank("listing_url"),
         "V10": old & (X.valid_legacy_id(F.col("legacy_id")) == ""),
         "V11": ~old & ~blank("legacy_id"),
-        "V13": F.when(listed, F.col("url") != F.col("listing_url")).otherwise(~blank("url")),
+        "V12": (F.size(own) > 0) & (F.size(F.array_except(own, F.array(*map(F.lit, allowed)))) == 0) & ((listed == blank("listing_url")) | (old == blank("legacy_id"))),
+        "V13": F.when(~blank("listing_url"), F.trim(F.coalesce(F.col("url"), F.lit(""))) != F.trim(F.col("listing_url"))).otherwise(~blank("url")),
         "V14": ~F.coalesce(F.col("data_status").isin(list(statuses)), F.lit(False)),
         "V15": (F.col("data_status") == statuses[0]) & ~listed,
         "V16": N.past_date(F.col("last_verified_at"), as_of).isNull(),

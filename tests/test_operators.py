@@ -146,7 +146,7 @@ def test_union_of_scans(spark):
 
 def test_public_rules(spark):
     good = {"name": "n", "sources": "hotpepper", "lat": "35.6", "lng": "139.7", "url": "https://hotpepper.jp/strJ1/", "listing_url": "https://hotpepper.jp/strJ1/", "legacy_id": "", "data_status": "current", "last_verified_at": "2026-01-01", "budget_lunch": "", "budget_dinner": "3000", "avg_dinner_budget": ""}
-    bad = [({}, set()), ({"name": " "}, {"V2"}), ({"sources": "x"}, {"V3", "V9", "V13", "V15"}), ({"lat": "x"}, {"V4"}), ({"lat": "50"}, {"V5"}), ({"listing_url": ""}, {"V6", "V13"}), ({"legacy_id": "l"}, {"V11"}), ({"data_status": "?"}, {"V14"}), ({"last_verified_at": "2030-01-01"}, {"V16"}), ({"budget_dinner": "0"}, {"V17"})]
+    bad = [({}, set()), ({"name": " "}, {"V2"}), ({"sources": "x"}, {"V3", "V9", "V15"}), ({"lat": "x"}, {"V4"}), ({"lat": "50"}, {"V5"}), ({"listing_url": ""}, {"V6", "V12", "V13"}), ({"legacy_id": "l"}, {"V11", "V12"}), ({"data_status": "?"}, {"V14"}), ({"last_verified_at": "2030-01-01"}, {"V16"}), ({"budget_dinner": "0"}, {"V17"})]
     df = spark.createDataFrame([{"row": i, **good, **b} for i, (b, _) in enumerate(bad)])
     got = {}
     for r in snapshot.violations(df, snapshot.public_rules(F.lit("2026-07-01").cast("date")), "row").collect():
