@@ -92,17 +92,29 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) with the least node connected. Rounds with pointer jumping, each checkpointed in the session's shared folder."""
-    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settled(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    """(node, label) with the least node connected, for all nodes of ``edges`` (a, b).
+
+    Each round every node points to its least neighbour below it, pointers are followed to their ends, and
+    edges are drawn between ends only, each once. So the graph shrinks by half at least, whatever its shape,
+    and rounds end when no edge is left. Results of a round are checkpointed in the session's shared folder.
+    """
+    live = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null").distinct())
+    labels = live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    live = live.where("a <> b")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
-        far = labels.alias("x").join(labels.alias("y"), F.col("x.label") == F.col("y.node")).select("x.node", "y.label")
-        new = near.unionByName(far).groupBy("node").agg(F.min("label").alias("new"))
-        step = settled(labels.join(new, "node").select("node", F.col("label").alias("old"), F.least("label", "new").alias("label")))
-        labels = step.select("node", "label")
-        if step.where("label < old").isEmpty():
-            return labels
+        up = settled(live.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), "p"))
+        if up.isEmpty():
+            return settled(labels)
+        while True:
+            ahead = up.select(F.col("node").alias("p"), F.col("p").alias("q"))
+            jumped = settled(up.join(ahead, "p", "left").select("node", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")))
+            up = jumped.select("node", "p")
+            if jumped.where("moved").isEmpty():
+                break
+        to = lambda c: up.select(F.col("node").alias(c), F.col("p").alias(f"{c}_"))
+        labels = settled(labels.join(to("label"), "label", "left").select("node", F.coalesce("label_", "label").alias("label")))
+        drawn = live.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b")).where("a <> b")
+        live = drawn.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def duplicate_clusters(points: DataFrame, radius_m: float = 20, run: int = 3) -> DataFrame:

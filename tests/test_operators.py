@@ -159,3 +159,16 @@ def test_overlap_of_all_blocks(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = lambda name: sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
     assert got("address_block_overlap") == [(0, 1), (2, 3), (4, 5), (6, 7)]
+
+
+def test_components_of_any_shape(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(45)] + [(400, 400), (500, 500), (500, 501)]
+    rng.shuffle(edges)
+    label = {n: n for e in edges for n in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame([*edges, (None, 3)], "a long, b long")
+    assert {r["node"]: r["label"] for r in match.components(df).collect()} == label
+    assert match.components(df.limit(0)).count() == 0
