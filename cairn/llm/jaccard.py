@@ -1,22 +1,30 @@
-"""N-gram Jaccard join: MinHash bands propose pairs, exact shingle sets verify them.
+"""N-gram Jaccard join: a MinHash LSH forest proposes pairs, exact shingle sets verify them.
 
 A text's set holds the 64-bit hashes of its runs of five words (one of all its words, if fewer).
-Texts of equal sets form a class, so copies are one row from there on. Each class has ``TREES`` bands of
-``DEPTH`` MinHash labels, at which pairs at the threshold share one with probability ``RECALL`` at least
-(``depth`` would take fewer labels otherwise); classes with an equal band make a bucket.
-
-* Buckets of at most ``SMALL`` classes give their pairs, which are bounded by SMALL a row. Pairs whose
-  labels agree too rarely for the threshold (six standard deviations) go; the rest are verified.
-* Larger buckets give no pairs. Those that share classes are connected into crowds, and a crowd is cut
-  into blocks of at most ``BLOCK`` shingles. Each pair of blocks meets in one task, which counts exact
+Texts of equal sets form a class, so copies are one row from there on. Each class has a label of
+``DEPTH`` MinHash values in each of ``TREES`` trees. A tree is a sorted prefix trie: labels are dealt by
+their first ``SHORTEST`` values, sorted, and the length of the prefix that neighbours share (8 to 5
+values) gives its nodes. Classes match at the longest prefix that they share in any tree.
+
+The matched prefixes are shortened from ``DEPTH`` on, value by value, until the pairs that similar
+classes (by agreement of their labels) are found with reach the target: a pair of similarity s is found at
+length d with probability 1 - (1 - s^d)^TREES, so the mean of its inverse over what was found tells what
+wasn't. At ``SHORTEST`` even a pair at the threshold is found with 0.999997, so there it ends.
+
+* Nodes of at most ``SMALL`` classes give their pairs, each at its longest common prefix, which are
+  bounded by SMALL a row. Pairs whose labels agree too rarely for the threshold (six standard
+  deviations) go; the rest are verified.
+* Larger nodes give no pairs but links between neighbours, as far as their children don't give theirs.
+  What is linked is a crowd; it is cut by size, as similar sets are at most five to four, and into blocks of at
+  most ``BLOCK`` shingles. Pairs of blocks of near sizes meet in a task each, which counts exact
   intersections by matrix products and gives only numbers of links and a spanning forest.
 
-Links are therefore complete, up to the bands' recall, without a row for each pair of a group.
-Only classes in a bucket of two or more have their texts read a second time.
+Links are therefore complete, up to the forest's recall, without a row for each pair of a group.
+Only classes in a node of two or more have their texts read a second time.
 
 Defined cases: a null, empty or wordless text has no shingles, links or partners and is a class of
 its own; equal rows are copies of each other; a class's id is its least doc_id, null if all are
-null; other columns are passed over by ``links`` and kept by ``deduplicate``.
+null; an empty table gives empty ones; other columns are passed over by ``links`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -25,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +41,15 @@ from . import common
 from .graph import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of 4/5 or more
-TREES, DEPTH, RECALL = 32, 5, 0.99999
+TREES, DEPTH, SHORTEST, RECALL = 32, 8, 5, 0.99999
 SMALL, BLOCK = 16, 200_000
 
+#: A class in a tree: what its label begins with, the rest of it (16 bits a value), the class.
+LABEL = np.dtype([("head", "<u8"), ("tail", "<u8"), ("hi", ">u8"), ("lo", ">u8")])
+
 _RNG = np.random.default_rng(20)
-_A = _RNG.integers(1, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, TREES * DEPTH, np.uint64)
+_A = _RNG.integers(1, 1 << 31, TREES * DEPTH, np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, TREES * DEPTH, np.uint32)
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,21 +83,38 @@ def shingles(text: str | None, memo: dict[bytes, int]) -> np.ndarray:
     return np.unique(out + np.uint64(size))
 
 
-def depth(recall: float = RECALL, similarity: float = NUMERATOR / DENOMINATOR) -> int:
-    """The longest matched prefix that finds pairs at the threshold with the wanted probability."""
-    k = DEPTH
-    while k > 1 and 1 - (1 - similarity**k) ** TREES < recall:
-        k -= 1
-    return k
+def found_at(length: int, similarity: float | np.ndarray) -> float | np.ndarray:
+    """The probability that a pair shares a prefix of the length in a tree or more."""
+    return 1 - (1 - similarity**length) ** TREES
+
+
+def recall_at(length: int, found: list[tuple[int, int, int]]) -> float:
+    """The share of similar pairs that prefixes of the length find, estimated from those they did.
+
+    ``found``: (longest shared prefix, agreeing values of the labels, pairs).
+    """
+    seen = [(agree / (TREES * DEPTH), n) for at, agree, n in found if at >= length]
+    whole = sum(n / found_at(length, s) for s, n in seen)
+    return sum(n for _, n in seen) / whole if whole else 1.0
+
+
+def shortened(found: list[tuple[int, int, int]], recall: float = RECALL) -> int:
+    """The longest prefix with the target recall; no pairs to tell by, the shortest."""
+    threshold = NUMERATOR / DENOMINATOR * TREES * DEPTH
+    similar = [x for x in found if x[1] >= threshold]
+    for length in range(DEPTH, SHORTEST, -1):
+        if any(at >= length for at, _, _ in similar) and recall_at(length, similar) >= recall:
+            return length
+    return SHORTEST
 
 
 def signature(s: np.ndarray) -> np.ndarray:
     """TREES * DEPTH labels of 32 bits."""
-    out = np.full(len(_A), ~np.uint64(0))
+    out = np.full(len(_A), ~np.uint32(0))
+    short = (s >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(s), 2048):
-        h = s[at : at + 2048]
-        out = np.minimum(out, (h[None, :] * _A[:, None] + _B[:, None]).min(axis=1))
-    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        out = np.minimum(out, (short[None, at : at + 2048] * _A[:, None] + _B[:, None]).min(axis=1))
+    return out.view(np.int32)
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -115,7 +144,7 @@ def sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return met.mapInPandas(run, "c binary, s array<long>").groupBy("c").agg(F.first("s").alias("s"))
 
 
-def count_block(parts: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
+def count_block(parts: pd.DataFrame, i: str, j: str) -> pd.DataFrame:
     """Links between the blocks i and j of a crowd (or inside one block): numbers and a spanning forest."""
     parts = parts.drop_duplicates(["block", "c"]).sort_values("c").reset_index(drop=True)
     size = parts["s"].map(len).to_numpy()
@@ -164,33 +193,110 @@ def count_block(parts: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
     return pd.DataFrame({"c": parts["c"][own].to_numpy(), "n": n[own], "root": parts["c"].to_numpy()[root[own]]})
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def forest(classes: DataFrame) -> DataFrame:
+    """(a, b, at, crowd): pairs of classes that share a prefix of length ``at``, and links inside of large nodes (``crowd``)."""
+    spark = classes.sparkSession
+    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * deal
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            labels = np.asarray(batch["labels"].flatten()).view(np.uint32).astype(np.uint64).reshape(-1, TREES, DEPTH)
+            c = np.frombuffer(b"".join(batch["c"].to_pylist()), ">u8").reshape(-1, 2)
+            head = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), labels.shape[:2])
+            for k in range(SHORTEST):
+                head = mix(head * _M3 + labels[:, :, k])
+            tail = np.zeros(labels.shape[:2], np.uint64)
+            for k in range(SHORTEST, DEPTH):
+                tail = (tail << np.uint64(16)) | (labels[:, :, k] & np.uint64(0xFFFF))
+            rows = np.empty(head.size, LABEL)
+            rows["head"], rows["tail"] = head.ravel(), tail.ravel()
+            rows["hi"], rows["lo"] = np.repeat(c[:, 0], TREES), np.repeat(c[:, 1], TREES)
+            part = (rows["head"] % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            rows, part = rows[order], part[order]
+            edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            ends = (np.append(edge, len(part)) * LABEL.itemsize).astype(np.int32)
+            yield pa.record_batch({"part": pa.array(part[edge]), "data": pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [np.frombuffer(b"".join(x["data"].to_pylist()), LABEL) for x in batches]
+        if own:
+            yield from trie_pairs(np.concatenate(own), SMALL)
+
+    sent = classes.select("c", "labels").mapInArrow(emit, "part int, data binary")
+    return sent.repartition(deal, "part").mapInArrow(meet, "a binary, b binary, at byte, crowd boolean")
+
+
+def trie_pairs(rows: np.ndarray, small: int) -> Iterator[pa.RecordBatch]:
+    """``forest``'s rows of whole tries, given as ``LABEL`` rows in any order; nodes of more than ``small`` classes are large."""
+    order = np.argsort(rows["head"])
+    new = np.concatenate(([True], rows["head"][order[1:]] != rows["head"][order[:-1]], [True])) if len(rows) else np.ones(1, bool)
+    rows = rows[order[~(new[1:] & new[:-1])]]
+    rows = rows[np.lexsort((rows["lo"], rows["hi"], rows["tail"], rows["head"]))]
+    if not len(rows):
+        return
+    # Values that each row's label shares with the one before, 0 for another trie.
+    differ = rows["tail"][1:] ^ rows["tail"][:-1]
+    shared = np.full(len(rows), SHORTEST)
+    for k in range(1, DEPTH - SHORTEST + 1):
+        shared[1:] += differ >> np.uint64(16 * (DEPTH - SHORTEST - k)) == 0
+    shared[1:][rows["head"][1:] != rows["head"][:-1]] = 0
+    shared[0] = 0
+    ids = np.column_stack((rows["hi"], rows["lo"])).astype(">u8").tobytes()
+
+    def batch(x: np.ndarray, y: np.ndarray, at: int, crowd: bool) -> pa.RecordBatch:
+        whole = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * 16).astype(np.int32)), pa.py_buffer(ids)])
+        # The lesser class first.
+        turn = (rows["hi"][x] > rows["hi"][y]) | (rows["hi"][x] == rows["hi"][y]) & (rows["lo"][x] > rows["lo"][y])
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+        return pa.record_batch({"a": whole.take(pa.array(x)), "b": whole.take(pa.array(y)), "at": pa.array(np.full(len(x), at, np.int8)), "crowd": pa.array(np.full(len(x), crowd))})
+
+    child = np.arange(len(rows))  # nodes one value longer
+    for at in range(DEPTH, SHORTEST - 1, -1):
+        node = np.cumsum(shared < at) - 1
+        size = np.bincount(node)
+        end = np.cumsum(size)[node]
+        large = size[node] > small
+        link = np.flatnonzero((shared == at) & large)
+        if len(link):
+            yield batch(link - 1, link, at, True)
+        # Pairs of different children of small nodes: from a row to all behind its own child.
+        last = np.searchsorted(child, child, "right")
+        many = np.where(large, 0, end - last)
+        for lo in range(0, len(rows), 1 << 16):
+            n = many[lo : lo + (1 << 16)]
+            x = np.repeat(np.arange(lo, lo + len(n)), n)
+            y = last[x] + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            if len(x):
+                yield batch(x, y, at, False)
+        child = node
+
+
+def links(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, key, c); classes (c, m, doc_id); linked classes (c, n, root): n linked documents of other classes, and edges to roots."""
     rows = common.cut(signed(docs))
     members = rows.select("doc_id", "key", "c")
     classes = common.cut(rows.where("c is not null").groupBy("c").agg(F.count("*").alias("m"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("labels").alias("labels")))
-    k = depth()
-    prefixes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice("labels", t * DEPTH + 1, k)))
-    tries = classes.select("c", F.explode(prefixes).alias("p"))
-    sizes = tries.groupBy("p").agg(F.count("*").alias("size")).where("size > 1")
-    # (p, c) of classes in buckets of two or more.
-    buckets = common.cut(tries.join(sizes, "p").select("p", "c", "size"))
-
-    # Crowds: large buckets that share classes.
-    large = buckets.where(F.col("size") > SMALL)
-    heads = large.groupBy("p").agg(F.min("c").alias("a"))
-    crowd = common.cut(components(large.join(heads, "p").select("a", F.col("c").alias("b"))).select(F.col("node").alias("c"), F.col("label").alias("crowd")))
-
-    # Pairs of small buckets, but for those inside a crowd.
-    small = buckets.where(F.col("size") <= SMALL).groupBy("p").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    pairs = small.select(F.explode(F.expr("flatten(transform(sequence(1, size(cs) - 1), i -> transform(slice(cs, i + 1, size(cs)), y -> struct(cs[i - 1] as a, y as b))))")).alias("x")).select("x.a", "x.b").distinct()
-    pairs = pairs.join(crowd.select(F.col("c").alias("a"), F.col("crowd").alias("ca")), "a", "left").join(crowd.select(F.col("c").alias("b"), F.col("crowd").alias("cb")), "b", "left").where("ca is null or cb is null or ca <> cb")
+    met = common.cut(forest(classes).groupBy("a", "b").agg(F.max(F.when(~F.col("crowd"), F.col("at"))).alias("at"), F.max(F.when(F.col("crowd"), F.col("at"))).alias("crowd")))
+
+    # Pairs of small nodes whose labels and sizes allow the threshold.
     about = lambda x: classes.select(F.col("c").alias(x), F.struct("n", "labels", "m").alias(f"{x}_"))
     agree = F.size(F.filter(F.zip_with("a_.labels", "b_.labels", lambda x, y: x == y), lambda x: x))
     s, total = NUMERATOR / DENOMINATOR, TREES * DEPTH
     least = int(total * s - 6 * (total * s * (1 - s)) ** 0.5)
-    pairs = pairs.join(about("a"), "a").join(about("b"), "b").where((agree >= least) & (F.col("a_.n") * DENOMINATOR >= F.col("b_.n") * NUMERATOR) & (F.col("b_.n") * DENOMINATOR >= F.col("a_.n") * NUMERATOR))
-    pairs = common.cut(pairs.select("a", "b", F.col("a_.m").alias("ma"), F.col("b_.m").alias("mb")))
+    sizes = (F.col("a_.n") * DENOMINATOR >= F.col("b_.n") * NUMERATOR) & (F.col("b_.n") * DENOMINATOR >= F.col("a_.n") * NUMERATOR)
+    near = met.where("at is not null").select("a", "b", "at").join(about("a"), "a").join(about("b"), "b").where(sizes).withColumn("agree", agree).where(F.col("agree") >= least)
+    near = common.cut(near.select("a", "b", "at", "agree", F.col("a_.m").alias("ma"), F.col("b_.m").alias("mb")))
+    # At most (DEPTH - SHORTEST + 1) * TREES * DEPTH numbers reach the driver.
+    length = shortened([(r["at"], r["agree"], r["count"]) for r in near.groupBy("at", "agree").count().collect()], recall)
+
+    # Crowds: large nodes of prefixes that long.
+    crowd = common.cut(components(met.where(F.col("crowd") >= length).select("a", "b")).select(F.col("node").alias("c"), F.col("label").alias("crowd")))
+    pairs = near.where(F.col("at") >= length).join(crowd.select(F.col("c").alias("a"), F.col("crowd").alias("ca")), "a", "left").join(crowd.select(F.col("c").alias("b"), F.col("crowd").alias("cb")), "b", "left").where("ca is null or cb is null or ca <> cb")
+    pairs = common.cut(pairs.select("a", "b", "ma", "mb"))
 
     wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(crowd.select("c")).distinct()
     sets = common.cut(sets_of(docs, wanted.join(classes, "c").select("key", "c")))
@@ -199,15 +305,20 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = met.where(DENOMINATOR * both >= NUMERATOR * (F.size("sa") + F.size("sb") - both)).select("a", "b", "ma", "mb")
     by_pair = found.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("mb").alias("n"), F.col("a").alias("root")), F.struct(F.col("b").alias("c"), F.col("ma").alias("n"), F.col("a").alias("root")))).alias("x")).select("x.*")
 
-    # Blocks of crowds.
-    inside = crowd.join(sets, "c").join(classes.select("c", "m"), "c")
-    blocks = crowd.join(classes.select("c", "n"), "c").groupBy("crowd").agg((F.sum("n") / BLOCK).cast("int").alias("last"))
-    dealt = inside.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("c"), F.col("last") + 1).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    dealt = dealt.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "s", "m")
+    # Blocks of crowds: by size, in steps of five to four, then by hash.
+    step = F.floor(F.log(F.col("n")) / np.log(DENOMINATOR / NUMERATOR)).cast("int")
+    sized = crowd.join(classes.select("c", "m", step.alias("step"), "n"), "c")
+    lasts = sized.groupBy("crowd", "step").agg((F.sum("n") / BLOCK).cast("int").alias("last"))
+    blocks = lasts.groupBy("crowd").agg(F.map_from_entries(F.collect_list(F.struct("step", "last"))).alias("last"))  # a crowd has a hundred steps at most
+    inside = sized.join(blocks, "crowd").withColumn("block", F.struct("step", F.pmod(F.xxhash64("c"), F.col("last")[F.col("step")] + 1).cast("int").alias("k")))
+    beside = lambda d: F.transform(F.when(F.array_contains(F.map_keys("last"), F.col("step") + d), F.sequence(F.lit(0), F.try_element_at("last", F.col("step") + d))).otherwise(F.array().cast("array<int>")), lambda k: F.struct((F.col("step") + d).alias("step"), k.alias("k")))
+    dealt = inside.withColumn("other", F.explode(F.concat(beside(-1), beside(0), beside(1)))).join(sets, "c")
+    name = lambda x: F.concat_ws(":", x["step"], x["k"])
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    dealt = dealt.select("crowd", name(i).alias("i"), name(j).alias("j"), name(F.col("block")).alias("block"), "c", "s", "m")
 
     def count(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        return count_block(parts, int(key[1]), int(key[2]))
+        return count_block(parts, key[1], key[2])
 
     by_block = dealt.groupBy("crowd", "i", "j").applyInPandas(count, "c binary, n long, root binary")
     return members, classes.select("c", "m", "doc_id", F.col("key").alias("first_key")), common.cut(by_pair.unionByName(by_block))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from cairn.llm import common, graph, jaccard
@@ -71,6 +72,70 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(13)}, 20: 20, 25: 20, 30: 20, 40: 40}
 
 
-def test_depth_reaches_recall():
-    k = jaccard.depth()
-    assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.RECALL and jaccard.depth(0.5) == jaccard.DEPTH and jaccard.depth(1) == 1
+def tries(sets):
+    """``LABEL`` rows of sets of 64-bit hashes, and each one's labels."""
+    labels = np.array([jaccard.signature(s) for s in sets]).view(np.uint32).astype(np.uint64).reshape(-1, jaccard.TREES, jaccard.DEPTH)
+    rows = np.empty((len(sets), jaccard.TREES), jaccard.LABEL)
+    head = np.broadcast_to(np.arange(1, jaccard.TREES + 1, dtype=np.uint64), labels.shape[:2])
+    for k in range(jaccard.SHORTEST):
+        head = jaccard.mix(head * jaccard._M3 + labels[:, :, k])
+    rows["head"], rows["tail"] = head, sum((labels[:, :, k] & np.uint64(0xFFFF)) << np.uint64(16 * (jaccard.DEPTH - 1 - k)) for k in range(jaccard.SHORTEST, jaccard.DEPTH))
+    rows["hi"], rows["lo"] = 0, np.arange(len(sets))[:, None]
+    return rows.ravel(), labels
+
+
+def pairs_of(rows, small):
+    out = {False: {}, True: {}}
+    for batch in jaccard.trie_pairs(rows, small):
+        for r in batch.to_pylist():
+            key = int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")
+            out[r["crowd"]][key] = max(r["at"], out[r["crowd"]].get(key, 0))
+    return out
+
+
+def test_forest_finds_the_longest_shared_prefix():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 400, np.uint64)
+    sets = [np.concatenate((base[rng.permutation(400)[: rng.integers(300, 400)]], rng.integers(0, 1 << 63, 20, np.uint64))) for _ in range(40)]
+    rows, labels = tries(sets)
+    short = np.concatenate((labels[:, :, : jaccard.SHORTEST], labels[:, :, jaccard.SHORTEST :] & np.uint64(0xFFFF)), axis=2)
+    want = {}
+    for x in range(40):
+        for y in range(x + 1, 40):
+            same = np.cumprod(short[x] == short[y], axis=1).sum(axis=1).max()
+            if same >= jaccard.SHORTEST:
+                want[x, y] = same
+    got = pairs_of(rows, 10**6)
+    assert got[False] == want and want and not got[True]
+    # Large nodes: every such pair is linked through neighbours.
+    got = pairs_of(rows, 1)
+    assert not got[False] and set(got[True]) <= set(want)
+    group = list(range(40))
+    for _ in range(40):
+        for a, b in got[True]:
+            group[a] = group[b] = min(group[a], group[b])
+    assert all(group[a] == group[b] for a, b in want)
+    assert not list(jaccard.trie_pairs(rows[:0], 4)) and not list(jaccard.trie_pairs(rows[:1], 4))
+
+
+def test_recall_against_exact_pairs():
+    """Pairs at the threshold and above, among others: the share that the shortened prefixes find."""
+    rng = np.random.default_rng(7)
+    sets, similar = [], []
+    for k in range(400):
+        a = rng.integers(0, 1 << 63, 180, np.uint64)
+        change = int(rng.integers(0, 21)) if k % 2 else 20  # 160 of 200 in common: 0.8
+        similar.append((len(sets), len(sets) + 1))
+        sets += [a, np.concatenate((a[change:], rng.integers(0, 1 << 63, change, np.uint64)))]
+    rows, labels = tries(sets)
+    at = pairs_of(rows, jaccard.SMALL)[False]
+    flat = labels.reshape(len(sets), -1)
+    found = [(n, int((flat[a] == flat[b]).sum()), 1) for (a, b), n in at.items()]
+    length = jaccard.shortened(found)
+    recall = sum(at.get(p, 0) >= length for p in similar) / len(similar)
+    print("prefix", length, "estimated", jaccard.recall_at(length, found), "measured", recall)
+    assert length < jaccard.DEPTH and recall >= 0.999
+    # Only close copies: the longest prefixes do.
+    close = [(jaccard.DEPTH, int(0.97 * jaccard.TREES * jaccard.DEPTH), 500)]
+    assert jaccard.shortened(close) == jaccard.DEPTH and jaccard.shortened([]) == jaccard.SHORTEST
+    assert jaccard.found_at(jaccard.SHORTEST, 0.8) >= jaccard.RECALL
