@@ -7,13 +7,14 @@ arithmetic that both engines do alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import numbers as N
 from cairn.functions import text as X
-from cairn.operators import match, score, snapshot
+from cairn.operators import enrich, match, publish, score, snapshot
 from cairn.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,11 +140,13 @@ def merge_stats(spark, sf_dir):
     return snapshot.stats(snapshot.merge(*_snapshots(spark, sf_dir), 3000))
 
 
-@query("select '' as legacy_id, '' as missing_in where false")
+@query(f"""with b as (select distinct 'L' || p_partkey as i from part where p_partkey % 3 <> 0 union select 'L-made-up'), a as (select distinct legacy_id as i from ({SQL['snapshot_merge']}) where legacy_id is not null)
+select i as legacy_id, 'after' as missing_in from b where i not in (select i from a) union all select i, 'before' from a where i not in (select i from b)""")
 def lineage_conservation(spark, sf_dir):
-    """No legacy id is lost or made up."""
+    """Legacy ids of one side only; of the merge none but one that is added to the inputs here."""
     current, legacy = _snapshots(spark, sf_dir)
-    return snapshot.lost(legacy, snapshot.merge(current, legacy, 3000))
+    added = spark.createDataFrame([("L-made-up",)], "legacy_id string")
+    return snapshot.lost(legacy.select("legacy_id").unionByName(added), snapshot.merge(current, legacy, 3000))
 
 
 @query("select page_id, regexp_replace(split_part(split_part(trim(url), '#', 1), '?', 1), '/+$', '') as url_key from pages")
@@ -257,10 +260,11 @@ def fill_blank_from_lookup(spark, sf_dir):
     return rows.select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")), F.col("priority"), F.lit("")).alias("filled"))
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 400000)")
 def anti_unmatched(spark, sf_dir):
-    """J16."""
-    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without a large order."""
+    large = read(spark, sf_dir, "orders").where("o_totalprice > 400000")
+    return read(spark, sf_dir, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query(f"with {PLACES} select id from places where lng < 139.2 and id in (select l_partkey from lineitem where l_quantity >= 49)")
@@ -276,20 +280,200 @@ def dup_id_check(spark, sf_dir):
     return snapshot.repeated(read(spark, sf_dir, "part"), "p_name")
 
 
-@query(f"""with {PLACES} select id as row, 'V2' as rule from places where id % 11 = 0 union all select id, 'V5' from places where not (lat between 35.6 and 36)
-union all select id, 'V14' from places where brand not in ('Brand#11', 'Brand#12', 'Brand#13') union all select id, 'V17' from places where price >= 1800""")
+def _published(spark, sf_dir):
+    """Places as rows of a published set in which every rule is broken somewhere."""
+    i, n = F.col("id"), lambda k: F.col("id") % k
+    listing = F.when(n(5) == 3, "").when(n(7) == 0, "").when(n(7) == 1, "http://www.hotpepper.jp/strJ1/").otherwise(F.concat(F.lit("https://www.hotpepper.jp/strJ"), (i - F.when(n(31) == 0, 2).otherwise(0)).cast("string"), F.lit("/")))
+    old = F.when((n(5) != 3) & (n(19) != 0), "").when(n(23) == 0, "legacy_x").when(n(23) == 1, "").otherwise(F.concat(F.lit("legacy_"), F.lpad((i - F.when(n(29) == 0, 5).otherwise(0)).cast("string"), 20, "0")))
+    columns = {
+        "name": F.when(n(11) == 0, " ").otherwise(F.col("name")), "address": F.concat(F.lit("a"), i.cast("string")),
+        "lat": F.when(n(13) == 0, "x").when(n(17) == 0, "46.5").otherwise("35.5"), "lng": F.lit("139.5"),
+        "sources": F.when(n(37) == 0, "elsewhere").when(n(5) == 3, "legacy_local").when(n(41) == 0, "hotpepper, legacy_local").otherwise("Hotpepper"),
+        "url": F.when(n(43) == 0, "other").otherwise(listing), "hotpepper_url": listing, "legacy_id": old,
+        "data_status": F.when(n(47) == 0, "?").when(n(5) == 3, F.when(n(53) == 0, "current").otherwise("legacy_unverified")).otherwise("current"),
+        "last_verified_at": F.when(n(59) == 0, "").when(n(61) == 0, "2030-01-01").when(n(67) == 0, "2026-13-01").otherwise("2026-01-02"),
+        "budget_lunch": F.when(n(71) == 0, "0").otherwise(""), "budget_dinner": F.when(n(73) == 0, "200000").otherwise("3000"), "avg_dinner_budget": F.when(n(79) == 0, "x").otherwise(""),
+        "notes": F.when(n(83) == 0, "via tabelog").otherwise(""),
+    }
+    return places(spark, sf_dir).select(i.alias("row"), *(columns.get(c, F.lit("")).alias(c) for c in publish.OUTPUT_COLUMNS))
+
+
+PUBLISHED = f"""{PLACES}, l0 as (select id, name, case when id % 5 = 3 then '' when id % 7 = 0 then '' when id % 7 = 1 then 'http://www.hotpepper.jp/strJ1/' else 'https://www.hotpepper.jp/strJ' || (id - case when id % 31 = 0 then 2 else 0 end) || '/' end as hotpepper_url,
+  case when id % 5 <> 3 and id % 19 <> 0 then '' when id % 23 = 0 then 'legacy_x' when id % 23 = 1 then '' else 'legacy_' || lpad((id - case when id % 29 = 0 then 5 else 0 end)::varchar, 20, '0') end as legacy_id from places),
+pub as (select id as row, case when id % 11 = 0 then ' ' else name end as name, case when id % 13 = 0 then 'x' when id % 17 = 0 then '46.5' else '35.5' end as lat,
+  case when id % 37 = 0 then 'elsewhere' when id % 5 = 3 then 'legacy_local' when id % 41 = 0 then 'hotpepper, legacy_local' else 'Hotpepper' end as sources, case when id % 43 = 0 then 'other' else hotpepper_url end as url, hotpepper_url, legacy_id,
+  case when id % 47 = 0 then '?' when id % 5 = 3 then case when id % 53 = 0 then 'current' else 'legacy_unverified' end else 'current' end as data_status,
+  case when id % 59 = 0 then '' when id % 61 = 0 then '2030-01-01' when id % 67 = 0 then '2026-13-01' else '2026-01-02' end as last_verified_at,
+  case when id % 71 = 0 then '0' else '' end as budget_lunch, case when id % 73 = 0 then '200000' else '3000' end as budget_dinner, case when id % 79 = 0 then 'x' else '' end as avg_dinner_budget, case when id % 83 = 0 then 'via tabelog' else '' end as notes from l0),
+f as (select *, contains(lower(sources), 'hotpepper') as listed, contains(sources, 'legacy_local') as old, sources = 'elsewhere' as strange,
+  nullif(regexp_extract(hotpepper_url, '^https://www[.]hotpepper[.]jp/str(J[0-9]+)/', 1), '') as hp, case when regexp_full_match(legacy_id, 'legacy_[0-9a-f]{{20}}') then legacy_id end as lid from pub)"""
+_BUDGET = lambda c: f"({c} <> '' and coalesce(not (floor(try_cast({c} as double)) between 1 and 100000), true))"
+
+
+def _rules_sql(rules: dict[str, str], repeats: dict[str, str]) -> str:
+    plain = " union all ".join(f"select row, '{k}' as rule from f where {wrong}" for k, wrong in rules.items())
+    again = " union all ".join(f"select row, '{k}' from (select row, row_number() over (partition by {v.split('|')[0]} order by row) as r from f where {v.split('|')[1]}) where r > 1" for k, v in repeats.items())
+    return f"with {PUBLISHED} {plain} union all {again}"
+
+
+@query(_rules_sql({
+    "V2": "trim(name) = ''", "V3": "strange", "V4": "lat = 'x'", "V5": "lat = '46.5'", "V6": "listed and hotpepper_url = ''", "V7": "hotpepper_url <> '' and hp is null",
+    "V9": "not listed and hotpepper_url <> ''", "V10": "old and lid is null", "V11": "not old and legacy_id <> ''", "V12": "not strange and (listed <> (hotpepper_url <> '') or old <> (legacy_id <> ''))",
+    "V13": "case when hotpepper_url <> '' then url <> hotpepper_url else url <> '' end", "V14": "data_status = '?'", "V15": "data_status = 'current' and not listed", "V16": "last_verified_at <> '2026-01-02'",
+    "V17": " or ".join(map(_BUDGET, ("budget_lunch", "budget_dinner", "avg_dinner_budget"))),
+}, {"V8": "hp|listed and hp is not null", "V10.repeated": "lid|old and lid is not null"}))
 def dq_row_violations(spark, sf_dir):
-    """V: a table of rules to a row for each broken one."""
-    rules = {"V2": F.col("id") % 11 == 0, "V5": ~F.col("lat").between(35.6, 36), "V14": ~F.col("brand").isin("Brand#11", "Brand#12", "Brand#13"), "V17": F.col("price") >= 1800}
-    return snapshot.violations(places(spark, sf_dir), rules, "id")
+    """A row for each rule that a row of a published set breaks."""
+    return publish.row_problems(_published(spark, sf_dir), F.lit("2026-07-01").cast("date"))
 
 
-@query("select 'V19' as rule, count(*) < 1000000 as broken from part union all select 'V20', count(distinct p_name) < 10 from part union all select 'V21', count(distinct p_brand) < 3 from part")
+@query(_rules_sql({
+    "W1": "contains(lower(notes), 'tabelog')", "W2": "lat <> '35.5'", "W3": "sources <> concat_ws(',', case when hotpepper_url <> '' then 'hotpepper' end, case when legacy_id <> '' then 'legacy_local' end)",
+    "W4": "url <> hotpepper_url", "W7": "data_status = '?'", "W8": "data_status = 'current' and hp is null", "W9": "last_verified_at = ''",
+}, {"W5": "hp|hp is not null", "W6": "lid|lid is not null"}))
+def merged_violations(spark, sf_dir):
+    """The same of a merged set."""
+    return publish.merged_problems(_published(spark, sf_dir))
+
+
+@query(f"""with {PUBLISHED}, o as (select count(*) as n, count(distinct case when old then lid end) as ids, count(*) filter (listed) as h, count(*) filter (old) as l, count(*) filter (data_status = 'current') as c, count(*) filter (data_status = 'legacy_unverified') as u, count(*) filter (contains(notes, 'tabelog')) as t from f)
+select unnest(['V18', 'V19', 'V20', 'V21.hotpepper', 'V21.legacy_local', 'V21.current', 'V21.legacy_unverified', 'V22', 'V23.current_snapshot_at', 'V23.legacy_snapshot_at', 'V24', 'V24.age', 'V25.size', 'V25.token']) as rule,
+  unnest([n <> 2000, n < 8444, ids < 4847, h = 0, l = 0, c = 0, u = 0, false, false, true, false, true, true, t > 0]) as broken from o""")
 def dq_dataset_rules(spark, sf_dir):
-    """Rules of a whole set."""
-    one = read(spark, sf_dir, "part").agg(F.count("*").alias("n"), F.countDistinct("p_name").alias("names"), F.countDistinct("p_brand").alias("brands"))
-    rules = F.array(F.struct(F.lit("V19").alias("rule"), (F.col("n") < 1_000_000).alias("broken")), F.struct(F.lit("V20").alias("rule"), (F.col("names") < 10).alias("broken")), F.struct(F.lit("V21").alias("rule"), (F.col("brands") < 3).alias("broken")))
-    return one.select(F.inline(rules))
+    """Rules of a whole set."""
+    metadata = {"total_records": "2000", "source_scope": "hotpepper,legacy_local", "current_snapshot_at": "2026-06-30", "legacy_snapshot_at": "soon", "generated_at_utc": "2026-01-01T00:00:00Z"}
+    return publish.dataset_problems(_published(spark, sf_dir), metadata, datetime(2026, 7, 1, tzinfo=timezone.utc), 6 << 20).select("rule", "broken")
+
+
+def _scans(spark, sf_dir):
+    """Fresh and published rows that meet by id only."""
+    p = places(spark, sf_dir)
+    i, text = F.col("id"), lambda *c: F.concat(*(x.cast("string") if not isinstance(x, str) else F.lit(x) for x in c))
+    listing = text("https://hotpepper.jp/strJ", i, "/x")
+    both = p.select(i.alias("row"), i.alias("id"), text(F.col("name"), " ", i).alias("name"), text("a ", i).alias("address"), F.lit("35.5").alias("lat"), F.lit("139.5").alias("lng"), listing.alias("url"), F.lit("").alias("hotpepper_url"), F.lit("hotpepper").alias("sources"))
+    fresh = both.where("id % 5 <> 0").withColumn("genre", F.when(i % 4 == 0, "").otherwise("new")).withColumn("budget_dinner", F.when(i % 6 == 0, "999999").otherwise("4000.5"))
+    published = both.where("id % 3 <> 0").withColumns({"genre": F.lit("old"), "notes": F.lit("n"), "dinner_budget_min": F.lit("1"), "legacy_id": F.when(i % 2 == 0, F.concat(F.lit("legacy_"), F.lpad(i.cast("string"), 20, "0"))).otherwise(""), "last_verified_at": F.when(i % 7 == 0, "2025-01-01").otherwise("")})
+    return fresh, published
+
+
+@query(f"""with {PLACES}, c as (select id, case when id % 4 = 0 then '' else 'new' end as genre, case when id % 6 = 0 then '' else '4000' end as budget_dinner from places where id % 5 <> 0),
+l as (select id, case when id % 2 = 0 then 'legacy_' || lpad(id::varchar, 20, '0') else '' end as legacy_id, case when id % 7 = 0 then '2025-01-01' else '2026-01-02' end as day from places where id % 3 <> 0)
+select p.name || ' ' || p.id as name, case when c.id is null then 'old' when l.id is null then c.genre else coalesce(nullif(c.genre, ''), 'old') end as genre, case when l.id is null then '' else 'n' end as notes, case when l.id is null then '' else '1' end as dinner_budget_min,
+  coalesce(c.budget_dinner, '') as budget_dinner, coalesce(l.legacy_id, '') as legacy_id, concat_ws(',', 'hotpepper', nullif(case when coalesce(l.legacy_id, '') <> '' then 'legacy_local' else '' end, '')) as sources,
+  'https://hotpepper.jp/strJ' || p.id || '/x' as url, case when c.id is null then 'legacy_unverified' else 'current' end as data_status, case when c.id is null then l.day when l.id is null then '2026-07-16' else greatest(l.day, '2026-07-16') end as last_verified_at,
+  case when c.id is null then 'retained' when l.id is null then 'new' else 'exact' end as how
+from places p left join c using (id) left join l using (id) where c.id is not null or l.id is not null""")
+def public_merge(spark, sf_dir):
+    """The full merge of rows that meet by id."""
+    merged = publish.merge(*_scans(spark, sf_dir), "2026-07-16", "2026-01-02")
+    return merged.rows.select("name", "genre", "notes", "dinner_budget_min", "budget_dinner", "legacy_id", "sources", "url", "data_status", "last_verified_at", "how")
+
+
+def _addressed(spark, sf_dir):
+    i = F.col("id")
+    return places(spark, sf_dir).select("id", "name", F.concat(F.lit("Tokyo "), (i % 50).cast("string"), F.lit("-"), (i % 7).cast("string"), F.lit(" Bldg"), i.cast("string")).alias("address"), F.when(i % 2 == 0, "").otherwise("35.5").alias("lat"), F.when(i % 2 == 0, "").otherwise("139.5").alias("lng"))
+
+
+@query(f"""with {PLACES} select id, case when id % 50 >= 30 then case when id % 2 = 0 then '' else '35.5' end when id % 50 = 4 then '35.5000000' when id % 50 = 5 then '35.5' else '36.0000000' end as lat,
+  case when id % 50 >= 30 then 'failed' when id % 50 = 5 then 'unchanged' else 'updated' end as geocoded from places""")
+def geocode_cache_fill(spark, sf_dir):
+    """Coordinates of simplified addresses from a cache; two blocks have the points that rows may have already."""
+    rows = _addressed(spark, sf_dir)
+    keys = spark.range(30).crossJoin(spark.range(7).withColumnRenamed("id", "m"))
+    cache = keys.select(F.concat(F.lit("tokyo"), F.col("id").cast("string"), F.lit("-"), F.col("m").cast("string")).alias("key"), F.when(F.col("id").isin(4, 5), 35.5).otherwise(36.0).alias("lat"), F.lit(139.5).alias("lng"))
+    return enrich.fill_points(rows, cache, F.lit(True)).select("id", "lat", "geocoded")
+
+
+@query(f"with {PLACES} select 'tokyo' || (id % 50) || '-' || (id % 7) as key, min(name) as name, count(*) as n, min(id) as first from places group by 1")
+def address_groups(spark, sf_dir):
+    """Rows by simplified address."""
+    return enrich.address_groups(_addressed(spark, sf_dir), F.lit(True)).select("key", "name", F.size("ids").cast("bigint").alias("n"), F.col("ids")[0].alias("first"))
+
+
+def _described(spark, sf_dir):
+    """Pages with the markup that the extractors read."""
+    ld = F.concat(F.lit('<script type="application/ld+json">{"@context":"https://schema.org","@type":"Restaurant","@id":"'), F.col("url"), F.lit('","servesCuisine":["a","b"],"geo":{"@type":"GeoCoordinates","latitude":35.'), F.col("page_id").cast("string"), F.lit(',"longitude":139.5}}</script><th>ジャンル</th><td><span>cell</span></td>'))
+    price = F.concat(F.lit('<i class="c-rating-v3__time--x c-rating-v3__time c-rating-v3__time--dinner"></i><em>￥'), F.col("page_id").cast("string"), F.lit("～</em>"))
+    return read(spark, sf_dir, "pages").where("url is not null").select(F.col("page_id").alias("seq"), F.concat(ld, F.when(F.col("page_id") % 2 == 0, price).otherwise(""), F.col("html")).alias("html"))
+
+
+_URL_KEY = "regexp_replace(split_part(split_part(trim(url), '#', 1), '?', 1), '/+$', '')"
+
+
+@query(f"select page_id as seq, {_URL_KEY} as url_key, 'a、b cell' as features from pages")
+def page_features(spark, sf_dir):
+    """JSON-LD and genre cells of pages."""
+    return enrich.page_features(_described(spark, sf_dir))
+
+
+@query(f"select page_id as seq, {_URL_KEY} as url_key, cast('35.' || page_id as double) as lat, 139.5::double as lng from pages")
+def page_points(spark, sf_dir):
+    """Coordinates of pages."""
+    return enrich.page_points(_described(spark, sf_dir))
+
+
+@query(f"select page_id as seq, {_URL_KEY} as url_key, page_id::int as low, cast(null as int) as high from pages where page_id % 2 = 0")
+def page_budgets(spark, sf_dir):
+    """Prices of pages."""
+    return enrich.page_budgets(_described(spark, sf_dir)).select("seq", "url_key", "dinner.low", "dinner.high")
+
+
+@query("select p_partkey as id, case when p_partkey % 5 = 0 then '7' when p_partkey % 3 = 0 then cast(round_even((p_size * 100 + p_size * 101) / 2.0, 0)::bigint as varchar) when p_partkey % 3 = 1 and p_partkey % 2 = 0 then p_partkey::varchar else '' end as avg_dinner_budget from part")
+def average_budget_fill(spark, sf_dir):
+    """Averages from ranges, then from quotes."""
+    i = F.col("p_partkey")
+    part = read(spark, sf_dir, "part")
+    rows = part.select(i.alias("id"), F.when(i % 3 == 0, "tabelog").when(i % 3 == 1, "hotpepper").otherwise("other").alias("sources"), F.concat(F.lit("https://x/strJ"), i.cast("string")).alias("url"), (F.col("p_size") * 100).cast("string").alias("dinner_budget_min"), (F.col("p_size") * 101).cast("string").alias("dinner_budget_max"), F.when(i % 5 == 0, "7").otherwise("").alias("avg_dinner_budget"))
+    quotes = part.where("p_partkey % 2 = 0").select(F.concat(F.lit("J"), i.cast("string")).alias("id"), F.lit("").alias("name"), F.concat(i.cast("string"), F.lit("円")).alias("average"))
+    return enrich.fill_average(rows, quotes).select("id", "avg_dinner_budget")
+
+
+@query("select p_partkey as id, case when p_partkey % 4 <> 0 then '韓国' when p_partkey % 3 = 0 then 'シュラスコ' when p_partkey % 3 = 1 then 'その他' else '韓国' end as genre from part")
+def genre_from_texts(spark, sf_dir):
+    """Genres of vague rows by texts about them."""
+    i = F.col("p_partkey")
+    part = read(spark, sf_dir, "part")
+    rows = part.select(i.alias("id"), F.concat(F.lit("n"), i.cast("string")).alias("name"), F.lit("").alias("url"), F.when(i % 4 == 0, "C").otherwise("S").alias("carnivore_rank"), F.lit("韓国").alias("genre"))
+    cache = part.select(F.concat(F.lit("n"), i.cast("string")).alias("key"), F.when(i % 3 == 0, "a Churrasco").when(i % 3 == 1, "none").otherwise("").alias("text"))
+    return enrich.genre_of_texts(rows, cache).select("id", "genre")
+
+
+@query("select p_name as name, p_type || ', ' || p_brand as genre, 'a, b' as sources, coalesce(case when p_partkey % 2 = 0 then p_size end, case when p_partkey % 3 = 0 then 1 end) as avg_dinner_budget from part where p_partkey % 4 in (0, 1)")
+def export_projection(spark, sf_dir):
+    """K2, F1: stores as rows of an export."""
+    i = F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    made = {"name": F.col("p_name"), "carnivore_rank": F.element_at(F.array(*map(F.lit, "SABC")), (i % 4 + 1).cast("int")), "genres": F.array("p_type", "p_brand"), "sources": F.array(F.lit("b"), F.lit("a")), "budget_dinner": F.when(i % 2 == 0, F.col("p_size")), "budget_lunch": F.when(i % 3 == 0, 1)}
+    stores = read(spark, sf_dir, "part").select(*(made.get(c, none).alias(c) for c in {*files.EXPORT_COLUMNS, "genres"} - {"genre", "avg_dinner_budget"}))
+    return files.export_rows(stores, ["S", "A"]).select("name", "genre", "sources", "avg_dinner_budget")
+
+
+_AUDIT = f"""{PLACES}, o as (select id, case when id % 9 = 0 then null else lat end as lat, lng, case when id % 2 = 0 then 'innercity' else 'widecity' end as town, id % 3 as d from places),
+a as (select *, case when lat is null then null when lng > 139.2 and lng < 139.6 and lat > 35.6 and lat < 35.9 then 'innercity' when lng > 139.0 and lng < 139.8 and lat > 35.5 and lat < 36.0 then 'widecity' end as polygon from o),
+m as (select *, case when lat is null then 'invalid_coords' when polygon is null then 'outside_tokyo_polygon' when town <> polygon then 'address_mismatch' end as reason from a)"""
+
+
+def _audited(spark, sf_dir):
+    ring = lambda a, b, c, d: [[(a, b), (c, b), (c, d), (a, d), (a, b)]]
+    polygons = spark.createDataFrame([(0, "innercity", ring(139.2, 35.6, 139.6, 35.9)), (1, "widecity", ring(139.0, 35.5, 139.8, 36.0))], "seq int, name string, rings array<array<struct<x:double,y:double>>>")
+    districts = spark.createDataFrame([(0, "innercity", "east", 35.7, 139.4), (1, "widecity", "east", 35.7, 139.4)], "seq int, city string, chome string, lat double, lng double")
+    blocks = districts.limit(0).withColumn("gaiku", F.lit(""))
+    i = F.col("id")
+    rows = places(spark, sf_dir).select("id", F.concat(F.when(i % 2 == 0, "innercity").otherwise("widecity"), F.when(i % 3 == 0, "east").when(i % 3 == 1, "west").otherwise("")).alias("address"), F.when(i % 9 != 0, F.col("lat").cast("string")).alias("lat"), F.col("lng").cast("string").alias("lng"))
+    return rows, polygons, districts, blocks
+
+
+@query(f"""with {_AUDIT}, b as (select 35.7 as lat, 139.4 as lng), k as (select a.*, case when polygon is not null and d = 0 then {METRES} end as metres from m a, b)
+select id, concat_ws('|', reason, case when metres > 700 then 'far_from_chome' end) as reasons, coalesce(polygon, '') as detected from k where reason is not null or metres > 700""")
+def suspicious_coordinates(spark, sf_dir):
+    """E15, J9, J12."""
+    return enrich.suspicious(*_audited(spark, sf_dir)).select("id", "reasons", "detected")
+
+
+@query(f"select id, town as target, case when d = 0 then 'fixed_chome_point' when lat is null then 'fixed_set_centroid' when town = 'innercity' and polygon = 'innercity' or town = 'widecity' and polygon is not null then 'fixed_already_inside' else 'fixed_snapped_midpoint' end as correction_status from (with {_AUDIT} select * from m) where reason is not null")
+def corrected_coordinates(spark, sf_dir):
+    """E16, J10, J12, M13."""
+    return enrich.corrected(*_audited(spark, sf_dir)).select("id", "target", "correction_status")
 
 
 @query("select doc_id from documents where regexp_matches(text, 'token = \"[0-9a-f]{20,}|AIza[0-9A-Za-z_-]{30,}|sk-[0-9A-Za-z_-]{20,}|gh[opsu]_[0-9A-Za-z]{30,}')")
@@ -331,17 +515,27 @@ def source_scope_agg(spark, sf_dir):
     return read(spark, sf_dir, "documents").where("lang = 'en'").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("source_scope"))
 
 
-@query()
+_LATTICE = """with recursive c as (select 800 / 111000.0::double as dy, 800 / (111000.0::double * cos(radians((35.4::double + 36.2::double) / 2))) as dx), ys(k, v) as (select 0, 35.4::double union all select k + 1, v + dy from ys, c where v + dy <= 36.2::double), xs(k, v) as (select 0, 138.9::double union all select k + 1, v + dx from xs, c where v + dx <= 140.1::double),
+g as (select ys.k * (select count(*) from xs) + xs.k as seq, round(ys.v, 6) as lat, round(least(case when ys.k % 2 = 1 then xs.v + dx / 2 else xs.v end, 140.1::double), 6) as lng from ys, xs, c)"""
+
+
+@query(f"{_LATTICE} select seq, lat, lng, 800 as radius_m from g")
 def grid_lattice(spark, sf_dir):
     """Hexagonal grid of the default box."""
-    return files.lattice(spark, (35.4, 138.9, 36.2, 140.1), 800, 800)
+    return files.lattice(spark)
+
+
+@query(f"{_LATTICE} select seq // 100 as chunk, count(*) as n, min(lat) as lat from g group by 1")
+def grid_chunks(spark, sf_dir):
+    """S17."""
+    return files.chunked(files.lattice(spark), 100).groupBy("chunk").agg(F.count("*").alias("n"), F.min("lat").alias("lat"))
 
 
-@query("select o_custkey as id, arg_min(o_orderkey, (o_orderdate, o_orderkey)) as kept from orders where o_orderstatus <> 'P' group by 1")
+@query("select o_custkey as id, coalesce(max(o_orderkey) filter (o_orderstatus = 'F'), min(o_orderkey)) as kept from orders group by 1")
 def union_dedupe_first(spark, sf_dir):
-    """The first record of each key."""
-    o = read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
-    return o.groupBy(F.col("o_custkey").alias("id")).agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("kept"))
+    """The last record of the first scan that has a key, else the first of the others."""
+    scans = read(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("rank"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").cast("string").alias("key"))
+    return files.union_scans(scans.withColumn("kept", F.col("seq")), "rank", "seq", "key").select(F.col("key").cast("bigint").alias("id"), "kept")
 
 
 @query("select page_id, url from pages where contains(lower(url), 'blog') order by page_id limit 20")
