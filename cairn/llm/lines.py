@@ -61,6 +61,8 @@ PART_BYTES, PART_WANTED = 192 << 20, 64 << 20
 TESTED = 1 << 18
 #: Bytes of texts in one Arrow batch: words, places and keys take about fifty times that.
 BATCH_BYTES = 1 << 20
+#: Hashes of texts that are broadcast.
+BROADCAST_KEYS = 100_000
 #: Words of more bytes are hashed one by one.
 LONG = 1024
 
@@ -160,19 +162,19 @@ def prefix_keys(h: np.ndarray, count: np.ndarray, line: np.ndarray, begin: np.nd
 
 
 def count_words(docs: DataFrame) -> tuple[np.ndarray, int, int, int, int]:
-    """Words by hash bucket, over all lines (a bound of the lines that have them); lines with a word; least and greatest doc_id; bytes."""
+    """Words by hash bucket, over all lines (a bound of the lines that have them); lines; least and greatest doc_id; bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, lines, size, pending, ids = np.zeros(BUCKETS, np.int64), 0, 0, [], []
         for batch in batches:
             texts = batch["text"].to_pylist()
-            _, h, text_of, _ = line_words(texts)
-            pending.append((h & _MASK).astype(np.int32))
-            lines += len(text_of)
-            size += sum(len(t) for t in texts if t)
+            joined = b"\n".join(t for t in texts if t)
+            pending.append((hash_words(joined)[1] & _MASK).astype(np.int32))
+            lines += joined.count(b"\n") + 1
+            size += len(joined)
             own = batch["doc_id"].drop_null().to_numpy()
             ids += [int(own.min()), int(own.max())] if len(own) else []
-            if sum(map(len, pending)) > BUCKETS // 4:
+            if sum(map(len, pending)) > BUCKETS // 2:
                 total += np.bincount(np.concatenate(pending), minlength=BUCKETS)
                 pending = []
         if pending:
@@ -447,8 +449,12 @@ def dealt(docs: DataFrame) -> DataFrame:
 def words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(o, s): words of the sets in ``wanted`` (o, key, line), read from that line.
 
-    A bitmap of fixed size, of slots that wanted lines fall in, spares most other lines; texts are not shuffled.
+    Texts are not shuffled: up to ``BROADCAST_KEYS`` hashes of wanted texts are broadcast, and a bitmap of
+    fixed size, of slots that wanted lines fall in, spares most other lines.
     """
+    keys = wanted.select("key").distinct()
+    if keys.count() <= BROADCAST_KEYS:
+        docs = docs.join(F.broadcast(keys), "key", "left_semi")
     slot = (F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("bigint").bitwiseAND(common.SLOTS - 1) + F.col("line")).bitwiseAND(common.SLOTS - 1)
     held = docs.sparkSession.sparkContext.broadcast(common.bitmap(wanted.select(slot.alias("slot"))))
 
