@@ -18,7 +18,7 @@ Every match is found among the segments of one gram, with the grams in line:
 Scale: anchors of equal texts collapse map-side, so copies cost one row. The bytes of segments move
 only where a gram has several. Texts meet their spans by hash; a text's spans are bounded by its length.
 
-Defined cases: a null text is empty; texts under 400 bytes lose nothing; equal rows are copies of each
+Defined cases: an empty table gives an empty one; a null text is empty; texts under 400 bytes lose nothing; equal rows are copies of each
 other and lose every byte a 400-byte string covers; other columns pass unread.
 """
 
@@ -238,6 +238,7 @@ def counted_marks(found: DataFrame, cut) -> DataFrame:
 
     A bitmap of fixed size, of strings that are found twice, spares most others the second look.
     """
+    found = cut(found.repartition("c1", "c2"))  # they come in few files
     often = cut(strings(found).groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     asked = found.sparkSession.sparkContext.broadcast(common.bitmap(often.select(F.col("w1").bitwiseAND(common.SLOTS - 1).alias("slot"))))
     return cut(strings(found, asked).join(often, ["w1", "w2"]).groupBy("c1", "c2").agg(F.min("lo").alias("lo"), (F.max("lo") + MATCH).alias("hi")))
@@ -291,9 +292,9 @@ def remove(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5: removed bytes and a hash of the rest of every document."""
+    """op5: removed bytes and a hash of the rest of every document, and whether it had a repeated passage."""
     done = remove(common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    return done.select("doc_id", "__r.n_bytes", "__r.n_removed", "__r.n_spans", F.sha2("__r.kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "__r.n_bytes", "__r.n_removed", "__r.n_spans", F.sha2("__r.kept", 256).alias("kept_sha256"), (F.col("__r.n_removed") > 0).alias("repeated"))
 
 
 def brute_force(texts: list[str | None]) -> list[tuple[int, int, int, str]]:
