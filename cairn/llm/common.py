@@ -91,13 +91,17 @@ def held_in(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
 def cut(df: DataFrame, held: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it from there: its lineage ends.
 
-    The folder is the one the session names in spark.checkpoint.dir; where that is unset, as in
-    tests on one machine, a folder in the warehouse is taken. Tables lie below the application's id
+    The folder is the one the session names in spark.checkpoint.dir; a cluster must name one. Where it is
+    unset on one machine, as in tests, a folder in the warehouse is taken. Tables lie below the application's id
     and may go when the application has ended; those whose paths are in ``held`` can be discarded
     earlier. The write's own shuffle files go when the table is whole.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
     path = f"{folder}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     with swept(spark):
         df.write.option("compression", "zstd").parquet(path)

@@ -10,7 +10,8 @@ within the text) apply, and what passes is compared word by word. Words inside a
 Scale: documents are never shuffled. Two map-only passes read them: one counts the items' shingles
 over all documents (map-side sums; as many rows as items have shingles), one finds the windows. The
 items' index is broadcast in blocks of at most ``BLOCK_BYTES`` of item text, each of which is run
-over all documents, so any number of items works in bounded memory; one block is the usual case.
+over all documents and goes before the next is made, so any number of items works in bounded memory, at
+two passes a block; one block is the usual case.
 
 Defined cases: a null or empty text has no words and is clean; null items have no windows; equal
 windows of several items count for each; items of one id count once; a null item_id is an id of its
@@ -117,7 +118,9 @@ def count_shingles(docs: DataFrame, index: Index) -> dict[tuple[int, int], int]:
             yield pd.DataFrame({"size": [s for s, _ in total], "hash": np.array([h for _, h in total], np.uint64).view(np.int64), "n": list(total.values())})
 
     counted = docs.select("text").mapInPandas(run, "size int, hash long, n long").groupBy("size", "hash").agg(F.sum("n").alias("n"))
-    return {(r["size"], r["hash"] % (1 << 64)): r["n"] for r in counted.collect()}  # as many as the block's shingles
+    out = {(r["size"], r["hash"] % (1 << 64)): r["n"] for r in counted.collect()}  # as many as the block's shingles
+    held.destroy()
+    return out
 
 
 def find(index: Index, texts) -> pd.DataFrame:
@@ -146,43 +149,45 @@ def find(index: Index, texts) -> pd.DataFrame:
 
 
 def finder(docs: DataFrame, index: Index):
-    """A column function: text to ``FOUND``."""
+    """A column function, text to ``FOUND``, and the broadcast index that it uses."""
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf(FOUND)
     def found(text: pd.Series) -> pd.DataFrame:
         return find(held.value, text)
 
-    return found.asNondeterministic()
+    return found.asNondeterministic(), held
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
-    """Indexes of the items, each of about ``block_bytes`` of text at most."""
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, Index]]:
+    """How many indexes there are, and one after the other; each is of about ``block_bytes`` of text at most."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // block_bytes) + 1
     for k in range(n):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield Index([(r["item"], common.words(r["text"])) for r in own.toLocalIterator()])
+        yield n, Index([(r["item"], common.words(r["text"])) for r in own.toLocalIterator()])
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, name: str = "found") -> DataFrame:
     """``docs`` with a column ``name``: struct of n_words, merged hit spans (starts, ends), item ids."""
     common.small_batches(docs.sparkSession)
-    out, held = docs, []
-    for index in blocks(benchmark, block_bytes):
-        index.order(count_shingles(docs, index))
-        held.append(finder(docs, index))
-    if len(held) == 1:
-        return out.withColumn(name, held[0]("text"))
-    # Blocks run one after the other; of each only documents with a hit are kept.
-    parts = [docs.select(common.text_key().alias("k"), f("text").alias("x")).where("size(x.items) > 0") for f in held]
+    parts = []
+    for n, index in blocks(benchmark, block_bytes):
+        counted = count_shingles(docs, index)
+        index.order(counted)
+        found, held = finder(docs, index)
+        if n == 1:
+            return docs.withColumn(name, found("text"))
+        # Blocks run one after the other; of each only documents with a hit are kept, and its index goes.
+        parts.append(common.cut(docs.select(common.text_key().alias("k"), found("text").alias("x")).where("size(x.items) > 0")))
+        held.destroy()
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
     merged = union.dropDuplicates(["k", "x"]).groupBy("k").agg(F.flatten(F.collect_list(F.arrays_zip("x.starts", "x.ends"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("x.items")))).alias("items"))
-    none = Index([])
-    both = docs.withColumn(name, finder(docs, none)("text")).withColumn("__k", common.text_key())
+    none, _ = finder(docs, Index([]))
+    both = docs.withColumn(name, none("text")).withColumn("__k", common.text_key())
     both = both.join(merged.select(F.col("k").alias("__k"), F.col("s").alias("__s"), F.col("items").alias("__items")), "__k", "left")
     both = both.withColumn("__s", F.pandas_udf(_merge, "struct<starts:array<int>,ends:array<int>>")("__s"))
     return both.withColumn(name, F.struct(F.col(name)["n_words"].alias("n_words"), F.col("__s")["starts"].alias("starts"), F.col("__s")["ends"].alias("ends"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"))).drop("__k", "__s", "__items")

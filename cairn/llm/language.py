@@ -34,10 +34,19 @@ _LETTER = regex.compile(r"\p{L}")
 
 
 def segments(text: str | None) -> list[bytes]:
-    """The text's bytes but for blanks, in pieces of at most ``SEGMENT`` bytes with a blank before each."""
+    """The text's bytes but for blanks, in pieces of at most ``SEGMENT`` bytes, cut between characters, with a blank before each."""
     out = []
     for w in common.encode(text).split():
-        out += [b" " + w[i : i + SEGMENT] for i in range(0, len(w), SEGMENT)] if len(w) > SEGMENT else [b" " + w]
+        if len(w) <= SEGMENT:
+            out.append(b" " + w)
+            continue
+        at = 0
+        while at < len(w):
+            end = min(at + SEGMENT, len(w))
+            while end < len(w) and w[end] & 0xC0 == 0x80:  # inside a character
+                end -= 1
+            out.append(b" " + w[at:end])
+            at = end
     return out
 
 

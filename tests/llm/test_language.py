@@ -60,3 +60,10 @@ def test_no_language_goes_by_name(spark, monkeypatch):
     monkeypatch.setattr(language, "MAX_LANGUAGES", 1)
     rows = [(i, " ".join(ROOTS[c]), c) for i, c in enumerate(list(ROOTS) * 20)]
     assert language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["de", "en", "fr"]
+
+
+def test_segments_keep_characters_whole():
+    text = "short " + "ж" * 40 + " " + "漢字" * 20 + " " + "a" * 50
+    parts = language.segments(text)
+    assert b"".join(p[1:] for p in parts) == text.replace(" ", "").encode()
+    assert all(len(p) <= language.SEGMENT + 1 and p[1:].decode() for p in parts)
