@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,18 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def shielded(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose own columns, which begin with __, don't meet those of its first argument."""
+
+    @wraps(f)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        clash = {c: f"kept{k}{c}" for k, c in enumerate(docs.columns) if c.startswith("__")}
+        done = f(docs.withColumnsRenamed(clash) if clash else docs, *args, **kwargs)
+        return done.withColumnsRenamed({v: k for k, v in clash.items()}) if clash else done
+
+    return run
+
+
 def encode(text: str | None) -> bytes:
     """UTF-8 bytes of a text; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

@@ -217,6 +217,7 @@ def contaminated(found="found"):
     return (n_hit(found) > 0) & (SHARE * n_hit(found) >= F.col(found)["n_words"])
 
 
+@common.shielded
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones."""
     return scan(docs, benchmark, name="__found").where(~contaminated("__found")).drop("__found")

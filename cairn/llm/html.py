@@ -246,6 +246,7 @@ def templates(pages: DataFrame) -> DataFrame:
     return often.join(total, "host").where(share | many).select("host", "hash")
 
 
+@common.shielded
 def extract(pages: DataFrame, name: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``pages`` with a column ``name``, their main text."""
     found = common.cut(templates(pages))

@@ -342,6 +342,7 @@ def report(docs: DataFrame) -> DataFrame:
     return met.select("doc_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
+@common.shielded
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group: that of the least doc_id, then of the least text hash.
 

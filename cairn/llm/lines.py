@@ -560,6 +560,7 @@ def remove(docs: DataFrame) -> DataFrame:
     return met.withColumn("__r", rest.asNondeterministic()("text", "__lines")).drop("__key", "__id", "__lines")
 
 
+@common.shielded
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with their columns and the lines that stay."""
     done = remove(docs).withColumn("text", F.col("__r.text"))

@@ -230,6 +230,7 @@ def verdicts(docs: DataFrame, model: Field, name: str = "verdict") -> DataFrame:
     return docs.withColumn(name, verdict.asNondeterministic()("text"))
 
 
+@common.shielded
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` that pass, with their columns."""
     return verdicts(docs, fit(docs, labels), "__verdict").where("__verdict.kept").drop("__verdict")

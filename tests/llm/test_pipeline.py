@@ -44,3 +44,29 @@ def test_run_against_brute_force(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, str(tmp_path))
         assert now.columns == docs.columns
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables; nulls, repeated rows, a long text, and extra columns whose names the stages use too."""
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    text, long = say(80), "\n".join(say(30) for _ in range(3000))
+    rows = [(1, text), (1, text), (2, text), (None, say(90)), (3, None), (4, ""), (5, long), (6, say(70))]
+    extra = ["key", "line", "lines", "c", "n", "found", "verdict", "__r", "k"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    docs = spark.createDataFrame([(d, t, None, None, None, *extra) for d, t in rows], schema)
+    labels, bench = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
+    for name, df in (("labels", labels), ("benchmark", bench)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+        now = common.cut(now)
+    got = {(r["doc_id"], r["text"], r["lang"], r["key"], r["__r"]) for r in now.collect()}
+    assert got == {(d, t, None, "key", "__r") for d, t in {rows[0], (2, ""), rows[3], rows[6], rows[7]}}  # document 2 loses its line, which is document 1's
+    assert now.count() == 5 and corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() == 5
+    now = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+    assert now.count() == 0
