@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. SQL can't express the trained field of the first stage or the merges of the last, so
 there is no ORACLE_SQL; the tests hold run() against brute force.
+
+Defined cases, the stages' own taken together: a null, empty or wordless text fails the quality rules and
+goes in the first stage; a null doc_id or any other null column is kept as it is; repeated rows are judged
+alike, lose the same lines, and one of them stays in the jaccard join, as of all texts that tie; very
+long texts are worked on whole; empty documents, labels or benchmark tables give an empty result, base rules
+alone, or no contamination; columns that ``documents`` has beyond the usual ones pass all stages but the last,
+whatever their names.
 """
 
 from __future__ import annotations
