@@ -251,3 +251,22 @@ def in_boxes(points: DataFrame, polygons: DataFrame, broadcast_rows: int = 1_000
         at = at.withColumn("cx", cell(F.col("lng"), F.col("level"))).withColumn("cy", cell(F.col("lat"), F.col("level")))
         hit = at.join(dealt, ["level", "cx", "cy"]).where(near & N.in_polygon(F.col("lng"), F.col("lat"), F.col("rings")))
     return hit.groupBy("id").agg(F.min_by("name", "seq").alias("polygon"))
+
+
+def fill_blank(rows: DataFrame, table: DataFrame, key: str, column: str, seq: str, where: Column | None = None) -> DataFrame:
+    """``rows`` whose ``column`` is blank (and that ``where`` lets through) get the value of the table's first row of their key."""
+    own = rows.withColumn("__own", F.col(column)).drop(column)
+    met = lookup(own, table.where(F.trim(F.coalesce(F.col(column), F.lit(""))) != ""), key, column, seq)
+    unset = F.trim(F.coalesce("__own", F.lit(""))) == ""
+    wanted = unset if where is None else unset & where
+    return met.withColumn(column, F.when(wanted, F.coalesce(column, "__own")).otherwise(F.col("__own"))).select(*rows.columns)
+
+
+def unmatched(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key the table hasn't."""
+    return rows.join(table.select(key), key, "left_anti")
+
+
+def matched(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key the table has."""
+    return rows.join(table.select(key), key, "left_semi")

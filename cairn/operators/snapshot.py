@@ -92,3 +92,14 @@ def public_rules(as_of: Column, allowed=("hotpepper", "legacy_local"), statuses=
 def repeated(rows: DataFrame, column: str) -> DataFrame:
     """Values that occur more than once, and how often."""
     return rows.where(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(column).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def scope(rows: DataFrame, column: str = "sources") -> DataFrame:
+    """A3: one row, ``source_scope``: the distinct sources of all rows, sorted and joined. ``column``: an array."""
+    return rows.select(F.explode(column).alias("s")).agg(F.array_join(F.array_sort(F.collect_set("s")), ",").alias("source_scope"))
+
+
+def domain_counts(rows: DataFrame, column: str, domain: list[str]) -> DataFrame:
+    """(value, n) of each value of the domain, zero where no row has it. One aggregate, whatever the keys' skew."""
+    one = rows.agg(*(F.count_if(F.col(column) == v).alias(f"c{k}") for k, v in enumerate(domain)))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(v).alias("value"), F.col(f"c{k}").alias("n")) for k, v in enumerate(domain)))))

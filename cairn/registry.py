@@ -212,7 +212,7 @@ def keyword_score_rank(spark, sf_dir):
 @query(f"with s as ({SQL['keyword_score_rank']}) select doc_id, score, rank from s where rank in ('S', 'A')")
 def rank_filter_export(spark, sf_dir):
     """F1, K2."""
-    return keyword_score_rank(spark, sf_dir).where(F.col("rank").isin("S", "A"))
+    return score.of_rank(keyword_score_rank(spark, sf_dir), ["S", "A"], "rank")
 
 
 RULES = [("steel", ["steel", "STEEL"]), ("brass", ["brass", "BRASS"]), ("tin", ["tin", "TIN"])]
@@ -256,22 +256,23 @@ def last_wins_lookup(spark, sf_dir):
 @query(f"with x as ({_lookup(False)}) select c_custkey, coalesce(nullif(case when c_custkey % 3 = 0 then '' else c_mktsegment end, ''), priority, '') as filled from x join customer using (c_custkey)")
 def fill_blank_from_lookup(spark, sf_dir):
     """J15."""
-    rows = _orders(spark, sf_dir, False).join(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
-    return rows.select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")), F.col("priority"), F.lit("")).alias("filled"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).otherwise("").alias("filled"))
+    table = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("filled"), F.col("o_orderkey").alias("seq"))
+    return match.fill_blank(rows, table, "c_custkey", "filled", "seq")
 
 
 @query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 400000)")
 def anti_unmatched(spark, sf_dir):
     """Customers without a large order."""
-    large = read(spark, sf_dir, "orders").where("o_totalprice > 400000")
-    return read(spark, sf_dir, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    large = read(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return match.unmatched(read(spark, sf_dir, "customer").select("c_custkey"), large, "c_custkey")
 
 
 @query(f"with {PLACES} select id from places where lng < 139.2 and id in (select l_partkey from lineitem where l_quantity >= 49)")
 def west_outliers(spark, sf_dir):
     """F4, J16."""
     keys = read(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("id"))
-    return places(spark, sf_dir).where("lng < 139.2").join(keys, "id", "left_semi").select("id")
+    return enrich.west_outliers(places(spark, sf_dir), 139.2, keys).select("id")
 
 
 @query("select p_name, count(*) as n from part group by 1 having count(*) > 1")
@@ -512,7 +513,7 @@ def status_source_counts(spark, sf_dir):
 @query("select string_agg(source, ',' order by source) as source_scope from (select distinct source from documents where lang = 'en')")
 def source_scope_agg(spark, sf_dir):
     """A3."""
-    return read(spark, sf_dir, "documents").where("lang = 'en'").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("source_scope"))
+    return snapshot.scope(read(spark, sf_dir, "documents").where("lang = 'en'").select(F.array("source").alias("sources")))
 
 
 _LATTICE = """with recursive c as (select 800 / 111000.0::double as dy, 800 / (111000.0::double * cos(radians((35.4::double + 36.2::double) / 2))) as dx), ys(k, v) as (select 0, 35.4::double union all select k + 1, v + dy from ys, c where v + dy <= 36.2::double), xs(k, v) as (select 0, 138.9::double union all select k + 1, v + dx from xs, c where v + dx <= 140.1::double),
@@ -541,4 +542,18 @@ def union_dedupe_first(spark, sf_dir):
 @query("select page_id, url from pages where contains(lower(url), 'blog') order by page_id limit 20")
 def name_search_topk(spark, sf_dir):
     """Search with a limit, which is the feature."""
-    return read(spark, sf_dir, "pages").where(F.contains(F.lower("url"), F.lit("blog"))).select("page_id", "url").orderBy("page_id").limit(20)
+    return score.search(read(spark, sf_dir, "pages").select("page_id", "url"), "url", "blog", ["page_id"], 20)
+
+
+@query("select v as value, (select count(*) from orders where o_orderstatus = v) as n from (select unnest(['F', 'O', 'P', 'none']) as v)")
+def domain_counts(spark, sf_dir):
+    """Counts of a domain's values, zeros too."""
+    return snapshot.domain_counts(read(spark, sf_dir, "orders"), "o_orderstatus", ["F", "O", "P", "none"])
+
+
+@query("select distinct page_id as seq, regexp_replace(trim(link), '[?#].*$', '') as link, 'missing' as problem from (select page_id, unnest(regexp_extract_all(html, '(?i)\\b(?:href|src)\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)) as link from pages) where not regexp_matches(link, '(?i)^\\s*(?:[a-z][a-z0-9+.-]*:|//|#)') and regexp_replace(trim(link), '[?#].*$', '') <> '' and not contains(link, 'img')")
+def local_links(spark, sf_dir):
+    """Local links of pages, with images as the files that there are."""
+    links = enrich.local_links(read(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), "html"))
+    there = links.where(F.contains("link", F.lit("img"))).select(F.regexp_replace("link", "^/+", "").alias("path"))
+    return enrich.missing_links(links, there)
