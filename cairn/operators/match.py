@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,16 +159,24 @@ def cluster_report(points: DataFrame, clusters: DataFrame, columns: list[str]) -
     return own.select("cluster", "size", *joined)
 
 
+#: Columns of a raw record beyond seq, source, external_id, name, lat, lng and genres, with their types.
+OPTIONAL = {"phone": "string", "url": "string", "address": "string", "description": "string", "rating": "double", "review_count": "bigint", "budget_lunch": "bigint", "budget_dinner": "bigint"}
+
+
 def greedy_merge(raws: DataFrame, radius_m: float = 150) -> DataFrame:
     """Records folded in order of ``seq`` into the first store of equal phone, or of equal name within the radius.
 
-    ``raws``: seq, source, external_id, name, phone, lat, lng, url, genres. A match needs an equal phone
-    or name, so the fold of each connected component of these equalities is the whole fold. A component
-    is folded in one task, as each step depends on the ones before; its size is that of a name's or
-    phone's chain, and is what bounds memory.
+    ``raws``: seq, source, external_id, name, lat, lng, genres, and of ``OPTIONAL`` what there is. A store keeps its
+    name; phone, URL and address are filled if empty, the rest of ``OPTIONAL`` if null; a point is replaced if a
+    coordinate of it is 0; genres and sources add up, and the first id of a source counts.
+
+    A match needs an equal phone or name, so the fold of each connected component of these equalities is the
+    whole fold. A component is folded in one task, as each step depends on the ones before; its size is that
+    of a name's or phone's chain, and is what bounds memory.
     """
-    columns = ["seq", "source", "external_id", "name", "phone", "lat", "lng", "url", "genres"]
-    keyed = raws.select(*columns).withColumn("p", X.phone_key(F.col("phone"))).withColumn("n", X.name_key(F.col("name")))
+    plain = ["seq", "source", "external_id", "name", "lat", "lng", "genres"]
+    optional = [(F.col(c) if c in raws.columns else F.lit(None)).cast(t).alias(c) for c, t in OPTIONAL.items()]
+    keyed = raws.select(*plain, *optional).withColumn("p", X.phone_key(F.col("phone"))).withColumn("n", X.name_key(F.col("name")))
 
     def first(c: str) -> DataFrame:
         rows = keyed.where(F.col(c).isNotNull()).select(c, "seq")
@@ -178,26 +187,49 @@ def greedy_merge(raws: DataFrame, radius_m: float = 150) -> DataFrame:
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         stores: list[dict] = []
+        by_phone: dict[str, int] = {}
+        by_name: dict[str, list[int]] = {}
         for r in rows.sort_values("seq").to_dict("records"):
-            for s in stores:
-                if r["p"] and r["p"] == s["p"] or r["n"] and r["n"] == s["n"] and _metres(r, s) <= radius_m:
-                    s["seqs"].append(r["seq"])
-                    s["sources"] = sorted({*s["sources"], r["source"]})
-                    s["genres"] += [g for g in (r["genres"] if r["genres"] is not None else []) if g not in s["genres"]]
-                    for c in ("url", "phone", "p"):
-                        s[c] = s[c] or r[c]
-                    if (s["lat"] == 0 or s["lng"] == 0) and r["lat"] and r["lng"]:
-                        s["lat"], s["lng"] = r["lat"], r["lng"]
+            r = {c: v if isinstance(v, (list, np.ndarray)) else None if pd.isna(v) else v for c, v in r.items()}
+            r["genres"] = list(dict.fromkeys(r["genres"])) if r["genres"] is not None else []
+            at = by_phone.get(r["p"]) if r["p"] else None
+            for k in by_name.get(r["n"], ()) if r["n"] else ():
+                if at is not None and k >= at:
                     break
+                if _metres(r, stores[k]) <= radius_m:
+                    at = k
+            if at is None:
+                at = len(stores)
+                stores.append(r | {"seqs": [r["seq"]], "sources": {r["source"]}, "external_ids": {r["source"]: r["external_id"]}})
+                if r["n"]:
+                    by_name.setdefault(r["n"], []).append(at)
             else:
-                stores.append(r | {"seqs": [r["seq"]], "sources": [r["source"]], "genres": list(dict.fromkeys(r["genres"])) if r["genres"] is not None else []})
-        return pd.DataFrame([{"store_id": f"{s['source']}:{s['external_id']}", "name": s["name"], "phone": s["phone"], "lat": s["lat"], "lng": s["lng"], "url": s["url"], "genres": s["genres"], "sources": s["sources"], "seqs": s["seqs"]} for s in stores])
-
-    schema = "store_id string, name string, phone string, lat double, lng double, url string, genres array<string>, sources array<string>, seqs array<long>"
+                s = stores[at]
+                s["seqs"].append(r["seq"])
+                s["sources"].add(r["source"])
+                s["external_ids"].setdefault(r["source"], r["external_id"])
+                s["genres"] += [g for g in r["genres"] if g not in s["genres"]]
+                if not s["phone"]:
+                    s["phone"], s["p"] = r["phone"], r["p"]
+                for c in ("url", "address"):
+                    s[c] = s[c] or r[c]
+                for c in ("description", "rating", "review_count", "budget_lunch", "budget_dinner"):
+                    s[c] = r[c] if s[c] is None else s[c]
+                if (s["lat"] == 0 or s["lng"] == 0) and r["lat"] and r["lng"]:
+                    s["lat"], s["lng"] = r["lat"], r["lng"]
+            if stores[at]["p"]:
+                by_phone[stores[at]["p"]] = min(at, by_phone.get(stores[at]["p"], at))
+        made = [s | {"store_id": f"{s['source']}:{s['external_id']}", "sources": sorted(s["sources"])} for s in stores]
+        return pd.DataFrame([[s[c] for c in columns] for s in made], columns=columns).astype({c: "Int64" for c in ("review_count", "budget_lunch", "budget_dinner")})
+
+    schema = "store_id string, name string, lat double, lng double, genres array<string>, sources array<string>, external_ids map<string,string>, seqs array<long>, " + ", ".join(f"{c} {t}" for c, t in OPTIONAL.items())
+    columns = [c.strip().split()[0] for c in schema.replace("map<string,string>", "map").split(", ")]
     return keyed.join(labels.withColumnRenamed("node", "seq"), "seq").groupBy("label").applyInPandas(fold, schema)
 
 
 def _metres(a: dict, b: dict) -> float:
+    if None in (a["lat"], a["lng"], b["lat"], b["lng"]):
+        return math.inf
     y1, y2 = math.radians(a["lat"]), math.radians(b["lat"])
     h = math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin(math.radians(b["lng"] - a["lng"]) / 2) ** 2
     return 2 * N.EARTH_M * math.atan2(math.sqrt(h), math.sqrt(1 - h))

@@ -26,6 +26,27 @@ def test_greedy_merge_equals_a_plain_fold(spark):
     assert sorted(r["seqs"] for r in match.greedy_merge(df).collect()) == sorted(s["seqs"] for s in stores)
 
 
+def test_fusion_of_records(spark):
+    schema = "seq long, source string, external_id string, name string, phone string, lat double, lng double, url string, genres array<string>, address string, description string, rating double, review_count long, budget_lunch long, budget_dinner long"
+    rows = [
+        (1, "a", "1", "Shop", None, 0.0, 139.0, "", ["x", "y"], None, "", None, None, None, 900),
+        (2, "a", "2", "Other", "03-1", 35.0, 139.0, "u", ["y", "z"], "here", "told", 4.0, 7, 800, 1000),
+        (3, "b", "3", "s hop", "03-1", 0.0, 139.0, None, None, None, None, None, None, None, None),
+        (4, "b", "4", "New", "-", 35.0, 139.0, None, ["x"], None, None, None, None, None, None),
+        (5, "b", "5", "new", "03-9", 35.0, 139.0, None, ["x"], None, None, None, None, None, None),
+        (6, "c", "6", "Fresh", "03-9", 36.0, 140.0, None, ["x"], None, None, None, None, None, None),
+    ]
+    got = {r["store_id"]: r for r in match.greedy_merge(spark.createDataFrame(rows, schema)).collect()}
+    # 3 has the name of 1 and the phone of 2: the first store counts, and takes the phone. A phone without digits stays.
+    assert {k: r["seqs"] for k, r in got.items()} == {"a:1": [1, 3], "a:2": [2], "b:4": [4, 5], "c:6": [6]}
+    one = got["a:1"]
+    assert (one["name"], one["phone"], one["description"], one["budget_dinner"], one["sources"], one["external_ids"], one["genres"]) == ("Shop", "03-1", "", 900, ["a", "b"], {"a": "1", "b": "3"}, ["x", "y"])
+    assert got["b:4"]["phone"] == "-" and got["a:2"]["rating"] == 4.0 and got["a:2"]["review_count"] == 7
+    more = match.greedy_merge(spark.createDataFrame([rows[1], (7, "b", "7", "Third", "031", 36.0, 140.0, "v", ["q"], "there", "x", 1.0, 1, 1, 1), (8, "a", "8", "Zero", "03 1", 0.0, 0.0, None, [], None, None, None, None, None, None)], schema)).collect()
+    assert [(r["seqs"], r["genres"], r["url"], r["lat"], r["external_ids"]) for r in more] == [([2, 7, 8], ["y", "z", "q"], "u", 35.0, {"a": "2", "b": "7"})]
+    assert "rating" in match.greedy_merge(spark.createDataFrame(rows, schema).select("seq", "source", "external_id", "name", "lat", "lng", "genres")).columns
+
+
 def test_distance_pairs_against_all(spark):
     rng = random.Random(2)
     pts = [(i, 35 + rng.random() / 100, 139 + rng.random() / 100) for i in range(120)] + [(200, None, 139.0), (201, float("nan"), 139.0)]
