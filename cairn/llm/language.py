@@ -59,10 +59,6 @@ def padded(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids, mask
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
 class Network:
     """Two gated recurrent layers, one in each direction, and a softmax."""
 
@@ -81,16 +77,30 @@ class Network:
     def _layer(self, d: str, ids: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """States at each position. Gates: update z, reset r, candidate n."""
         b, steps, h = *ids.shape, self.hidden
-        wx, wh, c = self.w[f"x{d}"], self.w[f"h{d}"], self.w[f"c{d}"]
+        table, wh = self.w[f"x{d}"] + self.w[f"c{d}"], self.w[f"h{d}"]
+        # One product for gates and one for candidates; gates are halved here for the tanh of their sigmoid.
+        gate_table, gate_w, rest_w = table[:, : 2 * h] * np.float32(0.5), wh[:, : 2 * h] * np.float32(0.5), np.ascontiguousarray(wh[:, 2 * h :])
+        rest_table = np.ascontiguousarray(table[:, 2 * h :])
         state, out, tape = np.zeros((b, h), np.float32), np.zeros((b, steps, h), np.float32), []
+        whole = mask.all(axis=0)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            x = wx[ids[:, t]] + c
-            gates = sigmoid(x[:, : 2 * h] + state @ wh[:, : 2 * h])
+            at = ids[:, t]
+            gates = gate_table[at]
+            gates += state @ gate_w
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= np.float32(0.5)
             z, r = gates[:, :h], gates[:, h:]
             rs = r * state
-            n = np.tanh(x[:, 2 * h :] + rs @ wh[:, 2 * h :])
+            n = rest_table[at]
+            n += rs @ rest_w
+            np.tanh(n, out=n)
+            new = n - state
+            new *= z
+            new += state
             here = mask[:, t, None]
-            new = np.where(here, state + z * (n - state), state)
+            if not whole[t]:
+                new = np.where(here, new, state)
             if keep:
                 tape.append((t, state, z, r, rs, n, here))
             state = new
@@ -169,8 +179,9 @@ class Network:
             own = order[at : at + ROWS]
             ids, mask = padded([batch[i] for i in own])
             s = self.log_probabilities(ids, mask)
-            out[own, :k] = (s * mask[:, :, None]).sum(axis=1)
-            out[own, k : 2 * k] = (np.exp(s) * mask[:, :, None]).sum(axis=1)
+            here = mask[:, :, None].astype(np.float32)
+            out[own, :k] = (s * here).sum(axis=1)
+            out[own, k : 2 * k] = (np.exp(s, out=s) * here).sum(axis=1)
             out[own, 2 * k] = mask.sum(axis=1)
         return out
 
