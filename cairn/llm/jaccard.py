@@ -11,13 +11,13 @@ classes (by agreement of their labels) are found with reach the target: a pair o
 length d with probability 1 - (1 - s^d)^TREES, so the mean of its inverse over what was found tells what
 wasn't. At ``SHORTEST`` even a pair at the threshold is found with 0.999997, so there it ends.
 
-* Nodes of at most ``SMALL`` classes give their pairs, each at its longest common prefix, which are
-  bounded by SMALL a row. Pairs whose labels agree too rarely for the threshold (six standard
+* Nodes (of ``SHORTEST`` values) of at most ``SMALL`` classes give their pairs, each at its longest common prefix,
+  which are bounded by SMALL a row. Pairs whose labels agree too rarely for the threshold (six standard
   deviations) go; the rest are verified.
-* Larger nodes give no pairs but links between neighbours, as far as their children don't give theirs.
-  What is linked is a crowd; it is cut by size, as similar sets are at most five to four, and into blocks of at
-  most ``BLOCK`` shingles. Pairs of blocks of near sizes meet in a task each, which counts exact
-  intersections by matrix products and gives only numbers of links and a spanning forest.
+* Larger nodes give no pairs but links between neighbours. What is linked is a crowd, of which all pairs
+  are looked at; it is cut by size, as similar sets are at most five to four, and into blocks of at most
+  ``BLOCK`` shingles. Pairs of blocks of near sizes meet in a task each, which counts exact intersections
+  by matrix products and gives only numbers of links and a spanning forest.
 
 Links are therefore complete, up to the forest's recall, without a row for each pair of a group.
 Only classes in a node of two or more have their texts read a second time.
@@ -194,7 +194,7 @@ def count_block(parts: pd.DataFrame, i: str, j: str) -> pd.DataFrame:
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """(a, b, at, crowd): pairs of classes that share a prefix of length ``at``, and links inside of large nodes (``crowd``)."""
+    """(a, b, at, crowd): pairs of classes that share a prefix of length ``at`` and no longer one in a tree, and links of neighbours in large nodes (``crowd``)."""
     spark = classes.sparkSession
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * deal
@@ -254,16 +254,16 @@ def trie_pairs(rows: np.ndarray, small: int) -> Iterator[pa.RecordBatch]:
         x, y = np.where(turn, y, x), np.where(turn, x, y)
         return pa.record_batch({"a": whole.take(pa.array(x)), "b": whole.take(pa.array(y)), "at": pa.array(np.full(len(x), at, np.int8)), "crowd": pa.array(np.full(len(x), crowd))})
 
+    node = np.cumsum(shared == 0) - 1
+    large = (np.bincount(node) > small)[node]
+    link = np.flatnonzero((shared > 0) & large)
+    if len(link):
+        yield batch(link - 1, link, SHORTEST, True)
     child = np.arange(len(rows))  # nodes one value longer
     for at in range(DEPTH, SHORTEST - 1, -1):
         node = np.cumsum(shared < at) - 1
-        size = np.bincount(node)
-        end = np.cumsum(size)[node]
-        large = size[node] > small
-        link = np.flatnonzero((shared == at) & large)
-        if len(link):
-            yield batch(link - 1, link, at, True)
-        # Pairs of different children of small nodes: from a row to all behind its own child.
+        end = np.cumsum(np.bincount(node))[node]
+        # Pairs of different children of a node: from a row to all behind its own child.
         last = np.searchsorted(child, child, "right")
         many = np.where(large, 0, end - last)
         for lo in range(0, len(rows), 1 << 16):
@@ -280,7 +280,12 @@ def links(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame
     rows = common.cut(signed(docs))
     members = rows.select("doc_id", "key", "c")
     classes = common.cut(rows.where("c is not null").groupBy("c").agg(F.count("*").alias("m"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("labels").alias("labels")))
-    met = common.cut(forest(classes).groupBy("a", "b").agg(F.max(F.when(~F.col("crowd"), F.col("at"))).alias("at"), F.max(F.when(F.col("crowd"), F.col("at"))).alias("crowd")))
+    met = common.cut(forest(classes).groupBy("a", "b").agg(F.max("at").alias("at"), F.bool_or("crowd").alias("crowd")))
+
+    # Crowds: what large nodes link.
+    crowd = common.cut(components(met.where("crowd").select("a", "b")).select(F.col("node").alias("c"), F.col("label").alias("crowd")))
+    own = lambda x: crowd.select(F.col("c").alias(x), F.col("crowd").alias(f"c{x}"))
+    apart = met.where("not crowd").select("a", "b", "at").join(own("a"), "a", "left").join(own("b"), "b", "left").where("ca is null or cb is null or ca <> cb")
 
     # Pairs of small nodes whose labels and sizes allow the threshold.
     about = lambda x: classes.select(F.col("c").alias(x), F.struct("n", "labels", "m").alias(f"{x}_"))
@@ -288,15 +293,12 @@ def links(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame
     s, total = NUMERATOR / DENOMINATOR, TREES * DEPTH
     least = int(total * s - 6 * (total * s * (1 - s)) ** 0.5)
     sizes = (F.col("a_.n") * DENOMINATOR >= F.col("b_.n") * NUMERATOR) & (F.col("b_.n") * DENOMINATOR >= F.col("a_.n") * NUMERATOR)
-    near = met.where("at is not null").select("a", "b", "at").join(about("a"), "a").join(about("b"), "b").where(sizes).withColumn("agree", agree).where(F.col("agree") >= least)
+    near = apart.select("a", "b", "at").join(about("a"), "a").join(about("b"), "b").where(sizes).withColumn("agree", agree).where(F.col("agree") >= least)
     near = common.cut(near.select("a", "b", "at", "agree", F.col("a_.m").alias("ma"), F.col("b_.m").alias("mb")))
     # At most (DEPTH - SHORTEST + 1) * TREES * DEPTH numbers reach the driver.
     length = shortened([(r["at"], r["agree"], r["count"]) for r in near.groupBy("at", "agree").count().collect()], recall)
 
-    # Crowds: large nodes of prefixes that long.
-    crowd = common.cut(components(met.where(F.col("crowd") >= length).select("a", "b")).select(F.col("node").alias("c"), F.col("label").alias("crowd")))
-    pairs = near.where(F.col("at") >= length).join(crowd.select(F.col("c").alias("a"), F.col("crowd").alias("ca")), "a", "left").join(crowd.select(F.col("c").alias("b"), F.col("crowd").alias("cb")), "b", "left").where("ca is null or cb is null or ca <> cb")
-    pairs = common.cut(pairs.select("a", "b", "ma", "mb"))
+    pairs = near.where(F.col("at") >= length).select("a", "b", "ma", "mb")
 
     wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(crowd.select("c")).distinct()
     sets = common.cut(sets_of(docs, wanted.join(classes, "c").select("key", "c")))

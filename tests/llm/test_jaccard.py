@@ -107,14 +107,15 @@ def test_forest_finds_the_longest_shared_prefix():
                 want[x, y] = same
     got = pairs_of(rows, 10**6)
     assert got[False] == want and want and not got[True]
-    # Large nodes: every such pair is linked through neighbours.
-    got = pairs_of(rows, 1)
-    assert not got[False] and set(got[True]) <= set(want)
-    group = list(range(40))
-    for _ in range(40):
-        for a, b in got[True]:
-            group[a] = group[b] = min(group[a], group[b])
-    assert all(group[a] == group[b] for a, b in want)
+    # Large nodes: every such pair is given or linked through neighbours.
+    for small in (1, 3, 8):
+        got = pairs_of(rows, small)
+        assert set(got[True]) <= set(want) and set(got[False]) <= set(want) and got[True]
+        group = list(range(40))
+        for _ in range(40):
+            for a, b in got[True]:
+                group[a] = group[b] = min(group[a], group[b])
+        assert all(p in got[False] or group[p[0]] == group[p[1]] for p in want)
     assert not list(jaccard.trie_pairs(rows[:0], 4)) and not list(jaccard.trie_pairs(rows[:1], 4))
 
 
