@@ -16,7 +16,8 @@ Every match is found among the segments of one gram, with the grams in line:
   hashed (128 bits) and counted by Spark instead, which is exact and has no large group.
 
 Scale: anchors of equal texts collapse map-side, so copies cost one row. The bytes of segments move
-only where a gram has several. Texts meet their spans by hash; a text's spans are bounded by its length.
+only where a gram has several. A segment that very many texts have meets its marks in several tasks.
+Texts meet their spans by hash; a text's spans are bounded by its length.
 
 Defined cases: an empty table gives an empty one; a null text is empty; texts under 400 bytes lose nothing; equal rows are copies of each
 other and lose every byte a 400-byte string covers; other columns pass unread.
@@ -38,6 +39,8 @@ MATCH, GRAM = 400, 24
 LEFT = MATCH - GRAM
 WIDTH = LEFT + MATCH
 CHUNK, ROWS, CROWDED = 1 << 19, 4096, 20_000
+#: A segment of more anchors than this, and than a thousandth of all, meets its marks in several tasks.
+HOT = 10_000
 
 _RNG = np.random.default_rng(5)
 _VALUE = _RNG.integers(1, 1 << 63, (2, 256), np.uint64)
@@ -249,7 +252,7 @@ def spans(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     held: list[str] = []
     cut = lambda df: common.cut(df, held)
     rows = cut(anchor_rows(docs))
-    different = cut(rows.groupBy("g", "c1", "c2").agg(F.sum("m").alias("m"), F.min(F.struct("key", "at")).alias("one")))
+    different = cut(rows.groupBy("g", "c1", "c2").agg(F.sum("m").alias("m"), F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one")))
     several = different.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
     wanted = cut(different.join(several, "g").select("g", "c1", "c2", "one.key", "one.at", "k"))
     found = cut(segments(docs, wanted.drop("k")).join(several, "g"))
@@ -257,7 +260,13 @@ def spans(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     twice = different.where("m > 1").select("c1", "c2", F.lit(0).alias("lo"), F.lit(WIDTH).alias("hi"))
     all_marks = marks.unionByName(twice).groupBy("c1", "c2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     place = F.col("at").bitwiseAND(0xFFFFFFFF) - LEFT
-    hit = rows.join(all_marks, ["c1", "c2"]).select("key", F.shiftright("at", 32).cast("int").alias("more"), F.struct((place + F.col("lo")).alias("s"), (place + F.col("hi")).alias("e")).alias("x"))
+    # At most a thousand segments are hot; they are dealt by anchor too.
+    least = max(HOT, rows.count() // 1000)
+    hot = F.broadcast(different.where(F.col("n") > least).select("c1", "c2", (F.col("n") / least).cast("int").alias("salts")))
+    salt = F.coalesce(F.pmod(F.xxhash64("key", "at"), F.col("salts") + 1).cast("int"), F.lit(0))
+    dealt = rows.join(hot, ["c1", "c2"], "left").withColumn("salt", salt)
+    copied = all_marks.join(hot, ["c1", "c2"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(0))))).drop("salts")
+    hit = dealt.join(copied, ["c1", "c2", "salt"]).select("key", F.shiftright("at", 32).cast("int").alias("more"), F.struct((place + F.col("lo")).alias("s"), (place + F.col("hi")).alias("e")).alias("x"))
     done = common.cut(hit.groupBy("key", "more").agg(F.collect_list("x").alias("spans")))
     common.discard(docs.sparkSession, held)
     return done

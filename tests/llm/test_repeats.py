@@ -21,6 +21,7 @@ def data():
 @pytest.mark.parametrize(("crowded", "rows_"), [(20_000, 4096), (20_000, 4), (3, 4096)])
 def test_against_brute_force(spark, monkeypatch, crowded, rows_):
     monkeypatch.setattr(repeats, "ROWS", rows_)
+    monkeypatch.setattr(repeats, "HOT", rows_ // 4)
     texts = data()
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string")
     import hashlib
