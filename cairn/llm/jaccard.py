@@ -14,7 +14,7 @@ wasn't. At ``SHORTEST`` even a pair at the threshold is found with 0.999997, so
 * Nodes (of ``SHORTEST`` values) of at most ``SMALL`` classes give their pairs, each at its longest common prefix,
   which are bounded by SMALL a row. Pairs whose labels agree too rarely for the threshold (six standard
   deviations) go; the rest are verified.
-* Larger nodes give no pairs but links between neighbours. What is linked is a crowd, of which all pairs
+* Larger nodes give no pairs but links to their least class. What is linked is a crowd, of which all pairs
   are looked at; it is cut by size, as similar sets are at most five to four, and into blocks of at most
   ``BLOCK`` shingles. Pairs of blocks of near sizes meet in a task each, which counts exact intersections
   by matrix products and gives only numbers of links and a spanning forest.
@@ -194,7 +194,7 @@ def count_block(parts: pd.DataFrame, i: str, j: str) -> pd.DataFrame:
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """(a, b, at, crowd): pairs of classes that share a prefix of length ``at`` and no longer one in a tree, and links of neighbours in large nodes (``crowd``)."""
+    """(a, b, at, crowd): pairs of classes that share a prefix of length ``at`` and no longer one in a tree, and links to the least class of large nodes (``crowd``)."""
     spark = classes.sparkSession
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * deal
@@ -256,9 +256,14 @@ def trie_pairs(rows: np.ndarray, small: int) -> Iterator[pa.RecordBatch]:
 
     node = np.cumsum(shared == 0) - 1
     large = (np.bincount(node) > small)[node]
-    link = np.flatnonzero((shared > 0) & large)
+    # A large node's classes are linked to its least, which is often the same in many tries.
+    order = np.lexsort((rows["lo"], rows["hi"]))
+    rank = np.empty(len(rows), np.int64)
+    rank[order] = np.cumsum(np.concatenate(([0], (rows["hi"][order[1:]] != rows["hi"][order[:-1]]) | (rows["lo"][order[1:]] != rows["lo"][order[:-1]]))))
+    head = np.flatnonzero(rank == np.minimum.reduceat(rank, np.flatnonzero(shared == 0))[node])[node]
+    link = np.flatnonzero((head != np.arange(len(rows))) & large)
     if len(link):
-        yield batch(link - 1, link, SHORTEST, True)
+        yield batch(head[link], link, SHORTEST, True)
     child = np.arange(len(rows))  # nodes one value longer
     for at in range(DEPTH, SHORTEST - 1, -1):
         node = np.cumsum(shared < at) - 1

@@ -107,7 +107,7 @@ def test_forest_finds_the_longest_shared_prefix():
                 want[x, y] = same
     got = pairs_of(rows, 10**6)
     assert got[False] == want and want and not got[True]
-    # Large nodes: every such pair is given or linked through neighbours.
+    # Large nodes: every such pair is given or linked.
     for small in (1, 3, 8):
         got = pairs_of(rows, small)
         assert set(got[True]) <= set(want) and set(got[False]) <= set(want) and got[True]
