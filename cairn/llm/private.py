@@ -190,5 +190,6 @@ def joined(spans: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: personal data in every document."""
     found = detect(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda x, n=n: x.k == n)).cast("bigint").alias(f"n_{k}") for n, k in enumerate(KINDS)]
+    count = lambda n: F.size(F.filter("base", lambda x: x.k == n)).cast("bigint")
+    counts = [count(n).alias(f"n_{k}") for n, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "new")).alias("spans"))

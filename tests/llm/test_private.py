@@ -68,3 +68,10 @@ def test_accepted_instances_support_patterns(spark):
     got = found(spark, rows)
     assert all(got[i] == [rows[i - 80][1].split()[-1]] for i in range(100, 117))
     assert all(not got[i] for i in range(126, 146))
+
+
+def test_query_counts_kinds(spark, tmp_path):
+    rows = [(1, "a@b.c, d@e.f from 10.0.0.1 or +1 (555) 123-4567"), (2, "4111 1111 1111 1111 x@y.z"), (3, None), (4, "1.2.3.4 5.6.7.8 9.9.9.9")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in private.query(spark, str(tmp_path)).collect()}
+    assert [[got[i][f"n_{k}"] for k in private.KINDS] for i in (1, 2, 3, 4)] == [[2, 1, 0, 1], [1, 0, 1, 0], [0, 0, 0, 0], [0, 3, 0, 0]]
