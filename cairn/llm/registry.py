@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html, importance, jaccard, language, lines, private, quality, repeats
+from . import bpe, chat, credentials, decontaminate, html, importance, jaccard, language, lines, private, quality, repeats
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_private_data": private.query,
     "op9_html_extraction": html.query,
     "op10_line_dedup": lines.query,
+    "op11_secret_scan": credentials.query,
     "op13_importance_resampling": importance.query,
 }
 SQL = {
@@ -22,5 +23,6 @@ SQL = {
     "op2_decontamination": decontaminate.SQL,
     "op6_ngram_jaccard_join": jaccard.SQL,
     "op10_line_dedup": lines.SQL,
+    "op11_secret_scan": credentials.SQL,
     "op13_importance_resampling": importance.SQL,
 }
