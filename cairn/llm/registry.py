@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, credentials, decontaminate, html, importance, jaccard, language, lines, private, quality, repeats
+from . import bpe, chat, credentials, decontaminate, html, importance, jaccard, language, lines, negatives, private, quality, repeats
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_html_extraction": html.query,
     "op10_line_dedup": lines.query,
     "op11_secret_scan": credentials.query,
+    "op12_hard_negatives": negatives.query,
     "op13_importance_resampling": importance.query,
 }
 SQL = {
@@ -24,5 +25,6 @@ SQL = {
     "op6_ngram_jaccard_join": jaccard.SQL,
     "op10_line_dedup": lines.SQL,
     "op11_secret_scan": credentials.SQL,
+    "op12_hard_negatives": negatives.SQL,
     "op13_importance_resampling": importance.SQL,
 }
