@@ -3,19 +3,23 @@
 Each page is parsed into elements, and each block element's subtree (its tag, its text, its
 children's hashes) is hashed. Spark counts in how many pages of a host each hash is found. Subtrees
 that recur on at least ``SHARE`` of a host's different pages, and on ``LEAST`` at least, are the host's
-template and go; outside articles, so do those found on ``MANY`` different pages of the host, however
-many it has, as a section's or layout's menus are on its own pages only. Pages are different if their
+template and go. So do page-level blocks found on ``MANY`` different pages of the host, however many it has, as a section's
+or layout's menus are on its own pages only; a block is page-level if what it stands in holds all of the page's text that tags
+and names leave. Pages are different if their
 texts are, before templates go: copies of a page don't make its text a template. So do elements whose
 tag, role, class or id says that they are no content (menus, scripts, forms, notices, adverts,
-comments ...), which is all there is to go by on a host of few pages. What remains of the page's articles (else its main element, else its body) is the text. Blocks
-of running text inside an article, and an element that holds half of an article's text or more, are
-never taken for template, however often they recur, as sites do publish an article on several pages.
+comments ...), which is all there is to go by on a host of few pages. What remains of the page's articles (else its main element, else its body) is the text.
+
+Headings, paragraphs, list items, cells and labels are text that pages of a site do share, so no such block is taken for
+template by itself, however often it recurs: it goes only with a recurring element around it (a list, a table, a section). The same holds
+for any other block without blocks in it, unless it is page-level. Of an article or a main element, what holds half
+of its text or more never goes, as sites do publish an article on several pages, and nothing goes for ``MANY`` pages.
 
 Scale: two passes over the pages. The counts are summed map-side, so a host with a third of all
 pages is no problem. Of template hashes only those are kept that tags and names alone would leave in the text
-on some page; a host has at most (blocks of a page / SHARE + blocks of all its pages / MANY). They are
-broadcast if there are at most ``BROADCAST_ROWS`` in all. Otherwise pages meet their host's hashes in
-a join salted ``SALTS`` ways, so that no task gets a whole hot host.
+on some page. Up to ``BROADCAST_ROWS`` of them in all are broadcast, by host. Beyond, each different page's own
+hashes meet the host's in a join on both, and a page gets those of its own that are template, in
+a join by its hash that is salted ``SALTS`` ways; so no row carries a host's hashes.
 
 Defined cases: null or empty html has no text; a null url, or one without a host, belongs to the
 host "", repeated rows are one page to the counts; other columns pass unread. Unclosed elements end
@@ -71,6 +75,9 @@ class Page:
         #: Characters of the texts in an element, and the article around it.
         self.size: list[int] = [0]
         self.around: list[int] = [0]
+        #: The same without what tag or name drops; whether blocks with text are in an element.
+        self.live: list[int] = [0]
+        self.holds: list[bool] = [False]
         self._inside: list[list[str]] = [[]]
         #: (element, text); None for a break between blocks.
         self.flow: list[tuple[int, str] | None] = []
@@ -88,6 +95,7 @@ class Page:
             if packed := " ".join(text.split()):
                 self._inside[self._stack[-1]].append(packed)
                 self.size[self._stack[-1]] += len(packed)
+                self.live[self._stack[-1]] += 0 if self.drop[self._stack[-1]] else len(packed)
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in _ENDS_P:
@@ -118,7 +126,9 @@ class Page:
         self.article.append(article)
         self.hash.append(0)
         self.size.append(0)
-        self.around.append(self.around[up] or (len(self.tag) - 1 if tag == "article" else 0))
+        self.around.append(self.around[up] or (len(self.tag) - 1 if tag in ("article", "main") else 0))
+        self.live.append(0)
+        self.holds.append(False)
         self._inside.append([])
         if tag not in _INLINE:
             self.flow.append(None)
@@ -134,7 +144,10 @@ class Page:
         k = self._stack.pop()
         if k:
             self._open[self.tag[k]].pop()
-            self.size[self.parent[k]] += self.size[k]
+            up = self.parent[k]
+            self.size[up] += self.size[k]
+            self.live[up] += self.live[k]
+            self.holds[up] = self.holds[up] or self.holds[k] or self.size[k] > 0 and self.tag[k] not in _INLINE
         if self._inside[k]:
             self.hash[k] = xxhash.xxh3_64_intdigest("\x1f".join([self.tag[k], *self._inside[k]]))
             if k:
@@ -172,19 +185,25 @@ class Page:
         # Past the last > only a comment or declaration without an end is no text.
         self._text(re.split("<[!?]", source[at:], maxsplit=1)[0])
 
+    def _top(self, k: int) -> bool:
+        """Whether an element is page-level: in nothing that holds less than all of the page's text."""
+        return not self.around[k] and self.live[self.parent[k]] == self.live[0]
+
     def _may_go(self, k: int) -> bool:
-        """Whether an element can be template: inside an article, what holds half of its text is its body."""
+        """Whether an element can be template by itself."""
         tag = self.tag[k]
-        if tag in _INLINE or tag in ("", "html", "body", "head", "article", "main"):
+        if tag in _INLINE or tag in _TEXT or tag in ("", "html", "body", "head", "article", "main"):
             return False
-        return not self.article[k] or tag not in _TEXT and 2 * self.size[k] < self.size[self.around[k]]
+        if self.around[k]:
+            return self.holds[k] and 2 * self.size[k] < self.size[self.around[k]]
+        return self.holds[k] or self._top(k)
 
     def candidates(self) -> tuple[list[int], list[int]]:
-        """Codes of the subtrees that may be template, each once: even ones for the page, odd ones for outside of articles; and those not dropped by tag or name."""
+        """Codes of the subtrees that may be template, each once: even ones as any element, odd ones as page-level ones; and those not dropped by tag or name."""
         own, live = set(), set()
         for k, h in enumerate(self.hash):
             if h and self._may_go(k):
-                codes = (h & ~1,) if self.article[k] else (h & ~1, h | 1)
+                codes = (h & ~1, h | 1) if self._top(k) else (h & ~1,)
                 own.update(codes)
                 if not self.drop[k]:
                     live.update(codes)
@@ -198,7 +217,7 @@ class Page:
             up = self.parent[k]
             tag = self.tag[k]
             h = self.hash[k]
-            gone[k] = gone[k] or gone[up] or bool(template) and h > 0 and (h & ~1 in template or not self.article[k] and h | 1 in template) and self._may_go(k)
+            gone[k] = gone[k] or gone[up] or bool(template) and h > 0 and (h & ~1 in template or h | 1 in template and self._top(k)) and self._may_go(k)
             if tag in roots and not gone[k] and self.hash[k]:
                 roots[tag].append(k)
         chosen = {*(roots["article"] or roots["main"])}
@@ -223,15 +242,13 @@ def host(url: str = "url"):
 def templates(pages: DataFrame) -> DataFrame:
     """(host, hash) of the subtrees that recur on many pages of their host; hashes are the codes of ``Page.candidates``."""
     common.small_batches(pages.sparkSession)
-    signed = lambda codes: [h - (1 << 64) if h >> 63 else h for h in codes]
-
     @F.pandas_udf("h array<long>, live array<long>, content long")
     def hashes(source: pd.Series) -> pd.DataFrame:
         out = []
         for s in source:
             page = Page(s or "")
             own, live = page.candidates()
-            out.append((signed(own), signed(live), *signed([xxhash.xxh3_64_intdigest(page.text().encode("utf-8", "surrogatepass"))])))
+            out.append((_signed(own), _signed(live), *_signed([xxhash.xxh3_64_intdigest(page.text().encode("utf-8", "surrogatepass"))])))
         return pd.DataFrame(out, columns=["h", "live", "content"])
 
     found = pages.select(host().alias("host"), hashes.asNondeterministic()("html").alias("x"))
@@ -246,28 +263,42 @@ def templates(pages: DataFrame) -> DataFrame:
     return often.join(total, "host").where(share | many).select("host", "hash")
 
 
+def _signed(codes: list[int]) -> list[int]:
+    return [h - (1 << 64) if h >> 63 else h for h in codes]
+
+
 @common.shielded
 def extract(pages: DataFrame, name: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``pages`` with a column ``name``, their main text."""
+    spark = pages.sparkSession
     found = common.cut(templates(pages))
-    own = found.groupBy("host").agg(F.collect_list("hash").alias("__template"))
+    dealt = pages.withColumn("__host", host())
+    if found.count() <= broadcast_rows:
+        by_host: dict[str, set[int]] = {}
+        for h, code in zip(*(found.toArrow()[c].to_pylist() for c in ("host", "hash")), strict=True):
+            by_host.setdefault(h, set()).add(code % (1 << 64))
+        held = spark.sparkContext.broadcast(by_host)
 
-    @F.pandas_udf("string")
-    def text(source: pd.Series, template: pd.Series) -> pd.Series:
-        sets: dict[int, set[int]] = {}
-        out = []
-        for s, t in zip(source, template, strict=True):
-            gone = {int(h) % (1 << 64) for h in t} if t is not None else set()
-            out.append(Page(s or "").text(sets.setdefault(hash(frozenset(gone)), gone)))
-        return pd.Series(out, dtype=object)
+        @F.pandas_udf("string")
+        def text(source: pd.Series, site: pd.Series) -> pd.Series:
+            return pd.Series([Page(s or "").text(held.value.get(h, frozenset())) for s, h in zip(source, site, strict=True)], dtype=object)
 
-    if found.count() <= broadcast_rows:
-        met = pages.withColumn("__host", host()).join(F.broadcast(own.withColumnRenamed("host", "__host")), "__host", "left")
-    else:
-        salted = own.withColumnRenamed("host", "__host").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = pages.withColumn("__host", host()).withColumn("__salt", F.pmod(F.xxhash64("html", "url"), F.lit(SALTS)).cast("int"))
-        met = dealt.join(salted.hint("shuffle_hash"), ["__host", "__salt"], "left").drop("__salt")
-    return met.withColumn(name, text.asNondeterministic()("html", "__template")).drop("__host", "__template")
+        return dealt.withColumn(name, text.asNondeterministic()("html", "__host")).drop("__host")
+
+    @F.pandas_udf("array<long>")
+    def codes(source: pd.Series) -> pd.Series:
+        return pd.Series([_signed(Page(s or "").candidates()[0]) for s in source], dtype=object)
+
+    @F.pandas_udf("string")
+    def without(source: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([Page(s or "").text(frozenset() if g is None else {int(h) % (1 << 64) for h in g}) for s, g in zip(source, gone, strict=True)], dtype=object)
+
+    dealt = dealt.withColumn("__page", F.md5(F.concat_ws("\n", "__host", F.coalesce("html", F.lit(""))).cast("binary")))
+    own = dealt.select("__page", F.col("__host").alias("host"), F.explode(codes.asNondeterministic()("html")).alias("hash")).distinct()
+    gone = own.join(found, ["host", "hash"]).groupBy("__page").agg(F.collect_list("hash").alias("__gone"))  # of a page's own blocks
+    salted = gone.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = dealt.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["__page", "__salt"], "left")
+    return met.withColumn(name, without.asNondeterministic()("html", "__gone")).drop("__host", "__page", "__salt", "__gone")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

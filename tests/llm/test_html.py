@@ -35,7 +35,7 @@ def test_templates(spark):
         got = html.extract(pages, broadcast_rows=bound).select("page_id", "text", "host").collect()
         assert len(got) == len(rows)
         by = {r["page_id"]: r["text"] for r in got}
-        assert all(by[k] == f"story {k} here" for k in range(12))
+        assert all(by[k] == f"story {k} here\n\nshared words" for k in range(12))
         assert by[20] == "Call now\n\ntext" and by[21] == "" and by[22] == ""
     assert html.extract(pages.limit(0)).count() == 0
 
@@ -103,3 +103,27 @@ def re_split(block):
     for w in block.split(" "):
         out += [w, " "]
     return out[:-1]
+
+
+def test_shared_headings_and_cells_stay(spark):
+    """Text that many pages of a host share is no template by itself, whatever the pages are built of."""
+    rows = []
+    for k in range(100):
+        shared = k % 10 < 3
+        part = f"<h2>Introduction</h2><p>story {k}</p><table><tr><td>Price</td><td>{k}</td></tr></table><div><div>Colour</div><div>c{k}</div></div>" if shared else f"<p>story {k}</p>"
+        rows += [(k, "http://main.example/", f"<main>{part}</main>"), (1000 + k, "http://plain.example/", f"<div>{part}</div><div>end {k}</div>"), (2000 + k, "http://all.example/", f"<div><h2>Introduction</h2><p>story {k}</p><div><div>Price</div><div>{k}</div></div></div><div>e{k}</div>")]
+    rows += [(3000 + k, "http://wrapped.example/", f"<div id=page><div>Shop closed</div><div><p>story {k}</p></div></div>") for k in range(10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for bound in (10_000, 0):
+        by = {r["page_id"]: r["text"] for r in html.extract(pages, broadcast_rows=bound).collect()}
+        for k in range(100):
+            part = f"Introduction\n\nstory {k}\n\nPrice\n\n{k}\n\nColour\n\nc{k}" if k % 10 < 3 else f"story {k}"
+            assert by[k] == part and by[1000 + k] == f"{part}\n\nend {k}" and by[2000 + k] == f"Introduction\n\nstory {k}\n\nPrice\n\n{k}\n\ne{k}"
+        assert all(by[3000 + k] == f"story {k}" for k in range(10))
+
+
+def test_ties_between_copies_in_main(spark):
+    """Copies of one page are one page to the counts, in main too."""
+    rows = [(k, f"http://m.n/{k}", "<main><div><div>told</div></div><p>twice</p></main>") for k in range(12)] + [(50, "http://m.n/x", "<main><p>other</p></main>")]
+    by = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(by[k] == "told\n\ntwice" for k in range(12)) and by[50] == "other"
