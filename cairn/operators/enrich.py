@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import numbers as N
 from cairn.functions import text as X
-from cairn.operators import match, score
+from cairn.operators import match, needles, score
 
 # Distances in metres that count as far, and as right, and a difference that is none.
 FAR_M, RIGHT_M, SAME_DEGREES = 700.0, 200.0, 1e-6
@@ -231,9 +231,13 @@ def nearest_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def nearest_district(rows: DataFrame, districts: DataFrame) -> DataFrame:
-    """(id, point) of the longest district name in the row's address, among districts whose city ends with its target; the first on ties."""
+    """(id, point) of the longest district name in the row's address, among districts whose city ends with its target; the first on ties.
+
+    The names in an address are found in one reading, whatever their number; then cities and names join.
+    """
     own = rows.select("id", "target", X.geo_key(X.district_address(F.col("address"))).alias("text"))
-    met = own.join(_of_city(districts, own), "target").where((F.length("chome") > 0) & F.contains("text", F.col("chome")))
+    named = needles.contained(own, districts.select(F.col("chome").alias("word")).distinct(), "text").select("id", "target", F.col("word").alias("chome"))
+    met = named.join(_of_city(districts, own), ["target", "chome"])
     return met.groupBy("id").agg(F.max_by(F.struct("lat", "lng", F.col("chome").alias("chome"), F.lit(None).cast("string").alias("gaiku")), F.struct(F.length("chome"), -F.col("seq"))).alias("point"))
 
 
@@ -283,7 +287,7 @@ def corrected(rows: DataFrame, polygons: DataFrame, districts: DataFrame, blocks
     # Whole names count before names without the prefecture, as they are longer.
     words = names.select(F.explode(F.array_distinct(F.array(name, F.replace(name, F.lit("東京都"), F.lit(""))))).alias("word"), F.col("name").alias("target_name"), F.length(name).alias("size"), "seq").where("word <> ''")
     asked = wrong.select("id", X.geo_key(F.coalesce("address", F.lit(""))).alias("text"))
-    best = match.contained(asked, words, "text").groupBy("id").agg(F.min_by("target_name", F.struct(-F.col("size"), "seq")).alias("target_name"))
+    best = needles.first_contained(asked, words.withColumn("size", -F.col("size")), "text", ["size", "seq"], ["target_name"])
     met = wrong.drop("target").join(best, "id", "left").withColumn("target", F.replace(X.geo_key(F.col("target_name")), F.lit("東京都"), F.lit("")))
     targets = met.where("target is not null").select("id", "target", "address")
     met = met.join(nearest_block(targets, blocks).withColumnRenamed("point", "block"), "id", "left").join(nearest_district(targets, districts).withColumnRenamed("point", "district"), "id", "left")

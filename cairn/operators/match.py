@@ -241,26 +241,6 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, seq: str, la
     return rows.join(table.where(F.col(key).isNotNull()).groupBy(key).agg(pick.alias(value)), key, "left")
 
 
-def contained(rows: DataFrame, words: DataFrame, text: str, broadcast_rows: int = 10_000) -> DataFrame:
-    """``rows`` with each word (column ``word``, and what else ``words`` has) that their text contains.
-
-    Up to ``broadcast_rows`` words are broadcast. More meet the texts on their first three characters, in an
-    equi-join with the texts' distinct runs of up to three.
-    """
-    words = words.where("length(word) > 0")
-    if words.count() <= broadcast_rows:
-        return rows.join(F.broadcast(words), F.contains(F.col(text), F.col("word")))
-    heads = words.withColumn("__head", F.left("word", F.lit(3)))
-    runs = F.array_union(F.array_union(X.grams(F.col(text), 1), X.grams(F.col(text), 2)), X.grams(F.col(text), 3))
-    return rows.withColumn("__head", F.explode(runs)).join(heads, "__head").where(F.contains(F.col(text), F.col("word"))).drop("__head")
-
-
-def longest_contained(rows: DataFrame, words: DataFrame, text: str, broadcast_rows: int = 10_000) -> DataFrame:
-    """For each row (id, text) the longest word it contains, the first on ties. ``words``: (seq, word)."""
-    hit = contained(rows, words.select("seq", "word"), text, broadcast_rows)
-    return hit.groupBy("id").agg(F.max_by("word", F.struct(F.length("word"), -F.col("seq"))).alias("word"))
-
-
 def in_boxes(points: DataFrame, polygons: DataFrame, broadcast_rows: int = 1_000) -> DataFrame:
     """(id, polygon) of the first polygon, in order, that holds the point; the bounding box is tested first. ``polygons``: (seq, name, rings).
 

@@ -32,6 +32,12 @@ HOSTS = ["hotpepper.jp", "www.hotpepper.jp"]
 FORBIDDEN = "(?i)tabelog|食べログ"
 CURRENT, UNVERIFIED = "current", "legacy_unverified"
 SCOPE = "hotpepper,legacy_local"
+# Secrets, and texts that a public page must not have.
+SECRETS = {"Google API key": r"AIza[0-9A-Za-z_-]{30,}", "GitHub token": r"(?:gh[opsu]_[0-9A-Za-z]{30,}|github_pat_[0-9A-Za-z_]{20,})", "OpenAI API key": r"sk-[0-9A-Za-z_-]{20,}"}
+FORBIDDEN_TEXTS = {
+    "make-a-big-promise": "branch", "buymeacoffee.com/yourname": "support link", "fundingchoicesmessages.google.com": "consent script", "pagead2.googlesyndication.com": "advert script",
+    "googletagmanager.com/gtag/js": "analytics script", "assets/new_pins": "image", "assets/pins": "image", "tabelog.com": "validation service",
+}
 MINIMUM_ROWS, MINIMUM_LEGACY, MAXIMUM_BYTES, FRESH_DAYS, RADIUS_M = 8444, 4847, 5 << 20, 45, 50.0
 
 _ISO = r"^\d{4}-\d{2}-\d{2}$"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators import needles
+
 # Weights of genres and words, in order.
 GENRE_WEIGHTS = [("焼肉", 35), ("ホルモン", 32), ("ステーキ", 30), ("鉄板焼", 28), ("シュラスコ", 30), ("ジンギスカン", 28), ("肉バル", 25), ("ローストビーフ", 25), ("しゃぶしゃぶ", 22), ("すき焼き", 22), ("バーベキュー", 20), ("焼き鳥", 26), ("焼きとん", 25), ("鶏料理", 24), ("牛タン", 24), ("もつ鍋", 22), ("水炊き", 22), ("ラム", 24), ("ジビエ", 24)]
 WORD_WEIGHTS = [("食べ放題", 12), ("肉盛り", 15), ("塊肉", 18), ("グリル", 10), ("熟成肉", 14), ("BBQ", 12), ("焼き鳥", 30), ("焼きとん", 26), ("串焼", 20), ("牛タン", 24), ("鶏料理", 22), ("水炊き", 22), ("もつ鍋", 22), ("しゃぶしゃぶ", 18), ("すき焼き", 18), ("サムギョプサル", 24), ("韓国焼肉", 22), ("シュラスコ", 26), ("アメリカンBBQ", 22), ("テキサスBBQ", 22), ("ポークリブ", 20), ("ラムチョップ", 22), ("羊肉串", 20), ("タンドリーチキン", 18), ("シークカバブ", 18)]
@@ -14,6 +16,17 @@ PRIMARY = [("焼肉", ["焼肉", "yakiniku"]), ("ステーキ", ["ステーキ",
 SECONDARY = [("韓国", ["韓国", "コリア"]), ("中華", ["中華", "中国"])]
 TEXT_RULES = [("シュラスコ", ["シュラスコ", "churrasco", "バーベキュー"]), ("韓国", ["韓国", "コリアン", "サムギョプサル", "チゲ", "キムチ", "プルコギ", "タッカルビ"])]
 OTHER, EXCLUDED = "その他", ["お好み焼", "もんじゃ"]
+# The 13 classes that are shown, but その他. Their words are our choice where no case is pinned.
+DISPLAY = {
+    "焼肉": ["焼肉", "焼き肉", "yakiniku"], "ホルモン": ["ホルモン"], "ステーキ": ["ステーキ", "steak"], "焼き鳥": ["焼き鳥", "焼鳥", "やきとり", "yakitori"], "もつ焼き": ["もつ焼", "やきとん", "焼きとん"],
+    "しゃぶしゃぶ": ["しゃぶしゃぶ", "しゃぶ", "shabu"], "すき焼き": ["すき焼", "すきやき", "sukiyaki"], "韓国": ["韓国", "コリア", "サムギョプサル"], "シュラスコ": ["シュラスコ", "churrasco"],
+    "ジンギスカン": ["ジンギスカン", "ラム", "羊肉"], "肉バル": ["肉バル"], "ハンバーグ": ["ハンバーグ"],
+}
+#: Words of a name count before 焼肉, which many names say besides; in a stored genre 焼肉 leads.
+NAME_TOKENS = [*((k, v) for k, v in DISPLAY.items() if k != "焼肉"), ("焼肉", DISPLAY["焼肉"])]
+GENRE_TOKENS = [*DISPLAY.items()]
+#: Words that hold a token but mean something else.
+BLOCKED = ["フォーラム", "モーラム", "コラム", "プログラム", "グラム"]
 
 
 def weighted(weights: list[tuple[str, float]], has) -> Column:
@@ -58,10 +71,8 @@ def stored_genre(name: Column, genre: Column, primary=PRIMARY, secondary=SECONDA
 
 
 def display_genre(name: Column, genre: Column) -> Column:
-    """Words of the name beat the stored genre; ラム counts but in フォーラム or モーラム."""
-    lamb = name.rlike("(?<!フォー|モー)ラム|ジンギスカン")
-    own = F.when(F.contains(name, F.lit("ホルモン")), "ホルモン").when(name.rlike("やきとん|焼きとん|もつ焼"), "もつ焼き").when(lamb, "ジンギスカン")
-    return F.coalesce(own, first_rule(name, PRIMARY), F.when(F.contains(genre, F.lit("焼肉")), "焼肉"), first_rule(genre, PRIMARY), F.nullif(genre, F.lit("")), F.lit(OTHER))
+    """One of 13 classes: the name's by its tokens, else the stored genre's, else その他. Texts are in NFKC and lower case."""
+    return F.coalesce(needles.token_class(name, NAME_TOKENS, BLOCKED), needles.token_class(genre, GENRE_TOKENS, BLOCKED), F.lit(OTHER))
 
 
 def notes(text: Column, genres: Column, label: str = "主ジャンル: ") -> Column:

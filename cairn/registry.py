@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import numbers as N
 from cairn.functions import text as X
-from cairn.operators import enrich, match, publish, score, snapshot
+from cairn.operators import enrich, match, needles, publish, score, snapshot
 from cairn.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -477,10 +477,23 @@ def corrected_coordinates(spark, sf_dir):
     return enrich.corrected(*_audited(spark, sf_dir)).select("id", "target", "correction_status")
 
 
-@query("select doc_id from documents where regexp_matches(text, 'token = \"[0-9a-f]{20,}|AIza[0-9A-Za-z_-]{30,}|sk-[0-9A-Za-z_-]{20,}|gh[opsu]_[0-9A-Za-z]{30,}')")
-def secret_pattern_scan(spark, sf_dir):
-    """V26."""
-    return read(spark, sf_dir, "documents").where(F.col("text").rlike('token = "[0-9a-f]{20,}|AIza[0-9A-Za-z_-]{30,}|sk-[0-9A-Za-z_-]{20,}|gh[opsu]_[0-9A-Za-z]{30,}')).select("doc_id")
+_RULES = {**publish.SECRETS, "hex token": 'token = "[0-9a-f]{20,}"'}
+_LITERALS = {"example.com": "placeholder host", "Example.org": "placeholder host", "mail1.": "mail host", "</SCRIPT>": "script"}
+
+
+def _findings_sql() -> str:
+    one = """select kind, id, '{rule}' as rule, sum(length(gap) + coalesce(length(v), 0)) over (partition by kind, id order by i) - coalesce(length(v), 0) as start, v as value
+  from (select kind, id, unnest(string_split_regex(t, '{p}')) as gap, unnest(regexp_extract_all(t, '{p}')) as v, unnest(range(len(regexp_extract_all(t, '{p}')) + 1)) as i from texts)"""
+    each = [one.format(rule=r, p=p) for r, p in _RULES.items()] + [one.format(rule=r, p=f"(?i){w.replace('.', '[.]')}") for w, r in _LITERALS.items()]
+    return f"with texts as (select 'document' as kind, doc_id as id, text as t from documents union all select 'page', page_id, html from pages) select kind, id, rule, start::int as start, value from ({' union all '.join(each)}) where value is not null"
+
+
+@query(_findings_sql())
+def text_findings(spark, sf_dir):
+    """A row for each secret and forbidden text in documents and pages."""
+    texts = {"document": read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "page": read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"))}
+    found = [needles.findings(t, "text", _RULES, _LITERALS).select(F.lit(k).alias("kind"), "*") for k, t in texts.items()]
+    return found[0].unionByName(found[1])
 
 
 @query("select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as n_links from pages")
@@ -497,11 +510,42 @@ def bbox_point_in_polygon(spark, sf_dir):
     return match.in_boxes(places(spark, sf_dir), boxes)
 
 
-@query("with w(seq, word) as (values (0, 'steel'), (1, 'ste'), (2, 'red'), (3, 'red b'), (4, 'a')) select p_partkey as id, arg_max(word, length(word) * 100 - seq) as word from part join w on contains(p_name, word) group by 1")
+WORDS = ["small ring", "ring", "ing", "red", "red wid", "re", "a", "old", "cold", "gizmo", "w gi", "plate"]
+
+
+@query("with w(word, seq) as (select unnest([" + ", ".join(f"'{w}'" for w in WORDS) + f"]), unnest(range({len(WORDS)}))) select p_partkey as id, arg_max(word, length(word) * 100 - seq) as word from part join w on contains(p_name, word) group by 1")
 def longest_match_lookup(spark, sf_dir):
-    """J10, J12, A11."""
-    words = spark.createDataFrame([(0, "steel"), (1, "ste"), (2, "red"), (3, "red b"), (4, "a")], "seq int, word string")
-    return match.longest_contained(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name"), words, "p_name")
+    """The longest of overlapping words in a name."""
+    words = spark.createDataFrame([*enumerate(WORDS)], "seq int, word string")
+    return needles.longest_contained(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name"), words, "p_name")
+
+
+@query("select doc_id as id, arg_max(p_name, length(p_name) * 100000 - seq) as word, count(*) as n from documents join (select left(p_name, (2 + p_partkey % 2)::int) as p_name, min(p_partkey) as seq from part group by 1) on contains(text, p_name) group by 1")
+def words_in_documents(spark, sf_dir):
+    """Heads of part names in whole texts: how many, and the longest, the first on ties."""
+    words = read(spark, sf_dir, "part").groupBy(F.expr("left(p_name, cast(2 + p_partkey % 2 as int))").alias("word")).agg(F.min("p_partkey").alias("seq"))
+    met = needles.contained(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), words, "text")
+    return met.groupBy("id").agg(F.min_by("word", F.struct(-F.length("word"), "seq")).alias("word"), F.count("*").alias("n"))
+
+
+SHOWN = [("ring", ["ring"]), ("old", ["old"]), ("red", ["red", "hot"])]
+
+
+@query("select p_partkey as id, case when list_contains(t, 'ring') then 'ring' when list_contains(t, 'old') then 'old' when list_contains(t, 'red') or list_contains(t, 'hot') then 'red' end as class from (select p_partkey, regexp_extract_all(p_name, 'hot ring|cold|ring|old|red|hot') as t from part)")
+def token_classes(spark, sf_dir):
+    """Classes by the longest tokens, which blocked words hide."""
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), needles.token_class(F.col("p_name"), SHOWN, ["cold", "hot ring"]).alias("class"))
+
+
+_GENRES = ["ステーキ銀座", "ホルモン新宿", "通常店", "やきとん太郎", "焼き鳥花子", "生ラム専門店", "国際フォーラム横店", "タイ東北モーラム酒店", "すき焼き本舗", "不明"]
+
+
+@query("select p_partkey as id, (['ステーキ', 'ホルモン', case when p_partkey % 3 = 0 then '焼肉' else 'その他' end, 'もつ焼き', '焼き鳥', 'ジンギスカン', case when p_partkey % 3 = 0 then '焼肉' else 'その他' end, case when p_partkey % 3 = 0 then '焼肉' else 'その他' end, 'すき焼き', case when p_partkey % 3 = 0 then '焼肉' else 'その他' end])[p_partkey % 10 + 1] as genre from part")
+def display_genres(spark, sf_dir):
+    """Shown genres of parts that get the pinned names, with 焼肉・ホルモン or another stored genre."""
+    i = F.col("p_partkey")
+    name = F.concat(F.element_at(F.array(*map(F.lit, _GENRES)), (i % 10 + 1).cast("int")), F.col("p_name"))
+    return read(spark, sf_dir, "part").select(i.alias("id"), score.display_genre(name, F.when(i % 3 == 0, "焼肉・ホルモン").otherwise("居酒屋")).alias("genre"))
 
 
 @query("select source, count(*) as n, count(*) filter (lang = 'en') as n_en from documents group by source")
