@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairn.functions import text as X
+
 EARTH_M, DEGREE_M = 6_371_000.0, 111_000.0
 LAT_RANGE, LNG_RANGE, MAX_BUDGET = (24.0, 36.0), (138.0, 154.0), 100_000
 
@@ -20,9 +22,11 @@ def budget_midpoint(x: Column) -> Column:
 
 
 def safe_budget(name: Column, average: Column) -> Column:
-    """M1: the label's midpoint if there is a label; else the average's, if it is a price and no more."""
-    price = average.rlike(r"^\s*[0-9][0-9,]*\s*円?(?:\s*[~～〜-]\s*[0-9][0-9,]*\s*円?)?\s*$")
-    return F.when(F.coalesce(name, F.lit("")) != "", budget_midpoint(name)).when(price, budget_midpoint(average))
+    """M1: the label's midpoint if there is a label; else the average's, if it is a price, or a range of prices, and no more. Both are taken in NFKC."""
+    money = r"[¥￥]?\s*[0-9][0-9,]*\s*円?"
+    label, quoted = X.nfkc(name), F.trim(X.nfkc(average))
+    price = quoted.rlike(rf"(?U)^{money}(?:\s*[~～〜-]\s*{money})?\s*(?:程度|前後|以下|以上)?$")
+    return F.when(F.coalesce(name, F.lit("")) != "", budget_midpoint(label)).when(price, budget_midpoint(quoted))
 
 
 def free_text_mean(x: Column) -> Column:
@@ -63,34 +67,39 @@ def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     return F.lit(2 * EARTH_M) * F.atan2(F.sqrt(a), F.sqrt(F.greatest(F.lit(0.0), 1 - a)))
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Ray casting; ``ring``: array of struct(x, y)."""
-    edges = F.zip_with(ring, F.concat(F.slice(ring, F.size(ring), 1), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0)))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    crossed = F.filter(edges, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"] + 1e-15) + e["a"]["x"]))
-    return F.size(crossed) % 2 == 1
+def edges(rings: Column) -> Column:
+    """Edges struct(a, b) of all rings, each of which is closed; ``rings``: arrays of struct(x, y)."""
+    closed = lambda r: F.zip_with(r, F.concat(F.slice(r, F.size(r), 1), F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0)))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 0), closed))
+
+
+def crossed(x: Column, y: Column, edges: Column) -> Column:
+    """Whether a ray to the east crosses an odd number of edges."""
+    hit = F.filter(edges, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"] + 1e-15) + e["a"]["x"]))
+    return F.size(hit) % 2 == 1
 
 
-def in_polygon(x: Column, y: Column, rings: Column) -> Column:
-    """Inside an odd number of rings, so that holes count as outside."""
-    return F.size(F.filter(rings, lambda r: in_ring(x, y, r))) % 2 == 1
+def in_parts(x: Column, y: Column, parts: Column) -> Column:
+    """In any part; inside of an odd number of a part's rings, so that holes count as outside."""
+    return F.exists(parts, lambda rings: crossed(x, y, edges(rings)))
 
 
-def box(rings: Column) -> Column:
-    """Bounding box and mean of the vertices, the closing one too."""
-    p = F.flatten(rings)
+def box(parts: Column) -> Column:
+    """Bounding box of all parts, and mean of all their vertices, closing ones too; (0, 0) if there are none."""
+    p = F.flatten(F.flatten(parts))
     xs, ys = F.transform(p, lambda v: v["x"]), F.transform(p, lambda v: v["y"])
     mean = lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, n: a + n) / F.size(v)).otherwise(0.0)
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"), mean(xs).alias("cx"), mean(ys).alias("cy"))
 
 
-def snap(x: Column, y: Column, rings: Column, steps: int = 10) -> Column:
+def snap(x: Column, y: Column, parts: Column, steps: int = 10) -> Column:
     """struct(x, y, status): as it is, or moved half-way to the centre until inside, or the centre."""
-    b = box(rings)
-    start = F.struct(x.alias("x"), y.alias("y"), in_polygon(x, y, rings).alias("inside"), F.lit(0).alias("n"))
+    b = box(parts)
+    start = F.struct(x.alias("x"), y.alias("y"), in_parts(x, y, parts).alias("inside"), F.lit(0).alias("n"))
 
     def half(s: Column, _: Column) -> Column:
         nx, ny = (s["x"] + b["cx"]) / 2, (s["y"] + b["cy"]) / 2
-        return F.when(s["inside"], s).otherwise(F.struct(nx.alias("x"), ny.alias("y"), in_polygon(nx, ny, rings).alias("inside"), (s["n"] + 1).alias("n")))
+        return F.when(s["inside"], s).otherwise(F.struct(nx.alias("x"), ny.alias("y"), in_parts(nx, ny, parts).alias("inside"), (s["n"] + 1).alias("n")))
 
     end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half)
     return F.transform(F.array(end), lambda s: F.when(s["inside"], F.struct(s["x"].alias("x"), s["y"].alias("y"), F.when(s["n"] == 0, F.lit("already_inside")).otherwise(F.lit("snapped_midpoint")).alias("status"))).otherwise(F.struct(b["cx"].alias("x"), b["cy"].alias("y"), F.lit("set_centroid").alias("status"))))[0]

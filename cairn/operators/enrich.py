@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import numbers as N
 from cairn.functions import text as X
-from cairn.operators import match, needles, score
+from cairn.operators import match, needles, regions, score
 
 # Distances in metres that count as far, and as right, and a difference that is none.
 FAR_M, RIGHT_M, SAME_DEGREES = 700.0, 200.0, 1e-6
@@ -244,10 +244,10 @@ def nearest_district(rows: DataFrame, districts: DataFrame) -> DataFrame:
 def located(rows: DataFrame, polygons: DataFrame) -> DataFrame:
     """``rows`` (id, lat, lng, address) with x, y, the polygon they are in and ``reason``: what is wrong, or null.
 
-    ``polygons``: (seq, name, rings).
+    ``polygons``: (seq, name, parts).
     """
     own = rows.withColumns({"y": number("lat"), "x": number("lng")})
-    inside = match.in_boxes(own.where("x is not null and y is not null").select("id", F.col("y").alias("lat"), F.col("x").alias("lng")), polygons)
+    inside = regions.regions_of(own.where("x is not null and y is not null").select("id", F.col("y").alias("lat"), F.col("x").alias("lng")), polygons)
     met = own.join(inside, "id", "left").withColumn("__a", X.geo_key(F.coalesce("address", F.lit(""))))
     name = X.geo_key(F.col("polygon"))
     plain = F.replace(name, F.lit("東京都"), F.lit(""))
@@ -283,7 +283,7 @@ def corrected(rows: DataFrame, polygons: DataFrame, districts: DataFrame, blocks
     """
     wrong = located(rows, polygons).where("reason is not null")
     name = X.geo_key(F.col("name"))
-    names = polygons.groupBy("name").agg(F.min("seq").alias("seq"), F.min_by("rings", "seq").alias("rings"))
+    names = polygons.groupBy("name").agg(F.min("seq").alias("seq"), F.min_by("parts", "seq").alias("parts"))
     # Whole names count before names without the prefecture, as they are longer.
     words = names.select(F.explode(F.array_distinct(F.array(name, F.replace(name, F.lit("東京都"), F.lit(""))))).alias("word"), F.col("name").alias("target_name"), F.length(name).alias("size"), "seq").where("word <> ''")
     asked = wrong.select("id", X.geo_key(F.coalesce("address", F.lit(""))).alias("text"))
@@ -291,16 +291,16 @@ def corrected(rows: DataFrame, polygons: DataFrame, districts: DataFrame, blocks
     met = wrong.drop("target").join(best, "id", "left").withColumn("target", F.replace(X.geo_key(F.col("target_name")), F.lit("東京都"), F.lit("")))
     targets = met.where("target is not null").select("id", "target", "address")
     met = met.join(nearest_block(targets, blocks).withColumnRenamed("point", "block"), "id", "left").join(nearest_district(targets, districts).withColumnRenamed("point", "district"), "id", "left")
-    met = met.join(names.select(F.col("name").alias("target_name"), "rings"), "target_name", "left")
-    box = N.box(F.col("rings"))
+    met = met.join(names.select(F.col("name").alias("target_name"), "parts"), "target_name", "left")
+    box = N.box(F.col("parts"))
     centre = F.struct(box["cx"].alias("x"), box["cy"].alias("y"), F.lit("set_centroid").alias("status"))
-    moved = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), N.snap(F.col("x"), F.col("y"), F.col("rings"))).otherwise(centre)
+    moved = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), N.snap(F.col("x"), F.col("y"), F.col("parts"))).otherwise(centre)
     met = met.withColumn("moved", F.when(F.col("target_name").isNotNull(), moved)).withColumn("point", F.coalesce("block", "district"))
     status = (
         F.when(F.col("target_name").isNull(), "unresolved_no_target")
         .when(F.col("block").isNotNull(), "fixed_gaiku_point")
         .when(F.col("district").isNotNull(), "fixed_chome_point")
-        .otherwise(F.concat(F.when(N.in_polygon(F.col("moved.x"), F.col("moved.y"), F.col("rings")), "fixed_").otherwise("unresolved_after_"), "moved.status"))
+        .otherwise(F.concat(F.when(N.in_parts(F.col("moved.x"), F.col("moved.y"), F.col("parts")), "fixed_").otherwise("unresolved_after_"), "moved.status"))
     )
     own = lambda g, m: F.when(F.col("target_name").isNotNull(), F.coalesce(F.col(f"point.{g}"), F.when(F.col("point").isNull(), F.col(f"moved.{m}"))))
     fixed = met.withColumns({"correction_status": status, "new_lat": own("lat", "y"), "new_lng": own("lng", "x")})

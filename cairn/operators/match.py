@@ -241,30 +241,6 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, seq: str, la
     return rows.join(table.where(F.col(key).isNotNull()).groupBy(key).agg(pick.alias(value)), key, "left")
 
 
-def in_boxes(points: DataFrame, polygons: DataFrame, broadcast_rows: int = 1_000) -> DataFrame:
-    """(id, polygon) of the first polygon, in order, that holds the point; the bounding box is tested first. ``polygons``: (seq, name, rings).
-
-    Up to ``broadcast_rows`` polygons are broadcast. More meet the points in cells: a polygon's cells are at
-    least as large as its box, so it is in four at most, and a point is in one cell of each size there is.
-    """
-    p = polygons.select("seq", "name", "rings").withColumn("b", N.box(F.col("rings")))
-    near: Column = F.col("lng").between(F.col("b.x0"), F.col("b.x1")) & F.col("lat").between(F.col("b.y0"), F.col("b.y1"))
-    own = points.select("id", "lat", "lng")
-    if p.count() <= broadcast_rows:
-        hit = own.join(F.broadcast(p), near & N.in_polygon(F.col("lng"), F.col("lat"), F.col("rings")))
-    else:
-        size = F.greatest(F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0"), F.lit(1e-6))
-        p = p.where("b.x0 is not null").withColumn("level", F.ceil(F.log2(size)).cast("int"))
-        cell = lambda v, level: F.floor(v / F.pow(F.lit(2.0), level)).cast("bigint")
-        span = lambda lo, hi: F.sequence(cell(F.col(lo), F.col("level")), cell(F.col(hi), F.col("level")))
-        dealt = p.withColumn("cx", F.explode(span("b.x0", "b.x1"))).withColumn("cy", F.explode(span("b.y0", "b.y1")))
-        levels = sorted(r["level"] for r in p.select("level").distinct().collect())  # as many as sizes double: thirty or so
-        at = own.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
-        at = at.withColumn("cx", cell(F.col("lng"), F.col("level"))).withColumn("cy", cell(F.col("lat"), F.col("level")))
-        hit = at.join(dealt, ["level", "cx", "cy"]).where(near & N.in_polygon(F.col("lng"), F.col("lat"), F.col("rings")))
-    return hit.groupBy("id").agg(F.min_by("name", "seq").alias("polygon"))
-
-
 def fill_blank(rows: DataFrame, table: DataFrame, key: str, column: str, seq: str, where: Column | None = None) -> DataFrame:
     """``rows`` whose ``column`` is blank (and that ``where`` lets through) get the value of the table's first row of their key."""
     own = rows.withColumn("__own", F.col(column)).drop(column)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import numbers as N
 from cairn.functions import text as X
-from cairn.operators import enrich, match, needles, publish, score, snapshot
+from cairn.operators import enrich, match, needles, publish, regions, score, snapshot
 from cairn.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -449,32 +449,71 @@ def export_projection(spark, sf_dir):
     return files.export_rows(stores, ["S", "A"]).select("name", "genre", "sources", "avg_dinner_budget")
 
 
+_PARTS = "seq int, name string, parts array<array<array<struct<x:double,y:double>>>>"
+
+
+def _ring(x0, y0, x1, y1):
+    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+
+
 _AUDIT = f"""{PLACES}, o as (select id, case when id % 9 = 0 then null else lat end as lat, lng, case when id % 2 = 0 then 'innercity' else 'widecity' end as town, id % 3 as d from places),
-a as (select *, case when lat is null then null when lng > 139.2 and lng < 139.6 and lat > 35.6 and lat < 35.9 then 'innercity' when lng > 139.0 and lng < 139.8 and lat > 35.5 and lat < 36.0 then 'widecity' end as polygon from o),
-m as (select *, case when lat is null then 'invalid_coords' when polygon is null then 'outside_tokyo_polygon' when town <> polygon then 'address_mismatch' end as reason from a)"""
+a as (select *, case when lat is null then null when lng > 139.2 and lng < 139.6 and lat > 35.6 and lat < 35.9 or lng > 139.8 and lng < 139.9 and lat > 35.5 and lat < 35.6 then 'innercity' when lng > 139.0 and lng < 139.8 and lat > 35.5 and lat < 36.0 or lng > 139.9 and lng < 140.0 and lat > 36.0 and lat < 36.1 then 'widecity' end as polygon from o),
+m0 as (select *, case when lat is null then 'invalid_coords' when polygon is null then 'outside_tokyo_polygon' when town <> polygon then 'address_mismatch' end as reason from a),
+g as (select case when id % 2 = 0 then 'innercity' else 'widecity' end as city, id % 4 + 1 as c, id % 5 + 1 as b, min(id) as seq from places where id < 40 group by 1, 2, 3),
+m as (select m0.*, 35.6 + g.seq / 1000.0::double as glat from m0 left join g on d = 2 and g.city = polygon and c = id % 4 + 1 and b = id % 5 + 1),
+t as (select m0.*, g.seq is not null as block from m0 left join g on d = 2 and g.city = town and c = id % 4 + 1 and b = id % 5 + 1)"""
 
 
 def _audited(spark, sf_dir):
-    ring = lambda a, b, c, d: [[(a, b), (c, b), (c, d), (a, d), (a, b)]]
-    polygons = spark.createDataFrame([(0, "innercity", ring(139.2, 35.6, 139.6, 35.9)), (1, "widecity", ring(139.0, 35.5, 139.8, 36.0))], "seq int, name string, rings array<array<struct<x:double,y:double>>>")
+    """Two towns, of two parts each; gazetteers of their districts and blocks."""
+    polygons = spark.createDataFrame([(0, "innercity", [[_ring(139.2, 35.6, 139.6, 35.9)], [_ring(139.8, 35.5, 139.9, 35.6)]]), (1, "widecity", [[_ring(139.0, 35.5, 139.8, 36.0)], [_ring(139.9, 36.0, 140.0, 36.1)]])], _PARTS)
     districts = spark.createDataFrame([(0, "innercity", "east", 35.7, 139.4), (1, "widecity", "east", 35.7, 139.4)], "seq int, city string, chome string, lat double, lng double")
-    blocks = districts.limit(0).withColumn("gaiku", F.lit(""))
     i = F.col("id")
-    rows = places(spark, sf_dir).select("id", F.concat(F.when(i % 2 == 0, "innercity").otherwise("widecity"), F.when(i % 3 == 0, "east").when(i % 3 == 1, "west").otherwise("")).alias("address"), F.when(i % 9 != 0, F.col("lat").cast("string")).alias("lat"), F.col("lng").cast("string").alias("lng"))
+    p = places(spark, sf_dir)
+    blocks = p.where("id < 40").select(i.cast("int").alias("seq"), F.when(i % 2 == 0, "xinnercity").otherwise("xwidecity").alias("city"), F.concat(F.lit("north"), X.kanji((i % 4 + 1).cast("int")), F.lit("丁目")).alias("chome"), (i % 5 + 1).cast("string").alias("gaiku"), (F.lit(35.6) + i / 1000.0).alias("lat"), F.lit(139.4).alias("lng"))
+    number = F.concat(F.lit("north"), (i % 4 + 1).cast("string"), F.lit("-"), (i % 5 + 1).cast("string"))
+    rows = p.select("id", F.concat(F.when(i % 2 == 0, "innercity").otherwise("widecity"), F.when(i % 3 == 0, "east").when(i % 3 == 1, "west").otherwise(number)).alias("address"), F.when(i % 9 != 0, F.col("lat").cast("string")).alias("lat"), F.col("lng").cast("string").alias("lng"))
     return rows, polygons, districts, blocks
 
 
-@query(f"""with {_AUDIT}, b as (select 35.7 as lat, 139.4 as lng), k as (select a.*, case when polygon is not null and d = 0 then {METRES} end as metres from m a, b)
-select id, concat_ws('|', reason, case when metres > 700 then 'far_from_chome' end) as reasons, coalesce(polygon, '') as detected from k where reason is not null or metres > 700""")
+_TO_BLOCK, _TO_DISTRICT = (METRES.replace("b.lat", lat).replace("b.lng", "139.4") for lat in ("a.glat", "35.7"))
+
+
+@query(f"""with {_AUDIT}, k as (select a.*, case when polygon is null then null when glat is not null then {_TO_BLOCK} when d = 0 then {_TO_DISTRICT} end as metres from m a)
+select id, concat_ws('|', reason, case when metres > 700 then case when glat is not null then 'far_from_gaiku' else 'far_from_chome' end end) as reasons, coalesce(polygon, '') as detected from k where reason is not null or metres > 700""")
 def suspicious_coordinates(spark, sf_dir):
-    """E15, J9, J12."""
+    """Towns of several parts, blocks before districts."""
     return enrich.suspicious(*_audited(spark, sf_dir)).select("id", "reasons", "detected")
 
 
-@query(f"select id, town as target, case when d = 0 then 'fixed_chome_point' when lat is null then 'fixed_set_centroid' when town = 'innercity' and polygon = 'innercity' or town = 'widecity' and polygon is not null then 'fixed_already_inside' else 'fixed_snapped_midpoint' end as correction_status from (with {_AUDIT} select * from m) where reason is not null")
+@query(f"""with {_AUDIT} select id, town as target, case when block then 'fixed_gaiku_point' when d = 0 then 'fixed_chome_point' when lat is null then 'set_centroid'
+  when town = 'innercity' and polygon = 'innercity' or town = 'widecity' and (polygon = 'widecity' or polygon = 'innercity' and lng < 139.8) then 'fixed_already_inside' else 'moved' end as correction from t where reason is not null""")
 def corrected_coordinates(spark, sf_dir):
-    """E16, J10, J12, M13."""
-    return enrich.corrected(*_audited(spark, sf_dir)).select("id", "target", "correction_status")
+    """What corrects a point; moves towards a town's centre are one class here."""
+    status = F.col("correction_status")
+    kind = F.when(status.endswith("set_centroid") & F.col("lat").isNull(), "set_centroid").when(status.endswith("set_centroid") | status.endswith("snapped_midpoint"), "moved").otherwise(status)
+    return enrich.corrected(*_audited(spark, sf_dir)).select("id", "target", kind.alias("correction"))
+
+
+_RINGED = "lng > 139.1 and lng < 139.7 and lat > 35.5 and lat < 36.1 and not (lng > 139.3 and lng < 139.5 and lat > 35.7 and lat < 35.9) or lng > 139.35 and lng < 139.45 and lat > 35.75 and lat < 35.85 or lng > 139.9 and lng < 140.0"
+
+
+@query(f"with {PLACES} select * from (select id, case when {_RINGED} then 'ringed' when lng > 139.0 and lng < 140.05 and lat > 35.45 and lat < 36.15 then 'wide' end as polygon from places) where polygon is not null")
+def regions_of_parts(spark, sf_dir):
+    """A region of three parts, one of which has a hole around another, before a plain one. Corners are no place's coordinates."""
+    ringed = [[_ring(139.1, 35.5, 139.7, 36.1), _ring(139.3, 35.7, 139.5, 35.9)], [_ring(139.35, 35.75, 139.45, 35.85)], [_ring(139.9, 35.0, 140.0, 37.0)]]
+    both = spark.createDataFrame([(0, "ringed", ringed), (1, "wide", [[_ring(139.0, 35.45, 140.05, 36.15)]])], _PARTS)
+    return regions.regions_of(places(spark, sf_dir), both)
+
+
+@query("select o_orderkey, cast(case o_orderkey % 7 when 0 then o_custkey when 1 then round_even((o_custkey + o_custkey * 2) / 2.0, 0) when 2 then o_custkey when 4 then 4000 when 5 then o_custkey end as bigint) as budget from (select o_orderkey, nullif(o_custkey, 0) as o_custkey from orders)")
+def listed_budget(spark, sf_dir):
+    """M1, M2: budgets from labels and averages, in full-width digits too."""
+    n, k = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 7
+    wide = F.translate(n, "0123456789", "０１２３４５６７８９")
+    name = F.when(k == 0, F.concat(wide, F.lit("円"))).when(k == 3, "未定").when(k == 4, "３０００～５０００円").otherwise("")
+    average = F.when(k == 1, F.concat(F.lit("￥"), wide, F.lit("～"), (F.col("o_custkey") * 2).cast("string"), F.lit("円"))).when(k == 2, F.concat(F.lit("¥"), n, F.lit("程度"))).when(k == 5, F.concat(wide, F.lit("円前後"))).otherwise(F.concat(F.lit("宴会"), n, F.lit("円")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", N.safe_budget(name, average).alias("budget"))
 
 
 _RULES = {**publish.SECRETS, "hex token": 'token = "[0-9a-f]{20,}"'}
@@ -502,14 +541,6 @@ def html_title_href_extract(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).cast("bigint").alias("n_links"))
 
 
-@query(f"with {PLACES}, boxes(seq, name, x0, y0, x1, y1) as (values (0, 'inner', 139.2, 35.6, 139.6, 35.9), (1, 'wide', 139.0, 35.5, 139.8, 36.0)) select id, arg_min(b.name, seq) as polygon from places join boxes b on lng > x0 and lng < x1 and lat > y0 and lat < y1 group by id")
-def bbox_point_in_polygon(spark, sf_dir):
-    """J9, M10-M12. Corners are no place's coordinates."""
-    ring = lambda a, b, c, d: [[(a, b), (c, b), (c, d), (a, d), (a, b)]]
-    boxes = spark.createDataFrame([(0, "inner", ring(139.2, 35.6, 139.6, 35.9)), (1, "wide", ring(139.0, 35.5, 139.8, 36.0))], "seq int, name string, rings array<array<struct<x:double,y:double>>>")
-    return match.in_boxes(places(spark, sf_dir), boxes)
-
-
 WORDS = ["small ring", "ring", "ing", "red", "red wid", "re", "a", "old", "cold", "gizmo", "w gi", "plate"]
 
 

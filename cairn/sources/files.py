@@ -133,15 +133,14 @@ def union_scans(scans: DataFrame, rank: str, seq: str, key: str) -> DataFrame:
 
 
 def polygons(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, name, rings) of the features of GeoJSON files, parts of a multipolygon one by one."""
+    """(seq, name, parts) of the features of GeoJSON files; a Polygon is one part, a MultiPolygon as many as it has, others none."""
     one = "struct<type:string,coordinates:string>"
     f = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", f"features array<struct<properties:struct<name:string>,geometry:{one}>>").alias("v"))
     f = f.select("file", F.posexplode("v.features").alias("at", "f")).select("file", "at", F.col("f.properties.name").alias("name"), F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("c"))
     ring = "array<array<array<double>>>"
-    parts = f.withColumn("parts", F.when(F.col("type") == "MultiPolygon", F.from_json("c", f"array<{ring}>")).when(F.col("type") == "Polygon", F.array(F.from_json("c", ring))))
-    p = parts.select("file", "at", "name", F.posexplode("parts").alias("part", "r"))
-    rings = F.transform("r", lambda x: F.transform(x, lambda v: F.struct(v[0].alias("x"), v[1].alias("y"))))
-    return p.select(F.struct("file", "at", "part").alias("seq"), "name", rings.alias("rings"))
+    many = F.when(F.col("type") == "MultiPolygon", F.from_json("c", f"array<{ring}>")).when(F.col("type") == "Polygon", F.array(F.from_json("c", ring)))
+    parts = F.transform(F.coalesce(many, F.array().cast(f"array<{ring}>")), lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.struct(v[0].alias("x"), v[1].alias("y")))))
+    return f.select(F.struct("file", "at").alias("seq"), F.coalesce("name", F.lit("")).alias("name"), parts.alias("parts"))
 
 
 def lattice(spark: SparkSession, box: tuple[float, float, float, float] = (35.4, 138.9, 36.2, 140.1), spacing_m: float = 800, radius_m: int = 800) -> DataFrame:

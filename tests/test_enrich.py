@@ -70,8 +70,8 @@ def test_geocoding(spark):
 
 
 def test_audits(spark):
-    ring = lambda x, y: [[(x, y), (x + 0.1, y), (x + 0.1, y + 0.1), (x, y + 0.1), (x, y)]]
-    polygons = spark.createDataFrame([(0, "東京都港区", ring(139.0, 35.0)), (1, "東京都北区", ring(139.2, 35.0))], "seq int, name string, rings array<array<struct<x:double,y:double>>>")
+    ring = lambda x, y: [[[(x, y), (x + 0.1, y), (x + 0.1, y + 0.1), (x, y + 0.1), (x, y)]]]
+    polygons = spark.createDataFrame([(0, "東京都港区", ring(139.0, 35.0)), (1, "東京都北区", ring(139.2, 35.0))], "seq int, name string, parts array<array<array<struct<x:double,y:double>>>>")
     districts = spark.createDataFrame([(0, "東京都港区", "芝一丁目", 35.05, 139.05), (1, "東京都港区", "芝", 35.01, 139.01), (2, "東京都北区", "芝一丁目", 0.0, 0.0)], "seq int, city string, chome string, lat double, lng double")
     blocks = spark.createDataFrame([(0, "東京都港区", "芝二丁目", "7", 35.06, 139.06), (1, "東京都港区", "浜二丁目", "7", 35.02, 139.02)], "seq int, city string, chome string, gaiku string, lat double, lng double")
     rows = spark.createDataFrame([
@@ -90,3 +90,16 @@ def test_audits(spark):
     fixed = {r["id"]: r for r in enrich.corrected(rows, polygons, districts, blocks).collect()}
     assert {k: (r["correction_status"], r["target"], r["chome_match"]) for k, r in fixed.items()} == {5: ("fixed_snapped_midpoint", "東京都北区", ""), 6: ("fixed_gaiku_point", "東京都港区", "ok"), 7: ("fixed_set_centroid", "東京都港区", ""), 8: ("unresolved_no_target", "", ""), 9: ("fixed_snapped_midpoint", "東京都北区", "")}
     assert (fixed[6]["corrected_lat"], fixed[6]["corrected_lng"]) == (35.06, 139.06) and 139.2 < fixed[5]["corrected_lng"] < 139.3 and fixed[8]["corrected_lat"] is None
+
+
+def test_districts_of_several_parts(spark):
+    square = lambda x, y: [[(x, y), (x + 0.08, y), (x + 0.08, y + 0.08), (x, y + 0.08)]]
+    parts = [square(139.0, 35.0), square(139.5, 35.0)]
+    polygons = spark.createDataFrame([(0, "港区", parts), (1, "北区", [square(139.2, 35.0)])], "seq int, name string, parts array<array<array<struct<x:double,y:double>>>>")
+    none = spark.createDataFrame([], "seq int, city string, chome string, gaiku string, lat double, lng double")
+    rows = spark.createDataFrame([(1, "港区", "35.04", "139.04"), (2, "港区", "35.04", "139.54"), (3, "港区", "x", ""), (4, "北区", "35.04", "139.54"), (5, "港区", "35.04", "139.3")], "id int, address string, lat string, lng string")
+    assert {r["id"]: r["reasons"] for r in enrich.suspicious(rows, polygons, none.drop("gaiku"), none).collect()} == {3: "invalid_coords", 4: "address_mismatch", 5: "outside_tokyo_polygon"}
+    fixed = {r["id"]: r for r in enrich.corrected(rows, polygons, none.drop("gaiku"), none).collect()}
+    # The centre of both parts is in neither.
+    assert abs(fixed[3]["corrected_lng"] - 139.29) < 1e-9 and abs(fixed[3]["corrected_lat"] - 35.04) < 1e-9
+    assert fixed[3]["correction_status"] == "unresolved_after_set_centroid" and fixed[4]["correction_status"] == "fixed_snapped_midpoint" and fixed[5]["correction_status"] == "unresolved_after_set_centroid"

@@ -45,6 +45,9 @@ def test_numbers(spark):
     assert [tuple(t(N.budget_range, v)) for v in ("￥1,000～￥1,999", "-", "900円", "～2000")] == [(1000, 1999), (None, None), (900, 900), (None, 2000)]
     assert [t(N.public_budget, v) for v in ("3000.0", "0", "100001", "x", "NaN", "inf", "0.5")] == ["3000", "", "", "", "", "", ""]
     assert one(spark, N.safe_budget(F.col("a"), F.col("b")), a="", b="3000円") == 3000 and one(spark, N.safe_budget(F.col("a"), F.col("b")), a="", b="2名で3000円") is None
+    quoted = ["３０００円", "￥3,000", "3000円前後", "¥4,000程度", "４０００円", "3001～4000円", "￥1,000 ~ 2,000円以下", "約3000円", "0円", "", None]
+    assert [one(spark, N.safe_budget(F.col("a"), F.col("b")), a=None, b=v) for v in quoted[:-1]] == [3000, 3000, 3000, 4000, 4000, 3500, 1500, None, None, None]
+    assert one(spark, N.safe_budget(F.col("a"), F.col("b")), a="３００１～４０００円", b="9円") == 3500 and one(spark, N.safe_budget(F.col("a"), F.col("b")), a="未定", b="9円") is None
     assert abs(one(spark, N.haversine(F.lit(35.0), F.lit(139.0), F.lit(36.0), F.lit(139.0))) - 111194.9) < 0.1
     assert one(spark, N.range_mean(F.col("a"), F.col("b")), a="1", b="2") == 2 and one(spark, N.range_mean(F.col("a"), F.col("b")), a="", b="7") == 7
 
@@ -52,8 +55,17 @@ def test_numbers(spark):
 def test_polygons(spark):
     ring = lambda *p: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in p))
     donut = F.array(ring((0, 0), (10, 0), (10, 10), (0, 10), (0, 0)), ring((4, 4), (6, 4), (6, 6), (4, 6), (4, 4)))
-    inside = lambda x, y: one(spark, N.in_polygon(F.lit(float(x)), F.lit(float(y)), donut))
+    inside = lambda x, y: one(spark, N.in_parts(F.lit(float(x)), F.lit(float(y)), F.array(donut)))
     assert inside(1, 1) and not inside(5, 5) and not inside(11, 5) and inside(7, 9)
     square = F.array(ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0)))
-    assert one(spark, N.snap(F.lit(1.0), F.lit(1.0), square))["status"] == "already_inside"
-    assert one(spark, N.snap(F.lit(9.0), F.lit(1.0), square))["status"] == "snapped_midpoint"
+    assert one(spark, N.snap(F.lit(1.0), F.lit(1.0), F.array(square)))["status"] == "already_inside"
+    assert one(spark, N.snap(F.lit(9.0), F.lit(1.0), F.array(square)))["status"] == "snapped_midpoint"
+
+
+def test_keys_and_queries(spark):
+    two = lambda f, a, b: one(spark, f(F.col("a"), F.col("b")), a=a, b=b)
+    assert two(X.entity_key, "Ａ b　C", "東京 都") == "abc||東京都" and two(X.entity_key, "a", "") == "a||"
+    assert [one(spark, X.overlap_name(F.col("v")), v=v) for v in ("Café本店", "焼肉・ＡＢＣ店", "が")] == ["cafe", "焼肉・abc", "か"]
+    assert one(spark, X.overlap_name(F.col("v"), compat=False), v="焼肉・ A-B 店") == "焼肉ab"
+    assert two(X.search_query, "店", "東京都港区") == "店 東京都" and two(X.search_query, "店", "大阪府") == "店"
+    assert two(X.joined_text, "a", "b") == "a b" and two(X.joined_text, "a", "") == "a" and two(X.joined_text, "", "") == ""
