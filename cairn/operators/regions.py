@@ -3,17 +3,20 @@
 A region's part is covered by cells of a quadtree over degrees. Cells that no edge of the part comes near are wholly inside, and are kept, or
 wholly outside, and go; the others are split, ``DEPTH`` times. A point in an inner cell is in the region without
 a ray being cast; in a cell at an edge a ray meets only the edges that its cell keeps, those whose range of latitudes meets the cell's and
-that aren't all to the west of it. The covering is made in place, each part by itself, and meets the points in one equi-join on cells.
+that aren't all to the west of it. Parts are covered one by one, without a shuffle; the covering meets the points in one equi-join on cells.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import numbers as N
+from cairn.operators.match import settled
 
 #: How often a part's first cells, which are as large as its box, are split.
 DEPTH = 5
@@ -21,44 +24,51 @@ DEPTH = 5
 _SLACK = 1e-9
 
 
-def _near(e: Column, x0: Column, y0: Column, size: Column) -> Column:
-    """Whether an edge's box meets a cell."""
-    lo, hi = (lambda c: F.least(e["a"][c], e["b"][c])), (lambda c: F.greatest(e["a"][c], e["b"][c]))
-    return (lo("x") <= x0 + size + _SLACK) & (hi("x") >= x0 - _SLACK) & (lo("y") <= y0 + size + _SLACK) & (hi("y") >= y0 - _SLACK)
-
-
-def _east(e: Column, x0: Column, y0: Column, size: Column) -> Column:
-    """Whether a ray from a point of the cell to the east can meet an edge."""
-    return (F.greatest(e["a"]["x"], e["b"]["x"]) >= x0 - _SLACK) & (F.least(e["a"]["y"], e["b"]["y"]) <= y0 + size + _SLACK) & (F.greatest(e["a"]["y"], e["b"]["y"]) >= y0 - _SLACK)
+def _cells(edges: np.ndarray, depth: int) -> Iterator[tuple[int, int, int, np.ndarray | None]]:
+    """Level, place and edges of a part's cells; inner ones have none. ``edges``: rows of ax, ay, bx, by."""
+    west, east = edges[:, [0, 2]].min(1), edges[:, [0, 2]].max(1)
+    south, north = edges[:, [1, 3]].min(1), edges[:, [1, 3]].max(1)
+    level = int(np.ceil(np.log2(max(east.max() - west.min(), north.max() - south.min(), 1e-6))))
+    size = 2.0**level
+    span = lambda lo, hi: range(int(np.floor(lo / size)), int(np.floor(hi / size)) + 1)
+    every = np.arange(len(edges))
+    live = [(x, y, every) for x in span(west.min(), east.max()) for y in span(south.min(), north.max())]
+    for n in range(depth + 1):
+        below = []
+        for x, y, own in live:
+            x0, y0 = x * size, y * size
+            own = own[(east[own] >= x0 - _SLACK) & (south[own] <= y0 + size + _SLACK) & (north[own] >= y0 - _SLACK)]
+            if (west[own] <= x0 + size + _SLACK).any():
+                if n == depth:
+                    yield level, x, y, edges[own]
+                else:
+                    below += [(2 * x + i, 2 * y + j, own) for i in (0, 1) for j in (0, 1)]
+            else:
+                mid, e = y0 + size / 2, edges[own]  # all edges that are left are to the east
+                if ((e[:, 1] > mid) != (e[:, 3] > mid)).sum() % 2:
+                    yield level, x, y, None
+        live, level, size = below, level - 1, size / 2
 
 
 def covering(regions: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(seq, name, level, cx, cy, edges) of ``regions`` (seq, name, parts): a level's cells are 2^level degrees wide; inner cells have no edges.
+    """(seq, name, level, cx, cy, edges) of ``regions`` (seq, name, parts): a level's cells are 2^level degrees wide; inner cells have no edges."""
+    point = "struct<x:double,y:double>"
 
-    No row is shuffled: a part's cells are split where they are, and each keeps of its parent's edges those it needs.
-    """
-    parts = regions.select("seq", "name", F.explode("parts").alias("rings"))
-    p = parts.withColumns({"edges": N.edges(F.col("rings")), "b": N.box(F.array("rings"))}).where("b.x0 is not null and size(edges) > 0").drop("rings")
-    level = F.ceil(F.log2(F.greatest(F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0"), F.lit(1e-6)))).cast("int")
-    p = p.withColumn("level", level)
-    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), "level")).cast("bigint")
-    live = p.withColumn("cx", F.explode(F.sequence(at("b.x0"), at("b.x1")))).withColumn("cy", F.explode(F.sequence(at("b.y0"), at("b.y1")))).drop("b")
-    size = F.pow(F.lit(2.0), F.col("level"))
-    x0, y0 = F.col("cx") * size, F.col("cy") * size
-    done = []
-    for n in range(depth + 1):
-        if n:
-            live = live.withColumn("__i", F.explode(F.array(*map(F.lit, range(4))))).withColumns({"level": F.col("level") - 1, "cx": F.col("cx") * 2 + F.col("__i") % 2, "cy": F.col("cy") * 2 + F.floor(F.col("__i") / 2)}).drop("__i")
-        seen = live.withColumns({"near": F.exists("edges", lambda e: _near(e, x0, y0, size)), "edges": F.filter("edges", lambda e: _east(e, x0, y0, size))})
-        inner = seen.where(~F.col("near") & N.crossed(x0 + size / 2, y0 + size / 2, F.col("edges")))
-        done.append(inner.withColumn("edges", F.lit(None).cast(dict(live.dtypes)["edges"])).drop("near"))
-        live = seen.where("near").drop("near")
-    return reduce(DataFrame.unionByName, [*done, live])
+    @F.pandas_udf(f"array<struct<level:int,cx:long,cy:long,edges:array<struct<a:{point},b:{point}>>>>")
+    def cells(lines: pd.Series) -> pd.Series:
+        out = []
+        for own in lines:
+            found = _cells(np.array([[e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]] for e in own]), depth) if len(own) else ()
+            out.append([(level, x, y, None if e is None else [((ax, ay), (bx, by)) for ax, ay, bx, by in e.tolist()]) for level, x, y, e in found])
+        return pd.Series(out, dtype=object)
+
+    parts = regions.select("seq", "name", F.explode("parts").alias("rings")).select("seq", "name", N.edges(F.col("rings")).alias("e")).where("size(e) > 0")
+    return parts.select("seq", "name", F.explode(cells.asNondeterministic()("e")).alias("c")).select("seq", "name", "c.*")
 
 
 def regions_of(points: DataFrame, regions: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(id, polygon) of the first region, in order of ``seq``, that holds the point in any of its parts. ``points``: (id, lat, lng); others than finite ones are nowhere."""
-    cells = covering(regions, depth)
+    cells = settled(covering(regions, depth))
     levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # as many as the boxes' sizes double, and DEPTH more
     own = points.select("id", "lat", "lng").where("abs(lat) <= 90 and abs(lng) < 1e9 and not isnan(lat) and not isnan(lng)")
     at = own.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
