@@ -163,27 +163,44 @@ def cluster_report(points: DataFrame, clusters: DataFrame, columns: list[str]) -
 OPTIONAL = {"phone": "string", "url": "string", "address": "string", "description": "string", "rating": "double", "review_count": "bigint", "budget_lunch": "bigint", "budget_dinner": "bigint"}
 
 
+def _bound(keyed: DataFrame, radius_m: float) -> DataFrame:
+    """(a, b): links of records (seq, p, n, lat, lng) that may end in one store, each record's own among them.
+
+    Equal phones are linked to their first record. Records of a name in a cell are linked to the cell's first, and that to
+    the firsts of the cells around: as many links as records and cells, however many records are at a place. A name's records
+    without coordinates, if one that is near them has a phone and can so bring coordinates in, are linked to all records of the name.
+    """
+    own = keyed.select(F.col("seq").alias("a"), F.col("seq").alias("b"))
+    called = keyed.where("p is not null").select("p", "seq")
+    phones = called.join(called.groupBy("p").agg(F.min("seq").alias("a")), "p").select("a", F.col("seq").alias("b"))
+    placed = with_cell(keyed.where("n is not null"), radius_m)
+    zero = (F.col("lat") == 0) | (F.col("lng") == 0)
+    cells = placed.groupBy("n", "cell").agg(F.min("seq").alias("a"), F.min_by(F.struct("lat", "lng"), "seq").alias("at"), F.max(zero).alias("zero"), F.max(F.col("p").isNotNull()).alias("called"))
+    members = placed.join(cells.select("n", "cell", "a"), ["n", "cell"]).select("a", F.col("seq").alias("b"))
+    around = with_cell(cells.select("n", "a", "zero", "called", "at.*"), radius_m, True)
+    beside = around.join(cells.select("n", "cell", F.col("a").alias("b"), F.col("called").alias("other")), ["n", "cell"])
+    open_ = beside.where("zero and (called or other)").groupBy("n").agg(F.min("a").alias("a"))
+    named = keyed.select("n", F.col("seq").alias("b")).join(open_, "n").select("a", "b")
+    return own.unionByName(phones).unionByName(members).unionByName(beside.where("a <> b").select("a", "b")).unionByName(named)
+
+
 def greedy_merge(raws: DataFrame, radius_m: float = 150) -> DataFrame:
     """Records folded in order of ``seq`` into the first store of equal phone, or of equal name within the radius.
 
     ``raws``: seq, source, external_id, name, lat, lng, genres, and of ``OPTIONAL`` what there is. A store keeps its
-    name; phone, URL and address are filled if empty, the rest of ``OPTIONAL`` if null; a point is replaced if a
+    name; phone, URL and address are filled if empty, the rest of ``OPTIONAL`` if null, the description not with an empty one; a point is replaced if a
     coordinate of it is 0; genres and sources add up, and the first id of a source counts.
 
-    A match needs an equal phone or name, so the fold of each connected component of these equalities is the
-    whole fold. A component is folded in one task, as each step depends on the ones before; its size is that
-    of a name's or phone's chain, and is what bounds memory.
+    A match needs an equal phone, or an equal name at a place that the store has: the founder's, or one that a store
+    without coordinates gets from a record it takes in by phone. ``_bound`` links records by nothing more, so stores of a chain
+    all over a country are apart unless they share a phone. The fold of each component of these links is the
+    whole fold; it runs in one task, as each step depends on the ones before, and what is near by name and phone bounds its memory.
     """
     plain = ["seq", "source", "external_id", "name", "lat", "lng", "genres"]
     optional = [(F.col(c) if c in raws.columns else F.lit(None)).cast(t).alias(c) for c, t in OPTIONAL.items()]
     keyed = raws.select(*plain, *optional).withColumn("p", X.phone_key(F.col("phone"))).withColumn("n", X.name_key(F.col("name")))
 
-    def first(c: str) -> DataFrame:
-        rows = keyed.where(F.col(c).isNotNull()).select(c, "seq")
-        return rows.join(rows.groupBy(c).agg(F.min("seq").alias("a")), c).select("a", F.col("seq").alias("b"))
-
-    own = keyed.select(F.col("seq").alias("a"), F.col("seq").alias("b"))
-    labels = components(first("p").unionByName(first("n")).unionByName(own))
+    labels = components(_bound(keyed.select("seq", "p", "n", "lat", "lng"), radius_m))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         stores: list[dict] = []
@@ -191,7 +208,7 @@ def greedy_merge(raws: DataFrame, radius_m: float = 150) -> DataFrame:
         by_name: dict[str, list[int]] = {}
         for r in rows.sort_values("seq").to_dict("records"):
             r = {c: v if isinstance(v, (list, np.ndarray)) else None if pd.isna(v) else v for c, v in r.items()}
-            r["genres"] = list(dict.fromkeys(r["genres"])) if r["genres"] is not None else []
+            r["genres"] = [g for g in dict.fromkeys(r["genres"]) if g] if r["genres"] is not None else []
             at = by_phone.get(r["p"]) if r["p"] else None
             for k in by_name.get(r["n"], ()) if r["n"] else ():
                 if at is not None and k >= at:
@@ -213,7 +230,8 @@ def greedy_merge(raws: DataFrame, radius_m: float = 150) -> DataFrame:
                     s["phone"], s["p"] = r["phone"], r["p"]
                 for c in ("url", "address"):
                     s[c] = s[c] or r[c]
-                for c in ("description", "rating", "review_count", "budget_lunch", "budget_dinner"):
+                s["description"] = (r["description"] or None) if s["description"] is None else s["description"]
+                for c in ("rating", "review_count", "budget_lunch", "budget_dinner"):
                     s[c] = r[c] if s[c] is None else s[c]
                 if (s["lat"] == 0 or s["lng"] == 0) and r["lat"] and r["lng"]:
                     s["lat"], s["lng"] = r["lat"], r["lng"]

@@ -8,9 +8,7 @@ from cairn.operators import match, score, snapshot
 from cairn.sources import files
 
 
-def test_greedy_merge_equals_a_plain_fold(spark):
-    rng = random.Random(4)
-    rows = [(i, "api", str(i), rng.choice(["a b", "AB", "c", "d", None]), rng.choice([None, "03-1", "03-2", "0 3 1"]), 35 + rng.randrange(4) / 1000, 139.0, rng.choice([None, "u"]), [rng.choice("xyz")]) for i in range(60)]
+def plain_fold(rows):
     stores = []
     for seq, _, _, name, phone, lat, lng, _, _ in rows:
         p = "".join(c for c in phone or "" if c.isdigit()) or None
@@ -19,11 +17,30 @@ def test_greedy_merge_equals_a_plain_fold(spark):
             if p and p == s["p"] or n and n == s["n"] and match._metres({"lat": lat, "lng": lng}, s) <= 150:
                 s["seqs"].append(seq)
                 s["p"] = s["p"] or p
+                if (s["lat"] == 0 or s["lng"] == 0) and lat and lng:
+                    s["lat"], s["lng"] = lat, lng
                 break
         else:
             stores.append({"p": p, "n": n, "lat": lat, "lng": lng, "seqs": [seq]})
-    df = spark.createDataFrame(rows, "seq long, source string, external_id string, name string, phone string, lat double, lng double, url string, genres array<string>")
-    assert sorted(r["seqs"] for r in match.greedy_merge(df).collect()) == sorted(s["seqs"] for s in stores)
+    return sorted(s["seqs"] for s in stores)
+
+
+def test_greedy_merge_equals_a_plain_fold(spark):
+    schema = "seq long, source string, external_id string, name string, phone string, lat double, lng double, url string, genres array<string>"
+    for seed, steps, zeros in ((4, 4, 0.0), (5, 40, 0.15), (6, 400, 0.3)):
+        rng = random.Random(seed)
+        at = lambda: (0.0, 0.0) if rng.random() < zeros else (None, 139.0) if rng.random() < 0.05 else (35 + rng.randrange(steps) / 1000, 139.0 + rng.randrange(3) / 1000)  # noqa: B023, E731
+        phones = [None, None, "03-1", "03-2", "0 3 1", *(f"9{k}" for k in range(steps // 4))]
+        rows = [(i, "api", str(i), rng.choice(["a b", "AB", "c", "d", None]), rng.choice(phones), *at(), rng.choice([None, "u"]), [rng.choice("xyz")]) for i in range(150)]
+        got = match.greedy_merge(spark.createDataFrame(rows, schema))
+        assert sorted(r["seqs"] for r in got.collect()) == plain_fold(rows)
+
+
+def test_stores_of_a_chain_are_apart(spark):
+    rows = [(i, None if i % 9 else f"0{i}", "chain", 30 + i / 100, 139.0) for i in range(400)] + [(1000, None, "chain", 0.0, 0.0), (1001, "7", "other", 0.0, 0.0), (1002, "7", "other", 35.0, 139.0), (1003, None, "other", 35.0, 139.0)]
+    bound = match._bound(spark.createDataFrame(rows, "seq long, p string, n string, lat double, lng double"), 150)
+    sizes = sorted(r["count"] for r in match.components(bound).groupBy("label").count().collect())
+    assert sizes == [1] * 401 + [3]
 
 
 def test_fusion_of_records(spark):
