@@ -15,8 +15,8 @@ wasn't. At ``SHORTEST`` even a pair at the threshold is found with 0.999997, so
   which are bounded by SMALL a row. Pairs whose labels agree too rarely for the threshold (six standard
   deviations) go; the rest are verified.
 * Larger nodes give no pairs but links to their least class. What is linked is a crowd, of which all pairs
-  are looked at; it is cut by size, as similar sets are at most five to four, and into blocks of at most
-  ``BLOCK`` shingles. Pairs of blocks of near sizes meet in a task each, which counts exact intersections
+  are looked at; it is cut by size, as similar sets are at most five to four, and into blocks of about
+  ``BLOCK`` shingles or ``CLASSES`` classes. Pairs of blocks of near sizes meet in a task each, which counts exact intersections
   by matrix products and gives only numbers of links and a spanning forest.
 
 Links are therefore complete, up to the forest's recall, without a row for each pair of a group.
@@ -42,7 +42,9 @@ from .graph import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of 4/5 or more
 TREES, DEPTH, SHORTEST, RECALL = 32, 8, 5, 0.99999
-SMALL, BLOCK = 16, 200_000
+SMALL, BLOCK, CLASSES = 16, 200_000, 4096
+#: Pairs of a block that are counted at once.
+CELLS = 1 << 22
 
 #: A class in a tree: what its label begins with, the rest of it (16 bits a value), the class.
 LABEL = np.dtype([("head", "<u8"), ("tail", "<u8"), ("hi", ">u8"), ("lo", ">u8")])
@@ -145,50 +147,77 @@ def sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def count_block(parts: pd.DataFrame, i: str, j: str) -> pd.DataFrame:
-    """Links between the blocks i and j of a crowd (or inside one block): numbers and a spanning forest."""
+    """Links between the blocks i and j of a crowd (or inside one block): numbers and a spanning forest.
+
+    Intersections are counted in strips of ``CELLS`` pairs; of a strip only bits are kept, one a pair.
+    """
     parts = parts.drop_duplicates(["block", "c"]).sort_values("c").reset_index(drop=True)
     size = parts["s"].map(len).to_numpy()
     every = np.concatenate(parts["s"].to_list())
     row = np.repeat(np.arange(len(parts)), size)
     _, column, df = np.unique(every, return_inverse=True, return_counts=True)
     shared = df[column] > 1  # others are in no intersection
-    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    row, column = row[shared], column[shared]
     left, right = np.flatnonzero(parts["block"] == i), np.flatnonzero(parts["block"] == j)
-    place = np.empty(len(parts), np.int64)
-    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
-    in_left, in_right = np.isin(row, left), np.isin(row, right)
-    common_ = np.zeros((len(left), len(right)), np.float32)
-    wide = max(1, min(8192, (16 << 20) // max(len(left), len(right), 1)))
-    for at in range(0, int(column.max(initial=-1)) + 1, wide):
-        a, b = np.zeros((len(left), wide), np.float32), np.zeros((len(right), wide), np.float32)
-        here = (column >= at) & (column < at + wide)
-        x, y = here & in_left, here & in_right
-        a[place[row[x]], column[x] - at] = 1
-        b[place[row[y]], column[y] - at] = 1
-        common_ += a @ b.T
-    whole = size[left][:, None] + size[right][None, :] - common_
-    linked = DENOMINATOR * common_ >= NUMERATOR * whole
-    if i == j:
-        np.fill_diagonal(linked, False)
     weight = parts["m"].to_numpy()
     n = np.zeros(len(parts), np.int64)
-    n[left] += linked @ weight[right]
-    if i != j:
-        n[right] += linked.T @ weight[left]
-    # Spanning forest: breadth first over the rows of the link matrix.
-    root, seen_l, seen_r = np.full(len(parts), -1), np.zeros(len(left), bool), np.zeros(len(right), bool)
+
+    def entries(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.full(len(parts), -1)
+        place[own] = np.arange(len(own))
+        at = place[row]
+        return at[at >= 0], column[at >= 0]
+
+    (left_at, left_column), (right_at, right_column) = entries(left), entries(right)
+    bits = np.zeros((len(left), (len(right) + 7) // 8), np.uint8)
+    back = np.zeros((len(right), (len(left) + 7) // 8), np.uint8)
+    strip = max(8, CELLS // max(len(right), 1) // 8 * 8)
+    for lo in range(0, len(left), strip):
+        rows = left[lo : lo + strip]
+        own = (left_at >= lo) & (left_at < lo + strip)
+        columns, x_column = np.unique(left_column[own], return_inverse=True)
+        x_at = left_at[own] - lo
+        slot = np.minimum(np.searchsorted(columns, right_column), max(len(columns) - 1, 0))
+        met = columns[slot] == right_column if len(columns) else np.zeros(len(slot), bool)
+        y_at, y_column = right_at[met], slot[met]
+        both = np.zeros((len(rows), len(right)), np.float32)
+        wide = max(1, CELLS // max(len(rows), len(right), 1))
+        for at in range(0, len(columns), wide):
+            a, b = np.zeros((len(rows), wide), np.float32), np.zeros((len(right), wide), np.float32)
+            x, y = (x_column >= at) & (x_column < at + wide), (y_column >= at) & (y_column < at + wide)
+            a[x_at[x], x_column[x] - at] = 1
+            b[y_at[y], y_column[y] - at] = 1
+            both += a @ b.T
+        linked = DENOMINATOR * both >= NUMERATOR * (size[rows][:, None] + size[right][None, :] - both)
+        if i == j:
+            linked[np.arange(len(rows)), lo + np.arange(len(rows))] = False
+        n[rows] += linked @ weight[right]
+        if i != j:
+            n[right] += linked.T @ weight[rows]
+        bits[lo : lo + strip] = np.packbits(linked, axis=1)
+        back[:, lo // 8 : lo // 8 + (len(rows) + 7) // 8] = np.packbits(linked.T, axis=1)
+
+    # Spanning forest: breadth first, by the rows of the bits and back.
+    root = np.full(len(parts), -1)
+    seen_l, seen_r = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    some = bits.any(axis=1)
+    ahead = lambda own, table, count: np.unpackbits(np.bitwise_or.reduce(table[own], axis=0), count=count).astype(bool)
     for k in range(len(left)):
-        if seen_l[k] or not linked[k].any():
+        if seen_l[k] or not some[k]:
             continue
-        fresh = np.zeros(len(left), bool)
-        fresh[k] = True
-        while fresh.any():
-            seen_l |= fresh
+        fresh = np.array([k])
+        while len(fresh):
+            seen_l[fresh] = True
             root[left[fresh]] = left[k]
-            reached = linked[fresh].any(axis=0) & ~seen_r
-            seen_r |= reached
+            reached = np.flatnonzero(ahead(fresh, bits, len(right)) & ~seen_r)
+            seen_r[reached] = True
             root[right[reached]] = np.where(root[right[reached]] < 0, left[k], root[right[reached]])
-            fresh = (linked[:, reached].any(axis=1) | (reached if i == j else False)) & ~seen_l
+            if not len(reached):
+                break
+            new = ahead(reached, back, len(left))
+            if i == j:
+                new[reached] = True
+            fresh = np.flatnonzero(new & ~seen_l)
     own = np.flatnonzero(root >= 0)
     return pd.DataFrame({"c": parts["c"][own].to_numpy(), "n": n[own], "root": parts["c"].to_numpy()[root[own]]})
 
@@ -315,7 +344,7 @@ def links(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame
     # Blocks of crowds: by size, in steps of five to four, then by hash.
     step = F.floor(F.log(F.col("n")) / np.log(DENOMINATOR / NUMERATOR)).cast("int")
     sized = crowd.join(classes.select("c", "m", step.alias("step"), "n"), "c")
-    lasts = sized.groupBy("crowd", "step").agg((F.sum("n") / BLOCK).cast("int").alias("last"))
+    lasts = sized.groupBy("crowd", "step").agg((F.sum(F.greatest("n", F.lit(BLOCK // CLASSES))) / BLOCK).cast("int").alias("last"))
     blocks = lasts.groupBy("crowd").agg(F.map_from_entries(F.collect_list(F.struct("step", "last"))).alias("last"))  # a crowd has a hundred steps at most
     inside = sized.join(blocks, "crowd").withColumn("block", F.struct("step", F.pmod(F.xxhash64("c"), F.col("last")[F.col("step")] + 1).cast("int").alias("k")))
     beside = lambda d: F.transform(F.when(F.array_contains(F.map_keys("last"), F.col("step") + d), F.sequence(F.lit(0), F.try_element_at("last", F.col("step") + d))).otherwise(F.array().cast("array<int>")), lambda k: F.struct((F.col("step") + d).alias("step"), k.alias("k")))

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cairn.llm import common, graph, jaccard
@@ -72,6 +74,61 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(13)}, 20: 20, 25: 20, 30: 20, 40: 40}
 
 
+def test_components_of_random_graphs(spark):
+    rng = random.Random(7)
+    edges = [(0, k) for k in range(1, 300)] + [(999, k) for k in range(700, 900)] + [(k, k + 1) for k in range(400, 520)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)]
+    label = {n: n for e in edges for n in e}
+    for _ in range(200):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()} == label
+
+
+def blocks_of(rng, n, size, pool):
+    base = [rng.choice(10**12, size, replace=False) for _ in range(pool)]
+    sets = []
+    for k in range(n):
+        s = base[k % pool].copy()
+        s[: rng.integers(0, 3)] = rng.choice(10**12, 1)
+        sets.append(np.unique(s))
+    return sets
+
+
+def test_blocks_against_all_pairs():
+    rng = np.random.default_rng(5)
+    sets = blocks_of(rng, 90, 12, 7)
+    block = np.where(rng.random(90) < 0.5, "1:0", "1:1")
+    parts = pd.DataFrame({"c": [f"{k:03}".encode() for k in range(90)], "block": block, "s": sets, "m": rng.integers(1, 5, 90)})
+    own = lambda k: {*sets[k].tolist()}
+    for i, j in (("1:0", "1:0"), ("1:0", "1:1")):
+        part = parts if i != j else parts[parts["block"] == i]
+        linked = {(a, b) for a in part.index for b in part.index if a != b and {block[a], block[b]} == {i, j} and (i == j or block[a] != block[b]) and 5 * len(own(a) & own(b)) >= 4 * len(own(a) | own(b))}
+        for cells in (1 << 22, 64):
+            jaccard.CELLS, old = cells, jaccard.CELLS
+            got = jaccard.count_block(part, i, j)
+            jaccard.CELLS = old
+            n = {int(c): m for c, m in zip(got["c"], got["n"], strict=True)}
+            assert n == {a: sum(int(parts["m"][y]) for x, y in linked if x == a) for a in {x for x, _ in linked}} and linked
+            label = {a: a for a in n}
+            for _ in n:
+                for a, b in linked:
+                    label[a] = label[b] = min(label[a], label[b])
+            root = {int(c): int(r) for c, r in zip(got["c"], got["root"], strict=True)}
+            assert all((root[a] == root[b]) == (label[a] == label[b]) for a in n for b in n)
+
+
+def test_full_block_is_bounded():
+    """A block of 10,000 sets of 20 shingles, more than a block takes, needs a few hundred MB."""
+    rng = np.random.default_rng(6)
+    sets = blocks_of(rng, 10_000, 20, 300)
+    parts = pd.DataFrame({"c": [f"{k:05}".encode() for k in range(len(sets))], "block": "1:0", "s": sets, "m": 1})
+    tracemalloc.start()
+    got = jaccard.count_block(parts, "1:0", "1:0")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) and peak < 400 << 20
+
+
 def tries(sets):
     """``LABEL`` rows of sets of 64-bit hashes, and each one's labels."""
     labels = np.array([jaccard.signature(s) for s in sets]).view(np.uint32).astype(np.uint64).reshape(-1, jaccard.TREES, jaccard.DEPTH)
