@@ -75,25 +75,6 @@ def west_outliers(rows: DataFrame, threshold: float = 136.9, targets: DataFrame
 # Captured pages.
 
 
-def local_links(pages: DataFrame) -> DataFrame:
-    """(seq, link) of each href and src of a page (seq, html) that is no URL of another place; query and fragment are cut."""
-    found = F.regexp_extract_all("html", F.lit(r"""(?i)\b(?:href|src)\s*=\s*["']([^"']+)["']"""), F.lit(1))
-    link = F.regexp_replace(F.trim("link"), "[?#].*$", "")
-    own = pages.select("seq", F.explode(found).alias("link")).where(~F.col("link").rlike(r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:|//|#)"))
-    return own.select("seq", link.alias("link")).where("link <> ''").distinct()
-
-
-def missing_links(links: DataFrame, files: DataFrame) -> DataFrame:
-    """(seq, link, problem) of local links that leave the folder or whose file ``files`` (path) hasn't."""
-    parts = F.filter(F.split("link", "/"), lambda p: ~p.isin("", "."))
-    depth = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("least")), lambda a, p: F.struct(F.when(p == "..", a["at"] - 1).otherwise(a["at"] + 1).alias("at"), F.least(a["least"], F.when(p == "..", a["at"] - 1).otherwise(a["at"] + 1)).alias("least")))
-    path = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))))
-    own = links.withColumns({"outside": depth["least"] < 0, "path": F.array_join(path, "/")})
-    met = own.join(files.select("path", F.lit(True).alias("there")).distinct(), "path", "left")
-    problem = F.when(F.col("outside"), "outside").when(F.col("there").isNull(), "missing")
-    return met.select("seq", "link", problem.alias("problem")).where("problem is not null")
-
-
 def page_features(pages: DataFrame) -> DataFrame:
     """(seq, url_key, features) of pages (seq, html) that describe a restaurant in JSON-LD.
 

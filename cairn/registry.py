@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import numbers as N
 from cairn.functions import text as X
-from cairn.operators import enrich, match, needles, publish, regions, score, snapshot
+from cairn.operators import enrich, links, match, needles, publish, regions, score, snapshot
 from cairn.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -626,9 +626,19 @@ def domain_counts(spark, sf_dir):
     return snapshot.domain_counts(read(spark, sf_dir, "orders"), "o_orderstatus", ["F", "O", "P", "none"])
 
 
-@query("select distinct page_id as seq, regexp_replace(trim(link), '[?#].*$', '') as link, 'missing' as problem from (select page_id, unnest(regexp_extract_all(html, '(?i)\\b(?:href|src)\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)) as link from pages) where not regexp_matches(link, '(?i)^\\s*(?:[a-z][a-z0-9+.-]*:|//|#)') and regexp_replace(trim(link), '[?#].*$', '') <> '' and not contains(link, 'img')")
-def local_links(spark, sf_dir):
-    """Local links of pages, with images as the files that there are."""
-    links = enrich.local_links(read(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), "html"))
-    there = links.where(F.contains("link", F.lit("img"))).select(F.regexp_replace("link", "^/+", "").alias("path"))
-    return enrich.missing_links(links, there)
+_OWN_PATH = "regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^https?://[^/]*', '')"
+_HOST = "lower(regexp_extract(url, '^https?://([^/?#]*)', 1))"
+
+
+@query(f"""with p as (select page_id as seq, {_HOST} as host, {_OWN_PATH} as path, url, html from pages),
+keys as (select distinct host, case when path like '%/' then path || 'index.html' else path end as k from p), known as (select host, k from keys union select host, regexp_replace(k, '/index.html$', '') from keys),
+made as (select seq, host, unnest(['.', '../../../up', '/%65n/none?x', 'there/../' || replace(regexp_extract(path, '([^/]*)/?$', 1), '.', '%2E')]) as link, unnest([regexp_replace(path, '[^/]*$', 'index.html'), '/up', '/en/none', regexp_replace(path, '/([^/]*)(/?)$', case when path like '%/' then '/\\1/\\1' else '/\\1' end)]) as target, unnest([false, true, false, false]) as outside from p),
+found as (select distinct seq, host, trim(unnest(regexp_extract_all(html, '(?i)\\b(?:href|src)\\s*=\\s*["'']([^"'']+)["'']', 1))) as link from p),
+every as (select * from made union select seq, host, link, regexp_replace(link, '[?#].*$', ''), false from found where link like '/%' and link not like '//%')
+select seq, link, target, case when outside then 'outside' else 'missing' end as problem from every where outside or not exists (select 1 from known where known.host = every.host and known.k = every.target)""")
+def broken_page_links(spark, sf_dir):
+    """Links of pages that lead nowhere on their host; each page gets relative, climbing and escaped ones besides its own."""
+    path = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^https?://[^/]*", "")
+    last = F.replace(F.regexp_extract(path, "([^/]*)/?$", 1), F.lit("."), F.lit("%2E"))
+    more = F.concat(F.lit("<a href='.'></a><a HREF = '../../../up'></a><a href='/%65n/none?x'></a><img src='there/../"), last, F.lit("'>"))
+    return links.broken_links(read(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), "url", F.concat("html", more).alias("html")))
