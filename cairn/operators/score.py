@@ -97,8 +97,3 @@ def excluded(*texts: Column, words=EXCLUDED) -> Column:
 def of_rank(rows: DataFrame, ranks: list[str] | None, column: str = "carnivore_rank") -> DataFrame:
     """rows of the ranks; none given, all."""
     return rows.where(F.col(column).isin(ranks)) if ranks else rows
-
-
-def search(rows: DataFrame, column: str, needle: str, order: list[str], k: int) -> DataFrame:
-    """The first ``k`` rows, in order, whose text contains the needle in any case."""
-    return rows.where(F.contains(F.lower(F.col(column)), F.lit(needle.lower()))).orderBy(*order).limit(k)

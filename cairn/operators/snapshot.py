@@ -1,4 +1,4 @@
-"""Snapshot merge with lineage, and the rules a published set must pass (J2-J5, E2, A1, A2, U2, V, W)."""
+"""Lineage, and the rules a published set must pass (A3, A8, U2, V, W). The merge of snapshots is in ``publish``."""
 
 from __future__ import annotations
 
@@ -6,46 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import numbers as N
-from cairn.operators import match
-
-
-def overlay(base: Column, preferred: Column) -> Column:
-    """The preferred value unless it is blank."""
-    return F.coalesce(F.when(F.trim(preferred) != "", preferred), base)
-
-
-def merge(current: DataFrame, legacy: DataFrame, radius_m: float = 50) -> DataFrame:
-    """Rows of both snapshots, each once: (id, legacy_id, name, price, status, how).
-
-    Sides: (id, legacy_id, key, name, price, lat, lng); ``id`` is null on legacy-only rows. Rows of one id
-    meet; then rows whose id is gone meet an unmatched row of equal key within the radius, one to one;
-    then rows without a legacy id meet legacy-only rows likewise. What stays alone is kept as it is.
-    """
-    c = current.select(*(F.col(x).alias(f"c_{x}") for x in current.columns))
-    old = legacy.where("id is not null")
-    joined = c.join(old, F.col("c_id") == F.col("id"), "full_outer")
-    exact = joined.where("c_id is not null and id is not null")
-    fresh = joined.where("id is null").select(*(F.col(f"c_{x}").alias(x) for x in current.columns))
-    gone = joined.where("c_id is null").select(*current.columns)
-    again = match.one_to_one(gone, fresh, radius_m).select(F.col("l_id").alias("g"), F.col("r_id").alias("f"))
-    reissued = fresh.select(*(F.col(x).alias(f"c_{x}") for x in current.columns)).join(again, F.col("c_id") == F.col("f")).join(gone, F.col("g") == F.col("id")).drop("g", "f")
-    both = lambda d, how: d.select(F.col("c_id").alias("id"), F.coalesce("c_legacy_id", "legacy_id").alias("legacy_id"), F.col("c_key").alias("key"), overlay(F.col("name"), F.col("c_name")).alias("name"), overlay(F.col("price"), F.col("c_price")).alias("price"), F.col("c_lat").alias("lat"), F.col("c_lng").alias("lng"), F.lit("current").alias("status"), F.lit(how).alias("how"))
-    alone = lambda d, status, how: d.select("id", "legacy_id", "key", "name", "price", "lat", "lng", F.lit(status).alias("status"), F.lit(how).alias("how"))
-    left = fresh.join(again, F.col("id") == F.col("f"), "left_anti")
-    kept = gone.join(again, F.col("id") == F.col("g"), "left_anti")
-    known = both(exact, "exact").unionByName(both(reissued, "reissued")).unionByName(alone(left, "current", "new")).unionByName(alone(kept, "legacy_unverified", "retained"))
-    only = legacy.where("id is null")
-    free = known.where("legacy_id is null")
-    cross = match.one_to_one(free, only.withColumn("id", F.col("legacy_id")), radius_m).select(F.col("l_id").alias("x"), F.col("r_id").alias("y"))
-    taken = known.join(cross, F.col("id") == F.col("x"), "left").withColumn("how", F.when(F.col("y").isNotNull(), F.lit("cross")).otherwise(F.col("how"))).withColumn("legacy_id", F.coalesce("legacy_id", "y")).drop("x", "y")
-    rest = alone(only.join(cross, F.col("legacy_id") == F.col("y"), "left_anti"), "legacy_unverified", "legacy_only")
-    return taken.unionByName(rest)
-
-
-def stats(merged: DataFrame) -> DataFrame:
-    """A1, A2: one row of counters."""
-    count = lambda c, v: F.count_if(F.col(c) == v).alias(f"n_{v}")
-    return merged.agg(F.count("*").alias("n_rows"), *(count("how", h) for h in ("exact", "reissued", "cross", "new", "retained", "legacy_only")), *(count("status", s) for s in ("current", "legacy_unverified")))
 
 
 def lost(before: DataFrame, after: DataFrame, column: str = "legacy_id") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import numbers as N
 from cairn.functions import text as X
-from cairn.operators import enrich, links, match, needles, publish, regions, score, snapshot
+from cairn.operators import enrich, links, match, needles, publish, regions, score, search, snapshot
 from cairn.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,45 +108,62 @@ def greedy_entity_merge(spark, sf_dir):
 
 
 def _snapshots(spark, sf_dir):
-    p = places(spark, sf_dir)
-    none = F.lit(None).cast("string")
-    current = p.where("id % 5 <> 0").select("id", none.alias("legacy_id"), "key", F.when(F.col("id") % 4 == 1, F.lit("")).otherwise(F.col("name")).alias("name"), F.col("price").cast("string").alias("price"), "lat", "lng")
-    legacy = p.where("id % 3 <> 0").select(F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id")).cast("bigint").alias("id"), F.concat(F.lit("L"), "id").alias("legacy_id"), "key", F.concat("name", F.lit(" old")).alias("name"), F.lit("").alias("price"), "lat", "lng")
-    return current, legacy
+    """A fresh scan and a published set: ids in both, ids of one side, reissued ids, and rows that have an old id only."""
+    i = F.col("id")
+    text = lambda *c: F.concat(*(x.cast("string") if not isinstance(x, str) else F.lit(x) for x in c))
+    listing = text("https://hotpepper.jp/strJ", i, "/x")
+    p = places(spark, sf_dir).select(i.alias("row"), "id", "name", text("a ", i).alias("address"), (F.col("lat") - 2).cast("string").alias("lat"), F.col("lng").cast("string").alias("lng"), listing.alias("url"), F.lit("hotpepper").alias("sources"))
+    old = F.concat(F.lit("legacy_"), F.lpad(i.cast("string"), 20, "0"))
+    only = i % 7 == 0
+    legacy = p.where("id % 3 <> 0").withColumns({"name": F.upper("name"), "legacy_id": old, "url": F.when(only, "").otherwise(F.col("url")), "sources": F.when(only, "legacy_local").otherwise("hotpepper,legacy_local")})
+    return p.where("id % 5 <> 0"), legacy
+
+
+def _merged(spark, sf_dir):
+    return publish.merge(*_snapshots(spark, sf_dir), "2026-07-16", "2026-01-02", 3000)
 
 
-@query(f"""with {PLACES}, c as (select id, key, case when id % 4 = 1 then '' else name end as name, lat, lng from places where id % 5 <> 0),
-l as (select case when id % 7 = 0 then null else id end as id, 'L' || id as legacy_id, key, name || ' old' as name, lat, lng from places where id % 3 <> 0),
-j as (select c.id as cid, l.id as lid, l.legacy_id, coalesce(c.key, l.key) as key, coalesce(nullif(trim(c.name), ''), l.name, '') as name, c.lat as clat, c.lng as clng, l.lat as llat, l.lng as llng from c full join (select * from l where id is not null) l on c.id = l.id),
-fresh as (select cid as id, key, clat as lat, clng as lng from j where lid is null), gone as (select lid as id, key, llat as lat, llng as lng, legacy_id, name from j where cid is null),
+_MERGED = f"""with {PLACES}, c as (select id, key, name, lat - 2 as lat, lng from places where id % 5 <> 0),
+l as (select case when id % 7 = 0 then null else id end as id, 'legacy_' || lpad(id::varchar, 20, '0') as legacy_id, key, upper(name) as name, lat - 2 as lat, lng from places where id % 3 <> 0),
+j as (select c.id as cid, l.id as lid, l.legacy_id, coalesce(c.key, l.key) as key, coalesce(c.name, l.name) as name, c.lat as clat, c.lng as clng, l.lat as llat, l.lng as llng from c full join (select * from l where id is not null) l on c.id = l.id),
+fresh as (select cid as id, key, name, clat as lat, clng as lng from j where lid is null), gone as (select lid as id, key, llat as lat, llng as lng, legacy_id, name from j where cid is null),
 g0 as (select a.id as g, b.id as f, {METRES} as m from gone a join fresh b on a.key = b.key), g1 as (select *, count(*) over (partition by g) as dg, count(*) over (partition by f) as df from g0 where m <= 3000),
 re as (select g, f from g1 where dg = 1 and df = 1),
 known as (select cid as id, legacy_id, key, name, clat as lat, clng as lng, 'exact' as how from j where cid is not null and lid is not null
-  union all select f.id, g.legacy_id, f.key, coalesce(nullif(trim(c.name), ''), g.name), f.lat, f.lng, 'reissued' from fresh f join re on re.f = f.id join gone g on g.id = re.g join c on c.id = f.id
-  union all select f.id, null, f.key, c.name, f.lat, f.lng, 'new' from fresh f join c on c.id = f.id where f.id not in (select f from re)
+  union all select f.id, g.legacy_id, f.key, f.name, f.lat, f.lng, 'reissued' from fresh f join re on re.f = f.id join gone g on g.id = re.g
+  union all select id, null, key, name, lat, lng, 'new' from fresh where id not in (select f from re)
   union all select id, legacy_id, key, name, lat, lng, 'retained' from gone where id not in (select g from re)),
 lo as (select * from l where id is null), x0 as (select a.id as x, b.legacy_id as y, {METRES} as m from (select * from known where legacy_id is null) a join lo b on a.key = b.key),
-x1 as (select *, count(*) over (partition by x) as dx, count(*) over (partition by y) as dy from x0 where m <= 3000), cr as (select x, y from x1 where dx = 1 and dy = 1)
-select id, coalesce(legacy_id, y) as legacy_id, name, case when y is not null then 'cross' else how end as how from known left join cr on x = id
-union all select null, legacy_id, name, 'legacy_only' from lo where legacy_id not in (select y from cr)""")
+x1 as (select *, count(*) over (partition by x) as dx, count(*) over (partition by y) as dy from x0 where m <= 3000), cr as (select x, y from x1 where dx = 1 and dy = 1),
+merged as (select 'J' || id as id, coalesce(legacy_id, y, '') as legacy_id, name, how as first_how, case when y is not null then 'cross' else how end as how from known left join cr on x = id
+  union all select null, legacy_id, name, 'legacy_only', 'legacy_only' from lo where legacy_id not in (select y from cr))"""
+
+
+@query(f"{_MERGED} select id, legacy_id, name, how, case when how in ('retained', 'legacy_only') then 'legacy_unverified' else 'current' end as data_status from merged")
 def snapshot_merge(spark, sf_dir):
-    """J2, J4, J5, E2."""
-    return snapshot.merge(*_snapshots(spark, sf_dir), 3000).select("id", "legacy_id", "name", "how")
+    """The full merge, with ids that are gone and found again near by."""
+    return _merged(spark, sf_dir).rows.select(X.listing_id(F.col("hotpepper_url"), publish.HOSTS).alias("id"), "legacy_id", "name", "how", "data_status")
 
 
-@query(f"select count(*) as n_rows, count(*) filter (how = 'exact') as n_exact, count(*) filter (how = 'reissued') as n_reissued, count(*) filter (how = 'cross') as n_cross, count(*) filter (how = 'new') as n_new, count(*) filter (how = 'retained') as n_retained, count(*) filter (how = 'legacy_only') as n_legacy_only, count(*) filter (how in ('exact', 'reissued', 'new', 'cross')) as n_current, count(*) filter (how in ('retained', 'legacy_only')) as n_legacy_unverified from ({SQL['snapshot_merge']})")
+@query(f"{_MERGED} select count(*) filter (first_how = 'exact') as hotpepper_id_updates, count(*) filter (first_how = 'reissued') as hotpepper_reissued_matches, count(*) filter (how = 'cross') as cross_source_matches, 0::bigint as sanitized_budget_values, count(*) as output_rows, (select count(*) from c) as current_input, (select count(*) from l) as legacy_input, 0::bigint as migrated_legacy_ids, (select count(*) from g1 where dg > 1 or df > 1) as ambiguous_reissue_candidates, (select count(*) from x1 where dx > 1 or dy > 1) as ambiguous_cross_source_candidates from merged")
 def merge_stats(spark, sf_dir):
-    """A1, A2."""
-    return snapshot.stats(snapshot.merge(*_snapshots(spark, sf_dir), 3000))
+    """A2: the counters of a merge."""
+    return _merged(spark, sf_dir).stats
+
 
+@query(f"{_MERGED} select data_status, n_rows, n_sources from (select case when how in ('retained', 'legacy_only') then 'legacy_unverified' else 'current' end as data_status, count(*) as n_rows, count(distinct case when id is not null and legacy_id <> '' then 'both' when id is not null then 'listed' else 'old' end) as n_sources from merged group by 1)")
+def merged_status_counts(spark, sf_dir):
+    """A1: rows and different sources by status of a merged set."""
+    return _merged(spark, sf_dir).rows.groupBy("data_status").agg(F.count("*").alias("n_rows"), F.countDistinct("sources").alias("n_sources"))
 
-@query(f"""with b as (select distinct 'L' || p_partkey as i from part where p_partkey % 3 <> 0 union select 'L-made-up'), a as (select distinct legacy_id as i from ({SQL['snapshot_merge']}) where legacy_id is not null)
+
+@query(f"""{_MERGED}, b as (select distinct legacy_id as i from l union select 'legacy_made_up'), a as (select distinct legacy_id as i from merged where legacy_id <> '')
 select i as legacy_id, 'after' as missing_in from b where i not in (select i from a) union all select i, 'before' from a where i not in (select i from b)""")
 def lineage_conservation(spark, sf_dir):
     """Legacy ids of one side only; of the merge none but one that is added to the inputs here."""
-    current, legacy = _snapshots(spark, sf_dir)
-    added = spark.createDataFrame([("L-made-up",)], "legacy_id string")
-    return snapshot.lost(legacy.select("legacy_id").unionByName(added), snapshot.merge(current, legacy, 3000))
+    _, legacy = _snapshots(spark, sf_dir)
+    added = spark.createDataFrame([("legacy_made_up",)], "legacy_id string")
+    return snapshot.lost(legacy.select("legacy_id").unionByName(added), _merged(spark, sf_dir).rows.where("legacy_id <> ''"))
 
 
 @query("select page_id, regexp_replace(split_part(split_part(trim(url), '#', 1), '?', 1), '/+$', '') as url_key from pages")
@@ -614,10 +631,17 @@ def union_dedupe_first(spark, sf_dir):
     return files.union_scans(scans.withColumn("kept", F.col("seq")), "rank", "seq", "key").select(F.col("key").cast("bigint").alias("id"), "kept")
 
 
-@query("select page_id, url from pages where contains(lower(url), 'blog') order by page_id limit 20")
+@query("select page_id, url from pages where contains(lower(url), 'blog.th') order by page_id limit 20")
 def name_search_topk(spark, sf_dir):
-    """Search with a limit, which is the feature."""
-    return score.search(read(spark, sf_dir, "pages").select("page_id", "url"), "url", "blog", ["page_id"], 20)
+    """Search by an index, with a limit, which is the feature."""
+    index = search.build(read(spark, sf_dir, "pages").select("page_id", "url"), "url")
+    return search.first(search.containing(spark, index, "Blog.th"), ["page_id"], 20)
+
+
+@query("select p_partkey, p_name from part where starts_with(lower(p_name), 'hot g')")
+def name_completion(spark, sf_dir):
+    """names that begin as typed."""
+    return search.beginning(spark, search.build(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name"), "Hot g")
 
 
 @query("select v as value, (select count(*) from orders where o_orderstatus = v) as n from (select unnest(['F', 'O', 'P', 'none']) as v)")

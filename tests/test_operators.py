@@ -119,15 +119,6 @@ def test_one_to_one_leaves_ambiguous_pairs(spark):
     assert [(r["l_id"], r["r_id"]) for r in match.one_to_one(left, right, 50).collect()] == [(1, 11)]
 
 
-def test_snapshot_merge_conserves_lineage(spark):
-    schema = "id long, legacy_id string, key string, name string, price string, lat double, lng double"
-    cur = spark.createDataFrame([(1, None, "a", "A", "10", 35.0, 139.0), (5, None, "b", "", "", 35.0, 139.0), (6, None, "c", "C", "1", 35.0, 139.0)], schema)
-    old = spark.createDataFrame([(1, "L1", "a", "A0", "", 35.0, 139.0), (2, "L2", "b", "B0", "7", 35.00001, 139.0), (3, "L3", "z", "Z", "", 35.0, 139.0), (None, "L4", "c", "C0", "", 35.0, 139.0), (None, "L5", "q", "Q", "", 35.0, 139.0)], schema)
-    got = {(r["id"], r["legacy_id"], r["name"], r["how"]) for r in snapshot.merge(cur, old).collect()}
-    assert got == {(1, "L1", "A", "exact"), (5, "L2", "B0", "reissued"), (6, "L4", "C", "cross"), (3, "L3", "Z", "retained"), (None, "L5", "Q", "legacy_only")}
-    assert snapshot.lost(old, snapshot.merge(cur, old)).count() == 0
-
-
 def test_scores(spark):
     df = spark.createDataFrame([(["焼肉", "ホルモン"], "食べ放題 アメリカンBBQ", 4.0, 1000), (None, None, None, None)], "g array<string>, t string, r double, n int")
     got = [r["s"] for r in df.select(score.score(F.col("g"), F.col("t"), F.col("r"), F.col("n")).alias("s")).collect()]
