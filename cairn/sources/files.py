@@ -6,9 +6,9 @@ import csv
 import io
 import math
 import os
+import shutil
 import subprocess
 import tempfile
-import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import numbers as N
 from cairn.functions import text as X
+from cairn.sources import tabular
 
 
 def csv_metadata(spark: SparkSession, path: str) -> dict[str, str]:
@@ -71,26 +72,17 @@ def repair_header(text: str, header: str) -> str:
     return f"{header}\n{text[len(header):]}" if text.startswith(header) and not text.startswith((header + "\n", header + "\r\n")) else text
 
 
-def read_csv(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """All columns as trimmed strings, missing ones empty; lines that begin with # are passed over."""
+def read_csv(spark: SparkSession, path: str, required: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
+    """All columns as trimmed strings, missing ones empty. Unless ``strict``, lines that begin with # are passed over wherever they are, and long records are cut."""
+    if strict:
+        return tabular.read_strict(spark, path, required)
     found = spark.read.csv(path, header=True, comment="#", multiLine=True, enforceSchema=False, escape='"')
-    names = [c.removeprefix("﻿").strip() for c in found.columns]
+    names = [c.removeprefix("\ufeff").strip() for c in found.columns]
     if missing := [c for c in required if c not in names]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return found.select(*(F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(n) for c, n in zip(found.columns, names, strict=True)))
 
 
-def render_csv(rows: DataFrame, metadata: dict[str, str]) -> str:
-    """K1, K3: metadata lines, header and rows with line feeds. For published sets, which are small."""
-    out = io.StringIO()
-    out.writelines(f"# {k}={v}\n" for k, v in metadata.items())
-    sink = csv.writer(out, lineterminator="\n")
-    sink.writerow(rows.columns)
-    for r in rows.toLocalIterator():
-        sink.writerow(["" if v is None else v for v in r])
-    return out.getvalue()
-
-
 def write_atomic(path: str, text: str) -> None:
     """K4: a temporary file in the same folder, synced, with the old file's mode, then moved."""
     mode = os.stat(path).st_mode & 0o777 if os.path.exists(path) else 0o644
@@ -112,7 +104,7 @@ def publish(rows: DataFrame, path: str, metadata: dict[str, str], check: Callabl
     """K9: write only if ``check`` finds no violation; the old file stays otherwise."""
     if bad := check(rows).limit(5).collect():
         raise ValueError(f"not published: {[tuple(r) for r in bad]}")
-    write_atomic(path, render_csv(rows, metadata))
+    tabular.write(rows, path, metadata)
 
 
 def shop_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -194,19 +186,15 @@ BLOCKS = {"city": ("市区町村名", "市区町村名・漢字"), "chome": ("
 
 
 def gazetteer(spark: SparkSession, archive: str, member: str, columns: dict[str, tuple[str, ...]], encoding: str = "shift_jis") -> DataFrame:
-    """(seq, ``columns``, lat, lng, raw_...) of a CSV in a ZIP archive of the driver's; no archive gives no rows.
+    """(seq, ``columns``, lat, lng, raw_...) of the CSV members of ZIP archives, a task each; no archive gives no rows.
 
-    Names lose their white space in NFKC; rows with a blank one drop out; a blank coordinate is null.
+    A column is the first of its names that has a value. Names lose their white space in NFKC; rows with a blank one drop out; a
+    blank coordinate is null. ``seq``: the record's place, by archive and member.
     """
-    rows: list[tuple] = []
-    if os.path.exists(archive):
-        with zipfile.ZipFile(archive) as packed, packed.open(member) as f:
-            for k, r in enumerate(csv.DictReader(line.decode(encoding, errors="ignore") for line in f)):
-                rows.append((k, *(next((r[n] for n in own if r.get(n)), "") for own in columns.values()), r.get("緯度") or "", r.get("経度") or ""))
-    found = spark.createDataFrame(rows, "seq long, " + ", ".join(f"raw_{c} string" for c in columns) + ", lat string, lng string")
-    clean = found.withColumns({c: F.trim(F.col(f"raw_{c}")) if c == "gaiku" else X.geo_key(F.col(f"raw_{c}")) for c in columns})
-    numbers = {c: F.col(c).try_cast("double") for c in ("lat", "lng")}
-    whole = clean.withColumns(numbers)
+    found = tabular.records(spark, archive, encoding, member, errors="ignore").where("at > 0")
+    cell = lambda *own: F.coalesce(*(F.nullif(F.try_element_at("cells", F.lit(n)), F.lit("")) for n in own), F.lit(""))
+    raw = found.select(F.struct("file", "member", "at").alias("seq"), *(cell(*own).alias(f"raw_{c}") for c, own in columns.items()), cell("緯度").try_cast("double").alias("lat"), cell("経度").try_cast("double").alias("lng"))
+    whole = raw.withColumns({c: F.trim(F.col(f"raw_{c}")) if c == "gaiku" else X.geo_key(F.col(f"raw_{c}")) for c in columns})
     for c in columns:
         whole = whole.where(F.col(c) != "")
     return whole
@@ -225,28 +213,24 @@ def export_rows(stores: DataFrame, ranks: list[str] | None = None) -> DataFrame:
 
 
 def export(stores: DataFrame, path: str, generated_at: str, ranks: list[str] | None = None) -> dict[str, int]:
-    """K1, A3, A4: write an export with its three metadata lines; the numbers of exported and of all stores."""
-    own = stores.where(F.col("carnivore_rank").isin(ranks)) if ranks else stores
+    """K1, A3, A4: write an export with its three metadata lines, of which scope and number are found while it is written; the numbers of exported and of all stores."""
     kept = F.col("carnivore_rank").isin(ranks) if ranks else F.lit(True)
     seen = stores.agg(F.count("*").alias("total"), F.count_if(kept).alias("exported")).first()
-    scope = own.select(F.explode("sources").alias("s")).agg(F.array_join(F.array_sort(F.collect_set("s")), ",").alias("s")).first()["s"]
-    write_atomic(path, render_csv(export_rows(own), {"generated_at_utc": generated_at, "source_scope": scope, "total_records": str(seen["exported"])}))
+    tabular.write(export_rows(stores, ranks), path, {"generated_at_utc": generated_at, "source_scope": None, "total_records": None})
     return {"exported": seen["exported"], "total": seen["total"]}
 
 
 def rewrite(path: str, rows: DataFrame, metadata: dict[str, str]) -> None:
     """K5: replace a file; its first version stays beside it as .bak."""
-    text = render_csv(rows, metadata)
     backup = f"{path}.bak"
     if os.path.exists(path) and not os.path.exists(backup):
-        with open(path, encoding="utf-8") as f:
-            write_atomic(backup, f.read())
-    write_atomic(path, text)
+        shutil.copy2(path, backup)
+    tabular.write(rows, path, metadata)
 
 
 def write_list(path: str, rows: DataFrame, condition: str) -> None:
     """K6: a list of rows with the condition that they meet."""
-    write_atomic(path, render_csv(rows, {"condition": condition}))
+    tabular.write(rows, path, {"condition": condition})
 
 
 def summary(stats: DataFrame) -> str:
