@@ -155,25 +155,6 @@ def shares_run(a: Column, b: Column, k: int) -> Column:
     return F.arrays_overlap(grams(a, k), grams(b, k))
 
 
-def common_run(a: Column, b: Column) -> Column:
-    """Length of the longest common substring."""
-
-    @F.pandas_udf("int")
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            x, y = x or "", y or ""
-            lo, hi = 0, min(len(x), len(y))
-            while lo < hi:  # a common run of n means one of n - 1
-                n = (lo + hi + 1) // 2
-                seen = {x[i : i + n] for i in range(len(x) - n + 1)}
-                lo, hi = (n, hi) if any(y[i : i + n] in seen for i in range(len(y) - n + 1)) else (lo, n - 1)
-            out.append(lo)
-        return pd.Series(out)
-
-    return run(a, b)
-
-
 def simple_address(x: Column, compat: bool = True) -> Column:
     """Through the last token that is numbers joined by hyphens; whole if there is none."""
     token = F.split(F.trim(_odd_space(nfkc(F.coalesce(x, F.lit(""))), compat)), " ")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -131,18 +132,98 @@ def duplicate_clusters(points: DataFrame, radius_m: float = 20, run: int = 3) ->
     return components(alike).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
 
 
+class _Runs:
+    """A suffix automaton of a text: the longest run that another text has in common with it, in one reading of that."""
+
+    def __init__(self, text: str):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.size = [-1], [0]
+        last = 0
+        for c in text:
+            new = self._state(self.size[last] + 1, {}, 0)
+            at = last
+            while at >= 0 and c not in self.next[at]:
+                self.next[at][c] = new
+                at = self.link[at]
+            if at >= 0:
+                to = self.next[at][c]
+                if self.size[to] != self.size[at] + 1:
+                    copy = self._state(self.size[at] + 1, dict(self.next[to]), self.link[to])
+                    while at >= 0 and self.next[at].get(c) == to:
+                        self.next[at][c] = copy
+                        at = self.link[at]
+                    self.link[to], to = copy, copy
+                self.link[new] = to
+            last = new
+
+    def _state(self, size: int, ahead: dict[str, int], link: int) -> int:
+        self.next.append(ahead)
+        self.link.append(link)
+        self.size.append(size)
+        return len(self.size) - 1
+
+    def longest(self, other: str) -> int:
+        at, n, best = 0, 0, 0
+        for c in other:
+            while at and c not in self.next[at]:
+                at = self.link[at]
+                n = self.size[at]
+            if c in self.next[at]:
+                at, n = self.next[at][c], n + 1
+                best = max(best, n)
+        return best
+
+
+def scored_runs(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (l_seq, l_name, r_name, ...) with ``score``, the length of the longest run that the names have in common.
+
+    A left name's automaton is built once for all of its pairs that lie together in a task.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, own = None, None
+        for b in batches:
+            out = np.zeros(len(b), np.int32)
+            for k, (x, y) in enumerate(zip(b["l_name"], b["r_name"], strict=True)):
+                if x != name:
+                    name, own = x, _Runs(x or "")
+                out[k] = own.longest(y or "")
+            yield b.assign(score=out)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes) + ", score int"
+    return pairs.sortWithinPartitions("l_seq").mapInPandas(run, schema)
+
+
 def block_overlap(left: DataFrame, right: DataFrame, threshold: int, k: int | None = None, compat: bool = True) -> DataFrame:
-    """(block, score, l_seq, l_name, r_seq, r_name) of pairs in a block whose common run is longer than the threshold; the ``k`` best.
+    """(block, score, l_seq, l_name, r_seq, r_name) of pairs in a block whose common run is longer than the threshold; the ``k`` best, by score, block and seqs.
 
     Sides: (block, seq, name). Pairs meet on a run of ``threshold`` + 1 characters in their block, so only
     pairs of the result are made. A row of both sides meets itself (Q5) unless ``compat`` is off.
+
+    For the best, the runs that a pair shares bound its score: a common run of n characters has n - threshold of them. The
+    ``k`` pairs with the highest bounds are scored first; then those alone whose bound reaches the least of these scores.
     """
-    side = lambda d, p: d.select("block", F.col("seq").alias(f"{p}_seq"), F.col("name").alias(f"{p}_name"), F.explode(X.grams(F.col("name"), threshold + 1)).alias("gram"))
+    size = threshold + 1
+
+    def side(d: DataFrame, p: str) -> DataFrame:
+        n = F.length("name")
+        runs = F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring("name", i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+        each = d.select("block", F.col("seq").alias(f"{p}_seq"), F.col("name").alias(f"{p}_name"), F.explode(runs).alias("gram"))
+        return each.groupBy("block", f"{p}_seq", f"{p}_name", "gram").agg(F.count("*").alias(f"{p}_n"))
+
     met = side(left, "l").join(side(right, "r"), ["block", "gram"])
     if not compat:
         met = met.where("l_seq <> r_seq")
-    pairs = met.drop("gram").distinct().withColumn("score", X.common_run(F.col("l_name"), F.col("r_name")))
-    return pairs.orderBy(F.desc("score"), "block", "l_seq", "r_seq").limit(k) if k else pairs
+    bound = (F.sum(F.least("l_n", "r_n")) + threshold).alias("bound")
+    columns = ["block", "score", "l_seq", "l_name", "r_seq", "r_name"]
+    pairs = met.groupBy("block", "l_seq", "l_name", "r_seq", "r_name").agg(bound)
+    if not k:
+        return scored_runs(pairs).select(*columns)
+    pairs = settled(pairs)
+    order = ["block", "l_seq", "r_seq"]
+    first = scored_runs(pairs.orderBy(F.desc("bound"), *order).limit(k)).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+    rest = pairs.where(F.col("bound") >= first["least"]) if first["n"] == k else pairs
+    return scored_runs(rest).select(*columns).orderBy(F.desc("score"), *order).limit(k)
 
 
 def overlap_summary(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import numbers as N
 from cairn.functions import text as X
+from cairn.operators import match
 from cairn.sources import tabular
 
 
@@ -158,6 +159,18 @@ def lattice(spark: SparkSession, box: tuple[float, float, float, float] = (35.4,
     return both.select(F.round("lat", 6).alias("lat"), F.round(lng, 6).alias("lng"), F.lit(radius_m).alias("radius_m"), (F.col("row") * wide + F.col("cell")).alias("seq"))
 
 
+def nearest_circle(places: DataFrame, circles: DataFrame) -> DataFrame:
+    """(id, seq, metres) of the nearest circle (seq, lat, lng, radius_m: one radius) that holds each place (id, lat, lng), the first on ties; places in none drop out."""
+    radius = circles.agg(F.max("radius_m")).first()[0]
+    if radius is None:
+        return places.select("id", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("metres")).limit(0)
+    named = lambda d, i: d.select(F.col(i).alias("id"), F.lit("").alias("key"), "lat", "lng")
+    # The circles are the smaller side, which is copied to the cells around.
+    met = match.near_pairs(named(circles, "seq"), named(places, "id"), float(radius))
+    best = F.min(F.struct("metres", "l_id")).alias("b")
+    return met.groupBy(F.col("r_id").alias("id")).agg(best).select("id", F.col("b.l_id").alias("seq"), F.col("b.metres").alias("metres"))
+
+
 def chunked(points: DataFrame, size: int) -> DataFrame:
     """``points`` (seq) with a column ``chunk``: consecutive runs of ``size``; ``seq`` counts from 0."""
     return points.withColumn("chunk", F.floor(F.col("seq") / size).cast("bigint"))

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import numbers as N
 from cairn.functions import text as X
+from cairn.operators import match
 
 
 def one(spark, column, **values):
@@ -34,8 +35,8 @@ def test_text(spark):
 def test_common_runs(spark):
     pairs = [("abcdef", "xxcdexx", 3), ("ab", "cd", 0), ("", "a", 0), ("同じ名前の店", "名前の", 3), ("aaaa", "aa", 2)]
     df = spark.createDataFrame(pairs, "a string, b string, n int")
-    for r in df.select("n", X.common_run(F.col("a"), F.col("b")).alias("r"), X.shares_run(F.col("a"), F.col("b"), 3).alias("s")).collect():
-        assert r["r"] == r["n"] and r["s"] == (r["n"] >= 3)
+    for r in df.select("n", "a", "b", X.shares_run(F.col("a"), F.col("b"), 3).alias("s")).collect():
+        assert match._Runs(r["a"]).longest(r["b"]) == match._Runs(r["b"]).longest(r["a"]) == r["n"] and r["s"] == (r["n"] >= 3)
 
 
 def test_numbers(spark):

@@ -168,6 +168,25 @@ def test_public_rules(spark):
     assert [got.get(i, set()) for i in range(len(bad))] == [w for _, w in bad]
 
 
+def test_best_overlaps_against_all_pairs(spark):
+    rng = random.Random(12)
+    name = lambda: "".join(rng.choices("aab", k=rng.randint(0, 14)))
+    rows = [(rng.choice("xyz"), i, name()) for i in range(120)] + [("x", 200, None), ("y", 201, "a" * 40)]
+    left, right = [r for r in rows if r[1] % 2 == 0], [r for r in rows if r[1] % 3 == 0]
+
+    def longest(a, b):
+        return max((n for i in range(len(a)) for n in range(1, len(a) - i + 1) if a[i : i + n] in b), default=0)
+
+    for compat in (True, False):
+        every = sorted(((-longest(a or "", c or ""), x, i, j) for x, i, a in left for y, j, c in right if x == y and (compat or i != j)))
+        want = [(x, -s, i, j) for s, x, i, j in every if -s > 3]
+        d = [spark.createDataFrame(v, "block string, seq long, name string") for v in (left, right)]
+        got = match.block_overlap(*d, 3, None, compat).collect()
+        assert sorted((r["block"], r["score"], r["l_seq"], r["r_seq"]) for r in got) == sorted(want)
+        for k in (1, 7, 10_000):
+            assert [(r["block"], r["score"], r["l_seq"], r["r_seq"]) for r in match.block_overlap(*d, 3, k, compat).collect()] == want[:k]
+
+
 def test_overlap_of_all_blocks(spark, tmp_path):
     rows = [(k, f"name {k // 2} of {size}", "Brand#1", size) for k, size in enumerate((1, 1, 25, 25, 26, 26, 50, 50))]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
