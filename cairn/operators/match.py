@@ -27,11 +27,12 @@ def _cell_count(band: Column, radius_m: float) -> Column:
     return F.when((edge >= 90) | (ratio >= 1), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360 / wide))).cast("bigint")
 
 
-def with_cell(points: DataFrame, radius_m: float, around: bool = False) -> DataFrame:
+def with_cell(points: DataFrame, radius_m: float, around: bool = False, ahead: bool = False) -> DataFrame:
     """``points`` (lat, lng) with a column ``cell``: theirs, or a row for each cell that a partner within the radius can be in.
 
     Cells close up over the meridian of 180 degrees, and near the poles a band is one cell. Points without
-    finite coordinates drop out.
+    finite coordinates drop out. ``ahead``: of the cells around only those to the east and in the band to the north, so that
+    of two cells one looks at the other; a column ``own`` tells a point's own cell.
     """
     finite = F.abs(F.col("lat")).between(0, 90) & (F.abs(F.col("lng")) < 1e9)
     p = points.where(finite & ~F.isnan("lat") & ~F.isnan("lng")).withColumn("__band", _cell_rows(F.col("lat"), radius_m))
@@ -41,6 +42,14 @@ def with_cell(points: DataFrame, radius_m: float, around: bool = False) -> DataF
         at = F.floor((F.col("lng") + 180) * n / 360).cast("bigint")
         return F.transform(F.array_distinct(F.array(*(F.pmod(at + d, n) for d in beside))), lambda c: F.struct(band.alias("y"), c.alias("x")))
 
+    if ahead:
+        n = _cell_count(F.col("__band"), radius_m)
+        at = F.floor((F.col("lng") + 180) * n / 360).cast("bigint")
+        own, east = F.pmod(at, n), F.pmod(at + 1, n)
+        # Of two cells around the globe, the first looks at the other.
+        beside = F.filter(F.array(F.struct(F.col("__band").alias("y"), east.alias("x"))), lambda c: (c["x"] != own) & ((n > 2) | (own == 0)))
+        every = F.concat(cells(F.col("__band"), (0,)), beside, cells(F.col("__band") + 1, (-1, 0, 1)))
+        return p.select("*", F.posexplode(every).alias("own", "cell")).withColumn("own", F.col("own") == 0).drop("__band")
     if not around:
         return p.withColumn("cell", cells(F.col("__band"), (0,))[0]).drop("__band")
     return p.withColumn("cell", F.explode(F.concat(*(cells(F.col("__band") + d, (-1, 0, 1)) for d in (-1, 0, 1))))).drop("__band")
@@ -73,13 +82,14 @@ def one_to_one(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
 def distance_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     """Pairs (a, b, metres), a < b, within the radius, anywhere on the globe. ``points``: (id, lat, lng); others than finite ones drop out.
 
-    One side is copied to the cells around each point, then an equi-join on cells.
+    One side is copied to its own cell and the half of the cells around that lies ahead, then an equi-join on cells.
     """
     p = points.select("id", "lat", "lng")
-    side = lambda d, name: d.select("cell", F.col("id").alias(name), F.col("lat").alias(f"l{name}"), F.col("lng").alias(f"g{name}"))
-    a, b = side(with_cell(p, radius_m, True), "a"), side(with_cell(p, radius_m), "b")
+    side = lambda d, name: d.select("cell", F.col("id").alias(name), F.col("lat").alias(f"l{name}"), F.col("lng").alias(f"g{name}"), *(["own"] if name == "a" else []))
+    a, b = side(with_cell(p, radius_m, ahead=True), "a"), side(with_cell(p, radius_m), "b")
     metres = N.haversine(F.col("la"), F.col("ga"), F.col("lb"), F.col("gb"))
-    return a.join(b, "cell").where("a < b").withColumn("metres", metres).where(F.col("metres") <= radius_m).select("a", "b", "metres")
+    met = a.join(b, "cell").where("not own or a < b").withColumn("metres", metres).where(F.col("metres") <= radius_m)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "metres")
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import numbers as N
 from cairn.functions import text as X
-from cairn.operators import match
+from cairn.operators import match, score
 from cairn.sources import tabular
 
 
@@ -108,21 +108,36 @@ def publish(rows: DataFrame, path: str, metadata: dict[str, str], check: Callabl
     tabular.write(rows, path, metadata)
 
 
-def shop_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Records of captured API pages, each file a page, with their order."""
-    shop = "array<struct<sub_genre:string,id:string,name:string,address:string,tel:string,lat:string,lng:string,catch:string,access:string,genre:struct<name:string>,budget:struct<name:string,average:string>,urls:struct<pc:string,sp:string>>>"
-    pages = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("page"), F.from_json("value", f"results struct<shop:{shop}>").alias("v"))
-    s = pages.select("page", F.posexplode("v.results.shop").alias("seq", "s"))
+_SHOP = "struct<sub_genre:string,id:string,name:string,address:string,tel:string,lat:string,lng:string,catch:string,access:string,genre:struct<name:string>,budget:struct<name:string,average:string>,urls:struct<pc:string,sp:string>>"
+
+
+def _shop() -> list[Column]:
+    """A store's raw columns from a record ``s``."""
     filled = lambda *c: F.coalesce(*(F.nullif(F.col(x), F.lit("")) for x in c))
     zero = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
-    return s.select("page", "seq", F.lit("hotpepper").alias("source"), F.col("s.id").alias("external_id"), F.col("s.name").alias("name"), filled("s.address").alias("address"), filled("s.tel").alias("phone"), zero("s.lat").alias("lat"), zero("s.lng").alias("lng"), F.concat(F.array_compact(F.array(filled("s.genre.name"))), X.sub_genres(F.col("s.sub_genre"))).alias("genres"), filled("s.catch", "s.access").alias("description"), N.safe_budget(F.col("s.budget.name"), F.col("s.budget.average")).alias("budget_dinner"), filled("s.urls.pc", "s.urls.sp").alias("url"))
+    return [F.lit("hotpepper").alias("source"), F.col("s.id").alias("external_id"), F.col("s.name").alias("name"), filled("s.address").alias("address"), filled("s.tel").alias("phone"), zero("s.lat").alias("lat"), zero("s.lng").alias("lng"), F.concat(F.array_compact(F.array(filled("s.genre.name"))), X.sub_genres(F.col("s.sub_genre"))).alias("genres"), filled("s.catch", "s.access").alias("description"), N.safe_budget(F.col("s.budget.name"), F.col("s.budget.average")).alias("budget_dinner"), filled("s.urls.pc", "s.urls.sp").alias("url")]
+
+
+def shop_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Records of captured API pages, each file a page, with their order."""
+    pages = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("page"), F.from_json("value", f"results struct<shop:array<{_SHOP}>>").alias("v"))
+    return pages.select("page", F.posexplode("v.results.shop").alias("seq", "s")).select("page", "seq", *_shop())
+
+
+def union_scans(scans: DataFrame, rank: str, seq: str, key: str, drop: Column | None = None) -> DataFrame:
+    """One row a key: the last of the first scan (rank 0) that has it, else the first of the others. Rows that ``drop`` holds for count nowhere."""
+    kept = F.coalesce(F.col(key), F.lit("")) != ""
+    rows = scans.where(kept if drop is None else kept & ~F.coalesce(drop, F.lit(False)))
+    whole, first = F.struct(*[c for c in scans.columns if c != key]), F.col(rank) == 0
+    leading = F.max_by(F.when(first, whole), F.when(first, F.col(seq)))
+    other = F.min_by(F.when(~first, whole), F.when(~first, F.struct(rank, seq)))
+    return rows.groupBy(key).agg(F.coalesce(leading, other).alias("r")).select(key, "r.*")
 
 
-def union_scans(scans: DataFrame, rank: str, seq: str, key: str) -> DataFrame:
-    """One row a key: the last of the first scan (rank 0) that has it, else the first of the others."""
-    order = F.struct((F.col(rank) > 0).alias("other"), F.when(F.col(rank) == 0, -F.col(seq)).otherwise(F.col(seq)).alias("at"))
-    rows = scans.where(F.coalesce(F.col(key), F.lit("")) != "")
-    return rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in scans.columns if c != key]), order).alias("r")).select(key, "r.*")
+def fetched_shops(scans: DataFrame) -> DataFrame:
+    """Raw stores of scans (rank, seq, id, shop as JSON), one an id, without those of excluded kinds."""
+    shops = scans.select("rank", "seq", F.from_json("shop", _SHOP).alias("s")).select("rank", "seq", *_shop())
+    return union_scans(shops, "rank", "seq", "external_id", score.excluded(F.col("name"), F.col("description"), F.array_join("genres", " ")))
 
 
 def polygons(spark: SparkSession, path: str) -> DataFrame:

@@ -18,6 +18,12 @@ Transport = Callable[[dict[str, str]], tuple[int, str]]
 
 # Tries, seconds between them, records of a page by kind of scan.
 TRIES, PAUSES, PAGE = 3, (2.0, 4.0), {"genre": 30, "keyword": 20}
+# What is scanned where nothing else is asked for.
+STANDARD = {
+    "areas": ["Z011"],
+    "genres": ["G008", "G029", "G016", "G017", "G048"],
+    "keywords": ["焼肉専門店", "ホルモン焼き", "牛タン専門店", "ジンギスカン", "ステーキハウス", "鉄板焼き 和牛", "ローストビーフ", "ローストポーク", "焼き鳥 塩", "焼きとん", "鶏料理 専門店", "しゃぶしゃぶ 食べ放題", "すき焼き", "もつ鍋 専門店", "牛すじ 料理", "テールスープ", "韓国焼肉", "サムギョプサル", "シュラスコ", "アメリカンBBQ", "ポークリブ", "ラムチョップ", "羊肉串", "タンドリーチキン", "シークカバブ"],
+}
 
 
 class RequestError(Exception):
@@ -74,7 +80,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """S3: areas times values of each kind of scan; blank values are passed over."""
-        split = lambda k: [v.strip() for v in self.options.get(k, "").split(",") if v.strip()]
+        split = lambda k: [v.strip() for v in self.options.get(k, ",".join(STANDARD[k])).split(",") if v.strip()]
         out: list[InputPartition] = []
         for rank, kind in enumerate(("genre", "keyword")):
             for area in split("areas"):
@@ -89,15 +95,15 @@ class _Reader(DataSourceReader):
         seq = 0
         for found in pages(transport, parameters, scan.count, time.sleep if self.options.get("wait", "true") == "true" else lambda s: None):
             for shop in found:
-                yield scan.rank, scan.scan * 1_000_000 + seq, str(shop.get("id") or ""), json.dumps(shop, ensure_ascii=False)
+                yield scan.rank, (scan.scan, seq), str(shop.get("id") or ""), json.dumps(shop, ensure_ascii=False)
                 seq += 1
 
 
 class ApiSource(DataSource):
     """Records (rank, seq, id, shop as JSON) of genre scans (rank 0) and keyword scans (rank 1), a partition each.
 
-    Options: transport, areas, genres, keywords (comma-separated), genre_count, keyword_count, wait.
-    ``cairn.sources.files.union_scans`` makes one row an id of them.
+    Options: transport; areas, genres, keywords (comma-separated; ``STANDARD`` if not given); genre_count, keyword_count, wait. ``seq`` is
+    the scan's number and the record's place in it. ``cairn.sources.files.fetched_shops`` makes one row an id of them.
     """
 
     @classmethod
@@ -105,7 +111,7 @@ class ApiSource(DataSource):
         return "poi_api"
 
     def schema(self) -> str:
-        return "rank int, seq long, id string, shop string"
+        return "rank int, seq struct<scan:int,at:long>, id string, shop string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)

@@ -44,6 +44,22 @@ def test_api_source(spark):
     assert got == {**{f"J{k}": f"g2 {k}" for k in range(1, 7)}, "J9": "k 9"}
 
 
+def standard(parameters):
+    """One shop of each genre code, of which one is of an excluded kind; a keyword finds the genres' first again."""
+    kind = parameters.get("genre") or "K"
+    shops = [{"id": kind, "name": "もんじゃ x" if kind == "G029" else kind, "lat": "35.5", "genre": {"name": "g"}}] + ([{"id": "G008", "name": "later"}, {"id": "", "name": "none"}] if kind == "K" else [])
+    return 200, json.dumps({"results": {"results_available": len(shops), "shop": shops}})
+
+
+def test_standard_scans_and_excluded_shops(spark):
+    remote.register(spark)
+    scans = spark.read.format("poi_api").option("transport", "tests.test_sources.standard").option("wait", "false").load()
+    assert scans.where("rank = 0").count() == 5 and scans.where("rank = 1").count() == 75
+    assert scans.select("seq").distinct().count() == 80
+    got = {r["external_id"]: r for r in files.fetched_shops(scans).collect()}
+    assert {*got} == {"G008", "G016", "G017", "G048", "K"} and got["G008"]["name"] == "G008" and got["G008"]["genres"] == ["g"] and got["G008"]["lat"] == 35.5
+
+
 def test_more_files(spark, tmp_path):
     many = tmp_path / "m.csv"
     many.write_text("".join(f"# k{i}={i}\n" for i in range(500)) + "name\nx\n", encoding="utf-8")
