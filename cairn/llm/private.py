@@ -21,7 +21,7 @@ long run thus take linear time.
 
 Defined cases: a null or empty text has no spans; equal texts have equal spans; equal identifiers
 count once for a pattern; a token before which there are fewer than two words (in ``CONTEXT``
-characters, identifiers not counted) has no pattern; ties between kinds go in the order email, ip, card, phone; other columns
+characters, identifiers not counted) has no pattern; very long texts are scanned whole, in time in proportion to them; an empty table gives an empty one; ties between kinds go in the order email, ip, card, phone; other columns
 pass unread.
 """
 
@@ -47,8 +47,8 @@ TOKEN = rf"(?<!\S)(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){{{DIGITS}}})\S++"
 KNOWN = r"\+[0-9][\x20().0-9-]+[0-9]|(?<![0-9])[0-9]++(?:\.[0-9]++){3}|[0-9](?:[\x20-]?+[0-9]){5,}+|(?<!\S)[^\s@]*+@\S++|(?<!\S)(?:[^\s0-9]*+[0-9]){6}\S*+"
 #: Blanks, and marks between them.
 BARE = r"\s[^\p{L}\p{N}]*\s"
-#: Matches that are placed together.
-BLOCK = 256
+#: Matches that are placed together; code points in which tokens and spans meet.
+BLOCK, CELL = 256, 256
 
 SPANS = "array<struct<s:int,e:int,v:string,l:string>>"
 
@@ -119,7 +119,7 @@ def instance(value: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, base, other): base spans with their kinds, and other tokens that look like identifiers."""
+    """(doc_id, key, base, token): base spans with their kinds, and tokens that look like identifiers."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(text.cast("binary")).alias("key"), *(matches(text, PATTERNS[k], NEEDS[k]).alias(k) for k in KINDS), matches(text, TOKEN, r"[0-9@]").alias("token"))
     kind = lambda k, n: F.transform(F.filter(k, lambda x: passes(k, x.v)), lambda x: F.struct(x.s.alias("s"), F.lit(n).alias("k"), x.e.alias("e"), instance(x.v).alias("v"), pattern_of(x.l).alias("p")))
@@ -128,14 +128,26 @@ def scan(docs: DataFrame) -> DataFrame:
     lead, own = (lambda v: F.length(F.regexp_extract(v, r"^[^\p{L}\p{N}@+]*+", 0))), (lambda v: F.regexp_replace(v, r"^[^\p{L}\p{N}@+]++|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", ""))
     token = F.transform("token", lambda x: F.struct((x.s + lead(x.v)).alias("s"), (x.s + lead(x.v) + F.length(own(x.v))).alias("e"), own(x.v).alias("v"), x.l.alias("l")))
     token = F.filter(token, lambda x: (x.v.rlike(r"[^@]@[^@]")) | (F.length(digits(x.v)) >= DIGITS))
-    free = base.withColumn("other", token).withColumn("other", F.filter("other", lambda x: ~F.exists("base", lambda b: (b.s < x.e) & (x.s < b.e))))
-    return free.select("doc_id", "key", "base", F.transform("other", lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), instance(x.v).alias("v"), pattern_of(x.l).alias("p"))).alias("other"))
+    return base.withColumn("token", token).select("doc_id", "key", "base", F.transform("token", lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), instance(x.v).alias("v"), pattern_of(x.l).alias("p"))).alias("token"))
 
 
-def accepted(found: DataFrame) -> DataFrame:
+def free_tokens(found: DataFrame) -> DataFrame:
+    """(key, s, e, v, p): tokens of each different text that no base span overlaps.
+
+    Tokens and spans meet in cells of ``CELL`` code points, of which each holds a few, whatever a text holds.
+    """
+    one = found.where("size(token) > 0").select("key", "base", "token").dropDuplicates(["key"])
+    tokens = common.cut(one.select("key", F.explode("token").alias("x")).select("key", "x.*"))
+    cells = F.explode(F.sequence((F.col("s") / CELL).cast("int"), ((F.col("e") - 1) / CELL).cast("int"))).alias("cell")
+    spans = one.select("key", F.explode("base").alias("x")).select("key", F.col("x.s").alias("bs"), F.col("x.e").alias("be"), "x.s", "x.e").select("key", "bs", "be", cells)
+    hit = tokens.select("key", "s", "e", cells).join(spans, ["key", "cell"]).where("bs < e and s < be").select("key", "s").distinct()
+    return tokens.join(hit, ["key", "s"], "left_anti")
+
+
+def accepted(found: DataFrame, tokens: DataFrame) -> DataFrame:
     """(p, k): patterns that say of what kind a token is."""
     seeds = found.select(F.explode("base").alias("x")).select("x.p", "x.v", "x.k").distinct()
-    others = found.select(F.explode("other").alias("x")).select("x.p", "x.v")
+    others = tokens.select("p", "v")
     edges = common.cut(seeds.select("p", "v").unionByName(others).where("p is not null").distinct())
     sizes = edges.groupBy("p").agg(F.count("*").alias("size"))
     fixed = common.cut(seeds.select("v", "k").distinct().withColumn("score", F.lit(1.0)))
@@ -174,9 +186,9 @@ def accepted(found: DataFrame) -> DataFrame:
 def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, base, new): base spans and those that patterns add, as arrays of (s, k, e)."""
     found = common.cut(scan(docs))
-    patterns = accepted(found)
-    tokens = found.select("key", F.explode("other").alias("x")).select("key", "x.s", "x.e", "x.p").where("p is not null").distinct()
-    new = tokens.join(patterns, "p").groupBy("key").agg(F.collect_list(F.struct("s", "k", "e")).alias("new"))
+    tokens = common.cut(free_tokens(found))
+    patterns = accepted(found, tokens)
+    new = tokens.where("p is not null").join(patterns, "p").groupBy("key").agg(F.collect_list(F.struct("s", "k", "e")).alias("new"))
     plain = found.select("doc_id", "key", F.transform("base", lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e"))).alias("base"))
     return plain.join(new, "key", "left").select("doc_id", "base", F.coalesce("new", F.array().cast("array<struct<s:int,k:int,e:int>>")).alias("new"))
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from cairn.llm import private
 
@@ -75,3 +76,12 @@ def test_query_counts_kinds(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in private.query(spark, str(tmp_path)).collect()}
     assert [[got[i][f"n_{k}"] for k in private.KINDS] for i in (1, 2, 3, 4)] == [[2, 1, 0, 1], [1, 0, 1, 0], [0, 0, 0, 0], [0, 3, 0, 0]]
+
+
+def test_many_tokens_in_a_text(spark):
+    """30,000 identifiers of both kinds in one text, each second one a span already."""
+    long = " ".join(f"call me 55501{k:05d}" if k % 2 else f"+1 (555) {k % 1000:03d}-{k % 10000:04d}" for k in range(30_000))
+    docs = spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: (len(r["base"]), len(r["new"])) for r in private.detect(docs).collect()}
+    assert got[1][0] == 15_000 and got[2] == (0, 0) and time.time() - began < 120
