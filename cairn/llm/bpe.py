@@ -9,7 +9,7 @@ their length, go through a heap of pairs that merges in the same order.
 The vocabulary's path is a parameter; each worker reads the file once. Encoded pieces are kept in a
 worker's dictionary, which is emptied at ``MEMO`` entries. Row by row otherwise: no shuffle.
 
-Defined cases: null and empty texts have no ids; repeated rows give repeated rows; text outside any
+Defined cases: null and empty texts have no ids; repeated rows give repeated rows; very long texts are encoded whole; an empty table gives an empty one; text outside any
 match of the pattern (none for the public pattern) is not encoded; other columns pass unread.
 """
 

@@ -18,7 +18,7 @@ order: rows are dealt by conversation, sorted there by the JVM (which spills), a
 a running hash, so memory doesn't grow with a conversation.
 
 Defined cases: a null role or text is empty; null conv_id is a conversation of its own; null turns
-come first; equal turns go by role, then block; repeated rows are repeated turns; an empty table
+come first; equal turns go by role, then block; repeated rows are repeated turns; very long texts are formatted whole; an empty table
 gives no rows; other columns of the input are ignored. An unknown kind of part is a document.
 """
 

@@ -15,7 +15,8 @@ two passes a block; one block is the usual case.
 
 Defined cases: a null or empty text has no words and is clean; null items have no windows; equal
 windows of several items count for each; items of one id count once; a null item_id is an id of its
-own, the empty string; repeated documents give repeated rows; other columns pass unread.
+own, the empty string; repeated documents give repeated rows; very long texts
+are read whole; no documents give none, and no items leave all clean; other columns pass unread.
 """
 
 from __future__ import annotations

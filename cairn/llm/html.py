@@ -24,7 +24,8 @@ a join by its hash that is salted ``SALTS`` ways; so no row carries a host's has
 Defined cases: null or empty html has no text; a null url, or one without a host, belongs to the
 host "", repeated rows are one page to the counts; other columns pass unread. Unclosed elements end
 with their parent; a comment or script without an end runs to the end of the page. Parsing takes time
-in proportion to the page, however its tags are nested or left open; ties don't arise.
+in proportion to the page, however its tags are nested or left open; very long pages are read whole; an empty table gives an empty one;
+ties don't arise.
 """
 
 from __future__ import annotations

@@ -24,7 +24,7 @@ Only classes in a node of two or more have their texts read a second time.
 
 Defined cases: a null, empty or wordless text has no shingles, links or partners and is a class of
 its own; equal rows are copies of each other; a class's id is its least doc_id, null if all are
-null; an empty table gives empty ones; other columns are passed over by ``links`` and kept by ``deduplicate``.
+null; very long texts give all of their shingles; an empty table gives empty ones; other columns are passed over by ``links`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations

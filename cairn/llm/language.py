@@ -13,7 +13,8 @@ segments spread evenly over its text. Prediction is row by row: no shuffle.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text where
 there is nothing to learn from; documents of null lang or doc_id aren't learned from; ties go to the
-language first by name; repeated documents give repeated rows; other columns pass unread.
+language first by name; repeated documents give repeated rows; very long texts are read whole;
+an empty table gives an empty one; other columns pass unread.
 """
 
 from __future__ import annotations

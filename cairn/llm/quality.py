@@ -13,7 +13,7 @@ reach the driver. Everything else is row by row: no shuffle, nothing that grows
 Defined cases: null and empty texts have no words and fail the base rules; without usable labels
 every line counts as content, so that the base rules decide alone; labels of null quality or doc_id
 are passed over; of repeated labels of a document the lowest quality counts; repeated documents
-give repeated rows; other columns of ``docs`` pass unread.
+give repeated rows; very long texts are read whole; an empty table gives an empty one; other columns of ``docs`` pass unread.
 """
 
 from __future__ import annotations

@@ -19,8 +19,9 @@ Scale: anchors of equal texts collapse map-side, so copies cost one row. The byt
 only where a gram has several. A segment that very many texts have meets its marks in several tasks.
 Texts meet their spans by hash; a text's spans are bounded by its length.
 
-Defined cases: an empty table gives an empty one; a null text is empty; texts under 400 bytes lose nothing; equal rows are copies of each
-other and lose every byte a 400-byte string covers; other columns pass unread.
+Defined cases: an empty table gives an empty one; a null text is empty; texts under 400 bytes lose nothing; very long ones are read whole; equal rows are copies of each
+other and lose every byte a 400-byte string covers; other columns pass, but ``repeats``,
+which is replaced.
 """
 
 from __future__ import annotations
@@ -272,8 +273,9 @@ def spans(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return done
 
 
+@common.shielded
 def remove(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """``docs`` with a column __r: n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+    """``docs`` with a column repeats: n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     common.small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("__key", F.xxhash64(text)).withColumn("__more", F.hash(text))
@@ -297,13 +299,13 @@ def remove(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
     met = keyed.join(found.hint("shuffle_hash"), ["__key", "__more"], "left")
-    return met.withColumn("__r", cut_out.asNondeterministic()("text", "__spans")).drop("__key", "__more", "__spans")
+    return met.withColumn("repeats", cut_out.asNondeterministic()("text", "__spans")).drop("__key", "__more", "__spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: removed bytes and a hash of the rest of every document, and whether it had a repeated passage."""
     done = remove(common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    return done.select("doc_id", "__r.n_bytes", "__r.n_removed", "__r.n_spans", F.sha2("__r.kept", 256).alias("kept_sha256"), (F.col("__r.n_removed") > 0).alias("repeated"))
+    return done.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256"), (F.col("repeats.n_removed") > 0).alias("repeated"))
 
 
 def brute_force(texts: list[str | None]) -> list[tuple[int, int, int, str]]:

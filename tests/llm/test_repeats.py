@@ -26,7 +26,7 @@ def test_against_brute_force(spark, monkeypatch, crowded, rows_):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string")
     import hashlib
 
-    got = {r["doc_id"]: r["__r"] for r in repeats.remove(docs, crowded).collect()}
+    got = {r["doc_id"]: r["repeats"] for r in repeats.remove(docs, crowded).collect()}
     for i, want in enumerate(repeats.brute_force(texts)):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], hashlib.sha256(bytes(got[i]["kept"])).hexdigest()) == want, i
 
@@ -39,3 +39,9 @@ def test_chunks_and_empty(spark, monkeypatch):
         assert len(a) == len(b)
     assert (whole[0] == repeats.anchors(data_)[0]).all()
     assert repeats.remove(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "t" * 900, "a", "b", "c"), (None, None, None, None, None)], "doc_id long, text string, __key string, __more string, __r string")
+    got = {r["doc_id"]: r for r in repeats.remove(docs).collect()}
+    assert (got[1]["__key"], got[1]["__more"], got[1]["__r"], got[1]["repeats"]["n_removed"]) == ("a", "b", "c", 900) and got[None]["repeats"]["n_bytes"] == 0
