@@ -55,15 +55,37 @@ def with_cell(points: DataFrame, radius_m: float, around: bool = False, ahead: b
     return p.withColumn("cell", F.explode(F.concat(*(cells(F.col("__band") + d, (-1, 0, 1)) for d in (-1, 0, 1))))).drop("__band")
 
 
+#: Cells of keyed points are so many radii wide: few points reach over their cell, and a cell has few points of a key.
+WIDE = 8
+
+
+def _reached(points: DataFrame, radius_m: float, cells_m: float) -> DataFrame:
+    """``points`` with a row for each ``cell``, of ``cells_m``, that the circle around them touches: most touch one."""
+    high = radius_m / N.DEGREE_M
+    finite = F.abs(F.col("lat")).between(0, 90) & (F.abs(F.col("lng")) < 1e9)
+    p = points.where(finite & ~F.isnan("lat") & ~F.isnan("lng"))
+    ratio = math.sin(min(radius_m / N.EARTH_M, math.pi / 2)) / F.cos(F.radians(F.col("lat")))
+    # Over a pole a circle has every longitude.
+    wide = F.when((F.abs(F.col("lat")) + high >= 90) | (ratio >= 1), F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9))
+    p = p.withColumns({"__wide": wide, "__band": F.explode(F.sequence(_cell_rows(F.col("lat") - high, cells_m), _cell_rows(F.col("lat") + high, cells_m)))})
+    n = _cell_count(F.col("__band"), cells_m)
+    at = lambda v: F.floor((F.col("lng") + 180 + v) * n / 360).cast("bigint")
+    some = F.transform(F.sequence(at(-F.col("__wide")), at(F.col("__wide"))), lambda c: F.pmod(c, n))
+    every = F.array_distinct(F.when(F.col("__wide") >= 180, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(some))
+    return p.withColumn("cell", F.explode(F.transform(every, lambda c: F.struct(F.col("__band").alias("y"), c.alias("x"))))).drop("__wide", "__band")
+
+
 def near_pairs(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """Pairs (l_id, r_id, metres) of equal keys within the radius. Sides: (id, key, lat, lng); null keys match nothing.
 
-    An equi-join on the key and a cell of the radius's size, the distance being a residual condition, so a
-    name that many points have is split by place; cells that are still skewed are split by AQE.
+    An equi-join on the key and a cell of some radii's size, the distance being a residual condition, so a
+    name that many points have is split by place; cells that are still skewed are split by AQE. A left point is in
+    each cell that its circle touches, one or two mostly.
     """
-    own = lambda d, p: d.select("cell", "key", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "lat", "lng")))
     columns = ["id", "key", "lat", "lng"]
-    a, b = own(with_cell(left.select(*columns), radius_m, True), "l"), own(with_cell(right.select(*columns), radius_m), "r")
+    own = lambda d, p: d.select("cell", "key", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "lat", "lng")))
+    keyed = lambda d: d.select(*columns).where("key is not null")
+    a, b = own(_reached(keyed(left), radius_m, WIDE * radius_m), "l"), own(with_cell(keyed(right), WIDE * radius_m), "r")
     metres = N.haversine(F.col("l_lat"), F.col("l_lng"), F.col("r_lat"), F.col("r_lng"))
     return a.join(b, ["cell", "key"]).withColumn("metres", metres).where(F.col("metres") <= radius_m).select("l_id", "r_id", "metres")
 

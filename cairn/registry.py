@@ -253,13 +253,18 @@ def rank_filter_export(spark, sf_dir):
     return score.of_rank(keyword_score_rank(spark, sf_dir), ["S", "A"], "rank")
 
 
-RULES = [("steel", ["steel", "STEEL"]), ("brass", ["brass", "BRASS"]), ("tin", ["tin", "TIN"])]
+_NAMED = ["焼肉 steak", "Churrasco bar", "韓国食堂", "中華 ring", "もつ焼", "plain"]
+_STORED = ["しゃぶ", "rc010604", "焼鳥", ""]
 
 
-@query("select p_partkey, case when regexp_matches(p_name, 'steel|STEEL') then 'steel' when regexp_matches(p_name, 'brass|BRASS') then 'brass' when regexp_matches(p_name, 'tin|TIN') then 'tin' when regexp_matches(p_type, 'steel|STEEL') then 'steel' when regexp_matches(p_type, 'brass|BRASS') then 'brass' when regexp_matches(p_type, 'tin|TIN') then 'tin' when regexp_matches(p_name, 'a') then 'a' else 'other' end as genre from part")
+@query("""with s as (select p_partkey, (['焼肉', 'シュラスコ', null, null, 'もつ焼き', null])[p_partkey % 6 + 1] as by_name, (['しゃぶしゃぶ', 'もつ焼き', '焼き鳥', null])[p_partkey // 6 % 4 + 1] as by_genre, (['', '', '韓国', '中華', '', ''])[p_partkey % 6 + 1] as second from part)
+select p_partkey, coalesce(by_name, by_genre, nullif(second, ''), 'その他') as genre from s""")
 def genre_classify_priority(spark, sf_dir):
-    """E5."""
-    return read(spark, sf_dir, "part").select("p_partkey", score.stored_genre(F.col("p_name"), F.col("p_type"), RULES, [("a", ["a"])], "other").alias("genre"))
+    """E5: by name, then stored genre, then name again."""
+    pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    i = F.col("p_partkey")
+    name, genre = F.concat(pick(_NAMED, i), F.lit(" "), "p_name"), pick(_STORED, F.floor(i / 6))
+    return read(spark, sf_dir, "part").select("p_partkey", score.stored_genre(X.lower_key(name), X.lower_key(genre)).alias("genre"))
 
 
 @query("select case when p is null then 'unknown' when p <= 3000 then 'p3k' when p <= 5000 then 'p5k' when p <= 10000 then 'p10k' else 'p10kplus' end as band, count(*) as n from (select case when o_orderkey % 10 <> 0 then o_totalprice / 10 end as p from orders) group by 1")
@@ -447,31 +452,39 @@ def lookups_under_budget(spark, sf_dir):
 
 
 def _described(spark, sf_dir):
-    """Pages with the markup that the extractors read."""
-    ld = F.concat(F.lit('<script type="application/ld+json">{"@context":"https://schema.org","@type":"Restaurant","@id":"'), F.col("url"), F.lit('","servesCuisine":["a","b"],"geo":{"@type":"GeoCoordinates","latitude":35.'), F.col("page_id").cast("string"), F.lit(',"longitude":139.5}}</script><th>ジャンル</th><td><span>cell</span></td>'))
-    price = F.concat(F.lit('<i class="c-rating-v3__time--x c-rating-v3__time c-rating-v3__time--dinner"></i><em>￥'), F.col("page_id").cast("string"), F.lit("～</em>"))
-    return read(spark, sf_dir, "pages").where("url is not null").select(F.col("page_id").alias("seq"), F.concat(ld, F.when(F.col("page_id") % 2 == 0, price).otherwise(""), F.col("html")).alias("html"))
+    """Pages with the markup that the extractors read: in some an array, a single cuisine, no cell, codes, one price or a range."""
+    k, text = F.col("page_id"), lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in c))
+    n = k.cast("string")
+    serves = F.when(k % 3 == 0, text('["a', n, '","b"]')).when(k % 3 == 1, text('"c', n, '"')).otherwise('""')
+    own = text('{"@context":"https://schema.org","@type":"Restaurant","@id":"', F.coalesce("url", F.lit("")), '","servesCuisine":', serves, ',"geo":{"@type":"GeoCoordinates","latitude":', F.when(k % 5 == 4, "-").otherwise("35.").cast("string"), n, ',"longitude":139.5}}')
+    ld = text('<script type="application/ld+json">', F.when(k % 2 == 0, text("[", own, "]")).otherwise(own), "</script>")
+    cell = F.when(k % 4 == 0, text("<th> ジャンル </th><td><span>c", n, "</span></td>")).otherwise("")
+    codes = F.when(k % 7 == 0, text("<script>setTargeting('t_category2', \"RC1, RC", n, "\"); setTargeting('t_category3', \"\")</script>")).otherwise("")
+    price = lambda meal, said: text(f'<i class="c-rating-v3__time c-rating-v3__time--{meal}"></i><em>', said, "</em>")
+    prices = F.concat(F.when(k % 2 == 0, price("dinner", text("￥", n, "～￥9,", n))).otherwise(""), F.when(k % 3 == 0, price("lunch", text("￥", n))).otherwise(price("lunch", F.lit("-"))))
+    return read(spark, sf_dir, "pages").select(k.alias("seq"), text(ld, cell, codes, prices, F.coalesce("html", F.lit(""))).alias("html"))
 
 
 _URL_KEY = "regexp_replace(split_part(split_part(trim(url), '#', 1), '?', 1), '/+$', '')"
 
 
-@query(f"select page_id as seq, {_URL_KEY} as url_key, 'a、b cell' as features from pages")
+@query(f"""with s as (select page_id as seq, {_URL_KEY} as url_key, case page_id % 3 when 0 then 'a' || page_id || '、b' when 1 then 'c' || page_id end as serves, case when page_id % 4 = 0 then 'c' || page_id end as cell, case when page_id % 7 = 0 then 'RC1,RC' || page_id end as codes from pages)
+select seq, url_key, concat_ws(' ', serves, case when serves is distinct from cell then cell end, codes) as features from s where url_key <> '' and concat_ws('', serves, cell, codes) <> ''""")
 def page_features(spark, sf_dir):
-    """JSON-LD and genre cells of pages."""
+    """JSON-LD, genre cells and codes of pages."""
     return enrich.page_features(_described(spark, sf_dir))
 
 
-@query(f"select page_id as seq, {_URL_KEY} as url_key, cast('35.' || page_id as double) as lat, 139.5::double as lng from pages")
+@query(f"select page_id as seq, {_URL_KEY} as url_key, cast(case when page_id % 5 = 4 then '-' else '35.' end || page_id as double) as lat, 139.5::double as lng from pages where {_URL_KEY} <> ''")
 def page_points(spark, sf_dir):
     """Coordinates of pages."""
     return enrich.page_points(_described(spark, sf_dir))
 
 
-@query(f"select page_id as seq, {_URL_KEY} as url_key, page_id::int as low, cast(null as int) as high from pages where page_id % 2 = 0")
+@query(f"select page_id as seq, {_URL_KEY} as url_key, case when page_id % 2 = 0 then page_id end::int as low, case when page_id % 2 = 0 then ('9' || page_id)::int end as high, case when page_id % 3 = 0 then page_id end::int as lunch from pages where {_URL_KEY} <> '' and (page_id % 2 = 0 or page_id % 3 = 0)")
 def page_budgets(spark, sf_dir):
     """Prices of pages."""
-    return enrich.page_budgets(_described(spark, sf_dir)).select("seq", "url_key", "dinner.low", "dinner.high")
+    return enrich.page_budgets(_described(spark, sf_dir)).select("seq", "url_key", "dinner.low", "dinner.high", F.col("lunch.low").alias("lunch"))
 
 
 @query("select p_partkey as id, case when p_partkey % 5 = 0 then '7' when p_partkey % 3 = 0 then cast(round_even((p_size * 100 + p_size * 101) / 2.0, 0)::bigint as varchar) when p_partkey % 3 = 1 and p_partkey % 2 = 0 then p_partkey::varchar else '' end as avg_dinner_budget from part")
