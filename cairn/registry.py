@@ -653,10 +653,10 @@ def status_source_counts(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("n_en"))
 
 
-@query("select string_agg(source, ',' order by source) as source_scope from (select distinct source from documents where lang = 'en')")
+@query("select string_agg(source, ',' order by source) as source_scope from (select distinct source from documents)")
 def source_scope_agg(spark, sf_dir):
     """A3."""
-    return snapshot.scope(read(spark, sf_dir, "documents").where("lang = 'en'").select(F.array("source").alias("sources")))
+    return snapshot.scope(read(spark, sf_dir, "documents").select(F.array("source").alias("sources")))
 
 
 _LATTICE = """with recursive c as (select 800 / 111000.0::double as dy, 800 / (111000.0::double * cos(radians((35.4::double + 36.2::double) / 2))) as dx), ys(k, v) as (select 0, 35.4::double union all select k + 1, v + dy from ys, c where v + dy <= 36.2::double), xs(k, v) as (select 0, 138.9::double union all select k + 1, v + dx from xs, c where v + dx <= 140.1::double),
