@@ -7,6 +7,7 @@ arithmetic that both engines do alike.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -520,12 +521,24 @@ def export_projection(spark, sf_dir):
 _PARTS = "seq int, name string, parts array<array<array<struct<x:double,y:double>>>>"
 
 
-def _ring(x0, y0, x1, y1):
+def _off(v: float) -> float:
+    """Beside the places' coordinates, which are whole ten-thousandths, so that none is on an edge."""
+    return round(v + 0.00003, 5)
+
+
+def _sql_off(condition: str) -> str:
+    return re.sub(r"\d+[.]\d+", lambda m: str(_off(float(m[0]))), condition)
+
+
+def _ring(*corners):
+    x0, y0, x1, y1 = map(_off, corners)
     return [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
 
 
+_INNER = _sql_off("lng > 139.2 and lng < 139.6 and lat > 35.6 and lat < 35.9 or lng > 139.8 and lng < 139.9 and lat > 35.5 and lat < 35.6")
+_OUTER = _sql_off("lng > 139.0 and lng < 139.8 and lat > 35.5 and lat < 36.0 or lng > 139.9 and lng < 140.0 and lat > 36.0 and lat < 36.1")
 _AUDIT = f"""{PLACES}, o as (select id, case when id % 9 = 0 then null else lat end as lat, lng, case when id % 2 = 0 then 'innercity' else 'widecity' end as town, id % 3 as d from places),
-a as (select *, case when lat is null then null when lng > 139.2 and lng < 139.6 and lat > 35.6 and lat < 35.9 or lng > 139.8 and lng < 139.9 and lat > 35.5 and lat < 35.6 then 'innercity' when lng > 139.0 and lng < 139.8 and lat > 35.5 and lat < 36.0 or lng > 139.9 and lng < 140.0 and lat > 36.0 and lat < 36.1 then 'widecity' end as polygon from o),
+a as (select *, case when lat is null then null when {_INNER} then 'innercity' when {_OUTER} then 'widecity' end as polygon from o),
 m0 as (select *, case when lat is null then 'invalid_coords' when polygon is null then 'outside_tokyo_polygon' when town <> polygon then 'address_mismatch' end as reason from a),
 g as (select case when id % 2 = 0 then 'innercity' else 'widecity' end as city, id % 4 + 1 as c, id % 5 + 1 as b, min(id) as seq from places where id < 40 group by 1, 2, 3),
 m as (select m0.*, 35.6 + g.seq / 1000.0::double as glat from m0 left join g on d = 2 and g.city = polygon and c = id % 4 + 1 and b = id % 5 + 1),
@@ -555,7 +568,7 @@ def suspicious_coordinates(spark, sf_dir):
 
 
 @query(f"""with {_AUDIT} select id, town as target, case when block then 'fixed_gaiku_point' when d = 0 then 'fixed_chome_point' when lat is null then 'set_centroid'
-  when town = 'innercity' and polygon = 'innercity' or town = 'widecity' and (polygon = 'widecity' or polygon = 'innercity' and lng < 139.8) then 'fixed_already_inside' else 'moved' end as correction from t where reason is not null""")
+  when town = 'innercity' and polygon = 'innercity' or town = 'widecity' and (polygon = 'widecity' or polygon = 'innercity' and lng < {_off(139.8)}) then 'fixed_already_inside' else 'moved' end as correction from t where reason is not null""")
 def corrected_coordinates(spark, sf_dir):
     """What corrects a point; moves towards a town's centre are one class here."""
     status = F.col("correction_status")
@@ -563,12 +576,12 @@ def corrected_coordinates(spark, sf_dir):
     return enrich.corrected(*_audited(spark, sf_dir)).select("id", "target", kind.alias("correction"))
 
 
-_RINGED = "lng > 139.1 and lng < 139.7 and lat > 35.5 and lat < 36.1 and not (lng > 139.3 and lng < 139.5 and lat > 35.7 and lat < 35.9) or lng > 139.35 and lng < 139.45 and lat > 35.75 and lat < 35.85 or lng > 139.9 and lng < 140.0"
+_RINGED = _sql_off("lng > 139.1 and lng < 139.7 and lat > 35.5 and lat < 36.1 and not (lng > 139.3 and lng < 139.5 and lat > 35.7 and lat < 35.9) or lng > 139.35 and lng < 139.45 and lat > 35.75 and lat < 35.85 or lng > 139.9 and lng < 140.0")
 
 
-@query(f"with {PLACES} select * from (select id, case when {_RINGED} then 'ringed' when lng > 139.0 and lng < 140.05 and lat > 35.45 and lat < 36.15 then 'wide' end as polygon from places) where polygon is not null")
+@query(f"with {PLACES} select * from (select id, case when {_RINGED} then 'ringed' when {_sql_off('lng > 139.0 and lng < 140.05 and lat > 35.45 and lat < 36.15')} then 'wide' end as polygon from places) where polygon is not null")
 def regions_of_parts(spark, sf_dir):
-    """A region of three parts, one of which has a hole around another, before a plain one. Corners are no place's coordinates."""
+    """A region of three parts, one of which has a hole around another, before a plain one."""
     ringed = [[_ring(139.1, 35.5, 139.7, 36.1), _ring(139.3, 35.7, 139.5, 35.9)], [_ring(139.35, 35.75, 139.45, 35.85)], [_ring(139.9, 35.0, 140.0, 37.0)]]
     both = spark.createDataFrame([(0, "ringed", ringed), (1, "wide", [[_ring(139.0, 35.45, 140.05, 36.15)]])], _PARTS)
     return regions.regions_of(places(spark, sf_dir), both)
