@@ -3,15 +3,18 @@
 A window is a run of 13 consecutive words of an item; an item of fewer words, but not none, is one
 window. A window counts as a set of positioned shingles (five words, or the whole of a window of
 fewer). As a document must contain all of them, a prefix of one shingle is enough: the rarest in all
-documents. The join is on that shingle; then the positional bound (the window starts at the
-shingle's place less its place in the window, not before the text) and the length bound (it ends
-within the text) apply, and what passes is compared word by word. Words inside any occurrence are hit.
-
-Scale: documents are never shuffled. Two map-only passes read them: one counts the items' shingles
-over all documents (map-side sums; as many rows as items have shingles), one finds the windows. The
-items' index is broadcast in blocks of at most ``BLOCK_BYTES`` of item text, each of which is run
-over all documents and goes before the next is made, so any number of items works in bounded memory, at
-two passes a block; one block is the usual case.
+documents. Windows and documents are joined on that shingle; then the positional bound (the window
+starts at the shingle's place less its place in the window, not before the text) and the length bound
+(it ends within the text) apply, and the words before, in and after the shingle are compared. Words
+inside any occurrence are hit.
+
+Scale: two passes read the documents' texts. One counts their shingles that may be an item's, with
+map-side sums; the counts go back to the items' texts, and windows with a shingle that no document has
+go. The other gives each place of a chosen shingle with the eight words on both sides, once a different
+text. A bitmap of fixed size says which shingles are asked for; what it lets through in vain finds
+nothing in the join. Both sides are tables, so items may be of any number; Spark broadcasts the windows
+if they are few and shuffles by shingle if not. Windows that the same item texts have are one kind, and a
+text meets each kind's items once. Documents meet what was found by the text's hash.
 
 Defined cases: a null or empty text has no words and is clean; null items have no windows; equal
 windows of several items count for each; items of one id count once; a null item_id is an id of its
@@ -22,193 +25,228 @@ are read whole; no documents give none, and no items leave all clean; other colu
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, SHINGLE, BLOCK_BYTES = 13, 5, 16 << 20
+WINDOW, SHINGLE = 13, 5
+#: Words on each side of a shingle that a window may have.
+REACH = WINDOW - SHINGLE
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
+#: Words whose hashes a task remembers.
+MEMO = 1 << 20
 
-FOUND = "n_words long, starts array<int>, ends array<int>, items array<string>"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Index:
-    """The windows of a block of items, by their rarest shingle."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]]):
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, found in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found]
-            for at in range(max(0, len(ids) - WINDOW) + 1) if ids else ():
-                windows[tuple(ids[at : at + WINDOW])].add(item)
-        self.windows = [(np.array(w, np.int64), sorted(items)) for w, items in windows.items()]
-        #: Of each length of shingles: their sorted hashes.
-        self.sizes: dict[int, np.ndarray] = {}
-        by_size = defaultdict(set)
-        for w, _ in self.windows:
-            by_size[min(SHINGLE, len(w))].update(shingle_hashes(w, min(SHINGLE, len(w))).tolist())
-        for size, hashes in by_size.items():
-            self.sizes[size] = np.array(sorted(hashes), np.uint64)
-        self.prefix: dict[tuple[int, int], list[tuple[int, int]]] = {}
-
-    def order(self, counts: dict[tuple[int, int], int]) -> None:
-        """Choose each window's rarest shingle, given counts over all documents; ties go by hash."""
-        prefix = defaultdict(list)
-        for k, (w, _) in enumerate(self.windows):
-            size = min(SHINGLE, len(w))
-            hashes = shingle_hashes(w, size).tolist()
-            at = min(range(len(hashes)), key=lambda i: (counts.get((size, hashes[i]), 0), hashes[i], i))
-            prefix[size, hashes[at]].append((at, k))
-        self.prefix = dict(prefix)
-        self.sizes = {s: np.array(sorted(h for z, h in prefix if z == s), np.uint64) for s in self.sizes}
-
-    def occurrences(self, texts) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
-        """Word ids of all texts, a 0 after each; where each text begins; places of indexed shingles by size."""
-        found = [common.words(t) for t in texts]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        begins = np.concatenate(([0], np.cumsum(sizes + 1)))
-        flat: list[bytes] = []
-        for x in found:
-            flat += x
-            flat.append(b"")
-        ids = np.fromiter(map(self.vocabulary.get, flat, repeat(0)), np.int64, len(flat))
-        out = []
-        for size, known in self.sizes.items():
-            if len(ids) < size or not len(known):
-                continue
-            run = np.concatenate(([0], np.cumsum(ids == 0)))
-            at = np.flatnonzero(run[size:] == run[:-size])
-            hashes = shingle_hashes(ids, size)[at]
-            slot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            hit = known[slot] == hashes
-            out.append((size, at[hit], hashes[hit]))
-        return ids, begins, out
+class WordHashes(dict):
+    """Hashes of words by word, made when asked for; 0 stands for the end of a text."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = found = (xxhash.xxh3_64_intdigest(word) or 1) if word else 0
+        return found
 
 
 def shingle_hashes(ids: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of ``size`` ids."""
-    ids = ids.astype(np.uint64)
-    out = np.zeros(len(ids) - size + 1, np.uint64)
+    """A hash of each run of ``size`` word hashes."""
+    out = np.full(len(ids) - size + 1, size, np.uint64)
     for k in range(size):
         out = (out ^ ids[k : len(ids) - size + 1 + k]) * _MIX
         out ^= out >> np.uint64(29)
     return out
 
 
-def count_shingles(docs: DataFrame, index: Index) -> dict[tuple[int, int], int]:
-    """How often each of the items' shingles is found in all documents."""
-    held = docs.sparkSession.sparkContext.broadcast(index)
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(common.SLOTS - 1)).astype(np.int64)
+
+
+def shingles(texts, sizes: list[int], known: WordHashes) -> tuple[list[bytes], np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Words of all texts, an empty one after each; where each text begins; places and hashes of the shingles by size."""
+    flat: list[bytes] = []
+    begins = [0]
+    for text in texts:
+        flat += common.words(text)
+        flat.append(b"")
+        begins.append(len(flat))
+    ids = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+    ends = np.concatenate(([0], np.cumsum(ids == 0)))
+    out = []
+    for size in sizes:
+        if len(ids) >= size:
+            at = np.flatnonzero(ends[size:] == ends[:-size])
+            out.append((size, at, shingle_hashes(ids, size)[at]))
+    return flat, np.array(begins), out
+
+
+def framed(words: list[bytes]) -> bytes:
+    """The words with a blank before each and after the last."""
+    return b" ".join([b"", *words, b""])
+
+
+def item_shingles(texts: DataFrame) -> DataFrame:
+    """(key, size, at, h) of each shingle of the items' texts (key, text); a text has shingles of one size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple[int, int], int] = defaultdict(int)
+        known = WordHashes()
         for batch in batches:
-            for size, _, hashes in held.value.occurrences(batch["text"])[2]:
-                for h, n in zip(*np.unique(hashes, return_counts=True), strict=True):
-                    total[size, int(h)] += int(n)
-        if total:
-            yield pd.DataFrame({"size": [s for s, _ in total], "hash": np.array([h for _, h in total], np.uint64).view(np.int64), "n": list(total.values())})
-
-    counted = docs.select("text").mapInPandas(run, "size int, hash long, n long").groupBy("size", "hash").agg(F.sum("n").alias("n"))
-    out = {(r["size"], r["hash"] % (1 << 64)): r["n"] for r in counted.collect()}  # as many as the block's shingles
-    held.destroy()
-    return out
+            for key, text in zip(batch["key"], batch["text"], strict=True):
+                size = min(SHINGLE, len(common.words(text)))
+                if size:
+                    _, at, h = shingles([text], [size], known)[2][0]
+                    yield pd.DataFrame({"key": key, "size": size, "at": at, "h": h.view(np.int64)})
 
+    return texts.mapInPandas(run, "key string, size int, at int, h long")
 
-def find(index: Index, texts) -> pd.DataFrame:
-    """Of each text: words, merged spans of hit words, ids of the items found."""
-    ids, begins, places = index.occurrences(texts)
-    cover = np.zeros(len(ids) + 1, np.int64)
-    items: dict[int, set[str]] = defaultdict(set)
-    for size, at, hashes in places:
-        for q, h in zip(at.tolist(), hashes.tolist(), strict=True):
-            doc = int(np.searchsorted(begins, q, "right")) - 1
-            for offset, k in index.prefix[size, h]:
-                window, own = index.windows[k]
-                start, end = q - offset, q - offset + len(window)
-                if start < begins[doc] or end >= begins[doc + 1]:  # positional and length bounds
-                    continue
-                if (ids[start:end] == window).all():
-                    cover[start] += 1
-                    cover[end] -= 1
-                    items[doc].update(own)
-    hit = (np.cumsum(cover[:-1]) > 0).astype(np.int8)
-    edge = np.diff(np.concatenate(([0], hit, [0])))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    lo, hi = np.searchsorted(starts, begins[:-1]), np.searchsorted(starts, begins[1:])
-    rows = [(int(begins[d + 1] - begins[d] - 1), (starts[lo[d] : hi[d]] - begins[d]).tolist(), (ends[lo[d] : hi[d]] - begins[d]).tolist(), sorted(items[d]) if d in items else []) for d in range(len(begins) - 1)]
-    return pd.DataFrame(rows, columns=common.names(FOUND))
-
-
-def finder(docs: DataFrame, index: Index):
-    """A column function, text to ``FOUND``, and the broadcast index that it uses."""
-    held = docs.sparkSession.sparkContext.broadcast(index)
-
-    @F.pandas_udf(FOUND)
-    def found(text: pd.Series) -> pd.DataFrame:
-        return find(held.value, text)
-
-    return found.asNondeterministic(), held
-
-
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, Index]]:
-    """How many indexes there are, and one after the other; each is of about ``block_bytes`` of text at most."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(total // block_bytes) + 1
-    for k in range(n):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield n, Index([(r["item"], common.words(r["text"])) for r in own.toLocalIterator()])
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, name: str = "found") -> DataFrame:
-    """``docs`` with a column ``name``: struct of n_words, merged hit spans (starts, ends), item ids."""
-    common.small_batches(docs.sparkSession)
-    parts = []
-    for n, index in blocks(benchmark, block_bytes):
-        counted = count_shingles(docs, index)
-        index.order(counted)
-        found, held = finder(docs, index)
-        if n == 1:
-            return docs.withColumn(name, found("text"))
-        # Blocks run one after the other; of each only documents with a hit are kept, and its index goes.
-        parts.append(common.cut(docs.select(common.text_key().alias("k"), found("text").alias("x")).where("size(x.items) > 0")))
-        held.destroy()
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    merged = union.dropDuplicates(["k", "x"]).groupBy("k").agg(F.flatten(F.collect_list(F.arrays_zip("x.starts", "x.ends"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("x.items")))).alias("items"))
-    none, _ = finder(docs, Index([]))
-    both = docs.withColumn(name, none("text")).withColumn("__k", common.text_key())
-    both = both.join(merged.select(F.col("k").alias("__k"), F.col("s").alias("__s"), F.col("items").alias("__items")), "__k", "left")
-    both = both.withColumn("__s", F.pandas_udf(_merge, "struct<starts:array<int>,ends:array<int>>")("__s"))
-    return both.withColumn(name, F.struct(F.col(name)["n_words"].alias("n_words"), F.col("__s")["starts"].alias("starts"), F.col("__s")["ends"].alias("ends"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"))).drop("__k", "__s", "__items")
-
-
-def _merge(spans: pd.Series) -> pd.DataFrame:
-    """Merged spans of a document's blocks; none where null."""
+
+def document_counts(docs: DataFrame, sizes: list[int], asked) -> DataFrame:
+    """(h, n): how often the shingles in the bitmap ``asked``, and some others, are found in all documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for batch in batches:
+            for _, _, h in shingles(batch["text"], sizes, known)[2]:
+                own, n = np.unique(h[common.held_in(asked.value, slots(h))], return_counts=True)
+                if len(own):
+                    yield pd.DataFrame({"h": own.view(np.int64), "n": n})
+
+    return docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def prefixed_windows(counted: DataFrame) -> DataFrame:
+    """Windows of the items' texts (key, text, own: array of (at, n)) with their rarest shingle.
+
+    Ties go by hash, then by place. ``before``, ``middle`` and ``after`` are the words about the shingle. Windows
+    with a shingle that is nowhere in the documents are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for batch in batches:
+            for key, text, own in zip(batch["key"], batch["text"], batch["own"], strict=True):
+                words = common.words(text)
+                size, wide = min(SHINGLE, len(words)), min(WINDOW, len(words))
+                _, _, h = shingles([text], [size], known)[2][0]
+                n = np.zeros(len(h), np.int64)
+                n[[x["at"] for x in own]] = [x["n"] for x in own]
+                rank = np.empty(len(h), np.int64)
+                rank[np.lexsort((h, n))] = np.arange(len(h))
+                held = np.lib.stride_tricks.sliding_window_view(n, wide - size + 1).min(axis=1) > 0
+                first = np.lib.stride_tricks.sliding_window_view(rank, wide - size + 1).argmin(axis=1)
+                starts = np.flatnonzero(held)
+                for lo in range(0, len(starts), 50_000):
+                    rows = []
+                    for i in starts[lo : lo + 50_000].tolist():
+                        at = i + int(first[i])
+                        rows.append((key, int(h.view(np.int64)[at]), wide, at - i, framed(words[i:at]), b" ".join(words[at : at + size]), framed(words[at + size : i + wide])))
+                    yield pd.DataFrame(rows, columns=["key", "h", "n", "at", "before", "middle", "after"])
+
+    return counted.mapInPandas(run, "key string, h long, n int, at int, before binary, middle binary, after binary")
+
+
+def document_places(docs: DataFrame, sizes: list[int], asked) -> DataFrame:
+    """Each place ``q`` of the shingles in the bitmap ``asked``, and of some others, with the words about it.
+
+    A shingle of fewer than five words is a whole window, so it needs no words about it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for batch in batches:
+            keys = batch["key"].tolist()
+            flat, begins, found = shingles(batch["text"], sizes, known)
+            for size, at, h in found:
+                hit = common.held_in(asked.value, slots(h))
+                at, h = at[hit], h[hit].view(np.int64)
+                reach = REACH if size == SHINGLE else 0
+                doc = np.searchsorted(begins, at, "right") - 1
+                for some in range(0, len(at), 50_000):
+                    rows = []
+                    for q, hash_, d in zip(*(x[some : some + 50_000].tolist() for x in (at, h, doc)), strict=True):
+                        lo, hi = int(begins[d]), int(begins[d + 1]) - 1
+                        rows.append((keys[d], hash_, q - lo, hi - lo, framed(flat[max(lo, q - reach) : q]), b" ".join(flat[q : q + size]), framed(flat[q + size : min(hi, q + size + reach)])))
+                    yield pd.DataFrame(rows, columns=["key", "h", "q", "words", "left", "said", "right"])
+
+    return docs.select(common.text_key().alias("key"), "text").mapInPandas(run, "key string, h long, q int, words int, left binary, said binary, right binary")
+
+
+def occurrences(docs: DataFrame, texts: DataFrame, cut) -> tuple[DataFrame, DataFrame]:
+    """(key, id, start, end) of all windows in all texts of ``docs``, and (id, item_key): the items' texts a window is of."""
+    sc = docs.sparkSession.sparkContext
+    own = cut(item_shingles(texts))
+    sizes = sorted(r["size"] for r in own.select("size").distinct().collect())  # five at most
+    asked = sc.broadcast(common.bitmap(own.select(F.col("h").bitwiseAND(common.SLOTS - 1).alias("slot"))))
+    counted = own.join(document_counts(docs, sizes, asked), "h").groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("own"))
+    prefixed = prefixed_windows(texts.join(counted, "key").select("key", "text", "own"))
+    prefixed = cut(prefixed.withColumn("id", F.md5(F.concat("before", "middle", "after"))))
+    asked.destroy()
+    windows = cut(prefixed.drop("key").dropDuplicates(["id"]))
+    asked = sc.broadcast(common.bitmap(windows.select(F.col("h").bitwiseAND(common.SLOTS - 1).alias("slot"))))
+    places = document_places(docs, sizes, asked).dropDuplicates(["key", "q", "h"])
+    bounds = (F.col("q") >= F.col("at")) & (F.col("q") - F.col("at") + F.col("n") <= F.col("words"))
+    same = (F.col("said") == F.col("middle")) & F.endswith("left", "before") & F.startswith("right", "after")
+    met = places.join(windows, "h").where(bounds & same)
+    met = met.select("key", "id", (F.col("q") - F.col("at")).alias("start"), (F.col("q") - F.col("at") + F.col("n")).alias("end"))
+    met = cut(met)
+    asked.destroy()
+    return met, prefixed.select("id", F.col("key").alias("item_key")).distinct()
+
+
+def found_items(met: DataFrame, claims: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, items): sorted ids of the items whose windows a text has."""
+    # Windows of the same item texts are one kind, named by its least window.
+    kinds = claims.groupBy("id").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("item_key")).alias("x"), F.bit_xor(F.xxhash64("item_key", F.lit(1))).alias("y"))
+    least = kinds.groupBy("n", "x", "y").agg(F.min("id").alias("kind"))
+    kind = kinds.join(least, ["n", "x", "y"]).select("id", "kind")
+    owners = claims.join(kind.where("id = kind"), "id").join(items, "item_key").select("kind", "item").distinct()
+    of_text = met.select("key", "id").distinct().join(kind, "id").select("key", "kind").distinct()
+    return of_text.join(owners, "kind").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def merged(spans: pd.Series) -> pd.DataFrame:
+    """Spans of one text, merged where they meet."""
     rows = []
-    for x in spans:
+    for own in spans:
         starts, ends = [], []
-        for s in sorted((s["starts"], s["ends"]) for s in x) if x is not None else ():
-            if ends and s[0] <= ends[-1]:
-                ends[-1] = max(ends[-1], s[1])
+        for start, end in sorted((x["start"], x["end"]) for x in own):
+            if ends and start <= ends[-1]:
+                ends[-1] = max(ends[-1], end)
             else:
-                starts.append(s[0])
-                ends.append(s[1])
+                starts.append(start)
+                ends.append(end)
         rows.append((starts, ends))
     return pd.DataFrame(rows, columns=["starts", "ends"])
 
 
+@common.shielded
+def scan(docs: DataFrame, benchmark: DataFrame, name: str = "found") -> DataFrame:
+    """``docs`` with a column ``name``: struct of n_words, merged hit spans (starts, ends), item ids."""
+    common.small_batches(docs.sparkSession)
+    held: list[str] = []
+    cut = lambda df: common.cut(df, held)
+    said = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
+    said = said.withColumn("item_key", common.text_key())
+    texts = said.groupBy(F.col("item_key").alias("key")).agg(F.first("text").alias("text"))
+    met, claims = occurrences(docs, texts, cut)
+    items = found_items(met, claims, said.select("item", "item_key").distinct())
+    spans = met.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumn("x", F.pandas_udf(merged, "starts array<int>, ends array<int>")("spans"))
+    found = common.cut(spans.join(items, "key").select(F.col("key").alias("__k"), F.struct("x.starts", "x.ends", "items").alias("__f")))
+    common.discard(docs.sparkSession, held)
+    both = docs.withColumn("__k", common.text_key()).join(found, "__k", "left")
+    none = lambda c, kind: F.coalesce(F.col("__f")[c], F.array().cast(f"array<{kind}>")).alias(c)
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_words")
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns if c != name], F.struct(n_words, none("starts", "int"), none("ends", "int"), none("items", "string")).alias(name))
+
+
 def n_hit(found="found"):
     c = F.col(found)
     return F.aggregate(F.zip_with(c["starts"], c["ends"], lambda a, b: (b - a).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)

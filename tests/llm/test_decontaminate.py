@@ -22,12 +22,14 @@ def test_against_brute_force(spark):
     items, docs = data()
     d = spark.createDataFrame(docs, "doc_id long, text string, n_words string")
     b = spark.createDataFrame(items, "item_id string, text string")
-    for block in (decontaminate.BLOCK_BYTES, 200):  # one block; several
-        done = decontaminate.scan(d, b, block).select("doc_id", "text", "found", decontaminate.n_hit().alias("n"), decontaminate.contaminated().alias("c")).collect()
+    for threshold in ("10MB", "-1"):  # few windows are broadcast, many are not
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        done = decontaminate.scan(d, b).select("doc_id", "text", "found", decontaminate.n_hit().alias("n"), decontaminate.contaminated().alias("c")).collect()
         assert len(done) == len(docs)
         for r in done:
             n_words, n_hit, n_items, _, bad = decontaminate.brute_force(r["text"], items)
             assert (r["found"]["n_words"], r["n"], len(r["found"]["items"]), r["c"]) == (n_words, n_hit, n_items, bad)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     clean = decontaminate.decontaminate(d, b)
     assert clean.columns == d.columns and clean.count() == sum(not decontaminate.brute_force(t, items)[4] for _, t, _ in docs)
     assert decontaminate.decontaminate(d.limit(0), b).count() == 0
