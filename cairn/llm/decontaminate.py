@@ -43,7 +43,6 @@ SHARE = 20
 #: Words whose hashes a task remembers.
 MEMO = 1 << 20
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -212,6 +211,10 @@ def found_items(met: DataFrame, claims: DataFrame, items: DataFrame) -> DataFram
     return of_text.join(owners, "kind").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
+def word_counts(texts: pd.Series) -> pd.Series:
+    return pd.Series([len(common.words(t)) for t in texts], dtype="int64")
+
+
 def merged(spans: pd.Series) -> pd.DataFrame:
     """Spans of one text, merged where they meet."""
     rows = []
@@ -243,7 +246,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, name: str = "found") -> DataFram
     common.discard(docs.sparkSession, held)
     both = docs.withColumn("__k", common.text_key()).join(found, "__k", "left")
     none = lambda c, kind: F.coalesce(F.col("__f")[c], F.array().cast(f"array<{kind}>")).alias(c)
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_words")
+    n_words = F.pandas_udf(word_counts, "long")("text").alias("n_words")
     return both.select(*[F.col(f"`{c}`") for c in docs.columns if c != name], F.struct(n_words, none("starts", "int"), none("ends", "int"), none("items", "string")).alias(name))
 
 
