@@ -34,3 +34,20 @@ def test_against_brute_force(spark):
     assert clean.columns == d.columns and clean.count() == sum(not decontaminate.brute_force(t, items)[4] for _, t, _ in docs)
     assert decontaminate.decontaminate(d.limit(0), b).count() == 0
     assert decontaminate.decontaminate(d, b.limit(0)).count() == len(docs)
+
+
+def test_shared_windows_long_texts_and_clashing_names(spark):
+    passage = " ".join(f"w{k}" for k in range(20))
+    items = [(k, f"{passage} own{k}", "x") for k in range(40)] + [(99, passage, "y"), (None, passage.upper(), "z")]
+    filler = " ".join(f"f{k % 977}" for k in range(60_000))
+    docs = [(1, f"a b {passage} c", 1, 2, "k"), (2, f"{filler} {passage} {filler}", 1, 2, "k"), (3, filler, None, 2, "k"), (1, f"a b {passage} c", 1, 2, "k")]
+    d = spark.createDataFrame(docs, "doc_id int, text string, __k int, __f int, items string")
+    b = spark.createDataFrame(items, "item_id int, text string, found string")
+    done = decontaminate.scan(d, b)
+    assert done.columns == [*d.columns, "found"]
+    said = [("" if k is None else str(k), t) for k, t, _ in items]
+    for r in done.withColumn("hit", decontaminate.n_hit()).collect():
+        n_words, n_hit, n_items, _, _ = decontaminate.brute_force(r["text"], said) if r["doc_id"] == 1 else (60_000 * (2 if r["doc_id"] == 2 else 1) + (20 if r["doc_id"] == 2 else 0), 20 if r["doc_id"] == 2 else 0, 42 if r["doc_id"] == 2 else 0, None, None)
+        assert (r["found"]["n_words"], r["hit"], len(r["found"]["items"]), r["__f"], r["items"]) == (n_words, n_hit, n_items, 2, "k")
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(d, b).collect()) == [2, 3]
+    assert decontaminate.decontaminate(d, b).columns == d.columns
