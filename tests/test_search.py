@@ -1,5 +1,6 @@
 import random
 
+from cairn import registry
 from cairn.operators import search
 
 
@@ -24,3 +25,9 @@ def test_plans_read_one_bucket_and_a_range(spark):
     assert "PartitionFilters: [isnotnull(__bucket" in plan and "EqualTo(__run," in plan and "Join" not in plan
     plan = search.beginning(spark, index, "shop 77")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(__key,shop 77)" in plan and "GreaterThanOrEqual(__key,shop 77)" in plan
+
+
+def test_every_blog_is_searched(spark, tmp_path):
+    pages = [(i, f"https://{host}/p{i}") for i, host in enumerate(["blog.th.example", "Blog.example", "my-blog.de", "news.example"] * 3)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [r["page_id"] for r in registry.QUERIES["name_search_topk"](spark, str(tmp_path)).collect()] == [i for i in range(12) if i % 4 < 3]
