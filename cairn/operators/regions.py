@@ -20,6 +20,8 @@ from cairn.operators.match import settled
 
 #: How often a part's first cells, which are as large as its box, are split.
 DEPTH = 5
+#: Bytes of a covering, about, that every task may hold; a larger one meets the points in a shuffle.
+HELD_BYTES = 32 << 20
 #: Degrees by which an edge may miss a cell and still count as near.
 _SLACK = 1e-9
 
@@ -66,10 +68,14 @@ def covering(regions: DataFrame, depth: int = DEPTH) -> DataFrame:
     return parts.select("seq", "name", F.explode(cells.asNondeterministic()("e")).alias("c")).select("seq", "name", "c.*")
 
 
-def regions_of(points: DataFrame, regions: DataFrame, depth: int = DEPTH) -> DataFrame:
+def regions_of(points: DataFrame, regions: DataFrame, depth: int = DEPTH, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(id, polygon) of the first region, in order of ``seq``, that holds the point in any of its parts. ``points``: (id, lat, lng); others than finite ones are nowhere."""
     cells = settled(covering(regions, depth))
-    levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # as many as the boxes' sizes double, and DEPTH more
+    size = F.sum(64 + 40 * F.coalesce(F.size("edges"), F.lit(0)))
+    seen = {r["level"]: r["bytes"] for r in cells.groupBy("level").agg(size.alias("bytes")).collect()}  # as many as the boxes' sizes double, and DEPTH more
+    levels = sorted(seen)
+    # Points must not be the broadcast side: by the bytes of their compressed file they seem few, and they have a row for each level here.
+    cells = cells.hint("broadcast" if sum(seen.values()) <= held_bytes else "merge")
     own = points.select("id", "lat", "lng").where("abs(lat) <= 90 and abs(lng) < 1e9 and not isnan(lat) and not isnan(lng)")
     at = own.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
     cell = lambda v: F.floor(F.col(v) / F.pow(F.lit(2.0), "level")).cast("bigint")

@@ -44,3 +44,14 @@ def test_against_plain_rays(spark):
     assert cells.where("edges is null").count() > 20 and cells.agg(F.max(F.size("edges"))).first()[0] < 40
     assert regions.regions_of(p, r.limit(0)).count() == 0
     assert "Exchange" not in cells._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_are_never_broadcast(spark, tmp_path):
+    spark.range(50).selectExpr("id", "id / 10 as lat", "id / 20 as lng").write.parquet(f"{tmp_path}/points")
+    points = spark.read.parquet(f"{tmp_path}/points")  # a file of few bytes
+    r = spark.createDataFrame([(0, "square", [[[(0.0, 0.0), (1.01, 0.0), (1.01, 1.01), (0.0, 1.01)]]])], "seq int, name string, parts array<array<array<struct<x:double,y:double>>>>")
+    for held_bytes in (1 << 20, 0):
+        got = regions.regions_of(points, r, held_bytes=held_bytes)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) == (held_bytes > 0)
+        assert sorted(x["id"] for x in got.collect()) == [*range(11)]
