@@ -187,7 +187,8 @@ def fill_points(rows: DataFrame, cache: DataFrame, wanted: Column | None = None)
     return met.withColumns(fixed).drop("p", "__asked")
 
 
-# Audits of coordinates.
+# Audits of coordinates. Tables of as many rows as there are points are joined by "merge": by the bytes of a compressed file they seem
+# small enough to be broadcast, and aren't.
 
 
 def _of_city(points: DataFrame, targets: DataFrame) -> DataFrame:
@@ -196,7 +197,7 @@ def _of_city(points: DataFrame, targets: DataFrame) -> DataFrame:
     A city is exploded into its endings, so that this is an equi-join.
     """
     endings = F.transform(F.sequence(F.lit(1), F.length("city")), lambda i: F.substring("city", i, F.length("city")))
-    return points.where("length(city) > 0").withColumn("target", F.explode(endings)).join(targets.select("target").distinct(), "target")
+    return points.where("length(city) > 0").withColumn("target", F.explode(endings)).join(F.broadcast(targets.select("target").distinct()), "target")
 
 
 def nearest_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -207,7 +208,7 @@ def nearest_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     n = X.address_numbers(F.col("address"))
     own = rows.select("id", "target", n["first"].alias("a"), n["second"].alias("b")).where("a <> 0 and b <> 0")
     own = own.select("id", "target", F.concat(X.kanji(F.col("a").cast("int")), F.lit("丁目")).alias("chome_part"), F.col("b").cast("string").alias("gaiku"))
-    met = own.join(_of_city(blocks, own), ["target", "gaiku"]).where(F.contains("chome", F.col("chome_part")))
+    met = own.hint("merge").join(_of_city(blocks, own), ["target", "gaiku"]).where(F.contains("chome", F.col("chome_part")))
     return met.groupBy("id").agg(F.min_by(F.struct("lat", "lng", F.col("chome").alias("chome"), "gaiku"), "seq").alias("point"))
 
 
@@ -218,7 +219,7 @@ def nearest_district(rows: DataFrame, districts: DataFrame) -> DataFrame:
     """
     own = rows.select("id", "target", X.geo_key(X.district_address(F.col("address"))).alias("text"))
     named = needles.contained(own, districts.select(F.col("chome").alias("word")).distinct(), "text").select("id", "target", F.col("word").alias("chome"))
-    met = named.join(_of_city(districts, own), ["target", "chome"])
+    met = named.hint("merge").join(_of_city(districts, own), ["target", "chome"])
     return met.groupBy("id").agg(F.max_by(F.struct("lat", "lng", F.col("chome").alias("chome"), F.lit(None).cast("string").alias("gaiku")), F.struct(F.length("chome"), -F.col("seq"))).alias("point"))
 
 
@@ -229,7 +230,7 @@ def located(rows: DataFrame, polygons: DataFrame) -> DataFrame:
     """
     own = rows.withColumns({"y": number("lat"), "x": number("lng")})
     inside = regions.regions_of(own.where("x is not null and y is not null").select("id", F.col("y").alias("lat"), F.col("x").alias("lng")), polygons)
-    met = own.join(inside, "id", "left").withColumn("__a", X.geo_key(F.coalesce("address", F.lit(""))))
+    met = own.join(inside.hint("merge"), "id", "left").withColumn("__a", X.geo_key(F.coalesce("address", F.lit(""))))
     name = X.geo_key(F.col("polygon"))
     plain = F.replace(name, F.lit("東京都"), F.lit(""))
     reason = (
@@ -245,7 +246,7 @@ def suspicious(rows: DataFrame, polygons: DataFrame, districts: DataFrame, block
     found = located(rows, polygons)
     asked = found.where("polygon is not null").select("id", "target", "address")
     exact = nearest_block(asked, blocks).withColumnRenamed("point", "block")
-    met = found.join(exact, "id", "left").join(nearest_district(asked, districts).withColumnRenamed("point", "district"), "id", "left")
+    met = found.join(exact.hint("merge"), "id", "left").join(nearest_district(asked, districts).withColumnRenamed("point", "district").hint("merge"), "id", "left")
     point = F.coalesce("block", "district")
     level = F.when(F.col("block").isNotNull(), "gaiku").when(F.col("district").isNotNull(), "chome")
     metres = N.haversine(F.col("y"), F.col("x"), point["lat"], point["lng"])
@@ -269,9 +270,9 @@ def corrected(rows: DataFrame, polygons: DataFrame, districts: DataFrame, blocks
     words = names.select(F.explode(F.array_distinct(F.array(name, F.replace(name, F.lit("東京都"), F.lit(""))))).alias("word"), F.col("name").alias("target_name"), F.length(name).alias("size"), "seq").where("word <> ''")
     asked = wrong.select("id", X.geo_key(F.coalesce("address", F.lit(""))).alias("text"))
     best = needles.first_contained(asked, words.withColumn("size", -F.col("size")), "text", ["size", "seq"], ["target_name"])
-    met = wrong.drop("target").join(best, "id", "left").withColumn("target", F.replace(X.geo_key(F.col("target_name")), F.lit("東京都"), F.lit("")))
+    met = wrong.drop("target").join(best.hint("merge"), "id", "left").withColumn("target", F.replace(X.geo_key(F.col("target_name")), F.lit("東京都"), F.lit("")))
     targets = met.where("target is not null").select("id", "target", "address")
-    met = met.join(nearest_block(targets, blocks).withColumnRenamed("point", "block"), "id", "left").join(nearest_district(targets, districts).withColumnRenamed("point", "district"), "id", "left")
+    met = met.join(nearest_block(targets, blocks).withColumnRenamed("point", "block").hint("merge"), "id", "left").join(nearest_district(targets, districts).withColumnRenamed("point", "district").hint("merge"), "id", "left")
     met = met.join(names.select(F.col("name").alias("target_name"), "parts"), "target_name", "left")
     box = N.box(F.col("parts"))
     centre = F.struct(box["cx"].alias("x"), box["cy"].alias("y"), F.lit("set_centroid").alias("status"))

@@ -52,7 +52,9 @@ def contained(rows: DataFrame, words: DataFrame, text: str, most_words: int = MO
     words = words.where("length(word) > 0")
     if not fits(words, most_words):
         return _by_heads(rows, words, text)
-    held = rows.sparkSession.sparkContext.broadcast(automaton((r["word"], r["word"]) for r in words.select("word").distinct().collect()))
+    own = words.groupBy("word").agg(F.count("*").alias("n")).collect()
+    held = rows.sparkSession.sparkContext.broadcast(automaton((r["word"], r["word"]) for r in own))
+    words = words.hint("broadcast" if sum(r["n"] for r in own) <= most_words else "merge")  # never the rows
 
     @F.pandas_udf("array<string>")
     def found(texts: pd.Series) -> pd.Series:

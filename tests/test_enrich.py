@@ -103,3 +103,13 @@ def test_districts_of_several_parts(spark):
     # The centre of both parts is in neither.
     assert abs(fixed[3]["corrected_lng"] - 139.29) < 1e-9 and abs(fixed[3]["corrected_lat"] - 35.04) < 1e-9
     assert fixed[3]["correction_status"] == "unresolved_after_set_centroid" and fixed[4]["correction_status"] == "fixed_snapped_midpoint" and fixed[5]["correction_status"] == "unresolved_after_set_centroid"
+
+
+def test_audits_join_points_by_shuffles(spark, tmp_path):
+    from cairn import registry
+
+    spark.range(60).selectExpr("id as p_partkey", "'n' as p_name", "'b' as p_brand", "'t' as p_type", "1 as p_size", "1D as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("suspicious_coordinates", "corrected_coordinates"):
+        plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        joins = [x for x in plan.splitlines() if "HashJoin [id#" in x or "HashJoin [target#" in x and "BuildLeft" in x]
+        assert "SortMergeJoin [id#" in plan and not joins
