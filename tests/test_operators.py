@@ -205,3 +205,17 @@ def test_components_of_any_shape(spark):
     df = spark.createDataFrame([*edges, (None, 3)], "a long, b long")
     assert {r["node"]: r["label"] for r in match.components(df).collect()} == label
     assert match.components(df.limit(0)).count() == 0
+
+
+def test_degrees_count_without_pairs(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", None]), 35 + rng.randrange(12) / 500, 139 + rng.randrange(3) / 500) for i in range(160)] + [(900, "a", None, 139.0), (901, "b", 36.0, 139.0), (902, "b", 36.0, 139.0)]
+    left, right = [r for r in rows if r[0] % 2 == 0], [r for r in rows if r[0] % 2]
+    near = [(a[0], b[0]) for a in left for b in right if a[1] and a[1] == b[1] and match._metres({"lat": a[2], "lng": a[3]}, {"lat": b[2], "lng": b[3]}) <= 230]
+    l_n, r_n = ({i: sum(p[k] == i for p in near) for i in {p[k] for p in near}} for k in (0, 1))
+    d = [spark.createDataFrame(v, "id long, key string, lat double, lng double") for v in (left, right)]
+    assert {r["id"]: r["n"] for r in match.degrees(*d, 230).collect()} == l_n and max(l_n.values()) > 3
+    alone = sorted(p for p in near if l_n[p[0]] == r_n[p[1]] == 1)
+    assert sorted((r["l_id"], r["r_id"]) for r in match.one_to_one(*d, 230).collect()) == alone and alone
+    assert [tuple(r) for r in match.pair_counts(*d, 230).collect()] == [(len(near) - len(alone), len(near))]
+    assert [tuple(r) for r in match.pair_counts(d[0].limit(0), d[1], 230).collect()] == [(0, 0)]
