@@ -219,3 +219,16 @@ def test_degrees_count_without_pairs(spark):
     assert sorted((r["l_id"], r["r_id"]) for r in match.one_to_one(*d, 230).collect()) == alone and alone
     assert [tuple(r) for r in match.pair_counts(*d, 230).collect()] == [(len(near) - len(alone), len(near))]
     assert [tuple(r) for r in match.pair_counts(d[0].limit(0), d[1], 230).collect()] == [(0, 0)]
+
+
+def test_pairs_of_crowded_places(spark, monkeypatch):
+    monkeypatch.setattr(match, "CHUNK", 3)
+    rng = random.Random(21)
+    pts = [(i, "".join(rng.choices("abc", k=rng.randint(2, 4))), 35 + rng.randrange(6) / 500, 139 + rng.randrange(3) / 500) for i in range(120)] + [(500, "abc", 36.0, 139.0), (501, "abc", 36.5, 139.0), (502, "abc", 36.5, 139.0), (503, "abc", None, 139.0)]
+    df = spark.createDataFrame(pts, "id long, name_key string, lat double, lng double")
+    near = {(a[0], b[0]) for a in pts for b in pts if a[0] < b[0] and None not in (a[2], b[2]) and match._metres({"lat": a[2], "lng": a[3]}, {"lat": b[2], "lng": b[3]}) <= 230}
+    pairs = match.distance_pairs(df, 230)
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(got) == len({*got}) and {*got} == near
+    assert "collect_list" in pairs._jdf.queryExecution().executedPlan().toString()  # distances by places, not by pairs of points
+    assert {(r["id"], r["cluster"]) for r in match.duplicate_clusters(df, 230, 3).where("id >= 500").collect()} == {(501, 501), (502, 501)}
