@@ -232,3 +232,20 @@ def test_pairs_of_crowded_places(spark, monkeypatch):
     assert len(got) == len({*got}) and {*got} == near
     assert "collect_list" in pairs._jdf.queryExecution().executedPlan().toString()  # distances by places, not by pairs of points
     assert {(r["id"], r["cluster"]) for r in match.duplicate_clusters(df, 230, 3).where("id >= 500").collect()} == {(501, 501), (502, 501)}
+
+
+def test_overlaps_of_equal_names(spark, monkeypatch):
+    monkeypatch.setattr(match, "CHUNK", 3)
+    rng = random.Random(31)
+    rows = [(rng.choice("xy"), i, rng.choice(["abcde", "zabcd", "abcdefg", "bcde", "qqqq", "cd"])) for i in range(90)]
+    left, right = [r for r in rows if r[1] % 2 == 0], [r for r in rows if r[1] % 3 == 0]
+    run = lambda a, b: max((n for i in range(len(a)) for n in range(1, len(a) - i + 1) if a[i : i + n] in b), default=0)
+    d = [spark.createDataFrame(v, "block string, seq long, name string") for v in (left, right)]
+    for compat in (True, False):
+        every = [x for x in sorted((-run(a, c), x, i, j) for x, i, a in left for y, j, c in right if x == y and (compat or i != j)) if x[0] < -3]
+        got = lambda k: [(-r["score"], r["block"], r["l_seq"], r["r_seq"]) for r in match.block_overlap(*d, 3, k, compat).collect()]  # noqa: B023, E731
+        assert sorted(got(None)) == every and all(got(k) == every[:k] for k in (3, 40))
+    every = [(x, i, j) for x, i, a in left for y, j, c in right if x == y and run(a, c) > 3]
+    names = match.name_pairs(*d, 3)
+    assert names.count() <= 2 * 25 < len(every)
+    assert [tuple(r)[2:] for r in match.overlap_summary(*d, names).collect()] == [(len({x for x, _, _ in every}), len(every))]
