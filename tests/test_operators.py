@@ -249,3 +249,16 @@ def test_overlaps_of_equal_names(spark, monkeypatch):
     names = match.name_pairs(*d, 3)
     assert names.count() <= 2 * 25 < len(every)
     assert [tuple(r)[2:] for r in match.overlap_summary(*d, names).collect()] == [(len({x for x, _, _ in every}), len(every))]
+
+
+def test_greedy_merge_streams_its_records(spark):
+    rows = [(i, "api", str(i), f"n{i % 3}", f"{i % 7}", 35.0, 139.0, ["x"]) for i in range(60)]
+    got = match.greedy_merge(spark.createDataFrame(rows, "seq long, source string, external_id string, name string, phone string, lat double, lng double, genres array<string>"))
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()  # which holds a whole component
+    assert sorted(r["seqs"] for r in got.collect()) == plain_fold([(i, None, None, n, p, y, x, None, None) for i, _, _, n, p, y, x, _ in rows])
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    registry.QUERIES["text_key_strong"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
