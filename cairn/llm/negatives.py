@@ -278,12 +278,13 @@ def search(queries: DataFrame, index: DataFrame, shape: Shape, k: int, same: boo
         asked = common.cut(live.repartition("qid").sortWithinPartitions("qid").mapInPandas(widen, f"{state}, goal double").where("goal > radius"))
         if asked.isEmpty():
             return found if found is not None else spark.createDataFrame([], FOUND)
-        pairs = asked.mapInPandas(deal, PACK).join(index.drop("lo", "hi", "n"), "cell")
+        # Merged, as packs seem no larger than the few bytes of the table that they are made from, and would be broadcast.
+        pairs = asked.mapInPandas(deal, PACK).join(index.drop("lo", "hi", "n").hint("merge"), "cell")
         new = pairs.mapInPandas(scan, FOUND)
         every = new if found is None else found.unionByName(new)
         found = common.cut(every.withColumn("r", F.row_number().over(spread)).where(F.col("r") <= k).drop("r"))
         reached = found.groupBy(*key).agg(F.count("*").cast("int").alias("n"), F.min("score").alias("least"))
-        live = asked.drop("n", "least", "radius").withColumnRenamed("goal", "radius").join(reached, key, "left")
+        live = asked.drop("n", "least", "radius").withColumnRenamed("goal", "radius").join(reached.hint("merge"), key, "left")
         full = F.coalesce("n", F.lit(0)) >= k
         live = live.select(*key, "label", "vec", "radius", F.coalesce("n", F.lit(0)).alias("n"), F.when(full, F.col("least")).otherwise(_ANY[0]).cast("long").alias("least"))
 
@@ -304,18 +305,18 @@ def mine(rows: DataFrame, anchor: str, positives: int = POSITIVES, negatives: in
     index = stored(every, shape)
     anchors = own.where(anchor).distinct()
     queries = common.cut(anchors.select("vec", "label").distinct().withColumn("qid", F.monotonically_increasing_id()))
-    anchors = common.cut(anchors.join(queries, ["vec", "label"]).select("qid", F.col("vec_id").alias("anchor_id")))
+    anchors = common.cut(anchors.join(queries.hint("merge"), ["vec", "label"]).select("qid", F.col("vec_id").alias("anchor_id")))
     alike = search(queries.withColumns({"low": F.lit(_ANY[0]), "high": F.lit(_ANY[1])}), index, shape, positives + 1, True, first_rows)
     # A query's rows are positives + 1 at most, so an anchor that is among them still has its positives.
     best = alike.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("best"))
     others = F.slice(F.filter("best", lambda x: x.id != F.col("anchor_id")), 1, positives)
-    pairs = common.cut(anchors.join(best, "qid").select("qid", "anchor_id", F.explode(others).alias("x")).select("qid", "anchor_id", F.col("x.id").alias("positive_id"), (-F.col("x.s")).alias("positive_score")))
+    pairs = common.cut(anchors.join(best.hint("merge"), "qid").select("qid", "anchor_id", F.explode(others).alias("x")).select("qid", "anchor_id", F.col("x.id").alias("positive_id"), (-F.col("x.s")).alias("positive_score")))
     low, high = F.ceil(F.col("positive_score") * band[0] / F.lit(100).cast("decimal(3,0)")), F.floor(F.col("positive_score") * band[1] / F.lit(100).cast("decimal(3,0)"))
     bands = pairs.select("qid", "positive_score").distinct().select("qid", "positive_score", low.cast("long").alias("low"), high.cast("long").alias("high")).where("low <= high")
     bands = common.cut(bands)
-    unlike = search(bands.select("qid", "low", "high").distinct().join(queries, "qid"), index, shape, negatives, False, first_rows)
+    unlike = search(bands.select("qid", "low", "high").distinct().join(queries.hint("merge"), "qid"), index, shape, negatives, False, first_rows)
     hard = unlike.groupBy("qid", "low", "high").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("hard"))
-    met = pairs.join(bands.join(hard, ["qid", "low", "high"]), ["qid", "positive_score"])
+    met = pairs.join(bands.join(hard.hint("merge"), ["qid", "low", "high"]).hint("merge"), ["qid", "positive_score"])
     return met.select("anchor_id", "positive_id", "positive_score", F.posexplode("hard").alias("at", "x")).select("anchor_id", "positive_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("negative_id"), "positive_score", (-F.col("x.s")).alias("negative_score"))
 
 

@@ -44,3 +44,17 @@ def test_nothing(spark):
     assert compared(spark, [], [1]) == [] and compared(spark, [(1, 1, [1.0])], [1]) == [] and compared(spark, [(1, 1, [1.0]), (2, 1, [1.0])], [1]) == []
     with pytest.raises(ValueError, match="exact"):
         compared(spark, [(1, 1, [1e9]), (2, 1, [1.0])], [1])
+
+
+def test_packs_are_not_broadcast(spark, monkeypatch):
+    plans, cut = [], negatives.common.cut
+
+    def noted(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, *args)
+
+    monkeypatch.setattr(negatives.common, "cut", noted)
+    rng = random.Random(5)
+    assert compared(spark, rows_of(rng, 200, 4, 3, 0.2), range(-40, 560, 60))
+    scans = [p for p in plans if "MapInPandas scan" in p]
+    assert scans and not any("BroadcastExchange" in p for p in scans)
