@@ -174,57 +174,66 @@ def merge(current: DataFrame, legacy: DataFrame, current_day: str, legacy_day: s
 
     Rows with problems, and later rows of an id that an earlier one has, are in ``problems`` and not merged.
     Rows of one listing id meet; then rows whose id is gone meet a fresh row of equal name within the radius,
-    one to one; then rows without an old id meet rows that have nothing else likewise.
+    one to one; then rows without an old id meet rows that have nothing else likewise. Candidates are counted, and only
+    pairs of rows that have one are made, so names that many rows have cost no more than their rows.
     """
     if wrong := check_options(radius_m):
         raise ValueError("; ".join(wrong))
-    # Written, as they are read several times: their keys take a pass through Python.
-    sides = {k: match.settled(d) for k, d in (("current", prepare_current(current, current_day)), ("legacy", prepare_legacy(legacy, legacy_day)))}
+    # Written with the keys of names, as they are read several times: keys take a pass through Python.
+    keyed = lambda d: d.withColumn("key", F.nullif(X.strong_key(F.col("name")), F.lit("")))
+    sides = {k: match.settled(keyed(d)) for k, d in (("current", prepare_current(current, current_day)), ("legacy", prepare_legacy(legacy, legacy_day)))}
     problems = match.settled(input_problems(sides["current"], "current").unionByName(input_problems(sides["legacy"], "legacy")))
     usable = {k: d.join(problems.where(F.col("side") == k).select("row").distinct(), "row", "left_anti") for k, d in sides.items()}
-    key = lambda r: F.nullif(X.strong_key(r["name"]), F.lit(""))
-    packed = lambda d: d.select("row", "id", F.struct(*OUTPUT_COLUMNS).alias("r"))
+    packed = lambda d: d.select("row", "id", "key", F.struct(*OUTPUT_COLUMNS).alias("r"))
     fresh, known = packed(usable["current"]), packed(usable["legacy"])
-    point = lambda d, n: d.select(F.col(n).alias("id"), key(F.col("r")).alias("key"), F.col("r.lat").cast("double").alias("lat"), F.col("r.lng").cast("double").alias("lng"))
+    point = lambda d, n: d.select(F.col(n).alias("id"), "key", F.col("r.lat").cast("double").alias("lat"), F.col("r.lng").cast("double").alias("lng"))
 
-    met = fresh.select(F.col("row").alias("c_row"), F.col("id").alias("c_id"), F.col("r").alias("c")).join(known.where("id is not null").select(F.col("row").alias("l_row"), "id", F.col("r").alias("l")), F.col("c_id") == F.col("id"), "full_outer")
-    met = match.settled(met)
+    own = lambda d, p: d.select(F.col("row").alias(f"{p}_row"), F.col("id").alias(f"{p}_id"), F.col("key").alias(f"{p}_key"), F.col("r").alias(p))
+    met = match.settled(own(fresh, "c").join(own(known.where("id is not null"), "l"), F.col("c_id") == F.col("l_id"), "full_outer"))
     exact = met.where("c_row is not null and l_row is not null")
-    new, gone = met.where("l_row is null").select("c_row", F.col("c").alias("r")), met.where("c_row is null").select("l_row", F.col("l").alias("r"))
-    near = match.settled(match.with_degrees(match.near_pairs(point(gone, "l_row"), point(new, "c_row"), radius_m)))
-    again = near.where("l_degree = 1 and r_degree = 1").select(F.col("l_id").alias("l_row"), F.col("r_id").alias("c_row"))
-    reissued = again.join(new.withColumnRenamed("r", "c"), "c_row").join(gone.withColumnRenamed("r", "l"), "l_row")
-    fused = lambda d, how: d.select(prefer_overlay(F.col("l"), F.col("c")).alias("r"), F.lit(how).alias("how"))
-    alone = lambda d, how: d.select("r", F.lit(how).alias("how"))
+    side = lambda d, p: d.select(f"{p}_row", F.col(f"{p}_key").alias("key"), F.col(p).alias("r"))
+    new, gone = side(met.where("l_row is null"), "c"), side(met.where("c_row is null"), "l")
+    near, reissues = match.settled_matches(point(gone, "l_row"), point(new, "c_row"), radius_m)
+    again = near.select(F.col("l_id").alias("l_row"), F.col("r_id").alias("c_row"))
+    part = lambda d, p: d.select(f"{p}_row", F.col("key").alias(f"{p}_key"), F.col("r").alias(p))
+    reissued = again.join(part(new, "c"), "c_row").join(part(gone, "l"), "l_row")
+    fused_key = F.when(blank("c.name"), F.col("l_key")).otherwise(F.col("c_key"))
+    fused = lambda d, how: d.select(fused_key.alias("key"), prefer_overlay(F.col("l"), F.col("c")).alias("r"), F.lit(how).alias("how"))
+    alone = lambda d, how: d.select("key", "r", F.lit(how).alias("how"))
     listed = fused(exact, "exact").unionByName(fused(reissued, "reissued")).unionByName(alone(new.join(again, "c_row", "left_anti"), "new")).unionByName(alone(gone.join(again, "l_row", "left_anti"), "retained"))
     # A listing id is unique among listed rows.
     listed = match.settled(listed.withColumn("id", X.listing_id(F.col("r.hotpepper_url"), HOSTS)))
-    only = known.where("id is null").select(F.col("r.legacy_id").alias("old"), "r")
-    cross = match.settled(match.with_degrees(match.near_pairs(point(listed.where(blank("r.legacy_id")), "id"), point(only, "old"), radius_m)))
-    taken = cross.where("l_degree = 1 and r_degree = 1").select(F.col("l_id").alias("id"), F.col("r_id").alias("old"))
-    both = listed.join(taken, "id", "left").join(only.select("old", F.col("r").alias("o")), "old", "left")
+    only = known.where("id is null").select(F.col("r.legacy_id").alias("old"), "key", "r")
+    met_old, crosses = match.settled_matches(point(listed.where(blank("r.legacy_id")), "id"), point(only, "old"), radius_m)
+    taken = met_old.select(F.col("l_id").alias("id"), F.col("r_id").alias("old"))
+    # Old rows join their ids first: most listed rows have none, and would lie in one task by it.
+    both = listed.join(taken.join(only.select("old", F.col("r").alias("o")), "old"), "id", "left")
     joined = both.select(F.when(F.col("o").isNull(), F.col("r")).otherwise(prefer_overlay(F.col("o"), F.col("r"))).alias("r"), F.when(F.col("o").isNull(), F.col("how")).otherwise("cross").alias("how"), F.col("how").alias("first_how"))
     rest = only.join(taken, "old", "left_anti").select("r", F.lit("legacy_only").alias("how"), F.lit("legacy_only").alias("first_how"))
     rows = joined.unionByName(rest).select("r.*", "how", "first_how")
     clean = {c: N.public_budget(F.col(c)) for c in BUDGETS}
     spoiled = sum((F.when(~blank(c) & (v == ""), 1).otherwise(0) for c, v in clean.items()), F.lit(0))
-    rows = match.settled(rows.withColumn("sanitized", spoiled).withColumns(clean))
-    ambiguous = lambda d, n: d.agg(F.count_if(F.expr("l_degree > 1 or r_degree > 1")).alias(n))
+    order = {f"__{k}": c for k, c in enumerate(_order())}  # written too: a sort takes them twice
+    rows = match.settled(rows.withColumn("sanitized", spoiled).withColumns(clean | order))
     stats = rows.agg(*(F.count_if(F.col("first_how") == h).alias(n) for h, n in (("exact", "hotpepper_id_updates"), ("reissued", "hotpepper_reissued_matches"))), F.count_if(F.col("how") == "cross").alias("cross_source_matches"), F.coalesce(F.sum("sanitized"), F.lit(0)).alias("sanitized_budget_values"), F.count("*").alias("output_rows"))
     for more in (
         current.agg(F.count("*").alias("current_input")),
         legacy.agg(F.count("*").alias("legacy_input")),
         usable["legacy"].agg(F.count_if("migrated").alias("migrated_legacy_ids")),
-        ambiguous(near, "ambiguous_reissue_candidates"),
-        ambiguous(cross, "ambiguous_cross_source_candidates"),
+        reissues.select(F.col("ambiguous").alias("ambiguous_reissue_candidates")),
+        crosses.select(F.col("ambiguous").alias("ambiguous_cross_source_candidates")),
     ):
         stats = stats.crossJoin(more)  # single rows
-    return Merged(in_order(rows.drop("sanitized", "first_how")), problems, stats)
+    return Merged(rows.orderBy(*order).drop("sanitized", "first_how", *order), problems, stats)
+
+
+def _order() -> list[Column]:
+    return [X.strong_key(F.col("name")), X.strong_key(F.col("address")), F.coalesce(X.listing_id(F.col("hotpepper_url"), HOSTS), F.lit("")), X.valid_legacy_id(F.col("legacy_id"))]
 
 
 def in_order(rows: DataFrame) -> DataFrame:
     """O1: by strong keys of name and address, then ids."""
-    return rows.orderBy(X.strong_key(F.col("name")), X.strong_key(F.col("address")), F.coalesce(X.listing_id(F.col("hotpepper_url"), HOSTS), F.lit("")), X.valid_legacy_id(F.col("legacy_id")))
+    return rows.orderBy(*_order())
 
 
 def merged_problems(rows: DataFrame) -> DataFrame:

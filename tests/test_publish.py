@@ -124,3 +124,24 @@ def test_options_and_dates():
     with pytest.raises(ValueError):
         publish.metadata_date({})
     assert publish.count_problem(5, 4, 3) == [] and publish.count_problem(5, 6, 3)
+
+
+def test_candidates_are_counted_not_paired(spark, monkeypatch):
+    made, pairs = [], publish.match.near_pairs
+
+    def counted(*sides):
+        made.append(pairs(*sides).count())
+        return pairs(*sides)
+
+    monkeypatch.setattr(publish.match, "near_pairs", counted)
+    many = lambda first, n, make: [make(first + k, name="Chain", lat=f"35.68{k % 3}") for k in range(n)]
+    lone = {"name": "lone", "lat": "35.7"}
+    m = merged(spark, [*many(0, 30, fresh), fresh(900, **lone), fresh(902, name="other")], [*many(100, 40, fresh), *many(200, 20, old), fresh(901, **lone), old(302, name="other")])
+    how = [r["how"] for r in rows_of(m)]
+    assert {h: how.count(h) for h in how} == {"new": 30, "retained": 40, "legacy_only": 20, "reissued": 1, "cross": 1}
+    # Places of a third of the rows each are 111 m apart.
+    stats = m.stats.first()
+    third = lambda n, k: len(range(k, n, 3))
+    assert stats["ambiguous_reissue_candidates"] == sum(third(30, k) * third(40, k) for k in range(3))
+    assert stats["ambiguous_cross_source_candidates"] == sum((third(30, k) + third(40, k)) * third(20, k) for k in range(3))
+    assert made == [1, 1]
