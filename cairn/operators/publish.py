@@ -136,10 +136,13 @@ def prepare_legacy(rows: DataFrame, day: str) -> DataFrame:
 
 
 def later_repeats(rows: DataFrame, column: str, rule: str) -> DataFrame:
-    """(row, rule) of each row whose value an earlier row has; blank values don't count."""
+    """(row, rule) of each row whose value an earlier row has; blank values don't count.
+
+    Merged, as are the joins of ``merge``: files of like rows are small, so sizes guessed from them make either side a broadcast.
+    """
     own = rows.where(~blank(column)).select("row", column)
     first = own.groupBy(column).agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last").select(column, "first")
-    return own.join(first, column).where("row > first").select("row", F.lit(rule).alias("rule"))
+    return own.join(first.hint("merge"), column).where("row > first").select("row", F.lit(rule).alias("rule"))
 
 
 def input_problems(rows: DataFrame, label: str) -> DataFrame:
@@ -183,7 +186,7 @@ def merge(current: DataFrame, legacy: DataFrame, current_day: str, legacy_day: s
     keyed = lambda d: d.withColumn("key", F.nullif(X.strong_key(F.col("name")), F.lit("")))
     sides = {k: match.settled(keyed(d)) for k, d in (("current", prepare_current(current, current_day)), ("legacy", prepare_legacy(legacy, legacy_day)))}
     problems = match.settled(input_problems(sides["current"], "current").unionByName(input_problems(sides["legacy"], "legacy")))
-    usable = {k: d.join(problems.where(F.col("side") == k).select("row").distinct(), "row", "left_anti") for k, d in sides.items()}
+    usable = {k: d.join(problems.where(F.col("side") == k).select("row").distinct().hint("merge"), "row", "left_anti") for k, d in sides.items()}
     packed = lambda d: d.select("row", "id", "key", F.struct(*OUTPUT_COLUMNS).alias("r"))
     fresh, known = packed(usable["current"]), packed(usable["legacy"])
     point = lambda d, n: d.select(F.col(n).alias("id"), "key", F.col("r.lat").cast("double").alias("lat"), F.col("r.lng").cast("double").alias("lng"))
@@ -196,20 +199,20 @@ def merge(current: DataFrame, legacy: DataFrame, current_day: str, legacy_day: s
     near, reissues = match.settled_matches(point(gone, "l_row"), point(new, "c_row"), radius_m)
     again = near.select(F.col("l_id").alias("l_row"), F.col("r_id").alias("c_row"))
     part = lambda d, p: d.select(f"{p}_row", F.col("key").alias(f"{p}_key"), F.col("r").alias(p))
-    reissued = again.join(part(new, "c"), "c_row").join(part(gone, "l"), "l_row")
+    reissued = again.join(part(new, "c").hint("merge"), "c_row").join(part(gone, "l").hint("merge"), "l_row")
     fused_key = F.when(blank("c.name"), F.col("l_key")).otherwise(F.col("c_key"))
     fused = lambda d, how: d.select(fused_key.alias("key"), prefer_overlay(F.col("l"), F.col("c")).alias("r"), F.lit(how).alias("how"))
     alone = lambda d, how: d.select("key", "r", F.lit(how).alias("how"))
-    listed = fused(exact, "exact").unionByName(fused(reissued, "reissued")).unionByName(alone(new.join(again, "c_row", "left_anti"), "new")).unionByName(alone(gone.join(again, "l_row", "left_anti"), "retained"))
+    listed = fused(exact, "exact").unionByName(fused(reissued, "reissued")).unionByName(alone(new.join(again.hint("merge"), "c_row", "left_anti"), "new")).unionByName(alone(gone.join(again.hint("merge"), "l_row", "left_anti"), "retained"))
     # A listing id is unique among listed rows.
     listed = match.settled(listed.withColumn("id", X.listing_id(F.col("r.hotpepper_url"), HOSTS)))
     only = known.where("id is null").select(F.col("r.legacy_id").alias("old"), "key", "r")
     met_old, crosses = match.settled_matches(point(listed.where(blank("r.legacy_id")), "id"), point(only, "old"), radius_m)
     taken = met_old.select(F.col("l_id").alias("id"), F.col("r_id").alias("old"))
     # Old rows join their ids first: most listed rows have none, and would lie in one task by it.
-    both = listed.join(taken.join(only.select("old", F.col("r").alias("o")), "old"), "id", "left")
+    both = listed.join(taken.join(only.select("old", F.col("r").alias("o")).hint("merge"), "old").hint("merge"), "id", "left")
     joined = both.select(F.when(F.col("o").isNull(), F.col("r")).otherwise(prefer_overlay(F.col("o"), F.col("r"))).alias("r"), F.when(F.col("o").isNull(), F.col("how")).otherwise("cross").alias("how"), F.col("how").alias("first_how"))
-    rest = only.join(taken, "old", "left_anti").select("r", F.lit("legacy_only").alias("how"), F.lit("legacy_only").alias("first_how"))
+    rest = only.join(taken.hint("merge"), "old", "left_anti").select("r", F.lit("legacy_only").alias("how"), F.lit("legacy_only").alias("first_how"))
     rows = joined.unionByName(rest).select("r.*", "how", "first_how")
     clean = {c: N.public_budget(F.col(c)) for c in BUDGETS}
     spoiled = sum((F.when(~blank(c) & (v == ""), 1).otherwise(0) for c, v in clean.items()), F.lit(0))

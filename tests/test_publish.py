@@ -145,3 +145,10 @@ def test_candidates_are_counted_not_paired(spark, monkeypatch):
     assert stats["ambiguous_reissue_candidates"] == sum(third(30, k) * third(40, k) for k in range(3))
     assert stats["ambiguous_cross_source_candidates"] == sum((third(30, k) + third(40, k)) * third(20, k) for k in range(3))
     assert made == [1, 1]
+
+
+def test_repeats_are_merged(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "")], "row int, v string")
+    got = publish.later_repeats(rows, "v", "x")
+    assert [tuple(r) for r in got.collect()] == [(2, "x")]
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
